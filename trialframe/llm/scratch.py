@@ -1,0 +1,46 @@
+"""Tables written part-way through a job, in the folder that the whole cluster shares.
+
+``materialize`` cuts a plan's lineage: the rows are written as Parquet below
+``spark.checkpoint.dir`` and read back, so a lost executor costs a re-read and never a
+recomputation. A folder of this process is set up only where the session names none.
+"""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_local: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, or one made for this process if it is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="trialframe-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+    return f"file://{_local[0]}"
+
+
+def fresh_path(spark: SparkSession, what: str) -> str:
+    return f"{shared_dir(spark)}/trialframe/{what}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, what: str) -> DataFrame:
+    """Write ``df`` to the shared folder and return a scan of it."""
+    spark = df.sparkSession
+    path = fresh_path(spark, what)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
