@@ -1,21 +1,23 @@
-"""Ids of a word-level BPE vocabulary, with a bounded memory of words already cut.
+"""Ids of a word-level BPE vocabulary, with a bounded memory of pre-tokens already cut.
 
 White space separates words and is dropped by such a vocabulary, so a text's ids are its
-words' ids in turn. Invented or rare words cost a merge each; frequent ones a look-up.
+pre-tokens' ids in turn. Rare pre-tokens cost a merge each; frequent ones a look-up.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Words that need no Unicode normalisation and whose letter classes every regex engine agrees on.
-PLAIN = re.compile("[!-~¡-¬®-ÿ]+").fullmatch
-#: The vocabulary's own split into pre-tokens, after lower-casing (a fixed value of its file).
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Text that needs no Unicode normalisation and whose letter classes every regex engine agrees on.
+PLAIN = re.compile("[ \n!-~¡-¬®-ÿ]*").fullmatch
+#: The vocabulary's own split into pre-tokens, for plain lower-case text (a fixed value of its file).
+SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^ \na-zªµºß-öø-ÿ0-9²³¹¼½¾]+").findall
 MEMORY = 250_000
+#: Characters whose pre-tokens are held at once, unless one text is longer.
+GROUP = 2_000_000
 
 
 class _Recent(dict):
@@ -35,7 +37,6 @@ class WordTokenizer:
     """``ids(texts)`` equals the library's own ``encode(text, add_special_tokens=False).ids``."""
 
     def __init__(self, path: str) -> None:
-        import regex
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
@@ -43,50 +44,68 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for token, at in vocab.items():
             self.ends[at] = token.endswith("</w>")
-        self.split = regex.compile(SPLIT).findall
-        self.special = tuple(t.content for t in self.model.get_added_tokens_decoder().values())
-        self.words, self.parts = _Recent(MEMORY), _Recent(MEMORY)
+        special = [re.escape(t.content) for t in self.model.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special) or "(?!)").search
+        self.parts = _Recent(MEMORY)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: Iterable[str]) -> None:
-        plain, odd = [], []
-        for w in words:
-            known = self.words.old.get(w)
-            if known is not None:
-                self.words[w] = known
-            elif PLAIN(w) and not any(s in w for s in self.special):
-                plain.append((w, self.split(w.lower())))
+    def _split(self, text: str) -> list[str]:
+        """The text's pre-tokens; words that only the library cuts safely stay whole."""
+        if PLAIN(text) and not self.special(text):
+            return SPLIT(text.lower())
+        out = []
+        for w in text.replace("\n", " ").split(" "):
+            if PLAIN(w) and not self.special(w):
+                out += SPLIT(w.lower())
             else:
-                odd.append(w)
-        missing = []
-        for part in {p for _, parts in plain for p in parts} - self.parts.keys():
+                out.append(w)
+        return out
+
+    def _learn(self, parts: Iterable[str]) -> None:
+        plain, odd = [], []
+        for part in parts:
             known = self.parts.old.get(part)
-            if known is None:
-                missing.append(part)
-            else:
+            if known is not None:
                 self.parts[part] = known
-        lines = [missing[i : i + 256] for i in range(0, len(missing), 256)]
-        for parts, ids in zip(lines, self._encode([" ".join(x) for x in lines]), strict=True):
-            got = np.array(ids, np.uint32)
-            cuts = np.flatnonzero(self.ends[got]) + 1
-            if len(cuts) != len(parts):  # a part that the vocabulary cuts differently
-                pieces = [np.array(x, np.uint32) for x in self._encode(parts)]
+            elif PLAIN(part) and not self.special(part):
+                plain.append(part)
             else:
-                pieces = np.split(got, cuts[:-1])
-            self.parts.update((p, x.tobytes()) for p, x in zip(parts, pieces, strict=True))
-        for w, parts in plain:
-            self.words[w] = b"".join([self.parts[p] for p in parts])
+                odd.append(part)
+        lines = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        for line, ids in zip(lines, self._encode([" ".join(x) for x in lines]), strict=True):
+            got = np.array(ids, np.uint32)
+            cuts = (4 * np.flatnonzero(self.ends[got]) + 4).tolist()
+            if len(cuts) != len(line):  # a part that the vocabulary cuts differently
+                odd += line
+                continue
+            data = got.tobytes()
+            self.parts.update((p, data[a:b]) for p, a, b in zip(line, [0, *cuts], cuts, strict=False))
         for w, ids in zip(odd, self._encode(odd), strict=True):
-            self.words[w] = np.array(ids, np.uint32).tobytes()
+            self.parts[w] = np.array(ids, np.uint32).tobytes()
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        self.words.turn()
-        self.parts.turn()
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = {w for s in split for w in s}
-        self._learn(new - self.words.keys())
-        get = self.words.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        out = []
+        for group in _groups(texts):
+            self.parts.turn()
+            split = [self._split(t) for t in group]
+            known = self.parts
+            self._learn([p for p in set().union(*split) if p not in known])
+            get = known.__getitem__
+            out += [b"".join(map(get, s)) for s in split]
+        return out
+
+
+def _groups(texts: list[str | None]) -> Iterator[list[str]]:
+    """The texts in order, in runs of about ``GROUP`` characters."""
+    run, size = [], 0
+    for text in texts:
+        run.append(text or "")
+        size += len(run[-1])
+        if size >= GROUP:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
