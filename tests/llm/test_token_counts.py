@@ -53,6 +53,20 @@ def test_texts_of_every_kind(spark):
     assert token_counts.token_counts(brute.documents(spark, texts).where("false"), PATH).count() == 0
 
 
+def test_words_of_a_batch_are_counted_together():
+    r = random.Random(8)
+    vocabulary = token_counts.unigram_vocabulary(PATH)
+    words = ["".join(r.choice("aabcdeinrsttéß.ж日😀▁ ") for _ in range(r.randint(0, 16))) for _ in range(3000)]
+    words += ["the", "them", "theme", "z" * 64, "z" * 65, "ab" * 32]
+    trie = token_counts.SharedTrie(vocabulary)
+    distinct = sorted(set(words))
+    assert trie.grow(distinct).tolist() == [_plain(w, vocabulary, trie.unknown) for w in distinct]
+    assert token_counts.SharedTrie(vocabulary).counts([words[:9], [], words[9:]]) == [sum(_plain(w, vocabulary, trie.unknown) for w in part) for part in (words[:9], [], words[9:])]
+    shared = token_counts.SharedTrie({"▁": -1.0, "a": -2.0, "b": -2.0, "▁ab": -2.5})
+    assert shared.grow(["ab", "aba", "abb"]).tolist() == [1, 2, 2] and shared.visited == 5
+    assert shared.grow([]).tolist() == [] and token_counts.SharedTrie({}).counts([["ab"]]) == [3 + 2]
+
+
 def test_a_full_trie_starts_anew():
     vocabulary = {"▁": -1.0, "a": -2.0, "b": -2.0}
     small, large = token_counts.SharedTrie(vocabulary, 3), token_counts.SharedTrie(vocabulary)

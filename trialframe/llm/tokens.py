@@ -88,7 +88,7 @@ class WordTokenizer:
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out = []
-        for group in _groups(texts):
+        for group in groups(texts):
             self.parts.turn()
             split = [self._split(t) for t in group]
             known = self.parts
@@ -98,7 +98,7 @@ class WordTokenizer:
         return out
 
 
-def _groups(texts: list[str | None]) -> Iterator[list[str]]:
+def groups(texts: list[str | None]) -> Iterator[list[str]]:
     """The texts in order, in runs of about ``GROUP`` characters."""
     run, size = [], 0
     for text in texts:
