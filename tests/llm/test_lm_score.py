@@ -36,7 +36,7 @@ def test_base_scores_are_exact_and_scores_better(spark, monkeypatch, head):
     tokens = {i: [*brute.words(t), None] for i, t in enumerate(texts)}
     counts = Counter(w for i, t in tokens.items() if not _held(i) for w in t)
     total = counts.total() + len(counts) + 1
-    rows = lm_score.lm_scores(brute.documents(spark, texts).repartition(3), bits=2**20).collect()
+    rows = lm_score.lm_scores(brute.documents(spark, texts).repartition(3)).collect()
     assert len(rows) == len(texts)
     for r in rows:
         own = tokens[r.doc_id]
@@ -54,26 +54,52 @@ def test_filter_levels_never_fall_short():
     counts = rng.geometric(0.2, len(keys)).astype(float) ** 2
     level = lm_score.quantise(counts)
     assert np.all((lm_score.low(level) <= counts) & (counts <= lm_score.high(level)))
-    f = lm_score.LogFrequencyFilter(4, 2**18)
-    for s in range(4):
-        own = f.slice_of(keys) == s
-        f.data[s * f.region // 8 : (s + 1) * f.region // 8] = f.build_region(keys[own], level[own])
+    of = lm_score.slices_of(keys, 4)
+    assert np.all(np.diff(of) >= 0)
+    regions = [lm_score.build_region(keys[of == s], level[of == s]) if s != 2 else np.zeros(0, np.uint8) for s in range(4)]
+    f = lm_score.LogFrequencyFilter(np.array([len(r) for r in regions]), np.concatenate(regions))
+    assert not f.levels(keys[of == 2]).any()
+    keys, level = keys[of != 2], level[of != 2]
     found = f.levels(keys)
     assert np.all(found >= level) and (found > level).mean() < 0.1
     assert (f.levels(keys + np.uint64(1)) > 0).mean() < 0.1
 
 
-def test_a_full_filter_drops_the_rarest(spark):
-    texts = spark.createDataFrame([("a b " * 50 + f"c{i} d{i}",) for i in range(400)], "text string")
-    small = lm_score.build_filter(texts, 40_000, bits=2**10)
-    key = lm_score.ngram_keys(lm_score._hash([b"a", b"c7"]), np.uint64(0))
-    assert small.levels(key)[0] >= lm_score.quantise(np.array([20_000.0]))[0]
-    assert np.unpackbits(small.data).mean() < 0.6
+def test_the_filter_grows_and_holds_every_count(spark):
+    sizes = []
+    for n in (200, 800):
+        texts = spark.createDataFrame([("a b " * 50 + f"c{i} d{i}",) for i in range(n)], "text string")
+        slices, regions = lm_score.build_slices(texts, 4_000_000)
+        assert slices == 4
+        whole = lm_score.whole_filter(slices, regions, 2**28)
+        words = lm_score._hash([b"c%d" % i for i in range(n)])
+        assert np.all(whole.levels(lm_score.ngram_keys(words, np.uint64(0))) >= 1)
+        assert np.all(whole.levels(lm_score.ngram_keys(lm_score._hash([b"d%d" % i for i in range(n)]), words)) >= 1)
+        assert whole.levels(lm_score.ngram_keys(lm_score._hash([b"a"]), np.uint64(0)))[0] >= lm_score.quantise(np.array([50.0 * n]))[0]
+        assert np.unpackbits(whole.data).mean() < 0.5
+        assert lm_score.whole_filter(slices, regions, 8 * len(whole.data)) is None
+        sizes.append(len(whole.data))
+    assert 3 < sizes[1] / sizes[0] < 5
+
+
+@pytest.mark.parametrize("head", [150_000, 5])
+def test_a_filter_too_large_to_broadcast_gives_the_same_scores(spark, monkeypatch, head):
+    monkeypatch.setattr(lm_score, "HEAD", head)
+    monkeypatch.setattr(lm_score, "SLICE_TOKENS", 3_000)
+    monkeypatch.setattr(lm_score, "CHUNK_TOKENS", 500)
+    docs = brute.documents(spark, _texts()).repartition(3)
+    twice = docs.unionByName(docs)
+    small, large = ({tuple(r) for r in lm_score.lm_scores(twice, bits=b).collect()} for b in (2**28, 0))
+    key = lambda r: (r[0], *r[1:5])
+    assert len(small) == len(large)
+    for a, b in zip(sorted(small, key=key), sorted(large, key=key), strict=True):
+        assert key(a) == key(b) and a[5:] == pytest.approx(b[5:])
+    assert lm_score.lm_scores(docs.where("false"), bits=0).count() == 0
 
 
 def test_no_training_and_no_rows(spark):
     ids = [i for i in range(200) if _held(i)][:3]
     docs = spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string")
-    rows = lm_score.lm_scores(docs, bits=2**12).collect()
+    rows = lm_score.lm_scores(docs, bits=0).collect()
     assert {(r.n_known, r.train_tokens, r.base_score) for r in rows} == {(0, 0, 0.0)}
-    assert lm_score.lm_scores(docs.where("false"), bits=2**12).count() == 0
+    assert lm_score.lm_scores(docs.where("false"), bits=0).count() == 0

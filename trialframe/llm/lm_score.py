@@ -3,9 +3,11 @@
 Training counts every word (exactly) and every n-gram. A count c is quantised to
 1 + floor(2 log2 c) levels; the filter holds the pairs (n-gram, level) up to that level, and a
 query probes level after level until one is missing. n-grams are dealt to slices of the filter by
-their hash, so each task builds its own slice and the slices together are the filter: ``bits`` bits
-whatever the input, which bounds the broadcast. Where the n-grams of a slice need more, the rarest
-levels of counts go, as with any count cut-off. The Dirichlet-smoothed probability
+their hash, so each task builds its own slice, as large as its n-grams need: no count is left out,
+and the filter grows with the corpus. Up to ``bits`` bits it is broadcast. A larger one stays in the
+shared folder, slice by slice, and the distinct n-grams of every chunk of texts go to their slices
+and come back with their levels; slices grow in number with the tokens, so none gets large. Both
+ways give the same scores. The Dirichlet-smoothed probability
 
     P(w | h) = (low(h w) + mu P(w | shorter h)) / (high(h) + mu),  P(w) = (c(w) + 1) / (N + V + 1)
 
@@ -18,6 +20,7 @@ them are broadcast; the rest are summed by a shuffle join, in which no key is fr
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,12 +35,18 @@ from trialframe.llm.quality import remainder
 from trialframe.llm.scratch import materialize
 
 HEAD = 150_000
+#: The largest filter that is broadcast (32 MB), its slices' sizes included.
 BITS = 2**28
 PROBES = 3
-#: n-grams of about this many tokens meet in one slice, up to ``MOST_SLICES`` slices.
+#: Bits of the filter for each (n-gram, level): a probe of a missing one hits in about 2 of 100.
+BITS_PER_LEVEL = 10
+#: n-grams of about this many tokens meet in one slice.
 SLICE_TOKENS = 1_000_000
-MOST_SLICES = 2**14
+#: Partitions that slices are dealt to, at most.
+SLICE_PARTITIONS = 8192
 FLUSH = 2_000_000
+#: Tokens of a chunk of texts whose n-grams go to their slices together, unless one text is longer.
+CHUNK_TOKENS = 250_000
 #: The end token. Words are never empty.
 END = b""
 BEGIN = 0x9E3779B97F4A7C15
@@ -62,46 +71,54 @@ def ngram_keys(hashes: np.ndarray, history: np.ndarray) -> np.ndarray:
         return _mix(hashes + np.uint64(BEGIN) * (history ^ np.uint64(0x632BE59BD9B4E019)))
 
 
+def slices_of(keys: np.ndarray, slices: int) -> np.ndarray:
+    """The slice of each key, a power of two of them: its top bits. Sorted keys have sorted slices."""
+    return (keys >> np.uint64(64 - int(math.log2(slices)))).astype(np.int64) if slices > 1 else np.zeros(len(keys), np.int64)
+
+
+def _probes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        h = _mix(keys + np.uint64(0xD1342543DE82EF95) * np.uint64(level))
+    return h, (h >> np.uint64(32)) | np.uint64(1)
+
+
+def _place(h: np.ndarray, step: np.ndarray, probe: int, size: np.ndarray | np.uint64) -> np.ndarray:
+    """A bit below ``size`` (under 2**32)."""
+    with np.errstate(over="ignore"):
+        return ((((h + np.uint64(probe) * step) & np.uint64(0xFFFFFFFF)) * size) >> np.uint64(32)).astype(np.int64)
+
+
+def build_region(keys: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The bytes of a slice that holds (key, 1..level) of each key."""
+    size = max(1, -(-int(level.sum(dtype=np.int64)) * BITS_PER_LEVEL // 8)) * 8
+    region = np.zeros(size, bool)
+    for at in range(1, int(level.max(initial=0)) + 1):
+        h, step = _probes(keys[level >= at], at)
+        for probe in range(PROBES):
+            region[_place(h, step, probe, np.uint64(size))] = True
+    return np.packbits(region, bitorder="little")
+
+
 class LogFrequencyFilter:
-    """The filter: ``slices`` regions of equal size, an n-gram's region chosen by its key's top bits."""
-
-    def __init__(self, slices: int, bits: int, data: np.ndarray | None = None) -> None:
-        self.slices, self.region = slices, bits // slices
-        self.shift = np.uint64(64 - int(math.log2(slices)))
-        self.data = np.zeros(bits // 8, np.uint8) if data is None else data
-
-    def slice_of(self, keys: np.ndarray) -> np.ndarray:
-        return (keys >> self.shift).astype(np.int64) if self.slices > 1 else np.zeros(len(keys), np.int64)
-
-    def _probes(self, keys: np.ndarray, level: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        with np.errstate(over="ignore"):
-            h = _mix(keys + np.uint64(0xD1342543DE82EF95) * np.asarray(level, np.uint64))
-        return h, (h >> np.uint64(32)) | np.uint64(1)
-
-    def _place(self, h: np.ndarray, step: np.ndarray, probe: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return ((h + np.uint64(probe) * step) & np.uint64(self.region - 1)).astype(np.int64)
-
-    def build_region(self, keys: np.ndarray, level: np.ndarray) -> np.ndarray:
-        """One region's bytes, holding (key, 1..level) of each key."""
-        region = np.zeros(self.region, bool)
-        for at in range(1, int(level.max(initial=0)) + 1):
-            h, step = self._probes(keys[level >= at], at)
-            for probe in range(PROBES):
-                region[self._place(h, step, probe)] = True
-        return np.packbits(region, bitorder="little")
+    """The filter, or a slice of it as a filter of one slice: ``sizes`` bytes of ``data`` a slice, in turn."""
+
+    def __init__(self, sizes: np.ndarray, data: np.ndarray) -> None:
+        self.sizes, self.data = sizes, data
+        self.starts = np.cumsum(sizes) - sizes
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Repeated membership probes: the highest level reached without a gap."""
         found = np.zeros(len(keys), np.uint8)
-        live, base, level = np.arange(len(keys)), self.slice_of(keys) * self.region, 0
+        of = slices_of(keys, len(self.sizes))
+        live = np.flatnonzero(self.sizes[of])
+        base, size, level = self.starts[of[live]] * 8, (self.sizes[of[live]] * 8).astype(np.uint64), 0
         while len(live) and level < MOST_LEVELS:
             level += 1
-            h, step = self._probes(keys[live], level)
+            h, step = _probes(keys[live], level)
             for probe in range(PROBES):
-                at = base + self._place(h, step, probe)
+                at = base + _place(h, step, probe, size)
                 hit = (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                live, base, h, step = live[hit], base[hit], h[hit], step[hit]
+                live, base, size, h, step = live[hit], base[hit], size[hit], h[hit], step[hit]
             found[live] = level
         return found
 
@@ -190,12 +207,11 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(scan, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def build_filter(texts: DataFrame, tokens: int, bits: int = BITS) -> LogFrequencyFilter:
-    """Count the words and word pairs of ``texts(text)`` and gather the filter, slice by slice."""
+def build_slices(texts: DataFrame, tokens: int) -> tuple[int, DataFrame]:
+    """Count the words and word pairs of ``texts(text)``; the number of slices and (slice, region) of those in use."""
     slices = 1
-    while slices * SLICE_TOKENS < tokens and slices < MOST_SLICES:
+    while slices * SLICE_TOKENS < tokens:
         slices *= 2
-    shape = LogFrequencyFilter(slices, bits, np.zeros(0, np.uint8))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, n = _Words(), [], 0
@@ -203,7 +219,7 @@ def build_filter(texts: DataFrame, tokens: int, bits: int = BITS) -> LogFrequenc
         def out() -> pa.RecordBatch:
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            of = shape.slice_of(keys)
+            of = slices_of(keys, slices)
             at = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
             parts = zip(np.split(keys, at[1:]), np.split(counts.astype(np.uint32), at[1:]), strict=True)
             rows = [(k.tobytes(), c.tobytes()) for k, c in parts]
@@ -229,20 +245,141 @@ def build_filter(texts: DataFrame, tokens: int, bits: int = BITS) -> LogFrequenc
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order].astype(np.float64)
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        keys, level = keys[first], quantise(np.add.reduceat(counts, first))
-        room = shape.region * math.log(2) / PROBES  # half of the bits set
-        need = np.cumsum((np.bincount(level, minlength=2) * np.arange(max(int(level.max()) + 1, 2)))[::-1])[::-1]
-        cut = int(np.argmax(need <= room)) if (need <= room).any() else len(need)
-        kept = level >= max(cut, 1)
-        return pd.DataFrame({"slice": rows["slice"].iloc[:1], "region": [shape.build_region(keys[kept], level[kept]).tobytes()]})
+        region = build_region(keys[first], quantise(np.add.reduceat(counts, first)))
+        return pd.DataFrame({"slice": rows["slice"].iloc[:1], "region": [region.tobytes()]})
 
     counted = texts.mapInArrow(count, "slice long, ngrams binary, counts binary")
-    regions = counted.repartition(min(slices, 512), "slice").groupBy("slice").applyInPandas(gather, "slice long, region binary")
-    data = np.zeros(bits // 8, np.uint8)
+    dealt = counted.repartition(min(slices, SLICE_PARTITIONS), "slice")
+    return slices, materialize(dealt.groupBy("slice").applyInPandas(gather, "slice long, region binary"), "slices")
+
+
+def whole_filter(slices: int, regions: DataFrame, bits: int) -> LogFrequencyFilter | None:
+    """The filter of all slices, or None if it is larger than ``bits`` bits."""
+    size = regions.agg(F.sum(F.octet_length("region").cast("long"))).first()[0] or 0
+    if (size + 8 * slices) * 8 > bits:
+        return None
+    sizes, parts = np.zeros(slices, np.int64), {}
     for row in regions.toLocalIterator():
-        at = row["slice"] * shape.region // 8
-        data[at : at + shape.region // 8] = np.frombuffer(row["region"], np.uint8)
-    return LogFrequencyFilter(slices, bits, data)
+        parts[row["slice"]] = np.frombuffer(row["region"], np.uint8)
+        sizes[row["slice"]] = len(parts[row["slice"]])
+    return LogFrequencyFilter(sizes, np.concatenate([parts[k] for k in sorted(parts)] or [np.zeros(0, np.uint8)]))
+
+
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, score double, tail array<string>"
+
+
+def _bounds(got: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of words' counts: the exact count where it is known (not -1), else the level's."""
+    return np.where(got >= 0, got, low(level)), np.where(got >= 0, got, high(level))
+
+
+def _score(lengths: np.ndarray, numbers: np.ndarray, below: np.ndarray, above: np.ndarray, pair: np.ndarray, begin: float, total: int, mu: float) -> np.ndarray:
+    """log10 probability of each text from bounds of its words' counts and its pairs' levels."""
+    starts = np.cumsum(lengths) - lengths
+    history = np.empty(len(numbers))
+    history[1:] = above[numbers[:-1]]
+    history[starts] = begin
+    unigram = (below[numbers] + 1) / total
+    history = np.maximum(history, low(pair))
+    return np.add.reduceat(np.log10((low(pair) + mu * unigram) / (history + mu)), starts)
+
+
+def _exact(lengths: np.ndarray, tokens: list[bytes], own: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of each text: sum of log10(c + 1) and number of the words with known counts ``own``, and the other words."""
+    starts = np.cumsum(lengths) - lengths
+    is_head = own >= 0
+    base = np.add.reduceat(np.where(is_head, np.log10(np.maximum(own, 0) + 1), 0.0), starts)
+    rest = np.flatnonzero(~is_head)
+    offsets = np.searchsorted(rest, np.r_[starts, len(own)]).astype(np.int32)
+    tail = pa.ListArray.from_arrays(pa.array(offsets), pa.array([tokens[i] for i in rest], pa.binary()).cast(pa.string()))
+    return np.add.reduceat(is_head.astype(np.int64), starts), base, tail
+
+
+def _rows(first: int, ids: pa.Array, held: pa.Array, lengths: np.ndarray, exact: tuple[np.ndarray, np.ndarray, pa.Array], score: np.ndarray) -> pa.RecordBatch:
+    arrays = [pa.array(first + np.arange(len(lengths))), ids, held, pa.array(lengths), *map(pa.array, exact[:2]), pa.array(score), exact[2]]
+    return pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "score", "tail"])
+
+
+def _by_broadcast(narrow: DataFrame, exact, bloom: LogFrequencyFilter, total: int, mu: float) -> DataFrame:
+    """``SCORED`` rows of ``narrow(doc_id, held_out, text)``."""
+    shipped = narrow.sparkSession.sparkContext.broadcast((bloom.sizes, bloom.data))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, known = _Words(), exact.value
+        model = LogFrequencyFilter(*shipped.value)
+        row = TaskContext.get().partitionId() << 33
+        c, below, above = (np.zeros(0) for _ in range(3))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                tokens, lengths = _flat(part, 2)
+                numbers, old = words.numbers(tokens)
+                new = words.names[old:] if old else words.names
+                got = np.array([known.get(w, -1) for w in new], float)
+                level = model.levels(ngram_keys(words.hashes[old:], np.uint64(0)))
+                c, below, above = (np.concatenate([x[:old], y]) for x, y in zip((c, below, above), (got, *_bounds(got, level)), strict=True))
+                pair = model.levels(_bigram_keys(words.hashes[numbers], lengths))
+                score = _score(lengths, numbers, below, above, pair, float(known.get(END, 0)), total, mu)
+                yield _rows(row, part.column(0), part.column(1), lengths, _exact(lengths, tokens, c[numbers]), score)
+                row += len(lengths)
+
+    return narrow.mapInArrow(scan, SCORED)
+
+
+def _by_shuffle(narrow: DataFrame, exact, slices: int, regions: DataFrame, total: int, mu: float) -> DataFrame:
+    """The same with the probes taken to the slices: a task holds a slice and its probes, or a chunk of texts."""
+
+    def keys_of(hashes: np.ndarray, numbers: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys of a chunk, sorted, and the place among them of its words' and of its pairs' keys."""
+        return np.unique(np.concatenate([ngram_keys(hashes, np.uint64(0)), _bigram_keys(hashes[numbers], lengths)]), return_inverse=True)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, row = exact.value, TaskContext.get().partitionId() << 33
+        chunk = row
+        for batch in batches:
+            column = batch.column(2).cast(pa.large_binary())
+            at = 0
+            while at < batch.num_rows:
+                texts, n = [], 0
+                while at + len(texts) < batch.num_rows and n < CHUNK_TOKENS:
+                    texts.append(words_of(column[at + len(texts)].as_py()))
+                    n += len(texts[-1])
+                tokens = [w for t in texts for w in t]
+                lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+                number = {w: i for i, w in enumerate(dict.fromkeys(tokens))}
+                numbers = np.fromiter(map(number.__getitem__, tokens), np.uint16 if len(number) < 2**16 else np.uint32, n)
+                hashes = _hash(list(number))
+                got = np.array([known.get(w, -1) for w in number], float)
+                ids, held = (batch.column(k).slice(at, len(texts)) for k in (0, 1))
+                n_known, base, tail = _exact(lengths, tokens, got[numbers])
+                body = (row, ids.to_pylist(), held.to_pylist(), lengths, numbers, hashes, got, n_known, base, tail.to_pylist())
+                keys, _ = keys_of(hashes, numbers, lengths)
+                of = slices_of(keys, slices)
+                cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                asked = [k.tobytes() for k in np.split(keys, cuts[1:])]
+                arrays = [pa.array(np.full(len(cuts) + 1, chunk)), pa.array(np.r_[of[cuts], -1]), pa.array([*asked, pickle.dumps(body)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["chunk", "slice", "body"])
+                row, chunk, at = row + len(texts), chunk + 1, at + len(texts)
+
+    def answer(asked: pa.Table, region: pa.Table) -> pa.Table:
+        data = np.frombuffer(region["region"][0].as_py(), np.uint8) if region.num_rows else np.zeros(0, np.uint8)
+        model = LogFrequencyFilter(np.array([len(data)]), data)
+        levels = [model.levels(np.frombuffer(x.as_py(), np.uint64)).tobytes() for x in asked["body"]]
+        return pa.table({"chunk": asked["chunk"], "slice": asked["slice"], "levels": pa.array(levels, pa.binary())})
+
+    def score(bodies: pa.Table, answers: pa.Table) -> pa.Table:
+        row, ids, held, lengths, numbers, hashes, got, n_known, base, tail = pickle.loads(bodies["body"][0].as_py())
+        level = np.frombuffer(b"".join(answers.sort_by("slice")["levels"].to_pylist()), np.uint8)
+        level = level[keys_of(hashes, numbers, lengths)[1]]
+        below, above = _bounds(got, level[: len(hashes)])
+        scores = _score(lengths, numbers, below, above, level[len(hashes) :], float(exact.value.get(END, 0)), total, mu)
+        known = (n_known, base, pa.array(tail, pa.list_(pa.string())))
+        return pa.Table.from_batches([_rows(row, pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), lengths, known, scores)])
+
+    chunks = materialize(narrow.mapInArrow(ask, "chunk long, slice long, body binary"), "chunks")
+    asked = chunks.where("slice >= 0").groupBy("slice")
+    answers = asked.cogroup(regions.groupBy("slice")).applyInArrow(answer, "chunk long, slice long, levels binary")
+    return chunks.where("slice < 0").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, SCORED)
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 2, folds: int = 7, mu: float = 200.0, bits: int = BITS) -> DataFrame:
@@ -250,7 +387,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
     Null texts are empty and consist of the end token. Without training rows N and V are 0. Null ids
     have remainder 0. Repeated rows are scored, and trained on, each for itself; an empty table gives
-    no rows; other columns are not read.
+    no rows; other columns are not read. ``bits`` bounds what is broadcast, not what is learnt.
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), (remainder(id_col, folds) == fold).alias("held_out"), F.col(text_col).cast("string").alias("text"))
@@ -266,48 +403,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         cut = band
     head = counts.where(F.col("band") >= cut).select("word", "c").toPandas()
     exact = spark.sparkContext.broadcast(dict(zip((w.encode() for w in head["word"]), head["c"].tolist(), strict=True)))
-    bloom = build_filter(training, n_train, bits)
-    shipped = spark.sparkContext.broadcast((bloom.slices, bits, bloom.data))
+    slices, regions = build_slices(training, n_train)
     total = n_train + vocabulary + 1
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known = _Words(), exact.value
-        model = LogFrequencyFilter(*shipped.value)
-        row = TaskContext.get().partitionId() << 33
-        c, below, above = (np.zeros(0) for _ in range(3))
-        begin = float(known.get(END, 0))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                tokens, lengths = _flat(part, 2)
-                numbers, old = words.numbers(tokens)
-                new = words.names[old:] if old else words.names
-                got = np.array([known.get(w, -1) for w in new], float)
-                level = model.levels(ngram_keys(words.hashes[old:], np.uint64(0)))
-                fresh = (got, np.where(got >= 0, got, low(level)), np.where(got >= 0, got, high(level)))
-                c, below, above = (np.concatenate([x[:old], y]) for x, y in zip((c, below, above), fresh, strict=True))
-                starts = np.cumsum(lengths) - lengths
-                pair = model.levels(_bigram_keys(words.hashes[numbers], lengths))
-                history = np.empty(len(numbers))
-                history[1:] = above[numbers[:-1]]
-                history[starts] = begin
-                unigram = (below[numbers] + 1) / total
-                history = np.maximum(history, low(pair))
-                score = np.add.reduceat(np.log10((low(pair) + mu * unigram) / (history + mu)), starts)
-                own = c[numbers]
-                is_head = own >= 0
-                base = np.add.reduceat(np.where(is_head, np.log10(np.maximum(own, 0) + 1), 0.0), starts)
-                n_known = np.add.reduceat(is_head.astype(np.int64), starts)
-                rest = np.flatnonzero(~is_head)
-                offsets = np.searchsorted(rest, np.r_[starts, len(numbers)]).astype(np.int32)
-                tail = pa.ListArray.from_arrays(pa.array(offsets), pa.array([tokens[i] for i in rest], pa.binary()).cast(pa.string()))
-                ids = pa.array(row + np.arange(len(lengths)))
-                row += len(lengths)
-                arrays = [ids, part.column(0), part.column(1), pa.array(lengths), pa.array(n_known), pa.array(base), pa.array(score), tail]
-                yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "score", "tail"])
-
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, score double, tail array<string>"
-    scored = materialize(narrow.mapInArrow(scan, schema), "scored")
+    bloom = whole_filter(slices, regions, bits)
+    scored = _by_broadcast(narrow, exact, bloom, total, mu) if bloom is not None else _by_shuffle(narrow, exact, slices, regions, total, mu)
+    scored = materialize(scored, "scored")
     rare = counts.where(F.col("band") < cut).select("word", "c")
     tails = scored.select("row", F.explode("tail").alias("word")).join(rare, "word")
     tails = tails.groupBy("row").agg(F.sum(F.log10(F.col("c") + 1)).alias("tail_base"), F.count("*").alias("tail_known"))
