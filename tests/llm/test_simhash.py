@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 from itertools import combinations
 
+import pytest
+
 from tests.llm import brute
 from trialframe.llm import simhash
 from trialframe.llm.components import components
@@ -37,7 +39,10 @@ def test_against_brute_force(spark):
     assert {i: r.component for i, r in got.items()} == brute.components(fps, links)
 
 
-def test_long_lists_go_by_blocks(spark):
+@pytest.mark.parametrize("longest,block,broadcast", [(8192, 2048, 200_000), (300, 100, 200_000), (300, 100, 0)])
+def test_long_lists_go_by_blocks(spark, monkeypatch, longest, block, broadcast):
+    for name, value in (("LONG_LIST", longest), ("BLOCK", block), ("BROADCAST_ROWS", broadcast)):
+        monkeypatch.setattr(simhash, name, value)
     r = random.Random(5)
     values = {0} | {sum(1 << b for b in r.sample(range(20), r.randint(0, 6))) for _ in range(3000)}
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(sorted(values))], "id long, fp long")

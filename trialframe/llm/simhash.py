@@ -8,7 +8,9 @@ three positions lie in the complement of one such set, hence every linked pair m
 Pairs that meet are tallied (shared positional bytes), kept at five or more, then verified.
 
 Equal fingerprints are one node, so copies are never paired. Within a list no pair leaves the
-worker but a spanning forest: lists of any length are handled block by block.
+worker but a spanning forest. A list of more than ``LONG_LIST`` fingerprints is dealt once more by
+one of its other four positions, of which at least one agrees as well; what is still longer than
+``BLOCK`` goes to tasks as pairs of blocks. So no task holds a list of unbounded length.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialframe.llm.components import components, forest
@@ -30,6 +32,9 @@ POSITION_SETS = [s for s in combinations(range(BYTES), 4) if s[0] ^ s[1] ^ s[2]
 NO_ID = -(2**63)
 SHORT_LIST = 24
 BLOCK = 2048
+LONG_LIST = 8192
+#: Lists of lists (a key and a number each) are broadcast up to so many rows, and joined by shuffle beyond.
+BROADCAST_ROWS = 200_000
 
 
 def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
@@ -132,6 +137,25 @@ def _edges(bits: int):
     return scan
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _split(index: DataFrame, byte: list[Column]) -> DataFrame:
+    """``index(key, fp, rep)`` of long lists, dealt anew: every pair that agrees in a fifth position meets."""
+    others = None
+    for k, positions in enumerate(POSITION_SETS):
+        fifth = F.array(*(F.shiftleft("key", 11).bitwiseOR(F.lit(p << 8)).bitwiseOR(byte[p]) for p in range(BYTES) if p not in positions))
+        of = F.shiftright("key", 32) == k
+        others = F.when(of, fifth) if others is None else others.when(of, fifth)
+    parts = materialize(index.select(F.explode(others).alias("part"), "fp", "rep"), "long_lists")
+    sizes = parts.groupBy("part").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
+    sizes = _small(materialize(sizes.select("part", F.ceil(F.col("size") / BLOCK).alias("blocks")), "blocks"))
+    dealt = parts.join(sizes, "part", "left").na.fill(1, ["blocks"]).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: F.xxhash64("part", F.least(b, F.col("block")), F.greatest(b, F.col("block"))))
+    return dealt.select(F.explode(pairs).alias("key"), "fp", "rep")
+
+
 def near_classes(fps: DataFrame, bits: int = 3) -> DataFrame:
     """(fp, component): the smallest id reachable by links of at most ``bits`` differing bits (3 at most)."""
     if not 0 <= bits <= 3:
@@ -145,6 +169,10 @@ def near_classes(fps: DataFrame, bits: int = 3) -> DataFrame:
             key = F.shiftleft(key, 8).bitwiseOR(byte[p])
         keys.append(key)
     index = nodes.select(F.explode(F.array(*keys)).alias("key"), "fp", "rep")
+    long = materialize(index.groupBy("key").count().where(F.col("count") > LONG_LIST).select("key"), "long")
+    if not long.isEmpty():
+        keys = _small(long)
+        index = index.join(keys, "key", "left_anti").unionByName(_split(index.join(keys, "key", "left_semi"), byte))
     index = index.repartition("key").sortWithinPartitions("key")
     roots = components(index.mapInArrow(_edges(bits), "a long, b long"))
     return nodes.join(roots, nodes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component"))
