@@ -76,9 +76,24 @@ def slices_of(keys: np.ndarray, slices: int) -> np.ndarray:
     return (keys >> np.uint64(64 - int(math.log2(slices)))).astype(np.int64) if slices > 1 else np.zeros(len(keys), np.int64)
 
 
+#: Within a slice a key is its last 40 bits; of a slice's n-grams, a few in a million share them with another.
+SHORT = np.uint64(2**40 - 1)
+
+
+def pack(keys: np.ndarray) -> bytes:
+    """The last 40 bits of each key."""
+    return keys.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).ravel()
+
+
 def _probes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
-        h = _mix(keys + np.uint64(0xD1342543DE82EF95) * np.uint64(level))
+        h = _mix((keys & SHORT) + np.uint64(0xD1342543DE82EF95) * np.uint64(level))
     return h, (h >> np.uint64(32)) | np.uint64(1)
 
 
@@ -222,7 +237,7 @@ def build_slices(texts: DataFrame, tokens: int) -> tuple[int, DataFrame]:
             of = slices_of(keys, slices)
             at = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
             parts = zip(np.split(keys, at[1:]), np.split(counts.astype(np.uint32), at[1:]), strict=True)
-            rows = [(k.tobytes(), c.tobytes()) for k, c in parts]
+            rows = [(pack(k), c.tobytes()) for k, c in parts]
             arrays = [pa.array(of[at], pa.int64()), *(pa.array(x, pa.binary()) for x in zip(*rows, strict=True))]
             return pa.RecordBatch.from_arrays(arrays, names=["slice", "ngrams", "counts"])
 
@@ -240,7 +255,7 @@ def build_slices(texts: DataFrame, tokens: int) -> tuple[int, DataFrame]:
             yield out()
 
     def gather(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["ngrams"]])
+        keys = np.concatenate([unpack(x) for x in rows["ngrams"]])
         counts = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["counts"]])
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order].astype(np.float64)
@@ -353,18 +368,23 @@ def _by_shuffle(narrow: DataFrame, exact, slices: int, regions: DataFrame, total
                 ids, held = (batch.column(k).slice(at, len(texts)) for k in (0, 1))
                 n_known, base, tail = _exact(lengths, tokens, got[numbers])
                 body = (row, ids.to_pylist(), held.to_pylist(), lengths, numbers, hashes, got, n_known, base, tail.to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([pickle.dumps(body)], pa.binary())], names=["chunk", "body"])
+                row, chunk, at = row + len(texts), chunk + 1, at + len(texts)
+
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                _, _, _, lengths, numbers, hashes, *_ = pickle.loads(body.as_py())
                 keys, _ = keys_of(hashes, numbers, lengths)
                 of = slices_of(keys, slices)
                 cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-                asked = [k.tobytes() for k in np.split(keys, cuts[1:])]
-                arrays = [pa.array(np.full(len(cuts) + 1, chunk)), pa.array(np.r_[of[cuts], -1]), pa.array([*asked, pickle.dumps(body)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["chunk", "slice", "body"])
-                row, chunk, at = row + len(texts), chunk + 1, at + len(texts)
+                arrays = [pa.array(np.full(len(cuts), chunk)), pa.array(of[cuts]), pa.array(map(pack, np.split(keys, cuts[1:])), pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["chunk", "slice", "ngrams"])
 
     def answer(asked: pa.Table, region: pa.Table) -> pa.Table:
         data = np.frombuffer(region["region"][0].as_py(), np.uint8) if region.num_rows else np.zeros(0, np.uint8)
         model = LogFrequencyFilter(np.array([len(data)]), data)
-        levels = [model.levels(np.frombuffer(x.as_py(), np.uint64)).tobytes() for x in asked["body"]]
+        levels = [model.levels(unpack(x.as_py())).tobytes() for x in asked["ngrams"]]
         return pa.table({"chunk": asked["chunk"], "slice": asked["slice"], "levels": pa.array(levels, pa.binary())})
 
     def score(bodies: pa.Table, answers: pa.Table) -> pa.Table:
@@ -376,10 +396,10 @@ def _by_shuffle(narrow: DataFrame, exact, slices: int, regions: DataFrame, total
         known = (n_known, base, pa.array(tail, pa.list_(pa.string())))
         return pa.Table.from_batches([_rows(row, pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), lengths, known, scores)])
 
-    chunks = materialize(narrow.mapInArrow(ask, "chunk long, slice long, body binary"), "chunks")
-    asked = chunks.where("slice >= 0").groupBy("slice")
+    chunks = materialize(narrow.mapInArrow(ask, "chunk long, body binary"), "chunks")
+    asked = chunks.mapInArrow(probes, "chunk long, slice long, ngrams binary").groupBy("slice")
     answers = asked.cogroup(regions.groupBy("slice")).applyInArrow(answer, "chunk long, slice long, levels binary")
-    return chunks.where("slice < 0").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, SCORED)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, SCORED)
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 2, folds: int = 7, mu: float = 200.0, bits: int = BITS) -> DataFrame:
