@@ -38,7 +38,7 @@ HEAD = 150_000
 #: The largest filter that is broadcast (32 MB), its slices' sizes included.
 BITS = 2**28
 PROBES = 3
-#: Bits of the filter for each (n-gram, level): a probe of a missing one hits in about 2 of 100.
+#: Bits of the filter for each (n-gram, level): a missing one is found in about 2 of 100.
 BITS_PER_LEVEL = 10
 #: n-grams of about this many tokens meet in one slice.
 SLICE_TOKENS = 1_000_000
@@ -46,7 +46,7 @@ SLICE_TOKENS = 1_000_000
 SLICE_PARTITIONS = 8192
 FLUSH = 2_000_000
 #: Tokens of a chunk of texts whose n-grams go to their slices together, unless one text is longer.
-CHUNK_TOKENS = 250_000
+CHUNK_TOKENS = 50_000
 #: The end token. Words are never empty.
 END = b""
 BEGIN = 0x9E3779B97F4A7C15
@@ -367,14 +367,16 @@ def _by_shuffle(narrow: DataFrame, exact, slices: int, regions: DataFrame, total
                 got = np.array([known.get(w, -1) for w in number], float)
                 ids, held = (batch.column(k).slice(at, len(texts)) for k in (0, 1))
                 n_known, base, tail = _exact(lengths, tokens, got[numbers])
-                body = (row, ids.to_pylist(), held.to_pylist(), lengths, numbers, hashes, got, n_known, base, tail.to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([pickle.dumps(body)], pa.binary())], names=["chunk", "body"])
+                body = (row, lengths, numbers, hashes, got)
+                rows = _rows(row, ids, held, lengths, (n_known, base, tail), np.zeros(len(texts)))
+                docs = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), rows.to_struct_array())
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([pickle.dumps(body)], pa.binary()), docs], names=["chunk", "body", "docs"])
                 row, chunk, at = row + len(texts), chunk + 1, at + len(texts)
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                _, _, _, lengths, numbers, hashes, *_ = pickle.loads(body.as_py())
+                _, lengths, numbers, hashes, _ = pickle.loads(body.as_py())
                 keys, _ = keys_of(hashes, numbers, lengths)
                 of = slices_of(keys, slices)
                 cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
@@ -388,18 +390,19 @@ def _by_shuffle(narrow: DataFrame, exact, slices: int, regions: DataFrame, total
         return pa.table({"chunk": asked["chunk"], "slice": asked["slice"], "levels": pa.array(levels, pa.binary())})
 
     def score(bodies: pa.Table, answers: pa.Table) -> pa.Table:
-        row, ids, held, lengths, numbers, hashes, got, n_known, base, tail = pickle.loads(bodies["body"][0].as_py())
+        row, lengths, numbers, hashes, got = pickle.loads(bodies["body"][0].as_py())
         level = np.frombuffer(b"".join(answers.sort_by("slice")["levels"].to_pylist()), np.uint8)
         level = level[keys_of(hashes, numbers, lengths)[1]]
         below, above = _bounds(got, level[: len(hashes)])
         scores = _score(lengths, numbers, below, above, level[len(hashes) :], float(exact.value.get(END, 0)), total, mu)
-        known = (n_known, base, pa.array(tail, pa.list_(pa.string())))
-        return pa.Table.from_batches([_rows(row, pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), lengths, known, scores)])
+        return pa.table({"row": row + np.arange(len(lengths)), "score": scores})
 
-    chunks = materialize(narrow.mapInArrow(ask, "chunk long, body binary"), "chunks")
-    asked = chunks.mapInArrow(probes, "chunk long, slice long, ngrams binary").groupBy("slice")
+    chunks = materialize(narrow.mapInArrow(ask, f"chunk long, body binary, docs array<struct<{SCORED.replace(' ', ':').replace(',:', ', ')}>>"), "chunks")
+    bodies = chunks.select("chunk", "body")
+    asked = bodies.mapInArrow(probes, "chunk long, slice long, ngrams binary").groupBy("slice")
     answers = asked.cogroup(regions.groupBy("slice")).applyInArrow(answer, "chunk long, slice long, levels binary")
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, SCORED)
+    scores = bodies.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, "row long, score double")
+    return chunks.select(F.explode("docs").alias("doc")).select("doc.*").drop("score").join(scores, "row")
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 2, folds: int = 7, mu: float = 200.0, bits: int = BITS) -> DataFrame:
@@ -427,7 +430,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     total = n_train + vocabulary + 1
     bloom = whole_filter(slices, regions, bits)
     scored = _by_broadcast(narrow, exact, bloom, total, mu) if bloom is not None else _by_shuffle(narrow, exact, slices, regions, total, mu)
-    scored = materialize(scored, "scored")
+    scored = materialize(scored, "scored").select(*[c.split()[0] for c in SCORED.split(", ")])
     rare = counts.where(F.col("band") < cut).select("word", "c")
     tails = scored.select("row", F.explode("tail").alias("word")).join(rare, "word")
     tails = tails.groupBy("row").agg(F.sum(F.log10(F.col("c") + 1)).alias("tail_base"), F.count("*").alias("tail_known"))
