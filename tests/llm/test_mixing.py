@@ -56,6 +56,19 @@ def test_rank_needs_no_whole_source(spark, monkeypatch):
         assert abs(sum(x.copies * x["size"] for x in own) - own[0].target) <= 25
 
 
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_a_long_document_leaves_its_gap_to_later_slices(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "SLICE", 16)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", broadcast)
+    # 20 sources of 400 documents, one of each with 30 % of the words
+    docs = spark.range(8000).selectExpr("id doc_id", "concat('s', id % 20) source", "case when id < 20 then 4300 else 1 + id % 50 end size")
+    rows = mixing.mix(docs, "size", pattern=(1,), budget=0.5).collect()
+    assert len(rows) == 8000
+    for s in {x.source for x in rows}:
+        own = [x for x in rows if x.source == s]
+        assert abs(sum(x.copies * x["size"] for x in own) - own[0].target) <= 25
+
+
 def test_heavier_documents_are_likelier(spark):
     docs = spark.range(4000).selectExpr("id doc_id", "'s' || (id % 2) source", "10 size", "case when id % 4 < 2 then 0.3D else 1.2D end weight")
     rows = mixing.mix(docs, "size", weight_col="weight", budget=0.5).collect()

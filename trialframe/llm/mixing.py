@@ -7,7 +7,9 @@ taken until the source's remaining words are used up: a sample of fixed size in
 next document no longer fits, later ones in rank order that do fit fill the gap.
 
 No source is sorted whole. Ranks are counted into slices, about ``SLICE`` documents each; slices
-are summed with partial aggregation, and only the slice that holds the cut is put in order.
+are summed with partial aggregation, and only the slice that holds the cut is put in order. If words
+are left after it, the later documents that are no longer than these are summed and cut in the same
+way, until nothing that is left fits.
 """
 
 from __future__ import annotations
@@ -56,18 +58,20 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+FILLED = "slice long, u long, words double, left double"
+
+
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
-    """Walk the cut slice in rank order and take what still fits; then a last one if that comes nearer."""
+    """Walk a slice in rank order and take what still fits; the row with ``left`` of 0 or more has what is left and the smallest not taken."""
     rows = rows.sort_values(["z", "u"], kind="stable")
     left, size = float(rows["left"].iloc[0]), rows["words"].to_numpy(float)
     taken = np.zeros(len(rows), bool)
     for k, n in enumerate(size):
         if n <= left:
             taken[k], left = True, left - n
-    if left > 0 and (~taken).any():
-        k = int(np.argmin(np.where(taken, np.inf, size)))
-        taken[k] = size[k] - left < left
-    return rows.loc[taken, ["source", "u"]]
+    out = rows.loc[taken, ["source", "slice", "u"]].assign(words=size[taken], left=-1.0)
+    last = rows.iloc[[0 if taken.all() else int(np.argmin(np.where(taken, np.inf, size)))]][["source", "slice", "u"]]
+    return pd.concat([out, last.assign(words=np.inf if taken.all() else size[~taken].min(), left=left)])
 
 
 def mix(
@@ -116,7 +120,9 @@ def mix(
     known = _small(targets)
     same = lambda a, b: a.eqNullSafe(b)
     ranked = due(narrow.join(known.withColumnRenamed("source", "s"), same(F.col("source"), F.col("s"))))
-    per_slice = ranked.groupBy("source", "__slice").agg(F.sum("__words").alias("words"), F.sum(F.col("__words") * F.col("__sure")).alias("sure"))
+    per_slice = ranked.groupBy("source", "__slice").agg(F.sum("__words").alias("words"), F.sum(F.col("__words") * F.col("__sure")).alias("sure"), F.min(F.when(F.col("__words") > 0, F.col("__words"))).alias("least"))
+    per_slice = materialize(per_slice, "slices")
+    least = per_slice.select(F.col("source").alias("of"), "__slice", "least")
     upto = Window.partitionBy("source").orderBy("__slice")
     every = Window.partitionBy("source")
     per_slice = (
@@ -129,14 +135,47 @@ def mix(
     cut = per_slice.where(ends & (F.col("__slice") < F.col("slices")))
     cut = cut.groupBy("source").agg(F.min_by(F.struct(F.col("__slice").alias("cut"), (F.col("need") - F.col("before")).alias("left")), "__slice").alias("x"))
     cut = materialize(cut.select(F.col("source").alias("c"), "x.cut", "x.left"), "cuts")
-    edge = ranked.join(_small(cut), same(F.col("source"), F.col("c")) & (F.col("__slice") == F.col("cut")))
-    edge = edge.groupBy("source", F.col("__u").alias("u")).agg(F.min("__z").alias("z"), F.sum("__words").alias("words"), F.first("left").alias("left"))
-    picks = materialize(edge.groupBy("source").applyInPandas(_fill, edge.select("source", "u").schema), "picks")
+
+    def together(df: DataFrame) -> DataFrame:
+        return df.groupBy("source", F.col("__slice").alias("slice"), F.col("__u").alias("u")).agg(F.min("__z").alias("z"), F.sum("__words").alias("words"), F.first("left").alias("left"))
+
+    def filled(edge: DataFrame) -> DataFrame:
+        kind = edge.schema["source"].dataType.simpleString()
+        return materialize(edge.groupBy("source").applyInPandas(_fill, f"source {kind}, {FILLED}"), "picks")
+
+    found = filled(together(ranked.join(_small(cut), same(F.col("source"), F.col("c")) & (F.col("__slice") == F.col("cut")))))
+    picks, states = found.where("left < 0"), found.where("left >= 0")
+    state = states
+    last_slice = targets.select(F.col("source").alias("t"), F.ceil(F.col("n") / SLICE).alias("slices"))
+    while True:
+        # sources with words left that some later slice has a document for
+        state = state.select(F.col("source").alias("c"), F.col("slice").alias("cut"), "left").where("left >= 1")
+        state = state.join(last_slice, same(F.col("c"), F.col("t"))).drop("t")
+        later = same(F.col("c"), F.col("of")) & (F.col("__slice") > F.col("cut")) & (F.col("__slice") < F.col("slices")) & (F.col("least") <= F.col("left"))
+        state = materialize(state.join(least, later, "left_semi"), "open")
+        if state.isEmpty():
+            break
+        fits = same(F.col("source"), F.col("c")) & (F.col("__slice") > F.col("cut")) & (F.col("__slice") < F.col("slices")) & F.col("__words").between(1, F.col("left"))
+        rest = materialize(together(ranked.drop("slices").join(_small(state), fits)).where("words <= left"), "later")
+        sums = rest.groupBy("source", "slice").agg(F.sum("words").alias("words"), F.first("left").alias("left"))
+        order = Window.partitionBy("source").orderBy("slice")
+        sums = sums.withColumn("before", F.sum("words").over(order) - F.col("words")).withColumn("end", F.max("slice").over(every))
+        sums = sums.where((F.col("before") + F.col("words") > F.col("left")) | (F.col("slice") == F.col("end")))
+        ends = sums.groupBy(F.col("source").alias("e")).agg(F.min("slice").alias("at"), F.min_by(F.col("left") - F.col("before"), "slice").alias("rest"))
+        rest = rest.drop("left").join(_small(materialize(ends, "ends")), same(F.col("source"), F.col("e")) & (F.col("slice") <= F.col("at")))
+        whole = rest.where("slice < at").select("source", "slice", "u", F.col("words").cast("double"), F.lit(-1.0).alias("left"))
+        found = filled(rest.where("slice = at").select("source", "slice", "u", "z", "words", F.col("rest").alias("left")))
+        state = found.where("left >= 0")
+        picks, states = picks.unionByName(whole).unionByName(found.where("left < 0")), states.unionByName(state)
+    # then the smallest one not taken, if that comes nearer
+    more = states.groupBy("source").agg(F.min_by(F.struct("slice", "u", "words"), "words").alias("x"), F.min("left").alias("left"))
+    more = more.where((F.col("left") > 0) & (F.col("x.words") - F.col("left") < F.col("left")))
+    picks = materialize(picks.select("source", "slice", "u").unionByName(more.select("source", "x.slice", "x.u")), "taken")
 
     out = due(rows.join(known.withColumnRenamed("source", "s"), same(F.col(source_col), F.col("s"))))
     out = out.join(_small(cut), same(F.col(source_col), F.col("c")), "left")
-    marked = _small(picks.select(F.col("source").alias("p"), F.col("u").alias("pu"), F.lit(1).alias("picked")))
-    out = out.join(marked, same(F.col(source_col), F.col("p")) & (F.col("__u") == F.col("pu")) & (F.col("__slice") == F.col("cut")), "left")
+    marked = _small(picks.select(F.col("source").alias("p"), F.col("slice").alias("ps"), F.col("u").alias("pu"), F.lit(1).alias("picked")))
+    out = out.join(marked, same(F.col(source_col), F.col("p")) & (F.col("__u") == F.col("pu")) & (F.col("__slice") == F.col("ps")), "left")
     copies = F.col("__sure") + F.when(F.col("__slice") < F.col("cut"), 1).otherwise(F.coalesce("picked", F.lit(0)))
     keep = [c for c in docs.columns if c not in ("source_size", "target", "copies")]
     return out.select(*keep, "source_size", "target", copies.cast("long").alias("copies"))
