@@ -127,3 +127,14 @@ def test_suggestions_follow_good_trials(spark):
     again = designs.suggest(spark, space, designs.Request(20, seed=5), told)
     off = lambda df: df.agg(F.avg(F.abs(F.col("x") - 0.25))).first()[0]
     assert again.count() == 20 and off(again) < 0.5 * off(first)
+
+
+def test_suggestions_use_every_past_trial(spark):
+    space = Space((Float("x", low=0.0, high=1.0),))
+    # 130 good trials: 65 near 0.2, and in the second half of the rows 65 near 0.8; the bad ones are even
+    rows = [(0.2 + i * 1e-5 if i < 65 else 0.8 + i * 1e-5, 1.0) for i in range(130)] + [(i / 390, 0.0) for i in range(390)]
+    told = spark.createDataFrame(rows, "x double, score double").coalesce(1)
+    ask = lambda df: [r.x for r in designs.suggest(spark, space, designs.Request(40, seed=5), df, candidates=4).orderBy("row_index").collect()]
+    got = ask(told)
+    assert min(sum(x < 0.5 for x in got), sum(x > 0.5 for x in got)) >= 10
+    assert got == ask(told.repartition(7).orderBy(F.desc("x")))

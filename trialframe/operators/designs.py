@@ -255,29 +255,25 @@ def suggest(spark: SparkSession, space: Space, request: Request, history: DataFr
     """Ask/tell search: candidates near good past trials and far from bad ones (a Parzen-style ratio).
 
     ``history`` has the space's columns and ``score`` (larger is better). Without history the design is random.
-    Numbers of past trials are small next to data, so their unit values are broadcast as arrays.
+    Numbers of past trials are small next to data, so the unit values of all of them are broadcast as sorted arrays.
     """
     if history is None or history.isEmpty():
         return propose(spark, space, request)
     dims: list[Parameter] = space.sampled
     told = history.select(F.percent_rank().over(Window.orderBy(F.desc(score))).alias("r"), *(p.to_unit(named(p.column)).alias(f"u{j}") for j, p in enumerate(dims)))
     told = told.withColumn("good", F.col("r") <= gamma)
-    tables = {g: [told.where(F.col("good") == g).agg(F.collect_list(f"u{j}").alias("v")).first().v for j in range(len(dims))] for g in (True, False)}
-
-    def density(u: Column, points: list[float]) -> Column:
-        if not points:
-            return F.lit(1.0)
-        kernel = [F.exp(-((u - F.lit(float(x))) ** 2) / F.lit(0.02)) for x in points[:64]]
-        total = kernel[0]
-        for k in kernel[1:]:
-            total = total + k
-        return total / F.lit(float(len(kernel))) + F.lit(1e-6)
-
-    units = random_units(spark, space, request.n * candidates, request.seed)
+    values = lambda g, j: F.sort_array(F.collect_list(F.when(F.col("good") == g, F.col(f"u{j}")))).alias(f"__{'good' if g else 'bad'}{j}")
+    tables = told.agg(F.lit(1).alias("__one"), *(values(g, j) for g in (True, False) for j in range(len(dims))))
+
+    def density(u: Column, points: Column) -> Column:
+        total = F.aggregate(points, F.lit(0.0), lambda s, x: s + F.exp(-((u - x) ** 2) / F.lit(0.02)))
+        return F.when(F.size(points) == 0, F.lit(1.0)).otherwise(total / F.size(points) + F.lit(1e-6))
+
+    units = random_units(spark, space, request.n * candidates, request.seed).crossJoin(F.broadcast(tables))
     ratio = F.lit(0.0)
     for j, p in enumerate(dims):
         u = F.col(f"`{unit_column(p)}`")
-        ratio = ratio + F.log(density(u, tables[True][j])) - F.log(density(u, tables[False][j]))
+        ratio = ratio + F.log(density(u, F.col(f"__good{j}"))) - F.log(density(u, F.col(f"__bad{j}")))
     best = units.withColumn("slot", F.floor(F.col("row_index") / candidates)).withColumn("ratio", ratio)
     best = best.groupBy("slot").agg(F.max_by(F.struct("row_index", *(f"`{unit_column(p)}`" for p in dims)), "ratio").alias("x")).select("x.*")
     return trials(best, space, request, "suggest")
