@@ -62,6 +62,14 @@ def test_many_cells_and_blocks(spark, monkeypatch):
     _check(rows, embeddings.embedding_dedup(spark.createDataFrame(rows, SCHEMA)).collect())
 
 
+def test_no_link_is_lost_in_few_dimensions(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "CELL", 24)
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((2400, 4)) @ rng.standard_normal((4, 96))  # 100 cells of rank 4 in 96 dimensions
+    rows = [(i, [float(v) for v in x[i].astype(np.float32)], 0) for i in range(len(x))]
+    _check(rows, embeddings.embedding_dedup(spark.createDataFrame(rows, SCHEMA)).collect())
+
+
 def test_nothing_to_link(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert embeddings.embedding_dedup(none).count() == 0

@@ -1,9 +1,10 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products, one representative a group.
 
 Centroids are fitted on a bounded sample of unit vectors, their number grows with the rows. Every
-vector has a home cell per label; it also visits cells of higher number whose border it is close
-to: y at cosine c from x lies sqrt(1-c^2) off its direction, a random share 1/sqrt(d) of that along
-any border's normal, and ``REACH`` such deviations are searched. Cells beyond ``BLOCK`` vectors are
+vector has a home cell per label; it also visits every cell whose border is within half the chord
+sqrt(2-2c) of it: vectors at cosine c or more are no further apart than the chord, so of two on
+different sides of a border one is within half of it, and no link is lost. Where each visits the
+other's cell, the pair counts in the cell of lower number only. Cells beyond ``BLOCK`` vectors are
 compared as pairs of blocks, each in its own task. A block pair yields link counts per vector and a
 spanning forest, never its pairs. Equal vectors are one node with a count.
 """
@@ -20,7 +21,6 @@ from pyspark.sql import functions as F
 from trialframe.llm.components import components, forest
 from trialframe.llm.scratch import materialize
 
-REACH = 4.0
 BLOCK = 2048
 CELL = 1024
 SAMPLE = 20_000
@@ -44,7 +44,7 @@ def spherical_kmeans(unit: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -
 
 
 def _homes(centres: np.ndarray, reach: float):
-    """Per node, its home cell and the cells of higher number it visits."""
+    """Per node, its home cell and the cells it visits."""
     gaps = np.linalg.norm(centres[:, None] - centres[None], axis=2) if len(centres) > 1 else np.ones((1, 1))
     gaps[gaps < 1e-9] = 1e-9
 
@@ -56,7 +56,7 @@ def _homes(centres: np.ndarray, reach: float):
             near = unit @ centres.T
             home = np.argmax(near, axis=1)
             margin = (near[np.arange(len(unit)), home][:, None] - near) / gaps[home]
-            visits = (margin <= reach) & (np.arange(len(centres)) > home[:, None])
+            visits = (margin <= reach + 1e-9) & (np.arange(len(centres)) != home[:, None])
             cells = [[int(h), *np.flatnonzero(v).tolist()] for h, v in zip(home, visits, strict=True)]
             yield batch.assign(cells=cells)
 
@@ -69,13 +69,18 @@ def _compare(cosine: float):
     def scan(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node")
         side, other = rows["block"].to_numpy() == rows["left"].iloc[0], rows["block"].to_numpy() == rows["right"].iloc[0]
-        node, n, home = (rows[c].to_numpy() for c in ("node", "n", "home"))
+        node, n, home, cells = (rows[c].to_numpy() for c in ("node", "n", "home", "cells"))
+        cell, own = rows["cell"].iloc[0], np.array([c[0] for c in cells])
         unit = np.stack(rows["unit"].to_numpy())
         linked = np.zeros((len(rows), len(rows)), bool)
         a, b = np.flatnonzero(side), np.flatnonzero(other)
         linked[np.ix_(a, b)] = unit[a] @ unit[b].T >= cosine
         linked |= linked.T
         linked &= home[:, None] | home[None]  # two visitors meet where one of them is at home
+        for h in np.unique(own[own < cell]):  # they meet in cell h too, where the one at home here visits it
+            both = home & np.array([h in c for c in cells])
+            twice = both[:, None] & (own == h)[None]
+            linked &= ~(twice | twice.T)
         np.fill_diagonal(linked, False)
         counts = linked @ n
         edges = np.array(forest(linked), np.int64).reshape(-1, 2)
@@ -87,7 +92,7 @@ def _compare(cosine: float):
 
 
 def embedding_dedup(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, reach: float = REACH
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of ``vectors``.
 
@@ -119,15 +124,15 @@ def embedding_dedup(
             centres = spherical_kmeans(np.stack(sample["unit"].to_numpy()), k)
         else:
             centres = np.eye(1, dim)
-        band = reach * math.sqrt(1 - cosine**2) / math.sqrt(dim)
+        band = math.sqrt(2 - 2 * cosine) / 2
         placed = own.mapInPandas(_homes(centres, band), "node long, n long, label int, dim int, unit array<double>, cells array<int>".replace("label int", f"label {nodes.schema['label'].dataType.simpleString()}"))
-        placed = placed.select("node", "n", "label", "unit", F.posexplode("cells").alias("at", "cell")).withColumn("home", F.col("at") == 0)
+        placed = placed.select("node", "n", "label", "unit", "cells", F.posexplode("cells").alias("at", "cell")).withColumn("home", F.col("at") == 0)
         placed = materialize(placed, "cells")
         sizes = placed.groupBy("label", "cell").agg(F.count("*").alias("size"))
         sizes = sizes.select("label", "cell", F.ceil(F.col("size") / BLOCK).alias("blocks"))
         dealt = placed.join(sizes, ["label", "cell"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
         pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("block")).alias("left"), F.greatest(b, F.col("block")).alias("right")))
-        dealt = dealt.withColumn("pair", F.explode(pairs)).select("label", "cell", "pair.left", "pair.right", "block", "node", "n", "home", "unit")
+        dealt = dealt.withColumn("pair", F.explode(pairs)).select("label", "cell", "pair.left", "pair.right", "block", "node", "n", "home", "cells", "unit")
         found = dealt.groupBy("label", "cell", "left", "right").applyInPandas(_compare(cosine), "node long, links long, other long, edge boolean")
         found = materialize(found, "links")
         results.append(found.where("not edge").select("node", "links"))
