@@ -73,3 +73,13 @@ def test_no_pages(spark):
     nulls = spark.createDataFrame([(None, None, None), (None, None, "z" * 200), (3, None, "z" * 200)], "page_id long, url string, html string")
     got = sorted((r.page_id or 0, r.record_type, r.refers_to) for r in warc.round_trip(nulls).collect())
     assert got == [(0, "response", None), (0, "revisit", 3), (3, "response", None)]
+
+
+def test_a_member_longer_than_the_buffer_is_found_from_any_split(spark, tmp_path):
+    r = random.Random(9)
+    letters = "".join(chr(c) for c in range(33, 127))
+    rows = [(i, f"http://h/{i}", "".join(r.choices(letters, k=2_500_000))) for i in range(4)]  # about 2 MB compressed
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archive(warc.records(pages).coalesce(1), f"file://{tmp_path}/a")
+    back = warc.read_archive(spark, f"file://{tmp_path}/a", split_bytes=300_000)
+    assert sorted((x.target_uri, bytes(x.payload).decode()) for x in back.collect()) == [(u, h) for _, u, h in rows]

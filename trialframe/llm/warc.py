@@ -108,14 +108,16 @@ def _fields(head: bytes) -> dict[str, str] | None:
 
 
 def _parse(buffer: memoryview, at: int, wants, payload: bool) -> tuple[dict | None, int] | None:
-    """The record whose member starts at ``at`` and the member's end; None if it isn't one or isn't whole."""
+    """The record whose member starts at ``at`` and the member's end, -1 if the buffer ends before it; None if it isn't one."""
     inflate = zlib.decompressobj(31)
     head = b""
     pos = at
     try:
         while b"\r\n\r\n" not in head:
-            if pos >= len(buffer) or inflate.eof:
+            if inflate.eof:
                 return None
+            if pos >= len(buffer):
+                return (None, -1) if head[:5] == b"WARC/"[: len(head)] else None
             head += inflate.decompress(buffer[pos : pos + 512])
             pos += 512
         text, _, body = head.partition(b"\r\n\r\n")
@@ -127,7 +129,7 @@ def _parse(buffer: memoryview, at: int, wants, payload: bool) -> tuple[dict | No
         data = [body]
         while not inflate.eof:
             if pos >= len(buffer):
-                return None
+                return None, -1
             part = inflate.decompress(buffer[pos : pos + CHUNK])
             pos += CHUNK
             if keep and payload:
@@ -194,8 +196,8 @@ class _Reader(DataSourceReader):
                     if at < 0 or start + at >= stop:
                         break
                 got = _parse(memoryview(buffer), at, wants, self.payload)
-                if got is None:
-                    if start + len(buffer) < size and (first or at + (1 << 19) > len(buffer)):
+                if got is None or got[1] < 0:
+                    if got and start + len(buffer) < size:
                         buffer += handle.read(max(1 << 20, len(buffer) // 2))  # a member that reaches beyond the buffer
                         continue
                     if first:
