@@ -4,7 +4,7 @@ Reading plans one partition per ``split_bytes`` of a file: records are gzip memb
 a partition starts at the first member at or behind its offset and ends with the member that
 crosses its end. Predicates on the record type and on other header fields are pushed down; headers
 are parsed first, and payloads of records that fail them, or of any record if the option ``payload``
-is false, are skipped without being decoded.
+is false, are inflated to find the member's end but not kept.
 """
 
 from __future__ import annotations
