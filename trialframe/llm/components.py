@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialframe.llm.scratch import materialize
+from trialframe.llm.scratch import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     Loops, repeated and reversed edges are allowed, null ends are ignored, and no edges give no rows.
     """
     live = edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    live = materialize(live, "edges")
+    live = edged = materialize(live, "edges")
     steps: list[DataFrame] = []
     while not live.isEmpty():
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -30,23 +30,27 @@ def components(edges: DataFrame) -> DataFrame:
         first = F.min(F.struct(F.xxhash64("b", turn).alias("h"), F.col("b").alias("id"))).alias("first")
         hook = both.groupBy(F.col("a").alias("node")).agg(first)
         up = F.when(F.col("first.h") < F.xxhash64("node", turn), F.col("first.id")).otherwise(F.col("node"))
-        hook = materialize(hook.select("node", up.alias("up")), "hooks")
+        first_hook = hook = materialize(hook.select("node", up.alias("up")), "hooks")
         for _ in range(2):
             above = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
             hook = hook.join(above, "up").select("node", F.col("top").alias("up"))
         hook = materialize(hook, "hooks")
+        discard(first_hook)
         steps.append(hook)
         a, b = (hook.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up")) for c in "ab")
         live = live.join(a, "a").join(b, "b").where("a_up <> b_up")
-        live = live.select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct()
-        live = materialize(live, "edges")
+        left = materialize(live.select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct(), "edges")
+        discard(edged)
+        live = edged = left
     if not steps:
+        discard(edged)
         return edges.sparkSession.createDataFrame([], "node long, root long")
     out = steps[0].select("node", F.col("up").alias("root"))
     for step in steps[1:]:
         nxt = step.select(F.col("node").alias("root"), "up")
         out = out.join(nxt, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
     out = materialize(out, "roots")
+    discard(edged, *steps)
     least = out.groupBy("root").agg(F.min("node").alias("least"))
     return out.join(least, "root").select("node", F.col("least").alias("root"))
 

@@ -2,7 +2,8 @@
 
 ``materialize`` cuts a plan's lineage: the rows are written as Parquet below
 ``spark.checkpoint.dir`` and read back, so a lost executor costs a re-read and never a
-recomputation. A folder of this process is set up only where the session names none.
+recomputation. Only a session that runs in one process may leave that folder unset. Tables that
+nothing reads any more are dropped with ``discard``, the rest when the driver's process ends.
 """
 
 from __future__ import annotations
@@ -14,22 +15,38 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local: list[str] = []
+_own: list[str] = []
+_ended: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, or one made for this process if it is unset."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where the master is local."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="trialframe-"))
-        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
-    return f"file://{_local[0]}"
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="trialframe-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return f"file://{_own[0]}"
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/trialframe/{what}-{uuid.uuid4().hex}"
+    """A path below this application's folder, which goes when the driver's process ends."""
+    folder = f"{shared_dir(spark)}/trialframe/{spark.sparkContext.applicationId}"
+    if folder not in _ended:
+        _ended.add(folder)
+        atexit.register(_forget, spark, folder)
+    return f"{folder}/{what}-{uuid.uuid4().hex}"
+
+
+def _forget(spark: SparkSession, folder: str) -> None:
+    try:
+        remove(spark, folder)
+    except Exception:  # the JVM went first
+        pass
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
@@ -37,7 +54,15 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._trialframe_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once no plan that is still to run reads it."""
+    for df in tables:
+        remove(df.sparkSession, df._trialframe_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
