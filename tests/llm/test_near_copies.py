@@ -74,15 +74,25 @@ def test_stage_drops_copies_that_differ_in_many_bits(spark, tmp_path):
     roots = brute.components(range(len(texts)), _links(texts))
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()}
     assert kept == {i for i in roots if roots[i] == i}
-    assert kept != {r.doc_id for r in simhash.keep_one(docs).collect()}
 
 
-def test_keep_one_and_edges(spark):
-    docs = brute.documents(spark, ["a b c d", "a b c d", "q r s t u", None, ""])
-    kept = near_copies.keep_one(docs.unionByName(docs))
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_keep_one_loses_no_text(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", broadcast)
+    texts = ["a b c d e f g", "a b c d e f g", "q r s t u v", None, "", "one of a kind this is", "another of its own kind"]
+    docs = brute.documents(spark, texts)
+    kept = simhash.keep_one(docs.unionByName(docs))
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
-    nulls = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (None, "zz")], "doc_id long, text string")
-    assert [r.doc_id for r in near_copies.keep_one(nulls).collect()] == [None]
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(0, texts[0]), (2, texts[2]), (3, None), (5, texts[5]), (6, texts[6])]
+    # unlike texts without ids, or with one id, are all kept; copies go for the one with an id
+    rows = [(None, t) for t in texts[2:3] + texts[5:]] + [(4, "so unlike each other"), (4, "as these two are here"), (None, "so unlike each other"), (9, None)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted((i or 0, t or "") for i, t in rows if (i, t) != (None, "so unlike each other"))
     empty = docs.where("false")
-    assert near_copies.near_copies(empty).count() == 0 and near_copies.keep_one(empty).count() == 0
+    assert near_copies.near_copies(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+
+
+def test_columns_may_clash(spark):
+    rows = [(1, "a b c d e f", 1, "x"), (2, "a b c d e f", 2, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node long, h string")
+    assert [tuple(r) for r in simhash.keep_one(docs).collect()] == rows[:1]

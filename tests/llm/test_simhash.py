@@ -53,16 +53,12 @@ def test_long_lists_go_by_blocks(spark, monkeypatch, longest, block, broadcast):
     assert got == {v: want[i] for v, i in ids.items()}
 
 
-def test_keep_one_and_edges(spark):
-    docs = brute.documents(spark, ["a b c d", "a b c d", "q r s t u", None, ""])
-    doubled = docs.unionByName(docs)
-    kept = simhash.keep_one(doubled)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
-    nulls = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (None, "zz")], "doc_id long, text string")
-    assert sorted((r.doc_id is None, r.text) for r in simhash.keep_one(nulls).collect()) in ([(True, "a b c")], [(True, "zz")])
-    empty = docs.where("false")
-    assert simhash.simhash_dedup(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+def test_nulls_and_repeated_ids(spark):
+    rows = [(None, "a b c"), (4, "a b c"), (None, "zz"), (7, "q r s"), (7, "never like it at all"), (None, "q r s")]
+    got = simhash.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.id or 0, r.fp, r.component) for r in got) == sorted((i or 0, simhash.fingerprint(t.encode()), {"a b c": 4, "zz": None}.get(t, 7)) for i, t in rows)
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert simhash.simhash_dedup(empty).count() == 0
 
 
 def test_components_of_a_path_and_a_star(spark):

@@ -24,12 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialframe.llm.components import components, forest
-from trialframe.llm.scratch import materialize
+from trialframe.llm.scratch import discard, materialize
+from trialframe.llm.workers import bound_batches, parts
 
 BYTES = 8
 POSITION_SETS = [s for s in combinations(range(BYTES), 4) if s[0] ^ s[1] ^ s[2] ^ s[3] == 0]
-#: Stands for a null id, which sorts before every other.
-NO_ID = -(2**63)
 SHORT_LIST = 24
 BLOCK = 2048
 LONG_LIST = 8192
@@ -37,34 +36,43 @@ LONG_LIST = 8192
 BROADCAST_ROWS = 200_000
 
 
-def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
-    """Signed 64-bit SimHash of the word shingles of one text; 0 without words."""
+def simhash(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of unsigned 64-bit hashes: a bit is set if it is in over half of them; 0 of none."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        part = hashes[at : at + 65536].view(np.uint8).reshape(-1, 8)
+        votes += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def shingle_hashes(text: bytes | None, width: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of the word shingles in turn, repeats included; a text of fewer words is one shingle, one without words has none."""
     import xxhash
 
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     join, digest = b" ".join, xxhash.xxh64_intdigest
     if len(words) < width:
-        hashes = np.array([digest(join(words), seed)], dtype=np.uint64)
-    else:
-        n = len(words) - width + 1
-        hashes = np.fromiter((digest(join(s), seed) for s in zip(*(words[i:] for i in range(width)), strict=False)), np.uint64, n)
-    votes = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65536):
-        part = hashes[at : at + 65536].view(np.uint8).reshape(-1, 8)
-        votes += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+        return np.array([digest(join(words), seed)], np.uint64)
+    n = len(words) - width + 1
+    return np.fromiter((digest(join(s), seed) for s in zip(*(words[i:] for i in range(width)), strict=False)), np.uint64, n)
+
+
+def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
+    """Signed 64-bit SimHash of the word shingles of one text; 0 without words."""
+    return simhash(shingle_hashes(text, width, seed))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
     """(id long, fp long) per row of ``docs``. Null texts are empty; whole texts are read, of any length."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [fingerprint(t, width, seed) for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["id", "fp"])
+        for part in parts(batches, 1):
+            out = [fingerprint(t, width, seed) for t in part.column(1).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.int64())], names=["id", "fp"])
 
+    bound_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(scan, "id long, fp long")
 
@@ -156,11 +164,10 @@ def _split(index: DataFrame, byte: list[Column]) -> DataFrame:
     return dealt.select(F.explode(pairs).alias("key"), "fp", "rep")
 
 
-def near_classes(fps: DataFrame, bits: int = 3) -> DataFrame:
-    """(fp, component): the smallest id reachable by links of at most ``bits`` differing bits (3 at most)."""
+def near_links(fps: DataFrame, bits: int = 3) -> DataFrame:
+    """(a, b): links between the distinct ``fps(fp)`` of at most ``bits`` differing bits (3 at most) that span their groups."""
     if not 0 <= bits <= 3:
         raise ValueError("the position sets guarantee a meeting for at most 3 differing bits")
-    nodes = materialize(fps.groupBy("fp").agg(F.min(F.coalesce("id", F.lit(NO_ID))).alias("rep")), "nodes")
     byte = [F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)) for p in range(BYTES)]
     keys = []
     for k, positions in enumerate(POSITION_SETS):
@@ -168,36 +175,40 @@ def near_classes(fps: DataFrame, bits: int = 3) -> DataFrame:
         for p in positions:
             key = F.shiftleft(key, 8).bitwiseOR(byte[p])
         keys.append(key)
-    index = nodes.select(F.explode(F.array(*keys)).alias("key"), "fp", "rep")
+    index = fps.select(F.explode(F.array(*keys)).alias("key"), "fp", F.col("fp").alias("rep"))
     long = materialize(index.groupBy("key").count().where(F.col("count") > LONG_LIST).select("key"), "long")
-    if not long.isEmpty():
+    if long.isEmpty():
+        discard(long)
+    else:
         keys = _small(long)
         index = index.join(keys, "key", "left_anti").unionByName(_split(index.join(keys, "key", "left_semi"), byte))
     index = index.repartition("key").sortWithinPartitions("key")
-    roots = components(index.mapInArrow(_edges(bits), "a long, b long"))
-    return nodes.join(roots, nodes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component"))
+    return index.mapInArrow(_edges(bits), "a long, b long")
+
+
+def near_classes(fps: DataFrame, bits: int = 3) -> DataFrame:
+    """(fp, component) of ``fps(id, fp)``: the smallest id reachable by links, null where no id is."""
+    nodes = materialize(fps.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
+    roots = components(near_links(nodes.select("fp"), bits))
+    classes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
+    return classes.join(classes.groupBy("root").agg(F.min("id").alias("component")), "root").select("fp", "component")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 3) -> DataFrame:
     """(id, fp, component) per row of ``docs``: ``component`` is the smallest id reachable by links.
 
     Null texts count as empty. Texts without words have fingerprint 0 and are linked like any
-    others. Rows that repeat an id are one document; a null id sorts before all others (as
-    ``NO_ID``) and comes back as a null component. An empty table gives no rows. Only the id
-    and the text are read, so further columns may have any names.
+    others. Rows that repeat an id are rows of their own, which may be in different groups. A null id
+    names no group: a component is null only where all ids of the group are. An empty table gives no
+    rows. Only the id and the text are read, so further columns may have any names.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    classes = near_classes(fps, bits)
-    joined = fps.join(classes, "fp").select("id", "fp", "component")
-    return joined.withColumn("component", F.when(F.col("component") != NO_ID, F.col("component")))
+    classes = _small(materialize(near_classes(fps, bits), "classes"))
+    return fps.join(classes, "fp").select("id", "fp", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 3) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of each group, one row each, columns unchanged."""
-    from pyspark.sql import Window
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of near copies, columns unchanged: see ``near_copies.keep_one``."""
+    from trialframe.llm import near_copies
 
-    found = simhash_dedup(docs, id_col, text_col, width, bits)
-    kept = found.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__kept")).distinct()
-    rows = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__kept")), "left_semi")
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    return rows.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
+    return near_copies.keep_one(docs, id_col, text_col, width, similarity)
