@@ -1,60 +1,59 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Training counts every word (exactly) and every n-gram. A count c is quantised to
-1 + floor(2 log2 c) levels; the filter holds the pairs (n-gram, level) up to that level, and a
-query probes level after level until one is missing. n-grams are dealt to slices of the filter by
-their hash, so each task builds its own slice, as large as its n-grams need: no count is left out,
-and the filter grows with the corpus. Up to ``bits`` bits it is broadcast. A larger one stays in the
-shared folder, slice by slice, and the distinct n-grams of every chunk of texts go to their slices
-and come back with their levels; slices grow in number with the tokens, so none gets large. Both
-ways give the same scores. The Dirichlet-smoothed probability
-
-    P(w | h) = (low(h w) + mu P(w | shorter h)) / (high(h) + mu),  P(w) = (c(w) + 1) / (N + V + 1)
-
-uses the level's lower bound above and its upper bound below, so quantising never makes it exceed 1.
-
-The add-one score needs exact counts. Words more frequent than a cut that leaves at most ``HEAD`` of
-them are broadcast; the rest are summed by a shuffle join, in which no key is frequent.
+Texts are cut into tokens and hashed a window at a time, without a Python object per word; a window's body
+(which word stands where, by number) is stored once. Training counts every word and every pair of words. A
+pair's count c is quantised to 1 + floor(2 log2 c) levels; the filter holds (pair, level) up to that level, and
+a query probes level after level until one is missing. Words and pairs are dealt to slices by their hash, so
+each task builds its own slice of the filter, as large as its pairs need: no count is left out, and the filter
+grows with the corpus. Where its proven bound (``LEVELS_A_TOKEN`` levels for each training token) is within
+``broadcast_bytes`` it is broadcast to the workers and probed there; beyond that it cannot be, and each window's
+distinct pairs are probed where their slice is built, and come back as levels. Both ways give the same scores.
+The Dirichlet-smoothed probability
+
+    P(w | h) = (low(h w) + mu P(w)) / (c(h) + mu),  P(w) = (c(w) + 1) / (N + V + 1)
+
+uses the lower bound of the pair's level, so quantising never makes the probabilities of a history exceed 1.
+Counts of words are exact, as the add-one score needs them: each window asks the slices for its own words'.
+
+Words are named by 64-bit hashes; of a billion words, two share one with a probability of 3 in 100.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialframe.llm.quality import remainder
 from trialframe.llm.scratch import materialize
+from trialframe.llm.workers import bound_batches, parts, trim
 
-HEAD = 150_000
-#: The largest filter that is broadcast (32 MB), its slices' sizes included.
-BITS = 2**28
 PROBES = 3
-#: Bits of the filter for each (n-gram, level): a missing one is found in about 2 of 100.
+#: Bits of the filter for each (pair, level): a missing one is found in about 2 of 100.
 BITS_PER_LEVEL = 10
-#: n-grams of about this many tokens meet in one slice.
+#: Levels that a training token adds at most: a pair of count 2 has 3.
+LEVELS_A_TOKEN = 1.5
+#: Words and pairs of about this many tokens meet in one slice.
 SLICE_TOKENS = 1_000_000
-#: Partitions that slices are dealt to, at most.
-SLICE_PARTITIONS = 8192
-FLUSH = 2_000_000
-#: Tokens of a chunk of texts whose n-grams go to their slices together, unless one text is longer.
-CHUNK_TOKENS = 50_000
-#: The end token. Words are never empty.
-END = b""
-BEGIN = 0x9E3779B97F4A7C15
-
-
-def words_of(text: bytes | None) -> list[bytes]:
-    """ASCII-lower-cased words of a text and its end."""
-    return [*(text or b"").lower().split(), END]
+#: Bytes of text whose words and pairs go to their slices together. A longer text is cut between words.
+WINDOW = 4 << 20
+#: Levels of counts: two a doubling, up to 2**60.
+MOST_LEVELS = 120
+#: Hashes of the end token and of what stands before a text.
+END = np.uint64(0x5851F42D4C957F2D)
+BEGIN = np.uint64(0x9E3779B97F4A7C15)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, 9, 10, 11, 12, 13]] = True
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -65,35 +64,55 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def ngram_keys(hashes: np.ndarray, history: np.ndarray) -> np.ndarray:
-    """Keys of history + word; a unigram's history is 0."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ASCII-lower-cased words of texts ``data[offsets[i]:offsets[i + 1]]`` in turn, and how many each has."""
+    n = int(offsets[-1])
+    text = np.zeros(n + 8, np.uint8)
+    text[:n] = _LOWER[data[:n]]
+    blank = _BLANK[text[:n]]
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    starts = np.flatnonzero(~blank & (np.r_[True, blank[:-1]] | edge[:-1])[:n])
+    lengths = np.flatnonzero(~blank & (np.r_[blank[1:], True] | edge[1:])[:n]) + 1 - starts
+    eight = np.ndarray((n + 1,), "<u8", text, strides=(1,))  # the eight bytes behind each place
     with np.errstate(over="ignore"):
-        return _mix(hashes + np.uint64(BEGIN) * (history ^ np.uint64(0x632BE59BD9B4E019)))
+        h = _mix((eight[starts] & _MASK[np.minimum(lengths, 8)]) + lengths.astype(np.uint64) * BEGIN)
+        at, live = 8, np.flatnonzero(lengths > 8)
+        while len(live):
+            h[live] = _mix((h[live] ^ (eight[starts[live] + at] & _MASK[np.minimum(lengths[live] - at, 8)])) + BEGIN)
+            at += 8
+            live = live[lengths[live] > at]
+    return h, np.diff(np.searchsorted(starts, offsets))
 
 
-def slices_of(keys: np.ndarray, slices: int) -> np.ndarray:
-    """The slice of each key, a power of two of them: its top bits. Sorted keys have sorted slices."""
-    return (keys >> np.uint64(64 - int(math.log2(slices)))).astype(np.int64) if slices > 1 else np.zeros(len(keys), np.int64)
+def pair_keys(hashes: np.ndarray, previous: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _mix(hashes + BEGIN * (previous ^ np.uint64(0x632BE59BD9B4E019)))
 
 
-#: Within a slice a key is its last 40 bits; of a slice's n-grams, a few in a million share them with another.
-SHORT = np.uint64(2**40 - 1)
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, the place of each key among them, and how often each occurs."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(first) - 1
+    starts = np.flatnonzero(first)
+    return keys[starts], place, np.diff(np.r_[starts, len(keys)])
 
 
-def pack(keys: np.ndarray) -> bytes:
-    """The last 40 bits of each key."""
-    return keys.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def slices_of(keys: np.ndarray, slices: int) -> np.ndarray:
+    """The slice of each key, a power of two of them: its top bits. Sorted keys have sorted slices."""
+    return (keys >> np.uint64(64 - int(math.log2(slices)))).astype(np.int64) if slices > 1 else np.zeros(len(keys), np.int64)
 
 
-def unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view(np.uint64).ravel()
+# -- the filter --------------------------------------------------------------------------------------------
 
 
-def _probes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+def _probes(short: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Within a slice a pair is the last 32 bits of its key; of a slice's pairs, a few in ten thousand share them."""
     with np.errstate(over="ignore"):
-        h = _mix((keys & SHORT) + np.uint64(0xD1342543DE82EF95) * np.uint64(level))
+        h = _mix(short.astype(np.uint64) + np.uint64(0xD1342543DE82EF95) * np.uint64(level))
     return h, (h >> np.uint64(32)) | np.uint64(1)
 
 
@@ -103,12 +122,12 @@ def _place(h: np.ndarray, step: np.ndarray, probe: int, size: np.ndarray | np.ui
         return ((((h + np.uint64(probe) * step) & np.uint64(0xFFFFFFFF)) * size) >> np.uint64(32)).astype(np.int64)
 
 
-def build_region(keys: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """The bytes of a slice that holds (key, 1..level) of each key."""
+def build_region(short: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The bytes of a slice that holds (pair, 1..level) of each pair."""
     size = max(1, -(-int(level.sum(dtype=np.int64)) * BITS_PER_LEVEL // 8)) * 8
     region = np.zeros(size, bool)
     for at in range(1, int(level.max(initial=0)) + 1):
-        h, step = _probes(keys[level >= at], at)
+        h, step = _probes(short[level >= at], at)
         for probe in range(PROBES):
             region[_place(h, step, probe, np.uint64(size))] = True
     return np.packbits(region, bitorder="little")
@@ -121,15 +140,14 @@ class LogFrequencyFilter:
         self.sizes, self.data = sizes, data
         self.starts = np.cumsum(sizes) - sizes
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Repeated membership probes: the highest level reached without a gap."""
-        found = np.zeros(len(keys), np.uint8)
-        of = slices_of(keys, len(self.sizes))
+    def levels(self, short: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Repeated membership probes in the slices ``of``: the highest level reached without a gap."""
+        found = np.zeros(len(short), np.uint8)
         live = np.flatnonzero(self.sizes[of])
         base, size, level = self.starts[of[live]] * 8, (self.sizes[of[live]] * 8).astype(np.uint64), 0
         while len(live) and level < MOST_LEVELS:
             level += 1
-            h, step = _probes(keys[live], level)
+            h, step = _probes(short[live], level)
             for probe in range(PROBES):
                 at = base + _place(h, step, probe, size)
                 hit = (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
@@ -138,10 +156,6 @@ class LogFrequencyFilter:
         return found
 
 
-#: Levels of counts: two a doubling, up to 2**60.
-MOST_LEVELS = 120
-
-
 def quantise(count: np.ndarray) -> np.ndarray:
     return (1 + np.floor(2 * np.log2(count) + 1e-9)).astype(np.uint8)
 
@@ -151,290 +165,261 @@ def low(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, np.ceil(np.exp2((level.astype(float) - 1) / 2) - 1e-9), 0.0)
 
 
-def high(level: np.ndarray) -> np.ndarray:
-    """The largest count of a level; 0 of none."""
-    return np.where(level > 0, np.maximum(np.ceil(np.exp2(level.astype(float) / 2) - 1e-9) - 1, low(level)), 0.0)
-
-
-def _hash(words: list[bytes]) -> np.ndarray:
-    import xxhash
-
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-
-
-class _Words:
-    """Numbers of words within a task, with their hashes; forgotten when there are too many."""
-
-    def __init__(self, most: int = 400_000) -> None:
-        self.most = most
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.names: list[bytes] = []
-        self.hashes = np.zeros(0, np.uint64)
-
-    def numbers(self, words: list[bytes]) -> tuple[np.ndarray, int]:
-        """The words' numbers, and from which number on they are new."""
-        if len(self.names) > self.most:
-            self.clear()
-        old = len(self.names)
-        new = list(set(words) - self.number.keys())
-        self.number.update(zip(new, range(old, old + len(new)), strict=True))
-        self.names += new
-        self.hashes = np.concatenate([self.hashes, _hash(new)])
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)), old
-
-
-def _flat(batch: pa.RecordBatch, column: int) -> tuple[list[bytes], np.ndarray]:
-    """All tokens of a batch in turn, and how many each text has."""
-    texts = [words_of(t) for t in batch.column(column).cast(pa.large_binary()).to_pylist()]
-    return [w for t in texts for w in t], np.fromiter(map(len, texts), np.int64, len(texts))
-
-
-def _bigram_keys(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Key of (previous word, word) at every token; each text begins behind ``BEGIN``."""
-    previous = np.empty_like(hashes)
-    previous[1:] = hashes[:-1]
-    previous[np.cumsum(lengths) - lengths] = BEGIN
-    return ngram_keys(hashes, previous)
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, c): exact counts of all tokens of ``texts(text)``, summed within tasks first."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            arrays = [pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())]
-            counts.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=["word", "c"])
-
-        for batch in batches:
-            for t in batch.column(0).cast(pa.large_binary()).to_pylist():
-                counts.update(words_of(t))
-                if len(counts) > 400_000:
-                    yield out()
-        if counts:
-            yield out()
+# -- windows of texts --------------------------------------------------------------------------------------
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
+    """(text, from, to) in turn; a text of more than ``WINDOW`` bytes is cut behind blanks."""
+    out = []
+    for text, (at, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        while end - at > WINDOW:
+            blanks = np.flatnonzero(_BLANK[data[at : at + WINDOW]])
+            if not len(blanks):  # a word longer than a window
+                blanks = np.flatnonzero(_BLANK[data[at:end]])[:1]
+            if not len(blanks) or at + int(blanks[-1]) + 1 >= end:
+                break
+            out.append((text, at, at + int(blanks[-1]) + 1))
+            at = out[-1][2]
+        out.append((text, at, end))
+    return out
+
+
+def _planes(numbers: np.ndarray) -> tuple[int, int, bytes]:
+    """Numbers byte plane by byte plane, compressed: small ones are frequent."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T[: max(1, -(-int(numbers.max(initial=0)).bit_length() // 8))]
+    return len(numbers), len(planes), pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def _from_planes(n: int, planes: int, data: bytes) -> np.ndarray:
+    out = np.zeros((n, 4), np.uint8)
+    out[:, :planes] = np.frombuffer(pa.decompress(data, decompressed_size=n * planes, codec="zstd", asbytes=True), np.uint8).reshape(planes, n).T
+    return out.view("<u4").ravel().astype(np.int64)
+
+
+class Body:
+    """A window: its pieces' rows, ids and folds, and the tokens as numbers of the window's distinct words."""
+
+    def __init__(self, rows, ids, none, held, lengths, before, packed, hashes) -> None:
+        self.rows, self.ids, self.none, self.held, self.lengths, self.before, self.hashes = rows, ids, none, held, lengths, before, hashes
+        self.numbers = _from_planes(*packed)
+
+    def per_token(self, per_piece: np.ndarray) -> np.ndarray:
+        return np.repeat(per_piece, self.lengths)
+
+    def previous(self) -> np.ndarray:
+        """The number of the word before each token, -1 at the beginning of a text."""
+        out = np.empty_like(self.numbers)
+        out[1:] = self.numbers[:-1]
+        some = self.lengths > 0
+        out[(np.cumsum(self.lengths) - self.lengths)[some]] = self.before[some]
+        return out
+
+    def pairs(self) -> np.ndarray:
+        hashes = np.r_[self.hashes, BEGIN]  # number -1
+        return pair_keys(hashes[self.numbers], hashes[self.previous()])
+
+
+def bodies_of(batches: Iterator[pa.RecordBatch], task: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(chunk, training tokens, training texts, pickled arguments of ``Body``) of ``batches(doc_id, held_out, text)``."""
+    row = chunk = task << 33
+    for batch in parts(batches, 2, rows=1 << 20, most=WINDOW):
+        column = pc.fill_null(batch.column(2).cast(pa.large_binary()), b"")
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+        ids, held = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        none, ids = ids.is_null().to_numpy(zero_copy_only=False), pc.fill_null(ids, 0).to_numpy()
+        pieces = _pieces(data, offsets)
+        carried = BEGIN
+        at = 0
+        while at < len(pieces):
+            to, size = at, 0
+            while to < len(pieces) and (to == at or size + pieces[to][2] - pieces[to][1] <= WINDOW):
+                size += pieces[to][2] - pieces[to][1]
+                to += 1
+            own = pieces[at:to]
+            text = np.array([p[0] for p in own])
+            start = own[0][1]
+            h, words = word_hashes(data[start : own[-1][2]], np.array([own[0][1], *(p[2] for p in own)]) - start)
+            first, last = (np.array([p[1] == offsets[p[0]] for p in own]), np.array([p[2] == offsets[p[0] + 1] for p in own]))
+            lengths = words + last
+            tokens = np.full(int(lengths.sum()), END)
+            keep = np.ones(len(tokens), bool)
+            keep[(np.cumsum(lengths) - 1)[last]] = False
+            tokens[keep] = h
+            named, place, counts = distinct(np.r_[tokens, carried])  # the carried word has a number, too
+            counts[place[-1]] -= 1
+            order = np.argsort(-counts, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            behind = rank[place[np.cumsum(lengths) - lengths - 1]]  # at the window's beginning that is the carried word
+            before = np.where(first, -1, behind)
+            train = ~held[text]
+            body = (row + text, ids[text], none[text], held[text], lengths, before, _planes(rank[place[:-1]]), named[order])
+            yield chunk, int(lengths[train].sum()), int((first & train).sum()), pickle.dumps(body, protocol=5)
+            carried = tokens[-1] if len(tokens) else carried
+            chunk, at = chunk + 1, to
+        row += batch.num_rows
+
+
+def _lists(body: Body, slices: int, pairs: bool) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
+    """(slice, words, their training counts, pairs' last 32 bits, theirs) of a window's distinct words and pairs.
+
+    All that are asked for, so held-out ones with count 0, too; without ``pairs`` only training pairs, as none is asked for.
+    """
+    train = ~body.per_token(body.held)
+    order = np.argsort(body.hashes)
+    words, counts = body.hashes[order], np.bincount(body.numbers[train], minlength=len(body.hashes))[order]
+    keys, place, _ = distinct(body.pairs())
+    often = np.bincount(place[train], minlength=len(keys))
+    if not pairs:
+        keys, often = keys[often > 0], often[often > 0]
+    of_word, of_pair = slices_of(words, slices), slices_of(keys, slices)
+    here = np.union1d(of_word, of_pair)
+    cuts = [np.searchsorted(of, here, side) for of in (of_word, of_pair) for side in ("left", "right")]
+    short = keys.astype(np.uint32)
+    for s, a, b, c, d in zip(here.tolist(), *cuts, strict=True):
+        yield s, words[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes(), short[c:d].tobytes(), often[c:d].astype(np.uint32).tobytes()
+
+
+def _pack(counts: np.ndarray) -> bytes:
+    """Counts in the narrowest type that holds them, named by a byte."""
+    kind = next(k for k in "BHIQ" if int(counts.max(initial=0)) < 256 ** np.dtype(k).itemsize)
+    return kind.encode() + counts.astype(np.dtype(kind)).tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.dtype(data[:1].decode()), offset=1).astype(np.int64)
+
+
+ANSWERS = "slice long, chunk long, counts binary, levels binary, n_words long, region binary"
+
+
+def _gather(pairs: bool):
+    """The counts of a slice's words, the slice of the filter, and what the windows asked of either."""
+
+    def scan(rows: pa.Table) -> pa.Table:
+        def joined(name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+            each = [np.frombuffer(x.as_py(), kind) for x in rows[name]]
+            return np.concatenate(each), np.cumsum([len(x) for x in each])[:-1]
+
+        def summed(name: str, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            (keys, cuts), (counts, _) = joined(name, kind), joined(f"{name}_n", np.uint32)
+            known, place, _ = distinct(keys)
+            return known, place, np.bincount(place, weights=counts, minlength=len(known)).astype(np.int64), cuts
+
+        _, place, counts, cuts = summed("words", np.uint64)
+        n_words = int((counts > 0).sum())
+        answers = [_pack(x) for x in np.split(counts[place], cuts)]
+        short, place, counts, cuts = summed("pairs", np.uint32)
+        seen = counts > 0
+        region = build_region(short[seen], quantise(counts[seen]))
+        levels = [b""] * rows.num_rows
+        if pairs:
+            found = LogFrequencyFilter(np.array([len(region)]), region).levels(short, np.zeros(len(short), np.int64))
+            levels = [x.tobytes() for x in np.split(found[place], cuts)]
+        only = np.arange(rows.num_rows) == 0
+        out = {"slice": rows["slice"], "chunk": rows["chunk"], "counts": pa.array(answers, pa.binary()), "levels": pa.array(levels, pa.binary())}
+        out |= {"n_words": pa.array(np.where(only, n_words, 0)), "region": pa.array([region.tobytes() if o and not pairs else None for o in only], pa.binary())}
+        return pa.table(out)
+
+    return scan
+
+
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _scores(body: Body, counts: np.ndarray, levels: np.ndarray, total: int, texts: int, mu: float) -> pa.Table:
+    """What a window adds to its rows; ``levels`` are those of its distinct pairs, ``counts`` of its sorted words."""
+    own = np.zeros(len(body.hashes) + 1, np.int64)
+    own[np.argsort(body.hashes)] = counts
+    own[-1] = texts  # what stands before a text occurs once in each
+    c = own[body.numbers]
+    pair = low(levels)[distinct(body.pairs())[1]]
+    history = np.maximum(own[body.previous()], pair)  # a pair that is found in error may exceed its history
+    score = np.log10((pair + mu * (c + 1) / total) / (history + mu))
+    ends = np.cumsum(body.lengths)
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        some = body.lengths > 0
+        out = np.zeros(len(ends), x.dtype)
+        out[some] = np.add.reduceat(x, (ends - body.lengths)[some]) if some.any() else 0
+        return out
+
+    base = sums(np.log10(c + 1.0)) - body.lengths * math.log10(total)
+    ids = pa.array(body.ids, pa.int64(), mask=body.none)
+    return pa.table({"row": body.rows, "doc_id": ids, "held_out": body.held, "n_tokens": body.lengths.astype(np.int64), "n_known": sums((c > 0).astype(np.int64)), "base_score": base, "score": sums(score)})
+
+
+def default_broadcast_bytes(spark: SparkSession) -> int:
+    """A 32nd of an executor's memory: every Python worker of an executor holds the filter."""
+    conf = spark.sparkContext.getConf()
+    local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+    named = conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g")
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(named) // 32
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 2, folds: int = 7, mu: float = 200.0, broadcast_bytes: int | None = None) -> DataFrame:
+    """Scores of every whole text; the rows of ``fold`` (by the id's crc32) are held out of training.
 
-    return texts.mapInArrow(scan, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    Null texts are empty and consist of the end token. Without training rows N and V are 0. Null ids
+    have remainder 0. Repeated rows are scored, and trained on, each for itself; very long texts are
+    scored window by window; an empty table gives no rows; other columns are not read and may have any
+    names. ``broadcast_bytes`` bounds what is broadcast (0: nothing is), never what is learnt.
+    """
+    bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    if broadcast_bytes is None:
+        broadcast_bytes = default_broadcast_bytes(spark)
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), (remainder(id_col, folds) == fold).alias("held_out"), F.col(text_col).cast("string").alias("text"))
 
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in bodies_of(batches, TaskContext.get().partitionId()):
+            yield pa.RecordBatch.from_pydict(dict(zip(("chunk", "tokens", "texts", "body"), ([x] for x in found), strict=True)))
 
-def build_slices(texts: DataFrame, tokens: int) -> tuple[int, DataFrame]:
-    """Count the words and word pairs of ``texts(text)``; the number of slices and (slice, region) of those in use."""
+    bodies = materialize(narrow.mapInArrow(windows, "chunk long, tokens long, texts long, body binary"), "bodies")
+    known = bodies.agg(F.sum("tokens").alias("tokens"), F.sum("texts").alias("texts")).first()
+    tokens, texts = known["tokens"] or 0, known["texts"] or 0
     slices = 1
     while slices * SLICE_TOKENS < tokens:
         slices *= 2
+    asks = LEVELS_A_TOKEN * BITS_PER_LEVEL * tokens / 8 + 9 * slices > broadcast_bytes
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, n = _Words(), [], 0
-
-        def out() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            of = slices_of(keys, slices)
-            at = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-            parts = zip(np.split(keys, at[1:]), np.split(counts.astype(np.uint32), at[1:]), strict=True)
-            rows = [(pack(k), c.tobytes()) for k, c in parts]
-            arrays = [pa.array(of[at], pa.int64()), *(pa.array(x, pa.binary()) for x in zip(*rows, strict=True))]
-            return pa.RecordBatch.from_arrays(arrays, names=["slice", "ngrams", "counts"])
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                tokens_, lengths = _flat(batch.slice(at, 1024), 0)
-                numbers, _ = words.numbers(tokens_)
-                hashes = words.hashes[numbers]
-                held += [ngram_keys(hashes, np.uint64(0)), _bigram_keys(hashes, lengths)]
-                n += len(hashes)
-                if n >= FLUSH:
-                    yield out()
-                    n = 0
-        if n:
-            yield out()
-
-    def gather(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([unpack(x) for x in rows["ngrams"]])
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["counts"]])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order].astype(np.float64)
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        region = build_region(keys[first], quantise(np.add.reduceat(counts, first)))
-        return pd.DataFrame({"slice": rows["slice"].iloc[:1], "region": [region.tobytes()]})
-
-    counted = texts.mapInArrow(count, "slice long, ngrams binary, counts binary")
-    dealt = counted.repartition(min(slices, SLICE_PARTITIONS), "slice")
-    return slices, materialize(dealt.groupBy("slice").applyInPandas(gather, "slice long, region binary"), "slices")
-
-
-def whole_filter(slices: int, regions: DataFrame, bits: int) -> LogFrequencyFilter | None:
-    """The filter of all slices, or None if it is larger than ``bits`` bits."""
-    size = regions.agg(F.sum(F.octet_length("region").cast("long"))).first()[0] or 0
-    if (size + 8 * slices) * 8 > bits:
-        return None
-    sizes, parts = np.zeros(slices, np.int64), {}
-    for row in regions.toLocalIterator():
-        parts[row["slice"]] = np.frombuffer(row["region"], np.uint8)
-        sizes[row["slice"]] = len(parts[row["slice"]])
-    return LogFrequencyFilter(sizes, np.concatenate([parts[k] for k in sorted(parts)] or [np.zeros(0, np.uint8)]))
-
-
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_base double, score double, tail array<string>"
-
-
-def _bounds(got: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of words' counts: the exact count where it is known (not -1), else the level's."""
-    return np.where(got >= 0, got, low(level)), np.where(got >= 0, got, high(level))
-
-
-def _score(lengths: np.ndarray, numbers: np.ndarray, below: np.ndarray, above: np.ndarray, pair: np.ndarray, begin: float, total: int, mu: float) -> np.ndarray:
-    """log10 probability of each text from bounds of its words' counts and its pairs' levels."""
-    starts = np.cumsum(lengths) - lengths
-    history = np.empty(len(numbers))
-    history[1:] = above[numbers[:-1]]
-    history[starts] = begin
-    unigram = (below[numbers] + 1) / total
-    history = np.maximum(history, low(pair))
-    return np.add.reduceat(np.log10((low(pair) + mu * unigram) / (history + mu)), starts)
-
-
-def _exact(lengths: np.ndarray, tokens: list[bytes], own: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Of each text: sum of log10(c + 1) and number of the words with known counts ``own``, and the other words."""
-    starts = np.cumsum(lengths) - lengths
-    is_head = own >= 0
-    base = np.add.reduceat(np.where(is_head, np.log10(np.maximum(own, 0) + 1), 0.0), starts)
-    rest = np.flatnonzero(~is_head)
-    offsets = np.searchsorted(rest, np.r_[starts, len(own)]).astype(np.int32)
-    tail = pa.ListArray.from_arrays(pa.array(offsets), pa.array([tokens[i] for i in rest], pa.binary()).cast(pa.string()))
-    return np.add.reduceat(is_head.astype(np.int64), starts), base, tail
-
-
-def _rows(first: int, ids: pa.Array, held: pa.Array, lengths: np.ndarray, exact: tuple[np.ndarray, np.ndarray, pa.Array], score: np.ndarray) -> pa.RecordBatch:
-    arrays = [pa.array(first + np.arange(len(lengths))), ids, held, pa.array(lengths), *map(pa.array, exact[:2]), pa.array(score), exact[2]]
-    return pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "held_out", "n_tokens", "head_known", "head_base", "score", "tail"])
-
-
-def _by_broadcast(narrow: DataFrame, exact, bloom: LogFrequencyFilter, total: int, mu: float) -> DataFrame:
-    """``SCORED`` rows of ``narrow(doc_id, held_out, text)``."""
-    shipped = narrow.sparkSession.sparkContext.broadcast((bloom.sizes, bloom.data))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known = _Words(), exact.value
-        model = LogFrequencyFilter(*shipped.value)
-        row = TaskContext.get().partitionId() << 33
-        c, below, above = (np.zeros(0) for _ in range(3))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                tokens, lengths = _flat(part, 2)
-                numbers, old = words.numbers(tokens)
-                new = words.names[old:] if old else words.names
-                got = np.array([known.get(w, -1) for w in new], float)
-                level = model.levels(ngram_keys(words.hashes[old:], np.uint64(0)))
-                c, below, above = (np.concatenate([x[:old], y]) for x, y in zip((c, below, above), (got, *_bounds(got, level)), strict=True))
-                pair = model.levels(_bigram_keys(words.hashes[numbers], lengths))
-                score = _score(lengths, numbers, below, above, pair, float(known.get(END, 0)), total, mu)
-                yield _rows(row, part.column(0), part.column(1), lengths, _exact(lengths, tokens, c[numbers]), score)
-                row += len(lengths)
-
-    return narrow.mapInArrow(scan, SCORED)
-
-
-def _by_shuffle(narrow: DataFrame, exact, slices: int, regions: DataFrame, total: int, mu: float) -> DataFrame:
-    """The same with the probes taken to the slices: a task holds a slice and its probes, or a chunk of texts."""
-
-    def keys_of(hashes: np.ndarray, numbers: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys of a chunk, sorted, and the place among them of its words' and of its pairs' keys."""
-        return np.unique(np.concatenate([ngram_keys(hashes, np.uint64(0)), _bigram_keys(hashes[numbers], lengths)]), return_inverse=True)
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, row = exact.value, TaskContext.get().partitionId() << 33
-        chunk = row
-        for batch in batches:
-            column = batch.column(2).cast(pa.large_binary())
-            at = 0
-            while at < batch.num_rows:
-                texts, n = [], 0
-                while at + len(texts) < batch.num_rows and n < CHUNK_TOKENS:
-                    texts.append(words_of(column[at + len(texts)].as_py()))
-                    n += len(texts[-1])
-                tokens = [w for t in texts for w in t]
-                lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-                number = {w: i for i, w in enumerate(dict.fromkeys(tokens))}
-                numbers = np.fromiter(map(number.__getitem__, tokens), np.uint16 if len(number) < 2**16 else np.uint32, n)
-                hashes = _hash(list(number))
-                got = np.array([known.get(w, -1) for w in number], float)
-                ids, held = (batch.column(k).slice(at, len(texts)) for k in (0, 1))
-                n_known, base, tail = _exact(lengths, tokens, got[numbers])
-                body = (row, lengths, numbers, hashes, got)
-                rows = _rows(row, ids, held, lengths, (n_known, base, tail), np.zeros(len(texts)))
-                docs = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), rows.to_struct_array())
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([pickle.dumps(body)], pa.binary()), docs], names=["chunk", "body", "docs"])
-                row, chunk, at = row + len(texts), chunk + 1, at + len(texts)
-
-    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                _, lengths, numbers, hashes, _ = pickle.loads(body.as_py())
-                keys, _ = keys_of(hashes, numbers, lengths)
-                of = slices_of(keys, slices)
-                cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-                arrays = [pa.array(np.full(len(cuts), chunk)), pa.array(of[cuts]), pa.array(map(pack, np.split(keys, cuts[1:])), pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["chunk", "slice", "ngrams"])
-
-    def answer(asked: pa.Table, region: pa.Table) -> pa.Table:
-        data = np.frombuffer(region["region"][0].as_py(), np.uint8) if region.num_rows else np.zeros(0, np.uint8)
-        model = LogFrequencyFilter(np.array([len(data)]), data)
-        levels = [model.levels(unpack(x.as_py())).tobytes() for x in asked["ngrams"]]
-        return pa.table({"chunk": asked["chunk"], "slice": asked["slice"], "levels": pa.array(levels, pa.binary())})
-
-    def score(bodies: pa.Table, answers: pa.Table) -> pa.Table:
-        row, lengths, numbers, hashes, got = pickle.loads(bodies["body"][0].as_py())
-        level = np.frombuffer(b"".join(answers.sort_by("slice")["levels"].to_pylist()), np.uint8)
-        level = level[keys_of(hashes, numbers, lengths)[1]]
-        below, above = _bounds(got, level[: len(hashes)])
-        scores = _score(lengths, numbers, below, above, level[len(hashes) :], float(exact.value.get(END, 0)), total, mu)
-        return pa.table({"row": row + np.arange(len(lengths)), "score": scores})
-
-    chunks = materialize(narrow.mapInArrow(ask, f"chunk long, body binary, docs array<struct<{SCORED.replace(' ', ':').replace(',:', ', ')}>>"), "chunks")
-    bodies = chunks.select("chunk", "body")
-    asked = bodies.mapInArrow(probes, "chunk long, slice long, ngrams binary").groupBy("slice")
-    answers = asked.cogroup(regions.groupBy("slice")).applyInArrow(answer, "chunk long, slice long, levels binary")
-    scores = bodies.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, "row long, score double")
-    return chunks.select(F.explode("docs").alias("doc")).select("doc.*").drop("score").join(scores, "row")
-
-
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 2, folds: int = 7, mu: float = 200.0, bits: int = BITS) -> DataFrame:
-    """Scores of every whole text; the rows of ``fold`` (by the id's crc32) are held out of training.
-
-    Null texts are empty and consist of the end token. Without training rows N and V are 0. Null ids
-    have remainder 0. Repeated rows are scored, and trained on, each for itself; an empty table gives
-    no rows; other columns are not read. ``bits`` bounds what is broadcast, not what is learnt.
-    """
-    spark = docs.sparkSession
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), (remainder(id_col, folds) == fold).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    training = narrow.where("not held_out").select("text")
-    counts = materialize(word_counts(training).withColumn("band", F.floor(F.log2("c") * 8)), "words")
-    bands = {r.band: (r.n, r.c) for r in counts.groupBy("band").agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()}
-    n_train, vocabulary = sum(c for _, c in bands.values()), sum(n for n, _ in bands.values())
-    cut, room = max(bands, default=-1) + 1, HEAD
-    for band in sorted(bands, reverse=True):
-        room -= bands[band][0]
-        if room < 0:
-            break
-        cut = band
-    head = counts.where(F.col("band") >= cut).select("word", "c").toPandas()
-    exact = spark.sparkContext.broadcast(dict(zip((w.encode() for w in head["word"]), head["c"].tolist(), strict=True)))
-    slices, regions = build_slices(training, n_train)
-    total = n_train + vocabulary + 1
-    bloom = whole_filter(slices, regions, bits)
-    scored = _by_broadcast(narrow, exact, bloom, total, mu) if bloom is not None else _by_shuffle(narrow, exact, slices, regions, total, mu)
-    scored = materialize(scored, "scored").select(*[c.split()[0] for c in SCORED.split(", ")])
-    rare = counts.where(F.col("band") < cut).select("word", "c")
-    tails = scored.select("row", F.explode("tail").alias("word")).join(rare, "word")
-    tails = tails.groupBy("row").agg(F.sum(F.log10(F.col("c") + 1)).alias("tail_base"), F.count("*").alias("tail_known"))
-    base = F.col("head_base") + F.coalesce("tail_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(total))
-    n_known = F.col("head_known") + F.coalesce("tail_known", F.lit(0))
-    out = scored.drop("tail").join(tails, "row", "left")
-    return out.select("doc_id", "held_out", "n_tokens", n_known.alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = [(chunk, *x) for x in _lists(Body(*pickle.loads(data.as_py())), slices, asks)]
+                kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
+                arrays = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["chunk", "slice", "words", "words_n", "pairs", "pairs_n"])
+            trim()
+
+    listed = bodies.select("chunk", "body").mapInArrow(lists, "chunk long, slice long, words binary, words_n binary, pairs binary, pairs_n binary")
+    answers = materialize(listed.groupBy("slice").applyInArrow(_gather(asks), ANSWERS), "answers")
+    vocabulary = answers.agg(F.sum("n_words")).first()[0] or 0
+    total = tokens + vocabulary + 1
+    shipped = None if asks else spark.sparkContext.broadcast(_whole(slices, answers))
+
+    def score(body: pa.Table, found: pa.Table) -> pa.Table:
+        window = Body(*pickle.loads(body["body"][0].as_py()))
+        found = found.sort_by("slice")
+        counts = np.concatenate([_unpack(x) for x in found["counts"].to_pylist()])
+        if shipped is None:
+            levels = np.frombuffer(b"".join(found["levels"].to_pylist()), np.uint8)
+        else:
+            keys = distinct(window.pairs())[0]
+            levels = LogFrequencyFilter(*shipped.value).levels(keys.astype(np.uint32), slices_of(keys, slices))
+        return _scores(window, counts, levels, total, texts, mu)
+
+    replies = answers.select("chunk", "slice", "counts", "levels").groupBy("chunk")
+    scored = bodies.select("chunk", "body").groupBy("chunk").cogroup(replies).applyInArrow(score, SCORED)
+    rows = scored.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _whole(slices: int, answers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The filter's slices side by side, within ``broadcast_bytes`` by the bound on its levels."""
+    sizes, found = np.zeros(slices, np.int64), {}
+    for row in answers.where("region is not null").select("slice", "region").toLocalIterator():
+        found[row["slice"]] = np.frombuffer(row["region"], np.uint8)
+        sizes[row["slice"]] = len(found[row["slice"]])
+    return sizes, np.concatenate([found[k] for k in sorted(found)] or [np.zeros(0, np.uint8)])
