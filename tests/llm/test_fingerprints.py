@@ -11,7 +11,7 @@ from trialframe.llm import fingerprints
 
 
 def _parts(text):
-    return {p for p in re.split(r"\n+|(?<=[.!?])[ \t]+", text) if p.strip(" ")}
+    return {p.strip(" ") for p in re.split(r"\n+|(?<=[.!?])[ \t]+", text) if p.strip(" ")}
 
 
 def _likeness(a, b):
@@ -48,18 +48,49 @@ def test_sketches_subtract_and_peel(spark):
     keys = ["id", "w"]
     rows = [(1, 8, s, d) for s, ds in ((1, range(0, 1000)), (-1, range(6, 1004))) for d in ds] + [(2, 8, 1, d) for d in range(60)]
     digests = spark.createDataFrame(rows, "id long, w int, sign int, digest long")
-    cells = fingerprints.subtract(fingerprints.sketch(digests, [*keys, "sign"]), keys)
-    got = {r.id: r for r in fingerprints.peel(cells, keys).collect()}
-    assert (got[1].only_a, got[1].only_b, got[1].left) == (6, 4, 0)
-    assert got[2].left > 0  # 60 digests do not peel out of 24 cells: to be tried larger
-
-
-def test_larger_sketches_and_the_last_resort(spark, monkeypatch):
-    pairs = spark.createDataFrame([(1, "e", list(range(400)), list(range(100, 700))), (2, "e", [], []), (3, "e", [5], [5])], "id long, pair string, a array<long>, b array<long>")
-    want = {1: 300 / 700, 2: 1.0, 3: 1.0}
-    assert {r.id: r.near for r in fingerprints.likeness(pairs).collect()} == pytest.approx(want)
-    monkeypatch.setattr(fingerprints, "RETRIES", 0)
-    assert {r.id: r.near for r in fingerprints.likeness(pairs).collect()} == pytest.approx(want)
+    got = fingerprints.peel(fingerprints.sketch(digests, keys), keys).collect()
+    found = {(r.k, r.p) for r in got if r.id == 1 and r.cell < 0}
+    assert found == {(d, 1) for d in range(6)} | {(d, -1) for d in range(1000, 1004)} and not [r for r in got if r.id == 1 and r.cell >= 0]
+    assert [r for r in got if r.id == 2 and r.cell >= 0]  # 60 digests do not peel out of 24 cells: to be tried larger
+
+
+PAIRS = "id long, pair string, a array<long>, b array<long>, guess long"
+
+
+@pytest.mark.parametrize("tries", [5, 0])
+def test_digests_are_recovered(spark, monkeypatch, tries):
+    monkeypatch.setattr(fingerprints, "TRIES", tries)
+    r = random.Random(2)
+    sets = [([r.getrandbits(63) - 2**62 for _ in range(n)], [r.getrandbits(63) - 2**62 for _ in range(m)], [r.getrandbits(63) for _ in range(k)]) for n, m, k in ((0, 3, 5), (400, 600, 300), (1, 0, 0), (0, 0, 4))]
+    rows = [(i, "e", a + c, c + b, g) for i, (a, b, c) in enumerate(sets) for g in [None if i % 2 else 3]]
+    pairs = spark.createDataFrame(rows, PAIRS)
+    got = {x.id: (sorted(x.only_a), sorted(x.only_b)) for x in fingerprints.differences(pairs).collect()}
+    assert {i: got.get(i, ([], [])) for i in range(4)} == {i: (sorted(a), sorted(b)) for i, (a, b, _) in enumerate(sets)}
+    like = {x.id: x for x in fingerprints.likeness(pairs).collect()}
+    for i, (a, b, c) in enumerate(sets):
+        xor = 0
+        for d in a + b:
+            xor ^= d
+        assert (like[i].near, like[i].removed, like[i].added, like[i].checksum) == (pytest.approx(len(c) / len(a + b + c)), len(a), len(b), xor)
+
+
+def test_unbroken_texts_are_cut(spark):
+    r = random.Random(6)
+    words = " ".join("".join(r.choices("abcdefgh", k=r.randint(2, 9))) for _ in range(600))
+    solid = "".join(r.choices("abcdefgh", k=5000))
+    docs = brute.documents(spark, [words, solid, "x"])
+    near = {x.doc_id: x.near_edited for x in fingerprints.version_fingerprints(docs).collect()}
+    assert near[0] > 0.4 and near[1] > 0.4
+
+
+def test_chunks_are_by_rows_not_by_values(spark):
+    from trialframe.operators.ordering import chunk_of
+
+    # 30,000 rows without an id; ids in two clusters and an outlier
+    rows = spark.range(30_000).selectExpr("cast(-9223372036854775808 as long) i", "xxhash64(id) h").unionByName(spark.range(40_000).selectExpr("case when id < 20000 then id when id = 39999 then 9000000000000000000 else 1000000000000 + id end i", "1L h"))
+    chunk, n = chunk_of(rows, {c: rows[c] for c in ("i", "h")}, 1024)
+    sizes = [x["count"] for x in rows.groupBy(chunk.alias("c")).count().collect()]
+    assert n > 40 and max(sizes) < 10_000 and len(sizes) >= n - 1
 
 
 def test_no_python_in_the_plan(spark):

@@ -1,157 +1,215 @@
 """Document fingerprints as invertible Bloom lookup sketches, in DataFrame operations only.
 
-A document is the set of its paragraphs' digests (a paragraph ends at a line end or behind a
-sentence's end). A sketch has three rows of ``w`` cells; a digest is put in one cell of each row,
-and a cell holds how many digests it got, their xor and the xor of their checks. Two versions'
-sketches subtract cell by cell, which cancels what they share. A cell left with a single digest is
-pure: peeling takes it out of its other cells, until nothing is left and the differing digests are
-known. Where cells remain, the pair is tried again with larger sketches. Likeness is shared
-digests / all digests.
-
-Cells are rows grouped by document, cell; a peeling round is one grouping. Within a round only one
-row of the sketch is searched, in which a digest has one cell, so that nothing is taken out twice.
-All groupings keep the partitioning by document: after the documents are paired, no text moves.
+A document is the set of its paragraphs' digests (a paragraph ends at a line end or behind a sentence's
+end; one of more than ``LONG`` characters is cut further, behind words whose hash says so). A sketch has
+three rows of cells; a digest is put in one cell of each row. A cell holds the sum of ``ONE`` + check of its
+digests, so their number and checks at once, and the xor of the digests. Two versions' sketches subtract cell
+by cell, which cancels what they share. A cell left with a single digest is pure: peeling takes it out of its
+other cells, until nothing is left and the differing digests are known. Where cells remain, the pair is tried
+again with larger sketches. Likeness is shared digests / all digests.
+
+The published sketch has ``WIDTH`` cells a row and is made within the document's row. Subtracted, the number
+of its cells that differ says how large the first sketch to peel has to be. Cells of those are rows grouped by
+document and cell; a peeling round is one grouping. Within a round only one row of the sketch is searched, in
+which a digest has one cell, so that nothing is taken out twice. All groupings keep the partitioning by document.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialframe.llm.scratch import materialize
+from trialframe.operators.ordering import chunk_of
 
 ROWS = 3
 #: Cells in a row of the published fingerprint.
 WIDTH = 8
-SWEEPS = 4
-#: Larger sketches that are tried before digests are compared one by one.
-RETRIES = 5
+#: What a digest adds to a cell besides its check of 32 bits.
+ONE = 1 << 40
+#: The rows of the sketch that are searched in turn; cells are twice the digests a row, so nearly all pairs are done.
+ROUNDS = (0, 1, 2, 0, 1)
+#: Sizes that are tried before digests are compared one by one.
+TRIES = 5
 PARAGRAPH_END = r"\n+|(?<=[.!?])[ \t]+"
-#: Documents whose order is found in one task, about.
-CHUNK = 2048
-BANDS = 32
+#: Characters of a paragraph that is cut further, and one in how many words ends a part of it.
+LONG, SHARE = 400, 16
+#: Documents whose order is found together, about.
+CHUNK = 1024
+BROADCAST_ROWS = 200_000
+CUT = "\x01"
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _cut(paragraph: Column) -> Column:
+    """The parts of a long paragraph. Where they end depends on the words alone; words of over 64 characters are cut, too."""
+    words = F.split(F.regexp_replace(paragraph, r"([^ ]{64})(?=[^ ])", "$1 "), " ")
+    ended = F.transform(words, lambda w: F.when(F.pmod(F.xxhash64(w), F.lit(SHARE)) == 0, F.concat(w, F.lit(CUT))).otherwise(w))
+    return F.split(F.concat_ws(" ", ended), CUT)
 
 
 def paragraph_digests(text: Column) -> Column:
-    """Distinct digests of a text's non-blank paragraphs."""
-    parts = F.filter(F.split(text, PARAGRAPH_END), lambda p: F.length(F.trim(p)) > 0)
-    return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
+    """Distinct digests of a text's non-blank paragraphs and of the parts of long ones."""
+    whole = F.transform(F.split(text, PARAGRAPH_END), lambda p: F.when(F.length(p) > LONG, _cut(p)).otherwise(F.array(p)))
+    some = F.filter(F.transform(F.flatten(whole), lambda p: F.trim(p)), lambda p: p != "")
+    return F.array_distinct(F.transform(some, lambda p: F.xxhash64(p)))
+
+
+def _weight(digest: Column) -> Column:
+    """``ONE`` and the digest's check."""
+    return F.xxhash64(digest, F.lit("check")).bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(ONE)
+
+
+def small_sketch(digests: Column) -> Column:
+    """The published sketch of an array of digests: an array of its cells' (p, k), row after row."""
+    powers = F.array(*(F.lit(1 << i).cast("long") for i in range(WIDTH)))
+
+    def placed(d: Column) -> Column:
+        h = F.xxhash64(d, F.lit("place"))
+        bits = [F.element_at(powers, F.shiftright(h, 8 * r).bitwiseAND(F.lit(WIDTH - 1)).cast("int") + 1) * F.lit(1 << (WIDTH * r)) for r in range(ROWS)]
+        return F.struct(d.alias("k"), _weight(d).alias("p"), (bits[0] + bits[1] + bits[2]).alias("cells"))
+
+    nothing = F.struct(F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("k"))
 
+    def cell(all_: Column, bit: Column) -> Column:
+        add = lambda s, x: F.struct((s["p"] + x["p"]).alias("p"), s["k"].bitwiseXOR(x["k"]).alias("k"))
+        return F.aggregate(all_, nothing, lambda s, x: F.when(x["cells"].bitwiseAND(bit) != 0, add(s, x)).otherwise(s))
 
-def _check(digest: Column) -> Column:
-    return F.xxhash64(digest, F.lit("check")).bitwiseAND(F.lit(0xFFFFFFFF))
+    bits = F.array(*(F.lit(1 << i).cast("long") for i in range(ROWS * WIDTH)))
+    return F.element_at(F.transform(F.array(F.transform(digests, placed)), lambda xs: F.transform(bits, lambda b: cell(xs, b))), 1)
 
 
-def _cell(row: int | Column, digest: Column, width: Column, level: int) -> Column:
-    row = F.lit(row) if isinstance(row, int) else row
-    return (row * width + F.pmod(F.xxhash64(digest, row, F.lit(level)), width)).cast("int")
+def published(digests: Column, cells: Column) -> Column:
+    """The fingerprint as text: the number of digests, then the cells in use, in hex."""
+    named = F.transform(cells, lambda c, i: F.when((c["p"] != 0) | (c["k"] != 0), F.concat_ws(":", F.hex(i.cast("long")), F.hex(c["p"]), F.hex(c["k"]))))
+    return F.lower(F.concat_ws(";", F.hex(F.size(digests).cast("long")), F.filter(named, lambda t: t.isNotNull())))
 
 
-def sketch(digests: DataFrame, keys: list[str], level: int = 0) -> DataFrame:
-    """(keys, cell, n, k, c): the cells in use of ``digests(keys incl. w, digest)``."""
-    rows = F.explode(F.array(*(_cell(r, F.col("digest"), F.col("w"), level) for r in range(ROWS))))
-    cells = digests.select(*keys, "digest", rows.alias("cell"))
-    return cells.groupBy(*keys, "cell").agg(F.count("*").alias("n"), F.bit_xor("digest").alias("k"), F.bit_xor(_check(F.col("digest"))).alias("c"))
+def unequal(a: Column, b: Column) -> Column:
+    """How many cells of two published sketches differ."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda t: t))
 
 
-def subtract(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Cell by cell sum of n times ``sign``, xor of the others; cells that cancel are gone."""
-    out = cells.groupBy(*keys, "cell").agg(F.sum(F.col("n") * F.col("sign")).alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c"))
-    return out.where("n <> 0 or k <> 0 or c <> 0")
+def expected(cells: Column) -> Column:
+    """Differing digests, from above, that leave so many cells of the published sketch unequal; null if all are."""
+    full = ROWS * WIDTH
+    counted = F.log(1 - cells / F.lit(float(full))) / F.lit(math.log(1 - 1 / WIDTH))
+    return F.when(cells < full, F.ceil(counted * 1.5) + 4)
 
 
-def peel(cells: DataFrame, keys: list[str], level: int = 0) -> DataFrame:
-    """(keys, only_a, only_b, left) for the keys that have cells; ``left`` cells could not be peeled."""
-    none = F.lit(0).cast("long")
-    make = lambda cell, n, k, c: F.struct(cell.cast("int").alias("cell"), n.cast("long").alias("n"), k.alias("k"), c.alias("c"))
-    for turn in range(SWEEPS * ROWS):
-        row = turn % ROWS
-        pure = (F.col("cell") >= 0) & (F.floor(F.col("cell") / F.col("w")) == row) & (F.abs("n") == 1) & (F.col("c") == _check(F.col("k")))
-        found = make(F.when(F.col("n") > 0, -1).otherwise(-2), F.lit(1), none, none)
-        others = [make(_cell(r, F.col("k"), F.col("w"), level), -F.col("n"), F.col("k"), F.col("c")) for r in range(ROWS) if r != row]
-        stays = make(*(F.col(x) for x in ("cell", "n", "k", "c")))
+def _place(row: int, digest: Column, width: Column, turn: int) -> Column:
+    return row * width + F.pmod(F.xxhash64(digest, F.lit(row), F.lit(turn)), width)
+
+
+def sketch(digests: DataFrame, keys: list[str], turn: int = 0) -> DataFrame:
+    """(keys, cell, p, k) of ``digests(keys incl. w, sign, digest)``: the cells in use, subtracted where signs differ."""
+    rows = F.explode(F.array(*(_place(r, F.col("digest"), F.col("w"), turn) for r in range(ROWS))))
+    cells = digests.select(*keys, (F.col("sign") * _weight(F.col("digest"))).alias("p"), F.col("digest").alias("k"), rows.alias("cell"))
+    return cells.groupBy(*keys, "cell").agg(F.sum("p").alias("p"), F.bit_xor("k").alias("k")).where("p <> 0 or k <> 0")
+
+
+def peel(cells: DataFrame, keys: list[str], turn: int = 0) -> DataFrame:
+    """(keys, cell, p, k) after ``ROUNDS``: a recovered digest k is a row of its own with a negative cell and p 1 or -1."""
+    make = lambda cell, p, k: F.struct(cell.cast("long").alias("cell"), p.cast("long").alias("p"), k.alias("k"))
+    for row in ROUNDS:
+        one = _weight(F.col("k"))
+        pure = (F.col("cell") >= 0) & (F.floor(F.col("cell") / F.col("w")) == row) & ((F.col("p") == one) | (F.col("p") == -one))
+        found = make(F.col("k").bitwiseOR(F.lit(-(2**63))), F.signum("p"), F.col("k"))
+        others = [make(_place(r, F.col("k"), F.col("w"), turn), -F.col("p"), F.col("k")) for r in range(ROWS) if r != row]
+        stays = make(F.col("cell"), F.col("p"), F.col("k"))
         cells = cells.select(*keys, F.explode(F.when(pure, F.array(found, *others)).otherwise(F.array(stays))).alias("x")).select(*keys, "x.*")
-        cells = cells.groupBy(*keys, "cell").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c"))
-        cells = cells.where("n <> 0 or k <> 0 or c <> 0")
-    total = lambda cell: F.coalesce(F.sum(F.when(F.col("cell") == cell, F.col("n"))), F.lit(0))
-    return cells.groupBy(*keys).agg(total(-1).alias("only_a"), total(-2).alias("only_b"), F.count(F.when(F.col("cell") >= 0, 1)).alias("left"))
+        cells = cells.groupBy(*keys, "cell").agg(F.sum("p").alias("p"), F.bit_xor("k").alias("k")).where("p <> 0 or k <> 0")
+    return cells
 
 
-def _differences(pairs: DataFrame, level: int) -> DataFrame:
-    """(id, pair, only_a, only_b, left) of ``pairs(id, pair, a, b)`` by sketches of this level's size."""
+def _peeled(pairs: DataFrame, turn: int) -> DataFrame:
     keys = ["id", "pair", "w"]
-    half = (F.size("a") + F.size("b")) * (2 ** max(level - 1, 0)) / 2
-    pairs = pairs.withColumn("w", F.lit(WIDTH) if level == 0 else (F.ceil(half) + WIDTH).cast("int"))
     sides = F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("a").alias("d")), F.struct(F.lit(-1).alias("sign"), F.col("b").alias("d"))))
     digests = pairs.select(*keys, sides.alias("side")).select(*keys, "side.sign", F.explode("side.d").alias("digest"))
-    return peel(subtract(sketch(digests, [*keys, "sign"], level), keys), keys, level).drop("w")
+    return peel(sketch(digests, keys, turn), keys, turn)
 
 
-def likeness(pairs: DataFrame) -> DataFrame:
-    """(id, pair, near) for every row of ``pairs(id, pair, a, b)``, two arrays of distinct digests each.
+def _tried(pairs: DataFrame, totals: list[Column], exact: list[Column], names: list[str]) -> DataFrame:
+    """(id, pair, names) for every row of ``pairs(id, pair, a, b, guess)`` whose sets differ.
 
-    ``near`` is shared / all digests: 1 for equal sets (also empty ones), 0 if nothing is shared.
-    A pair that no sketch of ``RETRIES`` sizes peels is compared digest by digest.
+    ``totals`` sum up the rows of ``peel``; ``exact`` are the same of ``a`` and ``b``, for pairs that no try has peeled.
+    ``guess`` is how many digests differ, null if it isn't known.
     """
+    both = (F.size("a") + F.size("b")).cast("long")
     pairs = pairs.repartition("id")
     done: list[DataFrame] = []
-    todo = pairs
-    names = ["id", "pair"]
-    for level in range(RETRIES + 1):
-        found = materialize(_differences(todo, level), f"peeled{level}")
-        done.append(found.where("left = 0").drop("left"))
-        failed = found.where("left > 0").select(*names)
+    todo = pairs.withColumn("w", F.greatest(2 * F.least(F.coalesce("guess", both), both), F.lit(WIDTH)))
+    for turn in range(1, TRIES + 1):
+        left = F.count(F.when(F.col("cell") >= 0, 1)).alias("left")
+        found = materialize(_peeled(todo, turn).groupBy("id", "pair").agg(*totals, left), f"peeled{turn}")
+        done.append(found.where("left = 0").select("id", "pair", *names))
+        failed = found.where("left > 0").select("id", "pair")
         if failed.isEmpty():
-            failed = None
             break
-        todo = pairs.join(failed, names, "left_semi")
-    if failed is not None:
-        done.append(todo.select(*names, F.size(F.array_except("a", "b")).cast("long").alias("only_a"), F.size(F.array_except("b", "a")).cast("long").alias("only_b")))
-    known = done[0]
+        todo = pairs.join(_small(failed), ["id", "pair"], "left_semi").withColumn("w", both * 2**turn + WIDTH)
+    else:
+        done.append(todo.select("id", "pair", *exact))
+    out = done[0]
     for part in done[1:]:
-        known = known.unionByName(part)
-    sizes = pairs.select(*names, F.size("a").alias("n_a")).join(known, names, "left").na.fill(0, ["only_a", "only_b"])
-    union = F.col("n_a") + F.col("only_b")
-    return sizes.select(*names, F.when(union == 0, 1.0).otherwise((F.col("n_a") - F.col("only_a")) / union).alias("near"))
+        out = out.unionByName(part)
+    return out
 
 
-def published(versions: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, fingerprint) of ``versions(keys, d)``: the digests' count, then the cells in use, in hex."""
-    cells = sketch(versions.select(*keys, F.lit(WIDTH).alias("w"), F.explode("d").alias("digest")), [*keys, "w"])
-    text = F.concat_ws(":", F.hex("cell"), F.hex("n"), F.hex("k"), F.hex("c"))
-    rows = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cell", text.alias("t")))).alias("cells"), F.sum("n").alias("n"))
-    return rows.select(*keys, F.lower(F.concat_ws(";", F.format_string("%x", (F.col("n") / ROWS).cast("long")), F.concat_ws(";", F.transform("cells", lambda x: x["t"])))).alias("fingerprint"))
+def differences(pairs: DataFrame) -> DataFrame:
+    """(id, pair, only_a, only_b): the recovered digests of ``pairs(id, pair, a, b)``, of each side; no row for equal sets."""
+    of = lambda sign, name: F.collect_list(F.when((F.col("cell") < 0) & (F.col("p") == sign), F.col("k"))).alias(name)
+    exact = [F.array_except("a", "b").alias("only_a"), F.array_except("b", "a").alias("only_b")]
+    return _tried(pairs.withColumn("guess", F.lit(None).cast("long")), [of(1, "only_a"), of(-1, "only_b")], exact, ["only_a", "only_b"])
+
+
+def likeness(pairs: DataFrame) -> DataFrame:
+    """(id, pair, near, removed, added, checksum) for every row of ``pairs(id, pair, a, b, guess)``, two arrays of distinct digests.
+
+    ``near`` is shared / all digests: 1 for equal sets (also empty ones), 0 if nothing is shared. ``removed`` and ``added`` are
+    how many digests were recovered that only ``a``, only ``b`` has; ``checksum`` is the xor of them. A pair that no sketch of
+    ``TRIES`` sizes peels is compared digest by digest.
+    """
+    names = ["removed", "added", "checksum"]
+    own = F.col("cell") < 0
+    totals = [F.count(F.when(own & (F.col("p") == sign), 1)).alias(n) for sign, n in ((1, "removed"), (-1, "added"))]
+    xor = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x))
+    only_a, only_b = F.array_except("a", "b"), F.array_except("b", "a")
+    exact = [F.size(only_a).cast("long").alias("removed"), F.size(only_b).cast("long").alias("added"), xor(only_a).bitwiseXOR(xor(only_b)).alias("checksum")]
+    differing = pairs.where("guess is null or guess > 0")
+    known = _tried(differing, [*totals, F.coalesce(F.bit_xor(F.when(own, F.col("k"))), F.lit(0).cast("long")).alias("checksum")], exact, names)
+    sizes = pairs.select("id", "pair", F.size("a").alias("n")).join(known, ["id", "pair"], "left").na.fill(0, names)
+    union = F.col("n") + F.col("added")
+    return sizes.select("id", "pair", F.when(union == 0, 1.0).otherwise((F.col("n") - F.col("removed")) / union).alias("near"), *names)
 
 
 def next_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, following, d, following_d): each row with the next one's text, ids ascending, the last with the first.
+    """(doc_id, text, following, d, following_d, cells, following_cells): each row with the next one's, ids ascending, the last with the first.
 
-    Ids are cut into bands by approximate quantiles and those into chunks by value, each ordered on its
-    own; the first row of a chunk is also put behind the rows of the chunk before. Rows that repeat an id go by
-    their texts; null ids come first.
+    The order is cut into chunks of about ``CHUNK`` rows at sampled rows; the first row of a chunk is also put behind the rows
+    of the chunk before. Rows that repeat an id go by their texts; null ids come first. Equal rows are dealt to chunks as well:
+    whichever of them stands at a chunk's beginning, its text is the same.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ids = rows.select("doc_id")
-    stats = ids.agg(F.count("*").alias("n"), F.percentile_approx("doc_id", [i / BANDS for i in range(BANDS + 1)], 2000).alias("cuts")).first()
-    cuts = sorted(set(stats["cuts"] or [0]))
-    per_band = max(1, stats["n"] // max(len(cuts), 1) // CHUNK)
-    edges = F.array(*(F.lit(c).cast("long") for c in cuts))
-    band = F.coalesce(F.size(F.filter(edges, lambda c: c <= F.col("doc_id"))), F.lit(-1))
-    band = F.when(F.col("doc_id").isNull(), -1).otherwise(band)
-    first = F.coalesce(F.try_element_at(edges, F.col("band")), F.lit(cuts[0]))
-    width = F.greatest(F.lit(1.0), (F.coalesce(F.try_element_at(edges, F.col("band") + 1), F.lit(cuts[-1])) - first).cast("double") / per_band)
-    place = F.when(F.col("band") < 1, 0).otherwise(F.floor((F.col("doc_id") - first) / width))
-    rows = rows.withColumn("band", band).withColumn("chunk", place.cast("long")).withColumn("h", F.xxhash64("text"))
-    order = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("i"), "h", "text")
-    heads = materialize(rows.groupBy("band", "chunk").agg(F.min(order).alias("head")), "heads")
-    turn = Window.partitionBy().orderBy("band", "chunk")
-    marks = heads.select("band", "chunk").withColumn("to", F.lag(F.struct("band", "chunk")).over(turn))
-    marks = marks.withColumn("to", F.coalesce("to", F.last(F.struct("band", "chunk")).over(turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    behind = heads.join(marks, ["band", "chunk"]).select(F.lit(None).cast("long").alias("doc_id"), "head.text", F.col("to.band").alias("band"), F.col("to.chunk").alias("chunk"), "head.h", F.lit(1).alias("behind"))
-    together = rows.withColumn("behind", F.lit(0)).unionByName(behind).repartition("band", "chunk").withColumn("d", paragraph_digests(F.col("text")))
-    w = Window.partitionBy("band", "chunk").orderBy("behind", F.asc_nulls_first("doc_id"), "h", "text")
-    out = together.withColumn("following", F.lead("text").over(w)).withColumn("following_d", F.lead("d").over(w)).where("behind = 0")
-    return out.select("doc_id", "text", "following", "d", "following_d")
+    rows = rows.withColumns({"i": F.coalesce("doc_id", F.lit(-(2**63))), "h": F.xxhash64("text"), "salt": F.monotonically_increasing_id()})
+    keys = materialize(rows.select("i", "h", "salt"), "keys")
+    chunk, _ = chunk_of(keys, {c: F.col(c) for c in ("i", "h", "salt")}, CHUNK)
+    heads = keys.withColumn("chunk", chunk).groupBy("chunk").agg(F.min(F.struct("i", "h")).alias("head"))
+    heads = materialize(heads, "heads")
+    ends = heads.agg(F.min("chunk").alias("first"), F.max("chunk").alias("last")).first()
+    before = F.when(F.col("chunk") == F.lit(ends["first"]).cast("long"), F.lit(ends["last"]).cast("long")).otherwise(F.col("chunk") - 1)
+    heads = _small(heads.select(F.col("head.i").alias("hi"), F.col("head.h").alias("hh"), before.alias("to")))
+    behind = rows.join(heads, (F.col("i") == F.col("hi")) & (F.col("h") == F.col("hh"))).dropDuplicates(["to"])
+    behind = behind.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("to").alias("chunk"), "i", "h", "salt", F.lit(1).alias("behind"))
+    together = rows.select("doc_id", "text", chunk.alias("chunk"), "i", "h", "salt", F.lit(0).alias("behind")).unionByName(behind)
+    together = together.repartition("chunk").withColumn("d", paragraph_digests(F.col("text"))).withColumn("cells", small_sketch(F.col("d")))
+    w = Window.partitionBy("chunk").orderBy("behind", "i", "h", "salt")
+    out = together.withColumns({"following": F.lead("text").over(w), "following_d": F.lead("d").over(w), "following_cells": F.lead("cells").over(w)})
+    return out.where("behind = 0").select("doc_id", "text", "following", "d", "following_d", "cells", "following_cells")
 
 
 def version_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,22 +217,24 @@ def version_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     The edited version has the last quarter (rounded down, in code points) replaced by as much of the next
     document's beginning. Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next. Null texts are empty; repeated rows are documents of their own; a single document is its own next; an
-    empty table gives no rows; other columns are not read.
+    near_next, and of the edited version the number of digests that it lost, that it gained, and the xor of all these.
+    Null texts are empty; repeated rows are documents of their own; very long texts are digested whole; a single
+    document is its own next; an empty table gives no rows; other columns are not read and may have any names.
     """
     rows = next_texts(docs, id_col, text_col).withColumn("n_chars", F.length("text").cast("long"))
     part = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - part).cast("int")), F.substring("following", F.lit(1), part))
-    rows = rows.withColumn("edited", edited)
+    rows = rows.withColumn("edited", edited).withColumn("e", paragraph_digests(F.col("edited"))).withColumn("edited_cells", small_sketch(F.col("e")))
     rows = rows.select(
-        F.monotonically_increasing_id().alias("id"), "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "d", paragraph_digests(F.col("edited")).alias("e"), F.col("following_d").alias("f")
-    )
+        F.monotonically_increasing_id().alias("id"), "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "d", "e", F.col("following_d").alias("f"),
+        published(F.col("d"), F.col("cells")).alias("fingerprint"), published(F.col("e"), F.col("edited_cells")).alias("edited_fingerprint"),
+        unequal(F.col("cells"), F.col("edited_cells")).alias("to_e"), unequal(F.col("cells"), F.col("following_cells")).alias("to_f"),
+    )
     rows = materialize(rows, "versions")
-    two = F.explode(F.array(F.struct(F.lit("e").alias("pair"), F.col("e").alias("b")), F.struct(F.lit("f").alias("pair"), F.col("f").alias("b"))))
-    near = likeness(rows.select("id", F.col("d").alias("a"), two.alias("x")).select("id", "x.pair", "a", "x.b"))
-    wide = near.groupBy("id").agg(F.max(F.when(F.col("pair") == "e", F.col("near"))).alias("near_edited"), F.max(F.when(F.col("pair") == "f", F.col("near"))).alias("near_next"))
-    versions = rows.repartition("id").select("id", F.explode(F.array(F.struct(F.lit(0).alias("v"), "d"), F.struct(F.lit(1).alias("v"), F.col("e").alias("d")))).alias("x"))
-    prints = published(versions.select("id", "x.v", "x.d"), ["id", "v"])
-    prints = prints.groupBy("id").agg(*(F.max(F.when(F.col("v") == v, F.col("fingerprint"))).alias(n) for v, n in ((0, "fingerprint"), (1, "edited_fingerprint"))))
-    out = rows.select("id", "doc_id", "n_chars", "edited_sha256").join(wide, "id", "left").join(prints, "id", "left").na.fill("0", ["fingerprint", "edited_fingerprint"])
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    guess = lambda cells: F.when(cells == 0, 0).otherwise(expected(cells)).cast("long").alias("guess")
+    two = [F.struct(F.lit(c).alias("pair"), F.col(c).alias("b"), guess(F.col(f"to_{c}"))) for c in ("e", "f")]
+    near = likeness(rows.select("id", F.col("d").alias("a"), F.explode(F.array(*two)).alias("x")).select("id", "x.pair", "a", "x.b", "x.guess"))
+    of = lambda pair, c, name: F.max(F.when(F.col("pair") == pair, F.col(c))).alias(name)
+    wide = near.groupBy("id").agg(of("e", "near", "near_edited"), of("f", "near", "near_next"), *(of("e", c, f"edited_{c}") for c in ("removed", "added", "checksum")))
+    out = rows.select("id", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint").join(wide, "id")
+    return out.drop("id")
