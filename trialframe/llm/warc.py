@@ -1,14 +1,18 @@
 """WARC archives as a Spark data source, written with revisit records for payloads seen before.
 
-Reading plans one partition per ``split_bytes`` of a file: records are gzip members of their own, so
-a partition starts at the first member at or behind its offset and ends with the member that
-crosses its end. Predicates on the record type and on other header fields are pushed down; headers
-are parsed first, and payloads of records that fail them, or of any record if the option ``payload``
-is false, are inflated to find the member's end but not kept.
+A record is a gzip member of its own, as the format asks. Members written here carry an extra field of the gzip
+header: a marker of 16 random bytes that is the file's own, the member's length, and the length of the compressed
+head. Reading plans one partition per ``split_bytes`` of a file; a partition begins at the first member at or
+behind its offset, which the marker tells from anything that a payload may hold, and ends with the member that
+crosses its end. Predicates on the record type and on other header fields are pushed down. The head is inflated
+and parsed first; the payload of a record that fails the predicates, or of any record if the option ``payload``
+is false, is neither inflated nor read: its length is known. Files of other writers lack the field. They are read
+from their beginning by one partition, and inflated to find where records end.
 """
 
 from __future__ import annotations
 
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -21,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 
 from trialframe.llm.scratch import fresh_path, materialize
+from trialframe.llm.workers import bound_batches
 
 READ_SCHEMA = "record_type string, record_id string, target_uri string, payload_digest string, refers_to string, payload_bytes long, content_length long, payload binary"
 WRITE_SCHEMA = "record_type string, record_id string, target_uri string, payload_digest string, refers_to string, payload_bytes long, payload binary"
@@ -34,10 +39,15 @@ FIELDS = {
     "payload_bytes": "X-Payload-Length",
     "content_length": "Content-Length",
 }
+NUMBERS = ("payload_bytes", "content_length")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = datetime(2020, 1, 1, tzinfo=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-CHUNK = 1 << 18
-MAGIC = b"\x1f\x8b\x08"
+#: Bytes read at once, and payload bytes of a batch, about.
+BLOCK, BATCH = 1 << 18, 8 << 20
+#: What a member written here begins with; behind it come marker, member's length, compressed head's length.
+START = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff" + struct.pack("<H", 32) + b"TF" + struct.pack("<H", 28)
+TAIL = struct.Struct("<16sQI")
+BROADCAST_ROWS = 200_000
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -53,7 +63,7 @@ def _unclean(value: str) -> str:
     return value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
 
 
-def record(row: dict, level: int = 1) -> bytes:
+def record(row: dict, marker: bytes, level: int = 1) -> bytes:
     """One record as a gzip member."""
     payload = row["payload"] or b""
     head = ["WARC/1.1", f"WARC-Date: {DATE}", "Content-Type: application/octet-stream"]
@@ -64,40 +74,73 @@ def record(row: dict, level: int = 1) -> bytes:
         if value is not None:
             head.append(f"{field}: {_clean(str(value))}")
     text = "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n"
-    press = zlib.compressobj(level, zlib.DEFLATED, 31)
-    # the head ends at a byte boundary of the stream, so that it can be read without the payload
-    return press.compress(text) + press.flush(zlib.Z_FULL_FLUSH) + press.compress(payload + b"\r\n\r\n") + press.flush()
+    press = zlib.compressobj(level, zlib.DEFLATED, -zlib.MAX_WBITS)
+    first = press.compress(text) + press.flush(zlib.Z_FULL_FLUSH)  # what comes behind can be inflated on its own
+    rest = press.compress(payload) + press.compress(b"\r\n\r\n") + press.flush()
+    check = zlib.crc32(b"\r\n\r\n", zlib.crc32(payload, zlib.crc32(text)))
+    length = len(START) + TAIL.size + len(first) + len(rest) + 8
+    end = struct.pack("<II", check, (len(text) + len(payload) + 4) & 0xFFFFFFFF)
+    return b"".join((START, TAIL.pack(marker, length, len(first)), first, rest, end))
 
 
 class _Writer(DataSourceArrowWriter):
+    """Tasks write below a hidden folder of the job; committing is one rename of it."""
+
     def __init__(self, options: dict) -> None:
-        self.path, self.level = options["path"], int(options.get("level", 1))
+        self.path, self.level, self.job = options["path"].rstrip("/"), int(options.get("level", 1)), uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         files, base = _open(self.path)
-        files.create_dir(base, recursive=True)
-        name = f"{base}/part-{uuid.uuid4().hex}.warc.gz"
+        files.create_dir(f"{base}/.job-{self.job}", recursive=True)
+        marker = uuid.uuid4().bytes
         message = WriterCommitMessage()
-        message.name = name
-        # a temporary name until the whole file is there: attempts that die leave nothing a reader sees
-        with files.open_output_stream(f"{name}.tmp") as out:
+        message.name = f"part-{uuid.uuid4().hex}.warc.gz"
+        with files.open_output_stream(f"{base}/.job-{self.job}/{message.name}", compression=None) as out:
             for batch in iterator:
-                for row in batch.to_pylist():
-                    out.write(record(row, self.level))
+                for at in range(0, batch.num_rows, 64):
+                    for row in batch.slice(at, 64).to_pylist():
+                        out.write(record(row, marker, self.level))
         return message
 
     def commit(self, messages: list) -> None:
-        """Only the files of successful attempts get the name that readers look for."""
-        files, _ = _open(self.path)
-        for m in messages:
-            if m is not None:
-                files.move(f"{m.name}.tmp", m.name)
+        """Readers see all files of the successful attempts at once, and none of the others."""
+        files, base = _open(self.path)
+        hidden, done = f"{base}/.job-{self.job}", {m.name for m in messages if m is not None}
+        for found in files.get_file_info(pafs.FileSelector(hidden, allow_not_found=True)):
+            if found.base_name not in done:
+                files.delete_file(found.path)
+        if done:
+            files.move(hidden, f"{base}/job-{self.job}")
 
     def abort(self, messages: list) -> None:
-        files, _ = _open(self.path)
-        for m in messages:
-            if m is not None:
-                files.delete_file(f"{m.name}.tmp")
+        files, base = _open(self.path)
+        if files.get_file_info(f"{base}/.job-{self.job}").type != pafs.FileType.NotFound:
+            files.delete_dir(f"{base}/.job-{self.job}")
+
+
+class _File:
+    """Parts of a file, read in blocks."""
+
+    def __init__(self, handle, size: int) -> None:
+        self.handle, self.size, self.at, self.block = handle, size, 0, b""
+
+    def get(self, at: int, n: int) -> bytes:
+        if not self.at <= at <= at + n <= self.at + len(self.block):
+            self.handle.seek(at)
+            self.at, self.block = at, self.handle.read(max(n, BLOCK))
+        return self.block[at - self.at : at - self.at + n]
+
+    def find(self, what: bytes, at: int, stop: int) -> int:
+        """Where ``what`` begins, from ``at`` on and before ``stop``; -1 if nowhere."""
+        while at < stop:
+            part = self.get(at, min(BLOCK, self.size - at))
+            found = part.find(what)
+            if found >= 0:
+                return at + found if at + found < stop else -1
+            if at + len(part) >= self.size:
+                return -1
+            at += len(part) - len(what) + 1
+        return -1
 
 
 def _fields(head: bytes) -> dict[str, str] | None:
@@ -107,111 +150,123 @@ def _fields(head: bytes) -> dict[str, str] | None:
     return {k: _unclean(v) for k, _, v in (x.partition(": ") for x in lines[1:])}
 
 
-def _parse(buffer: memoryview, at: int, wants, payload: bool) -> tuple[dict | None, int] | None:
-    """The record whose member starts at ``at`` and the member's end, -1 if the buffer ends before it; None if it isn't one."""
-    inflate = zlib.decompressobj(31)
-    head = b""
-    pos = at
-    try:
-        while b"\r\n\r\n" not in head:
-            if inflate.eof:
-                return None
-            if pos >= len(buffer):
-                return (None, -1) if head[:5] == b"WARC/"[: len(head)] else None
-            head += inflate.decompress(buffer[pos : pos + 512])
-            pos += 512
-        text, _, body = head.partition(b"\r\n\r\n")
-        fields = _fields(text)
-        if fields is None:
-            return None
-        keep = wants(fields)
-        size = int(fields["Content-Length"])
-        data = [body]
-        while not inflate.eof:
-            if pos >= len(buffer):
-                return None, -1
-            part = inflate.decompress(buffer[pos : pos + CHUNK])
-            pos += CHUNK
-            if keep and payload:
-                data.append(part)
-    except (zlib.error, UnicodeDecodeError, KeyError, ValueError):
-        return None
-    end = min(pos, len(buffer)) - len(inflate.unused_data)
-    return ({**fields, "payload": b"".join(data)[:size] if payload else None} if keep else None), end
-
-
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path = options["path"]
         self.payload = str(options.get("payload", "true")).lower() == "true"
         self.split = int(options.get("split_bytes", 64 << 20))
-        self.wanted: list[tuple[str, frozenset]] = []
+        #: Header fields and the values that pass; None stands for any value.
+        self.wanted: list[tuple[str, frozenset | None]] = []
+        self.inflated = 0
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Equality and membership of header fields are decided here, from the headers alone."""
+        """Equality and membership of header fields are decided here, from the heads alone."""
         for f in filters:
             column = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
-            if column in FIELDS and column not in ("payload_bytes", "content_length"):
-                if isinstance(f, EqualTo | EqualNullSafe) and f.value is not None:
-                    self.wanted.append((FIELDS[column], frozenset([f.value])))
-                    continue
-                if isinstance(f, In):
-                    self.wanted.append((FIELDS[column], frozenset(f.value)))
-                    continue
-                if isinstance(f, IsNotNull):
-                    self.wanted.append((FIELDS[column], frozenset()))
-                    continue
-            yield f
+            known = column in FIELDS and column not in NUMBERS
+            if known and isinstance(f, EqualTo | EqualNullSafe) and f.value is not None:
+                self.wanted.append((FIELDS[column], frozenset([f.value])))
+            elif known and isinstance(f, In):  # a null in the list passes nothing, nor does an empty list
+                self.wanted.append((FIELDS[column], frozenset(v for v in f.value if v is not None)))
+            elif known and isinstance(f, IsNotNull):
+                self.wanted.append((FIELDS[column], None))
+            else:
+                yield f
+
+    def _wants(self, fields: dict[str, str]) -> bool:
+        return all(k in fields if values is None else fields.get(k) in values for k, values in self.wanted)
 
     def partitions(self) -> list[InputPartition]:
         files, base = _open(self.path)
-        found = files.get_file_info(pafs.FileSelector(base, allow_not_found=True))
-        sizes = sorted((f.path, f.size) for f in found if f.path.endswith(".warc.gz"))
+        found = files.get_file_info(pafs.FileSelector(base, allow_not_found=True, recursive=True))
+        hidden = lambda p: any(x[:1] in "._" for x in p[len(base) :].strip("/").split("/"))
+        sizes = sorted((f.path, f.size) for f in found if f.path.endswith(".warc.gz") and not hidden(f.path))
         return [InputPartition((p, at, min(at + self.split, n), n)) for p, n in sizes for at in range(0, n, self.split)] or [InputPartition(None)]
 
+    def _own(self, file: _File, start: int, stop: int, marker: bytes) -> Iterator[dict]:
+        """Records whose members begin in a part of a file that was written here."""
+        lead = START + marker
+        at = file.find(lead, start, stop) if start else 0
+        while 0 <= at < stop:
+            begins = file.get(at, len(START) + TAIL.size)
+            if not begins.startswith(lead):
+                raise ValueError(f"no WARC record at {at}")
+            _, length, n_head = TAIL.unpack(begins[len(START) :])
+            behind = at + len(begins)
+            head = zlib.decompressobj(-zlib.MAX_WBITS).decompress(file.get(behind, n_head))
+            self.inflated += len(head)
+            fields = _fields(head[:-4])
+            if fields is None:
+                raise ValueError(f"no WARC record at {at}")
+            if self._wants(fields):
+                payload = None
+                if self.payload:
+                    rest = file.get(behind + n_head, length - len(begins) - n_head)
+                    inflate = zlib.decompressobj(-zlib.MAX_WBITS)
+                    payload = inflate.decompress(rest)
+                    self.inflated += len(payload)
+                    if struct.unpack("<I", inflate.unused_data[:4])[0] != zlib.crc32(payload, zlib.crc32(head)):
+                        raise ValueError(f"the record at {at} is damaged")
+                    payload = payload[: int(fields["Content-Length"])]
+                yield {**fields, "payload": payload}
+            at += length
+
+    def _foreign(self, file: _File) -> Iterator[dict]:
+        """Records of a file of another writer, one gzip member each."""
+        at, left = 0, b""
+        while left or at < file.size:
+            inflate, head, kept, fields, wanted = zlib.decompressobj(31), b"", [], None, False
+            while not inflate.eof:
+                if not left:
+                    left = file.get(at, min(BLOCK, file.size - at))
+                    at += len(left)
+                    if not left:
+                        raise ValueError("the last WARC record is cut off")
+                part = inflate.decompress(left)
+                left = inflate.unused_data
+                self.inflated += len(part)
+                if fields is None:
+                    head += part
+                    text, found, part = head.partition(b"\r\n\r\n")
+                    if not found:
+                        continue
+                    fields = _fields(text)
+                    if fields is None:
+                        raise ValueError("no WARC record")
+                    wanted = self._wants(fields)
+                if wanted and self.payload:
+                    kept.append(part)
+            if wanted:
+                yield {**fields, "payload": b"".join(kept)[: int(fields["Content-Length"])] if self.payload else None}
+
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if partition.value is None:
             return
         path, start, stop, size = partition.value
         files, _ = _open(self.path)
-        wants = lambda fields: all((fields.get(k) in v) if v else k in fields for k, v in self.wanted)
-        schema = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("content_length", pa.int64()), ("payload", pa.binary())])
+        schema = pa.schema([(c, pa.int64() if c in NUMBERS else pa.string()) for c in FIELDS] + [("payload", pa.binary())])
         rows: list[dict] = []
         held = 0
 
         def out() -> pa.RecordBatch:
-            made = [{c: (int(r[f]) if f in r else None) if c in ("payload_bytes", "content_length") else r.get(f) for c, f in FIELDS.items()} | {"payload": r["payload"]} for r in rows]
+            made = [{c: (int(r[f]) if c in NUMBERS else r[f]) if f in r else None for c, f in FIELDS.items()} | {"payload": r["payload"]} for r in rows]
             rows.clear()
             return pa.RecordBatch.from_pylist(made, schema=schema)
 
         with files.open_input_file(path) as handle:
-            reach = stop + (1 << 20)
-            handle.seek(start)
-            buffer = handle.read(min(reach, size) - start)
-            at = 0
-            first = start == 0
-            while start + at < stop:
-                if not first:
-                    at = buffer.find(MAGIC, at)
-                    if at < 0 or start + at >= stop:
-                        break
-                got = _parse(memoryview(buffer), at, wants, self.payload)
-                if got is None or got[1] < 0:
-                    if got and start + len(buffer) < size:
-                        buffer += handle.read(max(1 << 20, len(buffer) // 2))  # a member that reaches beyond the buffer
-                        continue
-                    if first:
-                        raise ValueError(f"{path}: no WARC record at {start + at}")
-                    at += 1  # the magic number within compressed data
-                    continue
-                row, at = got
-                first = True
-                if row is not None:
-                    rows.append(row)
-                    held += len(row["payload"] or b"")
-                    if len(rows) >= 2000 or held > 8 << 20:
-                        yield out()
-                        held = 0
+            file = _File(handle, size)
+            begins = file.get(0, min(size, len(START) + TAIL.size))
+            own = begins.startswith(START) and len(begins) == len(START) + TAIL.size
+            if own:
+                found = self._own(file, start, stop, begins[len(START) : len(START) + 16])
+            else:
+                found = self._foreign(file) if start == 0 else iter(())
+            for row in found:
+                rows.append(row)
+                held += len(row["payload"] or b"")
+                if len(rows) >= 2000 or held > BATCH:
+                    yield out()
+                    held = 0
         if rows:
             yield out()
 
@@ -236,21 +291,33 @@ class WarcDataSource(DataSource):
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcDataSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    bound_batches(spark)
+
+
+def _small(df: DataFrame) -> DataFrame | None:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else None
 
 
 def records(pages: DataFrame, least: int = 100, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The archive's records: of equal payloads of ``least`` bytes or more, only the smallest id's is stored.
 
     Null html is empty, a null url is left out. Rows that repeat both the id and the payload of a response are
-    responses too. Null ids come after all others. An empty table gives no records.
+    responses too. Null ids come after all others. An empty table gives no records. Payloads may have any length that a
+    task can hold twice. Other columns are not read and may have any names.
     """
     payload = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("target_uri"), payload.alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    firsts = rows.where(F.col("payload_bytes") >= least).groupBy(F.col("payload_digest").alias("d")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("d", "first")
+    narrow = rows.where(F.col("payload_bytes") >= least).select(F.col("page_id").alias("p"), F.col("payload_digest").alias("d"))
+    firsts = narrow.groupBy("d").agg(F.min("p").alias("first"), F.count("*").alias("n")).where("n > 1").select("d", "first")
     firsts = materialize(firsts, "payloads")
-    rows = rows.join(firsts, F.col("payload_digest") == F.col("d"), "left")
-    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    found = _small(firsts)
+    if found is not None:
+        rows = rows.join(found, F.col("payload_digest") == F.col("d"), "left")
+    else:  # ids meet their payloads' first ones by digest, without the payloads; these move by page
+        again = narrow.join(firsts, "d").where(~F.col("p").eqNullSafe(F.col("first"))).distinct()
+        rows = rows.join(again, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("payload_digest") == F.col("d")), "left")
+    again = F.col("d").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     return rows.select(
         F.when(again, "revisit").otherwise("response").alias("record_type"),
@@ -278,16 +345,12 @@ def page_of(record_id: str) -> Column:
 
 
 def archive_report(spark: SparkSession, path: str) -> DataFrame:
-    """Per record: what its stored payload (a response's) or its headers (a revisit's) say."""
-    rows = read_archive(spark, path)
-    stored = F.col("payload").isNotNull() & (F.col("record_type") == "response")
-    return rows.select(
-        page_of("record_id").alias("page_id"),
-        F.when(stored, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(stored, F.sha2("payload", 256)).otherwise(F.substring_index("payload_digest", ":", -1)).alias("payload_digest"),
-        "record_type",
-        page_of("refers_to").alias("refers_to"),
-    )
+    """Per record: what a response's payload, or a revisit's head says. Revisits are read without any payload."""
+    responses = read_archive(spark, path).where("record_type = 'response'")
+    revisits = read_archive(spark, path, payload=False).where("record_type = 'revisit'")
+    out = responses.withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
+    out = out.unionByName(revisits.withColumns({"size": F.col("payload_bytes"), "digest": F.substring_index("payload_digest", ":", -1)}))
+    return out.select(page_of("record_id").alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", page_of("refers_to").alias("refers_to"))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
