@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialframe.llm.tokens import WordTokenizer
+from trialframe.llm.workers import bound_batches, parts
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 END = 2
@@ -81,7 +82,7 @@ class HarmonicPacker:
                     row = []
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
@@ -119,18 +120,17 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
             rows.clear()
             return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = tokenizer.ids(part.column(1).to_pylist())
-                for doc, ids in zip(part.column(0).to_pylist(), texts, strict=True):
-                    place(packer.add(doc, np.frombuffer(ids + end, np.uint32)))
-                if rows:
-                    yield out()
+        for part in parts(batches, 1, rows=256):
+            texts = tokenizer.ids(part.column(1).to_pylist())
+            for doc, ids in zip(part.column(0).to_pylist(), texts, strict=True):
+                place(packer.add(doc, np.frombuffer(ids + end, np.uint32)))
+            if rows:
+                yield out()
         place(packer.finish())
         if rows:
             yield out()
 
+    bound_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(scan, SCHEMA)
 

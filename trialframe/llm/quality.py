@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialframe.llm.scratch import materialize
+from trialframe.llm.workers import bound_batches, parts
 
 #: Bytes that are counted one by one.
 MARKS = b"|#$%&*!?.,;:'\"-_/\\@=<>{}[]()+~^`"
@@ -157,9 +158,12 @@ def fit_quality(
 
     About ``max_rows`` labelled rows at most are used (chosen by a hash of the id); their labels are
     broadcast, so that bound is also the broadcast's. Remainder 1 calibrates, the others fit.
-    Null labels and ids are ignored; several labels of one id count as their maximum. Without any
-    labelled text, or with one class only, every score is the share of label 1 (0.5 if none).
+    Null labels and ids are ignored; several labels of one id count as their maximum, and every document of a
+    labelled id is a row of its own. Null and empty texts have statistics like any others; very long ones are
+    measured whole. Without any labelled text, an empty table too, or with one class only, every score is the
+    share of label 1 (0.5 if none). Other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(remainder(id_col, folds) != 0)
     known = known.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("double").alias("y"))
     share = min(1.0, max_rows / max(known.count(), 1))
@@ -168,9 +172,9 @@ def fit_quality(
     rows = rows.select("text", "y", (remainder("__id", folds) == 1).alias("calibrates"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [statistics(t or b"") for t in batch.column(0).cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "y", "calibrates"])
+        for part in parts(batches, 0):
+            x = [statistics(t or b"") for t in part.column(0).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), part.column(1), part.column(2)], names=["x", "y", "calibrates"])
 
     rows = materialize(rows.mapInArrow(measure, "x array<double>, y double, calibrates boolean"), "statistics").repartition(8)
     fitting, held = rows.where("not calibrates"), rows.where("calibrates")
@@ -208,18 +212,25 @@ def fit_quality(
 
 def quality_score(model: QualityModel, text: Column) -> Column:
     """The score of each whole text, from 0 to 1. Null and empty texts are scored like any others."""
-    shared = model
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            x = np.array([statistics((t or "").encode()) for t in texts]).reshape(len(texts), N_STATISTICS)
-            yield pd.Series(shared.score(x))
+            out = [np.empty(0)]
+            for part in parts(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), 0):
+                x = np.array([statistics(t or b"") for t in part.column(0).cast(pa.large_binary()).to_pylist()])
+                out.append(model.score(x.reshape(part.num_rows, N_STATISTICS)))
+            yield pa.array(np.concatenate(out))
 
     return score(text.cast("string"))
 
 
 def with_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted`` (1 from ``threshold`` on), which replace any columns so named."""
+    """``docs`` with ``score`` and ``predicted`` (1 from ``threshold`` on), which replace any columns so named.
+
+    Null, empty and very long texts are scored whole like any others, equal texts alike; repeated rows each for
+    itself; an empty table stays empty.
+    """
+    bound_batches(docs.sparkSession)
     out = docs.withColumn("score", quality_score(model, F.col(text_col)))
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialframe.llm import embeddings, fingerprints, lm_score, mixing, packing, quality, sharding, simhash, token_counts, warc
-from trialframe.llm.scratch import fresh_path
+from trialframe.llm.scratch import fresh_path, materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,8 +52,9 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    mixed = mixing.mix(docs, "size")
+    docs = _table(spark, sf_dir, "documents")
+    sizes = materialize(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")), "sizes")
+    mixed = mixing.mix(sizes, "size", tie_col="tie")
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 

@@ -15,7 +15,7 @@ import numpy as np
 PLAIN = re.compile("[ \n!-~¡-¬®-ÿ]*").fullmatch
 #: The vocabulary's own split into pre-tokens, for plain lower-case text (a fixed value of its file).
 SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^ \na-zªµºß-öø-ÿ0-9²³¹¼½¾]+").findall
-MEMORY = 250_000
+MEMORY = 150_000
 #: Characters whose pre-tokens are held at once, unless one text is longer.
 GROUP = 2_000_000
 
