@@ -56,19 +56,50 @@ def test_fronts_against_all_pairs(spark, n):
     assert {r.trial_id for r in decisions.pareto_front(df, aims).collect()} == want
 
 
+@pytest.mark.parametrize("n,block", [(3, 2048), (3, 40), (4, 40)])
+def test_large_fronts_are_compared_cell_by_cell(spark, monkeypatch, n, block):
+    monkeypatch.setattr(decisions, "BLOCK", block)
+    r = random.Random(n)
+    rows = []
+    for i in range(700):  # costs that trade off against each other: nearly all are on the front
+        parts = [r.random() for _ in range(n)]
+        total = sum(parts)
+        rows.append((i, *(round(p / total + (0.02 if r.random() < 0.2 else 0), 3) for p in parts)))
+    names = "abcd"[:n]
+    df = spark.createDataFrame(rows, "trial_id int, " + ", ".join(f"{c} double" for c in names))
+    want = {i for i, *p in rows if not any(all(x <= y for x, y in zip(q, p, strict=True)) and q != p for _, *q in rows)}
+    got = {x.trial_id for x in decisions.pareto_front(df, dict.fromkeys(names, "minimize")).collect()}
+    assert got == want and len(want) > 300
+
+
 def test_refinements(history):
     ranked = decisions.top_k(history, "quality", 3).withColumn("rank", F.monotonically_increasing_id())
     zoomed = refinement.elite_zoom(SPACE, history.where("ordinal < 2"))
-    assert zoomed.parameters[0].high < 10 and zoomed.parameters[2].values == ("a",) and zoomed.parent_version == "1" and ".zoom-" in zoomed.version
-    assert SPACE.parameters[2].values == ("a", "b", "c")
+    assert zoomed.parameters[0].high < 10 and zoomed.parameters[2].values == ("a",) and zoomed.parent_version == "1" and zoomed.version.startswith("1/zoom@")
+    assert SPACE.parameters[2].values == ("a", "b", "c") and zoomed.metadata["trials"] == 2
     near = refinement.neighbourhood(SPACE, history.where("ordinal = 0").withColumn("rank", F.lit(0)), "rank", 0.2)
     assert near.parameters[0].low == 0 and near.parameters[0].high == 3.0 and near.parameters[1].high == 5
     trust = refinement.trust_region(SPACE, ranked, "rank", improved=False)
-    assert trust.metadata["trust_radius_fraction"] == 0.1 and trust.parameters[0].low == 6.0
+    assert trust.metadata["radius"] == 0.1 and trust.parameters[0].low == 6.0
     assert refinement.robustness(SPACE, ranked, "rank").parameters[0].high == pytest.approx(7.3)
-    again = refinement.replication(SPACE, ranked)
-    assert again.parameters == SPACE.parameters and again.metadata["candidates"] == ["t2", "t1", "t0"]
+    again, trials = refinement.replication(SPACE, ranked, replicates=2)
+    assert again.parameters == SPACE.parameters and again.metadata["replicates"] == 2
+    assert sorted((r.trial_id, r.replicate_index) for r in trials.collect()) == [(f"t{k}", i) for k in range(3) for i in range(2)]
     assert refinement.elite_count(11, 0.2) == 3 and refinement.elite_count(2) == 1
     for f in (lambda d: refinement.elite_zoom(SPACE, d), lambda d: refinement.neighbourhood(SPACE, d, "x"), lambda d: refinement.replication(SPACE, d)):
         with pytest.raises(PlanError):
             f(history.where("false"))
+
+
+@pytest.mark.parametrize("every", [65_536, 50])
+def test_numbers_and_sums_along_an_order(spark, every):
+    from trialframe.operators import ordering
+
+    r = random.Random(2)
+    rows = [(i, r.choice([None, "a", "é", "b", "zz"]), r.randint(0, 30)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "i int, s string, n int").repartition(3)
+    order = {"s": F.col("s"), "n": F.col("n"), "i": F.col("i")}
+    got = ordering.running(ordering.numbered(df, order, "at", every), order, {"sum": F.col("n")}, every).orderBy("at").collect()
+    want = sorted(rows, key=lambda x: (x[1] is not None, x[1] or "", x[2], x[0]))
+    assert [x.i for x in got] == [x[0] for x in want] and [x.at for x in got] == list(range(1000))
+    assert [x.sum for x in got] == [sum(y[2] for y in want[:k]) for k in range(1000)]

@@ -1,7 +1,5 @@
 from __future__ import annotations
 
-import math
-
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -39,17 +37,32 @@ def test_float_round_trip(spark, low, width, u):
     assert low <= row.x <= low + width and abs(row.u - u) < 1e-9
 
 
-def test_unit_transforms(spark):
-    one = spark.range(1)
-    get = lambda c: one.select(c.alias("v")).first().v
-    cat, log = Categorical("c", values=("a", "b", "c")), Integer("n", low=1, high=100, log=True)
-    assert get(cat.from_unit(F.lit(0.5))) == "b" and get(cat.to_unit(F.lit("c"))) == 1.0 and get(cat.from_unit(F.lit(1.0))) == "c"
-    assert get(Ordinal("o", values=(1, 2, 3)).to_unit(F.lit(2))) == 0.5
-    assert get(Boolean("b").from_unit(F.lit(0.8))) is True and get(Boolean("b").to_unit(F.lit(False))) == 0.0
-    assert get(log.from_unit(F.lit(0.0))) == 1 and get(log.from_unit(F.lit(1.0))) == 100 and get(log.to_unit(F.lit(10))) == pytest.approx(0.5)
-    assert get(Float("f", low=0.001, high=1.0, log=True, step=0.001).from_unit(F.lit(0.5))) == pytest.approx(round(math.sqrt(0.001) / 0.001) * 0.001)
-    with pytest.raises(PlanError):
-        Derived("d", expression="1").from_unit(F.lit(0.5))
+def test_unit_values_and_back(spark):
+    """Every kind of parameter: values are in range, ascend with the unit value, and come back within their step's width."""
+    kinds = [
+        Float("a", low=-2.0, high=6.0),
+        Float("b", low=0.5, high=32.0, log=True),
+        Float("c", low=0.0, high=5.0, step=0.5),
+        Integer("d", low=-3, high=12),
+        Integer("e", low=2, high=512, log=True),
+        Categorical("f", values=("n", "e", "s", "w", "up")),
+        Ordinal("g", values=(3, 5, 8, 13)),
+        Boolean("h"),
+    ]
+    width = {"c": 0.11, "d": 0.07, "e": 0.3, "f": 0.26, "g": 0.34, "h": 0.51}
+    units = spark.range(41).select((F.col("id") / 40).alias("u"))
+    for p in kinds:
+        rows = units.select("u", p.from_unit(F.col("u")).alias("v")).select("u", "v", p.to_unit(F.col("v")).alias("back")).orderBy("u").collect()
+        place = (lambda v, p=p: p.values.index(v)) if isinstance(p, Categorical | Ordinal) else (lambda v: v)
+        values = [place(r.v) for r in rows]
+        assert values == sorted(values) and all(abs(r.u - r.back) < width.get(p.name, 1e-9) for r in rows), p.name
+        if isinstance(p, Float | Integer):
+            assert min(values) >= p.low and max(values) <= p.high
+        else:
+            assert len(set(values)) == len(getattr(p, "values", (0, 1)))
+    for p in (Derived("x", expression="1"), Fixed("y", value=2)):
+        with pytest.raises(PlanError):
+            p.from_unit(F.lit(0.5))
     with pytest.raises(PlanError):
         Space((Boolean("a"), Fixed("a", value=1)))
 
@@ -57,23 +70,24 @@ def test_unit_transforms(spark):
 def _mixed():
     return Space(
         (
-            Float("rate", low=1e-3, high=1.0, log=True, step=1e-3),
-            Integer("n", low=1, high=16, log=True),
-            Categorical("kind", values=("a", "b")),
-            Boolean("flag"),
-            Ordinal("size", values=("low", "mid", "high")),
-            Fixed("fixed", value=3),
-            Derived("twice", expression="n * 2", sources=("n",)),
+            Categorical("solver", values=("direct", "sweep", "hybrid")),
+            Integer("rounds", low=2, high=40),
+            Float("damping", low=0.01, high=0.9, log=True, active_when=Condition("solver", "ne", "direct")),
+            Ordinal("grid", values=(16, 32, 64)),
+            Boolean("warm"),
+            Derived("work", expression="rounds * grid", sources=("rounds", "grid")),
         ),
-        (Constraint("twice >= 2 and fixed == 3"),),
+        (Constraint("work <= 1200 and rounds > 2"),),
     )
 
 
 @pytest.mark.parametrize("planner", ["random", "numpy", "sobol", "halton", "latin"])
-def test_designs_are_deterministic(spark, planner):
-    draw = lambda seed: [r.fingerprint for r in designs.propose(spark, _mixed(), designs.Request(5, seed=seed), planner, oversample=2).orderBy("row_index").collect()]
-    assert draw(1) == draw(1) != draw(2) and len(set(draw(1))) == 5
-    assert all(r.twice == 2 * r.n for r in designs.propose(spark, _mixed(), designs.Request(5, seed=1), planner, oversample=2).collect())
+def test_designs_repeat_by_seed_and_keep_the_rules(spark, planner):
+    draw = lambda seed: designs.propose(spark, _mixed(), designs.Request(9, seed=seed), planner, oversample=6).orderBy("row_index").collect()
+    one, again, other = draw(11), draw(11), draw(12)
+    assert [r.trial_id for r in one] == [r.trial_id for r in again] != [r.trial_id for r in other]
+    for r in one:
+        assert r.work == r.rounds * r.grid <= 1200 and r.rounds > 2 and (r.damping is None) == (r.solver == "direct")
 
 
 def test_numpy_draws_are_numpys(spark):
@@ -84,23 +98,49 @@ def test_numpy_draws_are_numpys(spark):
     assert np.array_equal(rows, np.random.default_rng(7).random((1000, 3)))
 
 
-def test_grids_and_few_rows(spark):
-    space = Space((Boolean("flag"), Categorical("kind", values=("a", "b"))))
-    assert designs.propose(spark, space, designs.Request(4), "grid").count() == 4 == designs.propose(spark, space, designs.Request(4), "factorial").count()
-    assert designs.propose(spark, space, designs.Request(7, seed=4), "halton").count() == 7
-    with pytest.raises(PlanError):
-        designs.propose(spark, space, designs.Request(5), "grid")
-    assert designs.propose(spark, space, designs.Request(5, allow_fewer=True), "grid").count() == 4
-    fixed = Space((Fixed("a", value=1), Derived("b", expression="a + 1", sources=("a",))))
-    assert [r.b for r in designs.propose(spark, fixed, designs.Request(3), "random").collect()] == [2, 2, 2]
-
-
-def test_conditional_latin_design(spark):
-    space = Space((Categorical("method", values=("a", "b")), Float("strength", low=0.0, high=1.0, active_when=Condition("method", "eq", "b")), Integer("count", low=1, high=5)))
-    rows = designs.propose(spark, space, designs.Request(12, seed=42), "latin").collect()
-    assert len({r.trial_id for r in rows}) == 12
-    assert all((r.strength is not None) == (r.method == "b") and 1 <= r["count"] <= 5 for r in rows)
-    assert sorted(r.method for r in rows) == ["a"] * 6 + ["b"] * 6  # a true Latin design
+def test_counts_of_rows(spark):
+    axes = Space((Ordinal("level", values=(1, 2, 3)), Boolean("on"), Integer("n", low=0, high=9)))
+    assert designs.propose(spark, axes, designs.Request(12), "grid", points=2).count() == 12
+    for planner in ("grid", "factorial"):
+        with pytest.raises(PlanError, match="12 valid rows"):
+            designs.propose(spark, axes, designs.Request(13), planner, points=2)
+    assert designs.propose(spark, axes, designs.Request(13, allow_fewer=True), "grid", points=2).count() == 12
+    assert designs.propose(spark, axes, designs.Request(50, seed=2, replicates=2), "halton").count() == 100
+    odd = Space(axes.parameters, (Constraint("level != 2"),))
+    assert designs.propose(spark, odd, designs.Request(8), "grid", points=2).count() == 8
+    with pytest.raises(PlanError, match="8 valid rows"):
+        designs.propose(spark, odd, designs.Request(9), "grid", points=2)
+    nothing = Space((Fixed("base", value=5), Derived("next", expression="base - 1", sources=("base",))))
+    assert [r.next for r in designs.propose(spark, nothing, designs.Request(4), "random").collect()] == [4] * 4
+    with pytest.raises(PlanError, match="unknown planner"):
+        designs.propose(spark, axes, designs.Request(1), "spiral")
+
+
+def test_strata_hold_one_point_each(spark):
+    space = Space((Float("x", low=-1.0, high=4.0), Ordinal("k", values=(1, 2, 3, 4, 5)), Float("y", active_when=Condition("k", "gt", 3))))
+    rows = designs.propose(spark, space, designs.Request(20, seed=8), "latin").collect()
+    assert sorted(int((r.x + 1) / 5 * 20) for r in rows) == list(range(20)) and sorted(r.k for r in rows) == sorted([1, 2, 3, 4, 5] * 4)
+    assert all((r.y is not None) == (r.k > 3) for r in rows) and len({r.trial_id for r in rows}) == 20
+
+
+def test_sobol_points_of_many_dimensions_fill_every_interval(spark):
+    space = Space(tuple(Float(f"d{j}") for j in range(30)))
+    rows = designs.sobol_units(spark, space, 64).collect()
+    for p in space.sampled:  # 64 points: one in each 64th of every dimension
+        assert sorted(int(r[unit_column(p)] * 64) for r in rows) == list(range(64))
+    with pytest.raises(PlanError, match="repeat"):
+        designs.sobol_units(spark, space, 2**30 + 1)
+
+
+def test_texts_and_lists_in_expressions(spark):
+    df = spark.createDataFrame([("ab", [1, 2], 3)], "s string, l array<int>, n int")
+    ask = lambda e: df.select(compile_expression(e, ["s", "l", "n"], lists=("l",), texts=("s",)).alias("v")).first().v
+    assert (ask("s + '-' + s"), ask("s * 2"), ask("n * 'x'"), ask("l + [n]"), ask("[0] * 2 + l")) == ("ab-ab", "abab", "xxx", [1, 2, 3], [0, 0, 1, 2])
+    for bad in ("s + n", "l * s", "s - s", "s / 2", "l + s"):
+        with pytest.raises(PlanError):
+            ask(bad)
+    space = Space((Categorical("a", values=("x", "y")), Derived("b", expression="a + '!'", sources=("a",))))
+    assert [r.b for r in designs.propose(spark, space, designs.Request(2), "grid").orderBy("b").collect()] == ["x!", "y!"]
 
 
 def test_conditions_on_absent_values(spark):

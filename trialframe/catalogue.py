@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trialframe.functions import canonical
 from trialframe.functions.expressions import compile_expression
-from trialframe.operators import decisions, designs, reductions, refinement, runstore
+from trialframe.operators import decisions, designs, ordering, reductions, refinement, runstore
 from trialframe.plans import pipeline as dag
 from trialframe.plans.space import Boolean, Categorical, Condition, Constraint, Derived, Fixed, Float, Integer, Ordinal, Space, project, resolve, unit_column, violation
 from trialframe.sources import artifacts as store
@@ -185,9 +185,14 @@ def robustness(spark, sf):
 
 @_query(f"WITH {ELITE} SELECT p_partkey::varchar AS trial_id, r::integer AS replicate_index FROM elite, (SELECT unnest([0, 1, 2]) AS r)")
 def replication(spark, sf):
-    space = refinement.replication(SPACE, _elite(spark, sf))
-    ids = spark.createDataFrame([(i,) for i in space.metadata["candidates"]], "trial_id string")
-    return designs.replicate(ids, space.metadata["replicates"])
+    return refinement.replication(SPACE, _elite(spark, sf))[1]
+
+
+@_query("""WITH n AS (SELECT count(*) AS n FROM part), r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part)
+SELECT p_partkey FROM r, n WHERE rank <= greatest(1, ceil(n * 0.15))""")
+def elite_share(spark, sf):
+    ranked = ordering.numbered(_t(spark, sf, "part"), {"price": -F.col("p_retailprice"), "id": F.col("p_partkey")}, "rank")
+    return refinement.elites(ranked, "rank", 0.15).select("p_partkey")
 
 
 # -- spaces and designs -------------------------------------------------------------------------------------
@@ -298,17 +303,29 @@ def factorial_design(spark, sf):
     return designs.propose(spark, space, designs.Request(6, seed=1), "factorial").select("row_index", "flag", "kind", "replicate_index", "planner")
 
 
-def _sobol_sql(n: int, dims: int) -> str:
+#: The first ten direction numbers of six Sobol dimensions, as published, in units of 2**-10 (fixed values): 1,024 points need no more.
+DIRECTIONS = (
+    (512, 256, 128, 64, 32, 16, 8, 4, 2, 1),
+    (512, 768, 640, 960, 544, 816, 680, 1020, 514, 771),
+    (512, 768, 384, 576, 928, 368, 568, 788, 418, 627),
+    (512, 768, 128, 320, 992, 464, 648, 588, 866, 149),
+    (512, 256, 128, 704, 992, 880, 488, 628, 362, 191),
+    (512, 256, 384, 192, 800, 144, 344, 1004, 898, 449),
+)
+
+
+def _sobol_sql(n: int) -> str:
+    bit = lambda k: f"((xor(range, range >> 1) >> {k}) & 1)"
     out = []
-    for d in range(dims):
+    for d, numbers in enumerate(DIRECTIONS):
         value = "0"
-        for k, v in enumerate(designs.direction_numbers(d)):
-            value = f"xor({value}, ((xor(range, range >> 1) >> {k}) & 1) * {v})"
-        out.append(f"round(({value}) / 1073741824.0::double, 9) AS d{d}")
+        for k, v in enumerate(numbers):
+            value = f"xor({value}, {bit(k)} * {v})"
+        out.append(f"round(({value}) / 1024.0::double, 9) AS d{d}")
     return f"SELECT range::bigint AS row_index, {', '.join(out)} FROM range({n})"
 
 
-@_query(_sobol_sql(1024, 6))
+@_query(_sobol_sql(1024))
 def sobol_design(spark, sf):
     space = Space(tuple(Float(f"d{j}") for j in range(6)))
     return designs.sobol_units(spark, space, 1024).select("row_index", *(F.round(unit_column(p), 9).alias(p.name) for p in space.sampled))
@@ -341,7 +358,7 @@ def numpy_design(spark, sf):
     return designs.propose(spark, MIXED, designs.Request(100, seed=3), "numpy")
 
 
-@_query("SELECT p_partkey, p_size, p_brand, (row_number() OVER (ORDER BY p_partkey) - 1)::integer AS row_index FROM part")
+@_query("SELECT p_partkey, p_size, p_brand, row_number() OVER (ORDER BY p_partkey) - 1 AS row_index FROM part")
 def design_matrix(spark, sf):
     rows = _t(spark, sf, "part").select("p_partkey", "p_size", "p_brand")
     return designs.design_matrix(rows, Space((Fixed("p_size"),), (Constraint("p_size >= 0"),)), "p_partkey")
@@ -352,10 +369,11 @@ def replicates(spark, sf):
     return designs.replicate(_t(spark, sf, "part").select("p_partkey"), 4)
 
 
-@_query("SELECT event_id, hour, value, median, value < median AS prune FROM (SELECT event_id, hour(ts) AS hour, round(value, 6) AS value, round(median(value) OVER (PARTITION BY hour(ts)), 6) AS median FROM events)")
+@_query("""WITH v AS (SELECT event_id, hour(ts) AS hour, round(value, 6) AS value FROM events), m AS (SELECT *, median(value) OVER (PARTITION BY hour) AS m FROM v)
+SELECT event_id, hour, value, round(m, 6) AS median, value < m AS prune FROM m""")
 def median_prune(spark, sf):
     e = _t(spark, sf, "events").select("event_id", F.hour("ts").cast("long").alias("hour"), F.round("value", 6).alias("value"))
-    return designs.median_prune(e, "value", "hour", "event_id").withColumn("median", F.round("median", 6)).withColumn("prune", F.col("value") < F.col("median"))
+    return designs.median_prune(e, "value", "hour", "event_id").withColumn("median", F.round("median", 6))
 
 
 # -- dataflow -----------------------------------------------------------------------------------------------
@@ -441,6 +459,47 @@ def array_selection(spark, sf):
     return _runs(spark, sf).select("run_id", reductions.nearest_error(v, F.lit(25.0)).alias("nearest"), reductions.distinct_sorted(v, 3).alias("firsts"), reductions.argmax(v).alias("top"))
 
 
+@_query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity + 1 AS x, l_extendedprice - 1 AS y FROM lineitem")
+def translated_points(spark, sf):
+    i = _t(spark, sf, "lineitem")
+    point = F.array(F.struct(F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y")))
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return i.select(*keys, reductions.translated(point)[0].alias("p")).select(*keys, "p.x", "p.y")
+
+
+SERIES = "series AS (SELECT user_id, list(value ORDER BY event_id) AS vals FROM events GROUP BY user_id HAVING count(*) >= 21)"
+
+
+@_query(f"""WITH {SERIES}, s AS (SELECT user_id, list_slice(vals, 5, 21) AS part FROM series), t AS (SELECT *, list_position(part, list_max(part)) AS top FROM s),
+m AS (SELECT *, [CASE WHEN i < top OR i > top + 3 THEN part[i] END FOR i IN range(1, 18)] AS rest FROM t)
+SELECT user_id, (top + 3)::bigint AS peak, (list_position(rest, list_max(rest)) + 3)::bigint AS second FROM m""")
+def second_peak(spark, sf):
+    rows = F.array_sort(F.collect_list(F.struct("event_id", "value")))
+    v = F.transform("r", lambda x: x["value"])
+    s = _t(spark, sf, "events").groupBy("user_id").agg(rows.alias("r")).where(F.size("r") >= 21).select("user_id", v.alias("v"))
+    return s.select("user_id", reductions.argmax(F.col("v"), 4, 20).alias("peak"), reductions.second_argmax(F.col("v"), 4, 20).alias("second"))
+
+
+@_query("SELECT b.range::bigint AS bin, coalesce(round(sum(l_discount) / count(l_discount), 9), 0.0::double) AS profile FROM range(20) b LEFT JOIN lineitem ON floor(l_quantity / 5) = b.range GROUP BY b.range")
+def padded_profile(spark, sf):
+    out = reductions.profile(_t(spark, sf, "lineitem"), F.floor(F.col("l_quantity") / 5), "l_discount", 20)
+    return out.withColumn("profile", F.round("profile", 9))
+
+
+@_query(f"WITH {RUNS} SELECT run_id, list_sum(list_transform(vals, lambda x: x * x)) AS total FROM runs")
+def mapped_reduce(spark, sf):
+    """A reducer behind a mapped block."""
+    items = reductions.fan_out(_runs(spark, sf), "values").withColumn("square", F.col("values")[0] * F.col("values")[0])
+    return reductions.reduced(items, ["run_id"], "partition_id", F.lit(0.0), lambda s, x: s + x, "square", "total")
+
+
+@_query("SELECT p_partkey, p_brand || ':' || p_type AS label, repeat(p_brand, 2) AS twice FROM part")
+def text_expressions(spark, sf):
+    names = ["p_brand", "p_type"]
+    made = {"label": "p_brand + ':' + p_type", "twice": "p_brand * 2"}
+    return _t(spark, sf, "part").select("p_partkey", *(compile_expression(e, names, texts=("p_brand", "p_type")).alias(k) for k, e in made.items()))
+
+
 # -- state, cache, lineage ----------------------------------------------------------------------------------
 
 
@@ -546,16 +605,62 @@ def checkpoint_sequence(spark, sf):
     return runstore.checkpoint_sequence(_t(spark, sf, "conversations").select("conv_id", "turn"), "conv_id", "turn")
 
 
-@_query()
+ROW = ["l_discount", "l_extendedprice", "l_linenumber", "l_linestatus", "l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_suppkey", "l_tax"]
+
+
+@_query("SELECT sha256(to_json({" + ", ".join(f"'{c}': {c}" for c in ROW) + ", 'planner': 'matrix'})::varchar) AS fingerprint FROM lineitem")
 def row_fingerprints(spark, sf):
-    columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
-    return _t(spark, sf, "lineitem").select(canonical.row_fingerprint(columns, {"planner": "matrix"}).alias("fingerprint"))
+    return _t(spark, sf, "lineitem").select(canonical.row_fingerprint(ROW, {"planner": "matrix"}).alias("fingerprint"))
+
+
+@_query("""WITH p AS (SELECT p_partkey, ['', '', '', sha256(p_brand), '', p_type, '', p_size::varchar, ''] AS t FROM part)
+SELECT p_partkey, sha256(list_aggregate(list_transform(t, lambda x: strlen(x)::varchar || ':' || x), 'string_agg', '')) AS key FROM p""")
+def cache_keys(spark, sf):
+    parts = dict.fromkeys(canonical.KEY_PARTS, F.lit(None)) | {"environment": canonical.content_hash("p_brand"), "model": F.col("p_type"), "seed": F.col("p_size")}
+    return _t(spark, sf, "part").select("p_partkey", canonical.cache_key(parts).alias("key"))
+
+
+@_query(f"WITH {HISTORY} SELECT run_id, count(*) FILTER (WHERE state = 'running') AS attempts FROM h GROUP BY run_id")
+def run_attempts(spark, sf):
+    return runstore.attempts(_history(spark, sf))
+
+
+@_query("SELECT user_id AS run_id, event_id // 3 AS version, count(*) AS writers FROM events GROUP BY ALL HAVING count(*) > 1")
+def version_conflicts(spark, sf):
+    e = _t(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.floor(F.col("event_id") / 3).alias("version"), F.lit("running").alias("state"))
+    return runstore.conflicts(e)
+
+
+@_query("""WITH RECURSIVE q AS (SELECT user_id AS run_id, event_type AS owner, ts AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type) AS k FROM events),
+g AS (SELECT run_id, owner, at, k, true AS granted, owner AS holder, at + INTERVAL 2 DAY AS expires FROM q WHERE k = 1
+ UNION ALL SELECT q.run_id, q.owner, q.at, q.k, g.expires <= q.at OR g.holder = q.owner, CASE WHEN g.expires <= q.at THEN q.owner ELSE g.holder END, CASE WHEN g.expires <= q.at THEN q.at + INTERVAL 2 DAY ELSE g.expires END FROM g JOIN q ON q.run_id = g.run_id AND q.k = g.k + 1)
+SELECT run_id, owner, at, granted FROM g""")
+def lease_grant(spark, sf):
+    e = _t(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("owner"), F.col("ts").alias("at"))
+    return runstore.lease_grants(e, 2 * 86400)
+
+
+@_query("""WITH i AS (SELECT DISTINCT l_orderkey AS run_id, l_linenumber AS partition_id FROM lineitem),
+a AS (SELECT DISTINCT l_orderkey AS run_id, l_linenumber AS partition_id FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey % 5 <> 0)
+SELECT i.run_id, i.partition_id, a.run_id IS NOT NULL AS reused FROM i LEFT JOIN a USING (run_id, partition_id)""")
+def partition_resume(spark, sf):
+    i = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("partition_id"), "l_returnflag", "l_suppkey")
+    files = i.where("l_returnflag = 'R'").withColumn("whole", F.col("l_suppkey") % 5 != 0)
+    return runstore.partition_status(i.select("run_id", "partition_id").distinct(), files, ["run_id", "partition_id"])
+
+
+@_query(f"WITH RECURSIVE {TREE} SELECT 'run' AS kind, 1 + 0 * count(*) AS depth, count(*) AS n FROM below WHERE depth = 1 UNION ALL SELECT 'run', 2, count(*) FROM below WHERE depth = 2 UNION ALL SELECT 'artifact', NULL, count(*) FROM orders WHERE 'c' || o_custkey IN (SELECT run_id FROM below)")
+def export_documents(spark, sf):
+    """What an export of a subtree holds, read back from its documents."""
+    files = _t(spark, sf, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("run_id"), "o_orderkey")
+    lines = exchange.export_tree(_tree(spark, sf), files, "r1")
+    return lines.groupBy("kind", F.get_json_object("document", "$.depth").cast("bigint").alias("depth")).agg(F.count("*").alias("n"))
 
 
 # -- exchange and extensions --------------------------------------------------------------------------------
 
 
-@_query()
+@_query("SELECT event_id, left(json_extract_string(props, '$.k'), 500) AS k, json_extract_string(props, '$.n.a') AS \"n.a\", left(json_extract_string(props, '$.n.b'), 500) AS \"n.b\" FROM events")
 def flatten_params(spark, sf):
     e = _t(spark, sf, "events").select("event_id", "props")
     return reductions.flatten_json(e, "props", "k string, n struct<a: double, b: string>")
@@ -565,7 +670,7 @@ def flatten_params(spark, sf):
 def tracking_records(spark, sf):
     d = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("run_id"), "lang", F.struct("source", "text").alias("at"))
     m = _t(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("run_id"), F.lit("quality").alias("name"), F.col("quality").cast("double").alias("scalar"), F.lit(None).cast("array<double>").alias("vector"), F.lit(None).cast("string").alias("artifact"))
-    return exchange.tracking_records(m, d)
+    return exchange.tracking_records(m, d).drop("step")
 
 
 @_query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most FROM events GROUP BY 1, 2")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import threading
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +31,10 @@ def _plans(spark: SparkSession, experiment: Experiment):
     space = experiment.build_space()
     if space is None:
         return spark.createDataFrame([("trial-0",)], "trial_id string")
-    return designs.propose(spark, space, experiment.request(), experiment.planner.get("kind", "random"))
+    return designs.propose(spark, space, experiment.request(), experiment.build_planner())
 
 
-def run_experiment(spark: SparkSession, experiment: Experiment) -> dict:
+def run_experiment(spark: SparkSession, experiment: Experiment, resume: bool = False) -> dict:
     """All trials through the pipeline at once; outputs of the last node by trial."""
     from pyspark.sql import types as T
 
@@ -49,10 +50,10 @@ def run_experiment(spark: SparkSession, experiment: Experiment) -> dict:
         initial = initial.withColumn(f.name, F.from_json(F.lit(text), T.StructType([T.StructField("v", f.dataType)]))["v"])
     root = experiment.storage.get("root")
     if root:
-        result = DurableRunner(spark, RunStore(spark, f"{root}/state"), root).run(pipeline, initial)
-        return {"experiment": experiment.name, "hits": list(result.hits), "trials": _rows(result.final)}
+        result = DurableRunner(spark, RunStore(spark, f"{root}/state"), root).run(pipeline, initial, resume=resume, signals=threading.current_thread() is threading.main_thread())
+        return {"experiment": experiment.name, "hits": list(result.hits), "resumed": list(result.resumed), "trials": _rows(result.final)}
     outputs = pipeline.run(initial)
-    return {"experiment": experiment.name, "hits": [], "trials": _rows(outputs[pipeline.order()[-1].id])}
+    return {"experiment": experiment.name, "hits": [], "resumed": [], "trials": _rows(outputs[pipeline.order()[-1].id])}
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -89,7 +90,7 @@ def _dispatch(args: argparse.Namespace, spark: SparkSession | None):
         return {"valid": True, "order": [n.id for n in experiment.build_pipeline().order()]}
     spark = spark or _session()
     if args.command in ("run", "resume"):
-        return run_experiment(spark, Experiment.from_json(args.config))
+        return run_experiment(spark, Experiment.from_json(args.config), args.command == "resume")
     if args.command == "plan":
         plans = _plans(spark, Experiment.from_json(args.config))
         if args.out:
@@ -102,7 +103,7 @@ def _dispatch(args: argparse.Namespace, spark: SparkSession | None):
     if args.command == "inspect":
         return {"state": store.state(args.id).asDict(), "events": _rows(store.events(args.id)), "metrics": _rows(store.metrics(args.id)), "artifacts": _rows(artifacts_under(store.table("runs"), store.artifacts(), args.id))}
     if args.command == "reconcile":
-        return {"stale": store.reconcile_stale(requeue=args.requeue)}
+        return {"stale": [r.run_id for r in store.reconcile_stale(requeue=args.requeue).toLocalIterator()]}
     if args.command == "pause":
         return {"version": store.transition(args.id, "pausing")}
     if args.command == "cancel":
@@ -110,7 +111,7 @@ def _dispatch(args: argparse.Namespace, spark: SparkSession | None):
     if args.command == "retry":
         return {"version": store.transition(args.id, "queued")}
     if args.command == "export":
-        return json.loads(export_tree(store.table("runs"), store.artifacts(), args.id).first().document)
+        return [{"kind": r.kind, **json.loads(r.document)} for r in export_tree(store.table("runs"), store.artifacts(), args.id).toLocalIterator()]
     artifacts = ArtifactStore(spark, f"{args.root}/artifacts")
     if args.command == "verify":
         return {"corrupt": [r.content_hash for r in artifacts.payloads().where("not whole").collect()]}

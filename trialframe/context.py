@@ -76,3 +76,10 @@ class Context:
     def report_metric(self, name: str, value: object, partition_id: str | None = None) -> None:
         if self.store is not None:
             self.store.report_metric(self.run_id, name, value, partition_id)
+
+    def save_checkpoint(self, payload: object, fingerprint: str = "") -> int | None:
+        """Keep a block's progress; its number, or None without a store."""
+        return None if self.store is None else self.store.save_checkpoint(self.run_id, payload, fingerprint)
+
+    def latest_checkpoint(self, fingerprint: str | None = None) -> object | None:
+        return None if self.store is None else self.store.latest_checkpoint(self.run_id, fingerprint)

@@ -1,7 +1,8 @@
 """A small expression language, compiled to Spark columns with Python's meaning.
 
 Literals, names, lists, ``+ - * / ** %``, ``and or not``, chained comparisons, ``in`` and
-``not in``. Anything else, such as calls, attributes or subscripts, is refused.
+``not in``. ``+`` also joins texts and lists, and ``*`` repeats them, as far as names tell which are texts
+or lists. Anything else, such as calls, attributes or subscripts, is refused.
 """
 
 from __future__ import annotations
@@ -49,8 +50,20 @@ ORDER = {
 
 
 class _Compiler(ast.NodeVisitor):
-    def __init__(self, names: Mapping[str, Column], lists: frozenset[str]) -> None:
-        self.names, self.lists = names, lists
+    def __init__(self, names: Mapping[str, Column], lists: frozenset[str], texts: frozenset[str]) -> None:
+        self.names, self.lists, self.texts = names, lists, texts
+
+    def kind(self, node: ast.AST) -> str | None:
+        """``text``, ``list``, or None for all else, from literals and names."""
+        if isinstance(node, ast.Constant):
+            return "text" if isinstance(node.value, str) else None
+        if isinstance(node, ast.Name):
+            return "text" if node.id in self.texts else "list" if node.id in self.lists else None
+        if isinstance(node, ast.List | ast.Tuple):
+            return "list"
+        if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add | ast.Mult):
+            return self.kind(node.left) or self.kind(node.right)
+        return None
 
     def generic_visit(self, node: ast.AST):
         raise PlanError(f"expressions cannot contain {type(node).__name__}")
@@ -83,7 +96,20 @@ class _Compiler(ast.NodeVisitor):
     def visit_BinOp(self, node: ast.BinOp):
         if type(node.op) not in ARITHMETIC:
             self.generic_visit(node.op)
-        return ARITHMETIC[type(node.op)](self.scalar(node.left), self.scalar(node.right))
+        left, right = self.scalar(node.left), self.scalar(node.right)
+        kinds = [self.kind(node.left), self.kind(node.right)]
+        if any(kinds) and isinstance(node.op, ast.Add):
+            if kinds[0] != kinds[1]:
+                raise PlanError(f"cannot add {kinds[0] or 'a number'} and {kinds[1] or 'a number'}")
+            return F.concat(left, right)
+        if any(kinds) and isinstance(node.op, ast.Mult):
+            if all(kinds):
+                raise PlanError(f"cannot multiply {kinds[0]} and {kinds[1]}")
+            what, times = (left, right) if kinds[0] else (right, left)
+            return F.repeat(what, times.cast("int")) if "text" in kinds else F.flatten(F.array_repeat(what, times.cast("int")))
+        if any(kinds):
+            raise PlanError(f"no arithmetic but + and * on {kinds[0] or kinds[1]}")
+        return ARITHMETIC[type(node.op)](left, right)
 
     def visit_UnaryOp(self, node: ast.UnaryOp):
         if isinstance(node.op, ast.Not):
@@ -120,15 +146,16 @@ class _Compiler(ast.NodeVisitor):
         return reduce(lambda a, b: a & b, parts)
 
 
-def compile_expression(text: str, names: Mapping[str, Column] | list[str] | tuple[str, ...], lists: tuple[str, ...] = ()) -> Column:
+def compile_expression(text: str, names: Mapping[str, Column] | list[str] | tuple[str, ...], lists: tuple[str, ...] = (), texts: tuple[str, ...] = ()) -> Column:
     """The column of an expression over ``names``: a map to columns, or plain column names.
 
-    ``in`` looks for an item in a list literal or in one of the array columns ``lists``, else for a substring.
+    ``in`` looks for an item in a list literal or in one of the array columns ``lists``, else for a substring. ``texts`` names the
+    text columns, which ``+`` joins.
     """
     columns = dict(names) if isinstance(names, Mapping) else {n: named(n) for n in names}
     try:
         tree = ast.parse(text, mode="eval")
     except SyntaxError as e:
         raise PlanError(f"{text!r}: {e.msg}") from e
-    value = _Compiler(columns, frozenset(lists)).visit(tree)
+    value = _Compiler(columns, frozenset(lists), frozenset(texts)).visit(tree)
     return F.array(*value) if isinstance(value, _List) else value

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialframe.errors import PlanError
+from trialframe.scratch import materialize
 
 
-def latest(df: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
-    """The last row of each key by ``order``: one partial aggregation, no sort."""
-    last = F.max_by(F.struct(*values), order).alias("last")
+def latest(df: DataFrame, keys: list[str], order: str, values: list[str], ties: list[str] = ()) -> DataFrame:
+    """The last row of each key by ``order``, then by ``ties``: one partial aggregation, no sort."""
+    last = F.max_by(F.struct(*values), F.struct(order, *ties) if ties else F.col(order)).alias("last")
     return df.groupBy(*keys).agg(last).select(*keys, *(f"last.{v}" for v in values))
 
 
@@ -95,26 +96,74 @@ def _staircase(points: DataFrame) -> DataFrame:
     return joined.withColumn("__best", best).where(F.col("__best").isNull() | (F.col("__c1") < F.col("__best"))).select("__c0", "__c1")
 
 
+#: Points that are compared with as many by one task, and cells of the grid, about.
+BLOCK, CELLS = 2048, 4096
+
+
 def _skyline(points: DataFrame, names: list[str]) -> DataFrame:
-    """Three costs or more: skylines of hash blocks, merged in rounds of fewer blocks."""
+    """Three costs or more: within hash blocks first, then cells of a grid of quantiles.
+
+    A cell is gone if another one with points is before it in every cost. The points of a cell that is left can only be
+    dominated from cells that are not behind it in any cost; with these it is compared, a block of one against a block of the
+    other in each task. No group of all survivors is formed.
+    """
     import numpy as np
     import pandas as pd
 
-    def thin(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows[names].to_numpy()
+    def front(x: np.ndarray) -> np.ndarray:
         x = x[np.lexsort(x.T[::-1])]
         kept = np.empty((0, x.shape[1]))
-        for at in range(0, len(x), 512):
-            block = x[at : at + 512]
-            rivals = np.concatenate([kept, block])
-            less = (rivals[:, None] <= block[None]).all(2) & (rivals[:, None] < block[None]).any(2)
-            kept = np.concatenate([kept, block[~less.any(0)]])
-        return pd.DataFrame(kept, columns=names)
+        for at in range(0, len(x), 256):
+            block = x[at : at + 256]
+            kept = np.concatenate([kept, block[~dominated(block, np.concatenate([kept, block]))]])
+        return kept
+
+    def dominated(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), bool)
+        for at in range(0, len(by), 256):
+            rivals = by[at : at + 256]
+            out |= ((rivals[:, None] <= x[None]).all(2) & (rivals[:, None] < x[None]).any(2)).any(0)
+        return out
 
     out = ", ".join(f"{c} double" for c in names)
-    for blocks in (256, 16, 1):
-        points = points.groupBy(F.pmod(F.xxhash64(*names), F.lit(blocks)).alias("__block")).applyInPandas(lambda _, rows: thin(rows), out)
-    return points
+    size = max(1, -(-points.count() // BLOCK))
+    dealt = points.groupBy(F.pmod(F.xxhash64(*names), F.lit(size)).alias("__block"))
+    points = materialize(dealt.applyInPandas(lambda _, rows: pd.DataFrame(front(rows[names].to_numpy()), columns=names), out), "points")
+    per = max(2, int(CELLS ** (1 / len(names))))
+    cuts = points.agg(*(F.percentile_approx(c, [i / per for i in range(1, per)], 1000).alias(c) for c in names)).first()
+
+    def place(c: str) -> Column:
+        edges = F.array(*(F.lit(float(v)) for v in sorted(set(cuts[c] or [])))).cast("array<double>")
+        return F.size(F.filter(edges, lambda e: e < F.col(c)))
+
+    placed = points.withColumn("cell", F.array(*map(place, names)))
+    sizes = {tuple(r.cell): r["count"] for r in placed.groupBy("cell").count().collect()}  # CELLS rows at most
+    cells = np.array(sorted(sizes), int).reshape(-1, len(names))
+    left = [tuple(c) for c in cells[~np.array([(cells < c).all(1).any() for c in cells], bool)].tolist()]
+    if len(left) < 2 and all(sizes[c] <= BLOCK for c in left):
+        only = F.array(*(F.lit(i) for i in left[0])) if left else F.lit(None)
+        return placed.where(F.col("cell") == only).groupBy("cell").applyInPandas(lambda _, rows: pd.DataFrame(front(rows[names].to_numpy()), columns=names), out)
+    kept = np.array(left, int).reshape(-1, len(names))
+    parts = {c: -(-sizes[c] // BLOCK) for c in left}
+    # (own cell, own part, rival cell, rival part): one task each
+    duties = [(list(c), i, [int(v) for v in r], j) for c in left for r in kept[(kept <= np.array(c)).all(1)].tolist() for i in range(parts[c]) for j in range(parts[tuple(r)])]
+    duty = placed.sparkSession.createDataFrame([(k, *d) for k, d in enumerate(duties)], "duty long, own array<int>, own_part int, rival array<int>, rival_part int")
+    count = placed.sparkSession.createDataFrame([(list(c), n) for c, n in parts.items()], "kept array<int>, parts int")
+    mine = placed.join(F.broadcast(count), F.col("cell") == F.col("kept")).withColumn("part", F.pmod(F.xxhash64(*names), F.col("parts")).cast("int")).select("cell", "part", *names)
+    small = F.broadcast(duty) if len(duties) <= 200_000 else duty
+    sides = [mine.join(small, (F.col("cell") == F.col(side)) & (F.col("part") == F.col(f"{side}_part"))).select("duty", F.lit(side == "own").alias("own"), *names) for side in ("own", "rival")]
+
+    def lost(rows: pd.DataFrame) -> pd.DataFrame:
+        own = rows.loc[rows["own"], names]
+        return own[dominated(own.to_numpy(), rows.loc[~rows["own"], names].to_numpy())]
+
+    gone = sides[0].unionByName(sides[1]).groupBy("duty").applyInPandas(lost, out).distinct()
+    gone = gone.select(*(F.col(c).alias(f"{c}_gone") for c in names))
+    return mine.join(gone, [F.col(c) == F.col(f"{c}_gone") for c in names], "left_anti").select(*names)
+
+
+#: Policies by the names that extensions and studies use.
+POLICIES = {"top_k": top_k, "best_feasible": best_feasible, "threshold": threshold, "pareto_front": pareto_front}
 
 
 def decision(selected: DataFrame, policy: str, explanation: str, trial: str = "trial_id") -> dict:

@@ -6,14 +6,20 @@ design of any size is a narrow, shuffle-free plan. Only taking the first n valid
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import json
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialframe.errors import PlanError
 from trialframe.functions.canonical import row_fingerprint
 from trialframe.functions.expressions import named
+from trialframe.operators.ordering import numbered
 from trialframe.plans.space import Parameter, Space, resolve, unit_column, violation
 
 #: Primitive polynomials and initial numbers by Joe and Kuo (fixed values): degree, coefficients, m.
@@ -43,13 +49,43 @@ class Request:
     allow_fewer: bool = False
 
 
+def _primitive(degree: int, inner: int) -> bool:
+    """Whether x**degree + inner coefficients + 1 is primitive over GF(2): the powers of x run through all remainders."""
+    polynomial, power, order = (1 << degree) | (inner << 1) | 1, 1, 0
+    while True:
+        power <<= 1
+        if power >> degree:
+            power ^= polynomial
+        order += 1
+        if power == 1:
+            return order == (1 << degree) - 1
+
+
+@functools.cache
+def _polynomials(n: int) -> tuple[tuple[int, int], ...]:
+    """The first n (degree, inner coefficients) of the primitive polynomials, by degree and coefficients."""
+    out: list[tuple[int, int]] = []
+    degree = 1
+    while len(out) < n:
+        out += [(degree, inner) for inner in range(1 << (degree - 1)) if _primitive(degree, inner)]
+        degree += 1
+    return tuple(out[:n])
+
+
+def _start(dimension: int) -> tuple[int, int, tuple[int, ...]]:
+    """Degree, coefficients and initial numbers. Behind the table the numbers follow a rule: any odd ones below 2**k will do."""
+    if dimension <= len(SOBOL):
+        return SOBOL[dimension - 1]
+    degree, a = _polynomials(dimension)[dimension - 1]
+    odd = lambda k: int.from_bytes(hashlib.sha256(b"%d %d" % (dimension, k)).digest()[:8], "big") % (1 << (k + 1)) | 1
+    return degree, a, tuple(odd(k) for k in range(degree))
+
+
 def direction_numbers(dimension: int) -> list[int]:
     """``BITS`` direction numbers of a Sobol dimension, counted from 0."""
     if dimension == 0:
         return [1 << (BITS - 1 - k) for k in range(BITS)]
-    if dimension > len(SOBOL):
-        raise PlanError(f"Sobol designs have at most {len(SOBOL) + 1} dimensions")
-    degree, a, m = SOBOL[dimension - 1]
+    degree, a, m = _start(dimension)
     v = [m[k] << (BITS - 1 - k) for k in range(degree)]
     for k in range(degree, BITS):
         x = v[k - degree] ^ (v[k - degree] >> degree)
@@ -125,12 +161,14 @@ def numpy_units(spark: SparkSession, space: Space, n: int, seed: int) -> DataFra
     return _indexed(spark, n).mapInPandas(draw, ", ".join(["row_index long", *(f"`{c}` double" for c in names)]))
 
 
+def grid_counts(space: Space, points: int | dict[str, int] = 3) -> list[int]:
+    return [p.grid_points(points.get(p.name, 3) if isinstance(points, dict) else points) for p in space.sampled]
+
+
 def grid_units(spark: SparkSession, space: Space, points: int | dict[str, int] = 3) -> DataFrame:
     """Midpoints of each axis in all combinations, the last axis running fastest: mixed-radix digits of the index."""
-    counts = [p.grid_points(points.get(p.name, 3) if isinstance(points, dict) else points) for p in space.sampled]
-    total = 1
-    for c in counts:
-        total *= c
+    counts = grid_counts(space, points)
+    total = math.prod(counts)
     df, stride, columns = _indexed(spark, total), total, []
     for p, c in zip(space.sampled, counts, strict=True):
         stride //= c
@@ -172,6 +210,8 @@ def permutation(index: Column, n: int, *key: Column) -> Column:
 def sobol_units(spark: SparkSession, space: Space, n: int, seed: int | None = None) -> DataFrame:
     import random
 
+    if n > 1 << BITS:
+        raise PlanError(f"Sobol designs have at most 2**{BITS} points, before they repeat")
     shifts = random.Random(seed)
     columns = [sobol_unit(F.col("row_index"), j, 0 if seed is None else shifts.getrandbits(BITS)).alias(unit_column(p)) for j, p in enumerate(space.sampled)]
     return _indexed(spark, n).select("row_index", *columns)
@@ -195,14 +235,22 @@ def trial_seed(seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col("row_index"), F.col("replicate_index")).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def trials(units: DataFrame, space: Space, request: Request, planner: str) -> DataFrame:
-    """Resolved trials: the first ``request.n`` valid rows in design order, replicated, seeded, fingerprinted."""
-    valid = resolve(units, space).orderBy("row_index").limit(request.n)
+def trials(units: DataFrame, space: Space, request: Request, planner: str, generated: int | None = None) -> DataFrame:
+    """Resolved trials: the first ``request.n`` valid rows in design order, replicated, seeded, fingerprinted.
+
+    ``generated`` is how many rows ``units`` has, where that is known: without constraints nothing has to be counted then.
+    """
+    resolved = resolve(units, space)
     if not request.allow_fewer:
-        n = valid.count()
+        n = generated if generated is not None and not space.constraints else resolved.limit(request.n).count()
         if n < request.n:
             raise PlanError(f"the design has {n} valid rows, fewer than the {request.n} asked for")
-    out = replicate(valid, request.replicates).withColumn("seed", trial_seed(request.seed))
+    return described(resolved.orderBy("row_index").limit(request.n), space, request, planner)
+
+
+def described(rows: DataFrame, space: Space, request: Request, planner: str) -> DataFrame:
+    """Rows of parameters (and ``row_index``) as trials."""
+    out = replicate(rows, request.replicates).withColumn("seed", trial_seed(request.seed))
     parameters = [p.column for p in space.parameters]
     versions = {"planner": planner, "pipeline_version": request.pipeline_version, "dataset_version": request.dataset_version, "space_version": space.version}
     out = out.withColumn("fingerprint", row_fingerprint([*parameters, "seed", "replicate_index"], versions))
@@ -214,22 +262,51 @@ def trials(units: DataFrame, space: Space, request: Request, planner: str) -> Da
 OVERSAMPLE = {"random": 10, "latin": 1, "sobol": 4, "halton": 4}
 
 
-def propose(spark: SparkSession, space: Space, request: Request, planner: str = "random", points: int | dict[str, int] = 3, oversample: int | None = None, scramble: bool = True) -> DataFrame:
-    """Trials of a named design: random, numpy, grid, factorial, latin, sobol or halton."""
-    n = request.n * (oversample or OVERSAMPLE.get(planner, 10))
-    if planner in ("grid", "factorial"):
-        units = grid_units(spark, space, points)
-    elif not space.sampled:
-        units = _indexed(spark, n)
-    elif planner in ("random", "numpy"):
-        units = (random_units if planner == "random" else numpy_units)(spark, space, n, request.seed)
-    elif planner == "latin":
-        units = latin_units(spark, space, n, request.seed, scramble)
-    elif planner in ("sobol", "halton"):
-        units = (sobol_units if planner == "sobol" else halton_units)(spark, space, n, request.seed if scramble else None)
-    else:
-        raise PlanError(f"unknown planner {planner!r}")
-    return trials(units, space, request, planner)
+def _units_planner(name: str, make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A planner: (spark, space, request, oversample, **options) to trials."""
+
+    def plan(spark: SparkSession, space: Space, request: Request, oversample: int | None = None, **options) -> DataFrame:
+        n = request.n * (oversample or OVERSAMPLE.get(name, 10))
+        units = make(spark, space, n, request.seed, **options) if space.sampled else _indexed(spark, n)
+        return trials(units, space, request, name, n)
+
+    return plan
+
+
+def _grid_planner(name: str) -> Callable[..., DataFrame]:
+    def plan(spark: SparkSession, space: Space, request: Request, points: int | dict[str, int] = 3, **_) -> DataFrame:
+        return trials(grid_units(spark, space, points), space, request, name, math.prod(grid_counts(space, points)))
+
+    return plan
+
+
+def _unscrambled(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    return lambda spark, space, n, seed, scramble=True, **_: make(spark, space, n, seed if scramble else None)
+
+
+PLANNERS: dict[str, Callable[..., DataFrame]] = {
+    "random": _units_planner("random", lambda spark, space, n, seed, **_: random_units(spark, space, n, seed)),
+    "numpy": _units_planner("numpy", lambda spark, space, n, seed, **_: numpy_units(spark, space, n, seed)),
+    "latin": _units_planner("latin", lambda spark, space, n, seed, scramble=True, **_: latin_units(spark, space, n, seed, scramble)),
+    "sobol": _units_planner("sobol", _unscrambled(sobol_units)),
+    "halton": _units_planner("halton", _unscrambled(halton_units)),
+    "grid": _grid_planner("grid"),
+    "factorial": _grid_planner("factorial"),
+}
+
+
+def propose(spark: SparkSession, space: Space, request: Request, planner: str | Callable[..., DataFrame] = "random", **options) -> DataFrame:
+    """Trials of a named design, or of a planner of one's own: (spark, space, request) to rows of parameters, or to whole trials."""
+    if isinstance(planner, str):
+        if planner not in PLANNERS:
+            raise PlanError(f"unknown planner {planner!r}")
+        return PLANNERS[planner](spark, space, request, **options)
+    rows = planner(spark, space, request, **options)
+    if "trial_id" in rows.columns:
+        return rows
+    if "row_index" not in rows.columns:
+        rows = rows.withColumn("row_index", F.monotonically_increasing_id())
+    return described(rows, space, request, getattr(planner, "id", getattr(planner, "__name__", "planner")))
 
 
 def design_matrix(rows: DataFrame, space: Space, order_by: str, n: int | None = None) -> DataFrame:
@@ -238,42 +315,61 @@ def design_matrix(rows: DataFrame, space: Space, order_by: str, n: int | None =
         failed = rows.select(violation(space).alias("why")).where("why is not null").limit(1).collect()
         if failed:
             raise PlanError(failed[0].why)
-    out = rows.withColumn("row_index", F.row_number().over(Window.orderBy(order_by)) - 1)
-    if n is not None and out.count() < n:
+    out = numbered(rows, {order_by: named(order_by)}, "row_index")
+    if n is not None and rows.count() < n:
         raise PlanError(f"the matrix has fewer rows than the {n} asked for")
     return out if n is None else out.where(F.col("row_index") < n)
 
 
+def medians(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, median) by exact ranks: rows are numbered in order of key and value, and the middle ones of each key picked."""
+    some = df.where(F.col(value).isNotNull()).select(F.col(key).alias("key"), F.col(value).alias("value"))
+    ranked = numbered(some, {"key": F.col("key"), "value": F.col("value")}, "at")
+    ranges = ranked.groupBy(F.col("key").alias("k")).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    middle = F.col("at").isin(F.col("first") + F.floor((F.col("n") - 1) / 2), F.col("first") + F.floor(F.col("n") / 2))
+    picked = ranked.join(ranges, F.col("key").eqNullSafe(F.col("k"))).where(middle)
+    return picked.groupBy(F.col("k").alias(key)).agg(((F.min("value") + F.max("value")) / 2).alias("median"))
+
+
 def median_prune(metrics: DataFrame, value: str = "value", step: str = "step", trial: str = "trial_id", direction: str = "maximize") -> DataFrame:
     """Reports with ``prune``: whether a trial's value is worse than the median of its step."""
-    medians = metrics.groupBy(step).agg(F.percentile(value, 0.5).alias("median"))
     worse = F.col(value) < F.col("median") if direction == "maximize" else F.col(value) > F.col("median")
-    return metrics.join(medians, step).select(trial, step, value, "median", worse.alias("prune"))
+    return metrics.join(medians(metrics, step, value), step).select(trial, step, value, "median", worse.alias("prune"))
+
+
+#: Bins that past trials' unit values are counted in, per dimension, and the kernel's width.
+BINS, KERNEL = 256, 0.1
 
 
 def suggest(spark: SparkSession, space: Space, request: Request, history: DataFrame | None, score: str = "score", candidates: int = 256, gamma: float = 0.25) -> DataFrame:
     """Ask/tell search: candidates near good past trials and far from bad ones (a Parzen-style ratio).
 
-    ``history`` has the space's columns and ``score`` (larger is better). Without history the design is random.
-    Numbers of past trials are small next to data, so the unit values of all of them are broadcast as sorted arrays.
+    ``history`` has the space's columns and ``score`` (larger is better). Without history the design is random. All past
+    trials count: their unit values are counted in ``BINS`` bins of each dimension, so what the tasks are sent has a fixed size.
     """
-    if history is None or history.isEmpty():
+    told = history.where(F.col(score).isNotNull()) if history is not None else None
+    n = told.count() if told is not None else 0
+    if not n:
         return propose(spark, space, request)
     dims: list[Parameter] = space.sampled
-    told = history.select(F.percent_rank().over(Window.orderBy(F.desc(score))).alias("r"), *(p.to_unit(named(p.column)).alias(f"u{j}") for j, p in enumerate(dims)))
-    told = told.withColumn("good", F.col("r") <= gamma)
-    values = lambda g, j: F.sort_array(F.collect_list(F.when(F.col("good") == g, F.col(f"u{j}")))).alias(f"__{'good' if g else 'bad'}{j}")
-    tables = told.agg(F.lit(1).alias("__one"), *(values(g, j) for g in (True, False) for j in range(len(dims))))
-
-    def density(u: Column, points: Column) -> Column:
-        total = F.aggregate(points, F.lit(0.0), lambda s, x: s + F.exp(-((u - x) ** 2) / F.lit(0.02)))
-        return F.when(F.size(points) == 0, F.lit(1.0)).otherwise(total / F.size(points) + F.lit(1e-6))
-
-    units = random_units(spark, space, request.n * candidates, request.seed).crossJoin(F.broadcast(tables))
+    cut = numbered(told, {"worse": -F.col(score).cast("double")}, "__at").where(F.col("__at") == math.floor(gamma * (n - 1))).first()[score]
+    bin_ = lambda p: F.least(F.floor(p.to_unit(named(p.column)) * BINS), F.lit(BINS - 1)).cast("int")
+    bins = F.explode(F.array(*(F.struct(F.lit(j).alias("dim"), bin_(p).alias("bin")) for j, p in enumerate(dims)))).alias("b")
+    counted = told.select((F.col(score) >= F.lit(cut)).alias("good"), bins).where("b.bin is not null").groupBy("good", "b.dim", "b.bin").count().collect()
+
+    def density(u: Column, good: bool, dim: int) -> Column:
+        own = sorted((r.bin, r["count"]) for r in counted if (r.good, r.dim) == (good, dim))
+        if not own:
+            return F.lit(1.0)
+        points = F.from_json(F.lit(json.dumps([{"at": (b + 0.5) / BINS, "n": c} for b, c in own])), "array<struct<at double, n double>>")
+        total = F.aggregate(points, F.lit(0.0), lambda s, x: s + x["n"] * F.exp(-((u - x["at"]) ** 2) / F.lit(2 * KERNEL**2)))
+        return total / sum(c for _, c in own) + F.lit(1e-6)
+
+    units = random_units(spark, space, request.n * candidates, request.seed)
     ratio = F.lit(0.0)
     for j, p in enumerate(dims):
         u = F.col(f"`{unit_column(p)}`")
-        ratio = ratio + F.log(density(u, F.col(f"__good{j}"))) - F.log(density(u, F.col(f"__bad{j}")))
+        ratio = ratio + F.log(density(u, True, j)) - F.log(density(u, False, j))
     best = units.withColumn("slot", F.floor(F.col("row_index") / candidates)).withColumn("ratio", ratio)
-    best = best.groupBy("slot").agg(F.max_by(F.struct("row_index", *(f"`{unit_column(p)}`" for p in dims)), "ratio").alias("x")).select("x.*")
-    return trials(best, space, request, "suggest")
+    best = best.groupBy("slot").agg(F.max_by(F.struct("row_index", *(f"`{unit_column(p)}`" for p in dims)), F.struct("ratio", "row_index")).alias("x")).select("x.*")
+    return trials(best, space, request, "suggest", request.n)

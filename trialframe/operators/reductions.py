@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,10 +33,21 @@ def fan_out(df: DataFrame, field: str, parallelism: int | None = None) -> DataFr
     return out.repartition(parallelism) if parallelism else out
 
 
+#: Groups whose moments are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
+
+
 def standardize(df: DataFrame, column: str, keys: list[str] = (), name: str = "z") -> DataFrame:
-    """(x - mean) / population deviation, by key."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn(name, (F.col(column) - F.avg(column).over(w)) / F.stddev_pop(column).over(w))
+    """(x - mean) / population deviation, by key, null where that is 0: moments are summed within tasks first, then joined to the rows."""
+    mean, deviation = F.avg(column), F.stddev_pop(column)
+    if not keys:
+        one = df.agg(mean.alias("m"), deviation.alias("d")).first()
+        return df.withColumn(name, F.try_divide(F.col(column) - F.lit(one.m).cast("double"), F.lit(one.d).cast("double")))
+    moments = df.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(mean.alias("__m"), deviation.alias("__d"))
+    moments = F.broadcast(moments) if moments.count() <= BROADCAST_ROWS else moments
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    out = df.join(moments, same).withColumn(name, F.try_divide(F.col(column) - F.col("__m"), F.col("__d")))
+    return out.drop("__m", "__d", *(f"__k{i}" for i in range(len(keys))))
 
 
 def centred(values: Column) -> Column:
@@ -54,9 +67,13 @@ def rates(df: DataFrame, value: str, limit: float, keys: list[str] = ()) -> Data
     return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.avg((F.col(value) <= limit).cast("double")).alias("rate"))
 
 
-def profile(df: DataFrame, bin_: Column, weight: str) -> DataFrame:
-    """Mean weight per bin."""
-    return df.groupBy(bin_.alias("bin")).agg((F.sum(weight) / F.greatest(F.count("*"), F.lit(1))).alias("profile"))
+def profile(df: DataFrame, bin_: Column, weight: str, least_bins: int = 0) -> DataFrame:
+    """Mean weight per bin; bins below ``least_bins`` that no row is in have 0."""
+    out = df.groupBy(bin_.alias("bin")).agg((F.sum(weight) / F.greatest(F.count("*"), F.lit(1))).alias("profile"))
+    if not least_bins:
+        return out
+    every = df.sparkSession.range(least_bins).select(F.col("id").cast(out.schema["bin"].dataType).alias("bin"))
+    return out.join(every, "bin", "full").withColumn("profile", F.coalesce("profile", F.lit(0.0)))
 
 
 def nearest_error(candidates: Column, truth: Column) -> Column:
@@ -69,23 +86,34 @@ def distinct_sorted(values: Column, limit: int, digits: int = 4) -> Column:
     return F.slice(F.array_sort(F.array_distinct(F.transform(finite, lambda x: F.bround(x, digits)))), 1, limit)
 
 
-def argmax(values: Column) -> Column:
-    """Position (from 0) of the first maximum."""
-    return F.array_position(values, F.array_max(values)) - 1
+def argmax(values: Column, first: int = 0, last: int | None = None) -> Column:
+    """Position (from 0) of the first maximum among the places ``first`` to ``last``, all by default."""
+    part = _places(values, first, last)
+    return F.array_position(part, F.array_max(part)) - 1 + first
+
+
+def second_argmax(values: Column, first: int = 0, last: int | None = None, after: int = 3) -> Column:
+    """Position of the maximum among the same places without the first one and the ``after`` places behind it."""
+    part = _places(values, first, last)
+    top = F.array_position(part, F.array_max(part)) - 1
+    rest = F.transform(part, lambda x, i: F.when((i < top) | (i > top + after), x))
+    return F.array_position(rest, F.array_max(rest)) - 1 + first
+
+
+def _places(values: Column, first: int, last: int | None) -> Column:
+    return values if last is None and not first else F.slice(values, first + 1, (F.size(values) if last is None else F.lit(last + 1)) - first)
 
 
-def second_argmax(values: Column, guard: int = 0) -> Column:
-    """Position of the maximum outside ``guard`` places around the first."""
-    top = argmax(values)
-    masked = F.transform(values, lambda x, i: F.when(F.abs(i - top) > guard, x))
-    return F.array_position(masked, F.array_max(masked)) - 1
+def translated(points: Column, x: float = 1.0, y: float = -1.0) -> Column:
+    """Points (structs of x and y) moved by an offset."""
+    return F.transform(points, lambda p: F.struct((p["x"] + x).alias("x"), (p["y"] + y).alias("y")))
 
 
-def translated(points: Column) -> Column:
-    """Points (structs of x and y) moved so that their mean is the origin."""
-    n = F.greatest(F.size(points), F.lit(1))
-    mean = lambda f: F.aggregate(points, F.lit(0.0), lambda s, p: s + p[f]) / n
-    return F.transform(points, lambda p: F.struct((p["x"] - mean("x")).alias("x"), (p["y"] - mean("y")).alias("y")))
+def reduced(df: DataFrame, keys: list[str], index: str, start: Column, step: Callable[[Column, Column], Column], value: str, name: str) -> DataFrame:
+    """A reducer behind a mapped block: values of each key folded in partition order."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(index).alias("at"), F.col(value).alias("v"))))
+    folded = F.aggregate(F.col("__rows"), start, lambda state, row: step(state, row["v"]))
+    return df.groupBy(*keys).agg(rows.alias("__rows")).select(*keys, folded.alias(name))
 
 
 def merged(left: Column, right: Column) -> Column:

@@ -34,18 +34,44 @@ class Block:
     pattern: str = "batch"
     trigger: str | None = None
     checkpoint: str | None = None
+    #: Versions of what the function needs besides its code, for the cache key.
+    dependencies: str | None = None
 
     @property
     def code(self) -> str:
-        return code_fingerprint(self.function)
+        return code_fingerprint(self.function, self.version)
 
     def __call__(self, df: DataFrame, context=None) -> DataFrame:
         import inspect
 
+        if isinstance(self.function, Stateful):
+            return self.function.run(df, context)
         takes = len(inspect.signature(self.function).parameters)
         return self.function(df, context) if takes > 1 else self.function(df)
 
 
+class Stateful:
+    """Base of a block's function that holds what it sets up once: ``setup`` comes before the first ``process``."""
+
+    _ready = False
+
+    def setup(self, context) -> None:
+        """Prepare what ``process`` needs."""
+
+    def process(self, df: DataFrame, context) -> DataFrame:
+        return df
+
+    def run(self, df: DataFrame, context=None) -> DataFrame:
+        if not self._ready:
+            self.setup(context)
+            self._ready = True
+        return self.process(df, context)
+
+    def __getstate__(self) -> dict:
+        """Its parameters, without what was set up: also what its code's fingerprint sees."""
+        return {k: v for k, v in vars(self).items() if not k.startswith("_")}
+
+
 def block(name: str, inputs: str, outputs: str, **options) -> Callable[[Callable], Block]:
     """Declare a block around a function; ports are DDL strings."""
     return lambda f: Block(name, f, schema(inputs), schema(outputs), **options)
@@ -167,8 +193,15 @@ class Pipeline:
         if node.map_over is None:
             out = node.block(df.select("run_id", *names), context)
             return strict(out, T.StructType([T.StructField("run_id", df.schema["run_id"].dataType), *node.block.outputs]))
-        items = reductions.fan_out(df.select("run_id", *names), node.map_over, node.parallelism if node.parallelism > 1 else None)
-        out = node.block(items, context)
+        return self.gathered(node, df, node.block(self.items(node, df), context))
+
+    def items(self, node: Node, df: DataFrame) -> DataFrame:
+        """The rows that a mapped block sees: one per item, with its ``partition_id``."""
+        names = [f.name for f in node.block.inputs if f.name in df.columns]
+        return reductions.fan_out(df.select("run_id", *names), node.map_over, node.parallelism if node.parallelism > 1 else None)
+
+    def gathered(self, node: Node, df: DataFrame, out: DataFrame) -> DataFrame:
+        """A mapped block's results, put back in order for each run of ``df``."""
         merged = reductions.fan_in(out, ["run_id"], "partition_id", lists=node.block.outputs.names)
         # runs with an empty list have no item: every list of theirs is empty
         whole = df.select("run_id").join(merged, "run_id", "left")

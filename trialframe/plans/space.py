@@ -222,12 +222,18 @@ def unit_column(parameter: Parameter) -> str:
     return f"__unit_{parameter.name}"
 
 
+def texts_of(parameters) -> tuple[str, ...]:
+    """Names of the parameters whose columns are texts."""
+    text = lambda p: isinstance(p.value, str) if isinstance(p, Fixed) else isinstance(p, _Choice) and any(isinstance(v, str) for v in p.values)
+    return tuple(p.column for p in parameters if text(p))
+
+
 def violation(space: Space) -> Column:
     """The message of the first constraint that a row fails, or null. Null operands fail."""
     names = [p.column for p in space.parameters if "." not in p.column]
     out = F.lit(None).cast("string")
     for constraint in reversed(space.constraints):
-        holds = compile_expression(constraint.expression, names).cast("boolean")
+        holds = compile_expression(constraint.expression, names, texts=texts_of(space.parameters)).cast("boolean")
         out = F.when(F.coalesce(holds, F.lit(False)), out).otherwise(F.lit(constraint.message))
     return out
 
@@ -238,7 +244,7 @@ def project(units: DataFrame, space: Space) -> DataFrame:
     for p in space.parameters:
         if isinstance(p, Derived):
             known = {s: named(s) for s in p.sources}
-            value = compile_expression(p.expression, known)
+            value = compile_expression(p.expression, known, texts=texts_of(space.parameters))
         elif isinstance(p, Fixed):
             value = F.lit(p.value)
         else:

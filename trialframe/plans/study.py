@@ -4,20 +4,25 @@ from __future__ import annotations
 
 import random
 import time
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trialframe.context import Context
 from trialframe.errors import Cancelled, Paused, RunError
-from trialframe.functions.canonical import fingerprint
+from trialframe.functions.canonical import cache_key_of, fingerprint
 from trialframe.operators import designs
 from trialframe.operators.runstore import DONE, RunStore
-from trialframe.plans.pipeline import Pipeline
+from trialframe.plans.pipeline import Node, Pipeline
 from trialframe.plans.space import Space
+from trialframe.plugins import Plugins
+from trialframe.schemas import strict
+from trialframe.scratch import materialize
 
 CACHE_MODES = ("read_write", "read_only", "refresh", "disabled")
 
@@ -36,26 +41,39 @@ class Retry:
     def covers(self, error: BaseException) -> bool:
         return any(isinstance(error, o) if isinstance(o, type) else o in (c.__name__ for c in type(error).__mro__) for o in self.on)
 
-    def delay(self, attempt: int) -> float:
-        return min(self.most_s, self.initial_s * self.factor**attempt) * (1 + random.uniform(-self.jitter, self.jitter))
+    def delay(self, attempt: int, chance: random.Random) -> float:
+        return min(self.most_s, self.initial_s * self.factor**attempt) * (1 + chance.uniform(-self.jitter, self.jitter))
 
 
 @dataclass
 class Result:
+    """Outputs by node; ``hits`` came from the cache, ``resumed`` from an earlier try, ``partitions`` too, by node: (run_id, partition_id)."""
+
     outputs: dict[str, DataFrame]
     final: DataFrame
     hits: tuple[str, ...] = ()
+    resumed: tuple[str, ...] = ()
+    partitions: dict[str, DataFrame] = field(default_factory=dict)
 
 
 class DurableRunner:
-    """Writes each block's table, lists it under its cache key last, and starts again behind what is listed."""
+    """Writes each block's table, lists it under its cache key last, and starts again behind what is listed.
+
+    A mapped block is run in batches of its items. Each batch is a table of its own, so what was finished before a failure
+    is there when the run is resumed.
+    """
+
+    #: Batches of a mapped block's items, at most.
+    BATCHES = 16
 
     def __init__(self, spark: SparkSession, store: RunStore, root: str, cache: str = "read_write", retry: Retry = Retry()) -> None:
         if cache not in CACHE_MODES:
             raise ValueError(f"cache mode {cache!r} is none of {CACHE_MODES}")
         self.spark, self.store, self.root, self.cache, self.retry = spark, store, root.rstrip("/"), cache, retry
 
-    def _tried(self, work: Callable[[], None], token) -> None:
+    def _tried(self, work: Callable[[], None], token, run_id: str, seed: int) -> None:
+        """Run a block and write its table, again after errors that the policy covers; every retry is an event of its run."""
+        chance = random.Random(seed)
         for attempt in range(self.retry.attempts):
             token.check()
             try:
@@ -63,10 +81,29 @@ class DurableRunner:
             except Exception as e:
                 if attempt + 1 == self.retry.attempts or not self.retry.covers(e):
                     raise
-                time.sleep(self.retry.delay(attempt))
+                wait = self.retry.delay(attempt, chance)
+                self.store.add_event(run_id, "retry_scheduled", {"attempt": attempt + 1, "delay_s": wait, "error": repr(e)[:500]})
+                token.check()
+                time.sleep(wait)
 
-    def run(self, pipeline: Pipeline, initial: DataFrame, context: Context | None = None) -> Result:
+    def run(self, pipeline: Pipeline, initial: DataFrame, context: Context | None = None, resume: bool = False, signals: bool = False) -> Result:
+        """Run a pipeline. ``resume`` takes what an earlier try of the same input finished, whatever the cache mode; with ``signals`` the first interrupt pauses, the second cancels."""
         context = context or Context()
+        restore = context.token.on_signals() if signals else lambda: None
+        try:
+            return self._run(pipeline, initial, context, resume)
+        finally:
+            restore()
+
+    def _key(self, node: Node, upstream: list[str], base: str, context: Context) -> str:
+        return cache_key_of(
+            {
+                "block": f"{node.block.name}:{node.block.version}:{node.map_over}", "code": node.block.code, "parameters": fingerprint(context.parameters), "inputs": fingerprint([base, *upstream]),
+                "model": None, "serializers": "parquet", "environment": self.spark.version, "seed": str(context.seed), "dependencies": node.block.dependencies,
+            }
+        )
+
+    def _run(self, pipeline: Pipeline, initial: DataFrame, context: Context, resume: bool) -> Result:
         # the input's content is part of every key, so that other input never returns old output
         digest = initial.select(F.sum(F.xxhash64(*initial.columns).cast("decimal(38,0)")).cast("string"), F.count("*").cast("string")).first()
         base = fingerprint([list(digest), context.seed, context.parameters])
@@ -74,29 +111,38 @@ class DurableRunner:
         self._to_running(top)
         outputs: dict[str, DataFrame] = {}
         keys: dict[str, str] = {}
-        hits = []
+        hits, resumed, partitions = [], [], {}
         last = None
         try:
             for node in pipeline.validate():
                 last = node.id
-                keys[node.id] = fingerprint([node.block.name, node.block.version, node.block.code, node.map_over, base, [keys[d] for d in node.depends_on]])
-                found = self.store.find_cache(keys[node.id]) if self.cache in ("read_write", "read_only") else None
-                path = f"{self.root}/blocks/{keys[node.id]}"
-                run_id = self.store.create_run(f"block:{keys[node.id]}", "block", top)
-                if found is not None and self._there(path):
+                key = keys[node.id] = self._key(node, [keys[d] for d in node.depends_on], base, context)
+                path = f"{self.root}/blocks/{key}"
+                run_id = self.store.create_run(f"block:{key}", "block", top)
+                there = self._there(path)
+                if resume and there and self.store.state(run_id).state in DONE:
+                    resumed.append(node.id)
+                elif there and self.cache in ("read_write", "read_only") and self.store.find_cache(key) is not None:
                     hits.append(node.id)
                 else:
                     self._to_running(run_id)
                     try:
-                        df = pipeline.apply(node, pipeline.inputs_of(node, outputs, initial), context)
-                        self._tried(lambda df=df, path=path: df.write.mode("overwrite").parquet(path), context.token)
-                    except Exception:
-                        self.store.transition(run_id, "failed")
+                        df = pipeline.inputs_of(node, outputs, initial)
+                        if node.map_over is None:
+                            work = lambda node=node, df=df, path=path: pipeline.apply(node, df, context).write.mode("overwrite").parquet(path)
+                            self._tried(work, context.token, run_id, context.seed)
+                        else:
+                            partitions[node.id] = self._mapped(pipeline, node, df, context, key, run_id, resume)
+                    except (Paused, Cancelled) as stop:
+                        self.store.transition(run_id, "pausing")
+                        self.store.transition(run_id, "paused" if isinstance(stop, Paused) else "cancelled")
+                        raise
+                    except Exception as e:
+                        self.store.transition(run_id, "failed", payload={"error": str(e)[:500]})
                         raise
                     self.store.transition(run_id, "completed")
-                    if self.cache in ("read_write", "refresh"):
-                        ref = {"content_hash": keys[node.id], "media_type": "application/x-parquet", "codec": "parquet", "lineage": {d: keys[d] for d in node.depends_on}, "metadata": {"path": path}, "size": 0}
-                        self.store.register_artifact(ref, run_id, keys[node.id])
+                    ref = {"content_hash": key, "media_type": "application/x-parquet", "codec": "parquet", "lineage": {d: keys[d] for d in node.depends_on}, "metadata": {"path": path}, "size": 0}
+                    self.store.register_artifact(ref, run_id, key)
                 outputs[node.id] = self.spark.read.parquet(path)
         except (Paused, Cancelled) as stop:
             self.store.transition(top, "pausing")
@@ -107,7 +153,38 @@ class DurableRunner:
             raise RunError(f"{pipeline.name}, node {last}: {e}") from e
         if self.store.state(top).state == "running":
             self.store.transition(top, "completed")
-        return Result(outputs, outputs[last], tuple(hits))
+        return Result(outputs, outputs[last], tuple(hits), tuple(resumed), partitions)
+
+    def _mapped(self, pipeline: Pipeline, node: Node, df: DataFrame, context: Context, key: str, run_id: str, resume: bool) -> DataFrame:
+        """Run a mapped block batch by batch; (run_id, partition_id) of what was finished before."""
+        folder = f"{self.root}/partitions/{key}"
+        if not resume:
+            self.store._fs.delete(self.store._path(folder), True)
+        items = pipeline.items(node, df)
+        shape = T.StructType([*(items.schema[c] for c in ("run_id", "partition_id")), *node.block.outputs])
+        finished = self._batches(folder, shape)
+        known = materialize(finished.select("run_id", "partition_id"), "finished")
+        number = F.col("partition_id").cast("long")
+        pending = items.join(known, ["run_id", "partition_id"], "left_anti")
+        most = pending.agg(F.max(number)).first()[0]
+        step = max(node.parallelism, -(-((most or 0) + 1) // self.BATCHES))
+        for first in range(0, -1 if most is None else most + 1, step):
+            batch = pending.where(number.between(first, first + step - 1))
+
+            def work(batch: DataFrame = batch) -> None:
+                out = node.block(batch, context)
+                strict(out.select("run_id", "partition_id", *node.block.outputs.names), shape).write.parquet(f"{folder}/{uuid.uuid4().hex}")
+
+            self._tried(work, context.token, run_id, context.seed)
+        pipeline.gathered(node, df, self._batches(folder, shape)).write.mode("overwrite").parquet(f"{self.root}/blocks/{key}")
+        return known
+
+    def _batches(self, folder: str, shape: T.StructType) -> DataFrame:
+        """The rows of the batches that were written to their end."""
+        at = self.store._path(folder)
+        found = [s.getPath().getName() for s in self.store._fs.listStatus(at)] if self.store._fs.exists(at) else []
+        whole = [f"{folder}/{name}" for name in found if self._there(f"{folder}/{name}")]
+        return self.spark.read.schema(shape).parquet(*whole) if whole else self.spark.createDataFrame([], shape)
 
     def _there(self, path: str) -> bool:
         p = self.store._path(f"{path}/_SUCCESS")
@@ -137,26 +214,48 @@ class Study:
     evaluate: Callable[[DataFrame], DataFrame]
     decide: Callable[[DataFrame], DataFrame]
     metrics: tuple[str, ...]
-    planner: str = "random"
+    planner: str | Callable[..., DataFrame] = "random"
     refine: Callable[[Space, DataFrame], Space] | None = None
     history: list[DataFrame] = field(default_factory=list)
     spaces: list[Space] = field(default_factory=list)
 
-    def run(self, spark: SparkSession, request: designs.Request, rounds: int = 1) -> DataFrame:
-        """The last round's selection; ``history`` has every round's trials, ``spaces`` the spaces used."""
+    @classmethod
+    def by_names(cls, plugins: Plugins, space: Space, evaluate: Callable[[DataFrame], DataFrame], metrics: tuple[str, ...], planner: str = "random", policy: tuple[str, dict] = ("top_k", {}), refinement: tuple[str, dict] | None = None) -> Study:
+        """A study of planners, policies and refinements that the library or an extension has, with their options."""
+        decide, refine = plugins.resolve("policies", policy[0]), plugins.resolve("refinements", refinement[0]) if refinement else None
+        return cls(space, evaluate, lambda h: decide(h, **policy[1]), metrics, plugins.resolve("planners", planner), (lambda s, selected: refine(s, selected, **refinement[1])) if refine else None)
+
+    def run(self, spark: SparkSession, request: designs.Request, rounds: int = 1, root: str | None = None, store: RunStore | None = None) -> DataFrame:
+        """The last round's selection; ``history`` has every round's trials, ``spaces`` the spaces used.
+
+        Below ``root`` every round's trials and selection are kept, and taken from there by a study that is run again;
+        ``store`` gets the decisions.
+        """
         from trialframe.operators.decisions import pivot_metrics
 
+        def kept(what: str, k: int, make: Callable[[], DataFrame]) -> DataFrame:
+            if root is None:
+                return materialize(make(), what)
+            path = f"{root.rstrip('/')}/{what}-{k}"
+            done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+            if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+                make().write.mode("overwrite").parquet(path)
+            return spark.read.parquet(path)
+
+        def scored(k: int, space: Space) -> DataFrame:
+            plans = kept("plans", k, lambda: designs.propose(spark, space, replace(request, seed=request.seed + k), self.planner))
+            wide = pivot_metrics(self.evaluate(plans), {m: m for m in self.metrics})
+            rows = plans.join(wide, "trial_id", "left").withColumn("ordinal", F.col("row_index") * F.lit(request.replicates) + F.col("replicate_index")).withColumn("round", F.lit(k))
+            missing = reduce(lambda a, b: a & b, (F.col(m).isNull() for m in self.metrics))
+            return rows.withColumn("state", F.when(missing, "failed").otherwise("completed"))
+
         space, selected = self.space, None
         for k in range(rounds):
             self.spaces.append(space)
-            plans = designs.propose(spark, space, designs.Request(**{**request.__dict__, "seed": request.seed + k}), self.planner)
-            plans = plans.persist()
-            wide = pivot_metrics(self.evaluate(plans), {m: m for m in self.metrics})
-            scored = plans.join(wide, "trial_id", "left").withColumn("ordinal", F.col("row_index") * 1000 + F.col("replicate_index")).withColumn("round", F.lit(k))
-            missing = reduce(lambda a, b: a & b, (F.col(m).isNull() for m in self.metrics))
-            scored = scored.withColumn("state", F.when(missing, "failed").otherwise("completed"))
-            self.history.append(scored)
-            selected = self.decide(scored)
+            self.history.append(kept("trials", k, lambda k=k, space=space: scored(k, space)))
+            selected = kept("selection", k, lambda: self.decide(self.history[-1]).withColumn("rank", F.monotonically_increasing_id()))
+            if store is not None:
+                store.record_decision(f"round-{k}", getattr(self.decide, "__name__", "policy"), [r.trial_id for r in selected.orderBy("rank").select("trial_id").collect()])
             if self.refine and k + 1 < rounds:
-                space = self.refine(space, selected.withColumn("rank", F.monotonically_increasing_id()))
-        return selected
+                space = self.refine(space, selected)
+        return selected.orderBy("rank").drop("rank")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from importlib.metadata import entry_points
 
 from trialframe.errors import ConfigError
+from trialframe.operators.decisions import POLICIES
+from trialframe.operators.designs import PLANNERS
+from trialframe.operators.refinement import REFINEMENTS
 from trialframe.plans import pipeline
 
 GROUPS = ("blocks", "planners", "policies", "refinements", "codecs", "executors")
@@ -15,6 +18,9 @@ class Plugins:
         self._known: dict[tuple[str, str], object] = {}
         for name in ("constant", "scale", "mean"):
             self.register("blocks", f"trialframe.{name}", getattr(pipeline, name))
+        for group, known in (("planners", PLANNERS), ("policies", POLICIES), ("refinements", REFINEMENTS)):
+            for name, value in known.items():
+                self.register(group, name, value)
 
     def register(self, group: str, name: str, value: object) -> None:
         if group not in GROUPS:

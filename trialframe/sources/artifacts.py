@@ -59,8 +59,9 @@ class ArtifactStore:
         if not self._fs.exists(self._at(self._object(hash))):
             self._put(self._object(hash), data)
         ref = {"content_hash": hash, "codec": codec, "media_type": c.media_type, "size": len(data), "lineage": lineage or {}, "metadata": metadata or {}, "cache_key": cache_key, "run_id": run_id}
-        if not self._fs.exists(self._at(f"manifests/{hash}.json")):
-            self._put(f"manifests/{hash}.json", json.dumps(ref, sort_keys=True).encode())
+        if self._fs.exists(self._at(f"manifests/{hash}.json")):  # what is stored counts, not what came with a copy
+            return json.loads(self._get(f"manifests/{hash}.json")) | {"cache_key": cache_key, "run_id": run_id}
+        self._put(f"manifests/{hash}.json", json.dumps(ref, sort_keys=True).encode())
         return ref
 
     def read(self, ref: dict) -> object:

@@ -12,7 +12,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from trialframe.errors import ArtifactError
-from trialframe.functions.canonical import canonical_json
 
 
 @dataclass(frozen=True)
@@ -44,7 +43,12 @@ def _array_in(data: bytes) -> object:
     return np.load(io.BytesIO(data), allow_pickle=False)
 
 
-JSON = Codec("json", "application/json", lambda v: canonical_json(v).encode(), lambda b: json.loads(b))
+def _json_out(value: object) -> bytes:
+    """Keys sorted; NaN and infinities are refused."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False).encode()
+
+
+JSON = Codec("json", "application/json", _json_out, lambda b: json.loads(b))
 BYTES = Codec("bytes", "application/octet-stream", lambda v: bytes(_typed(bytes, v)), lambda b: b)
 TEXT = Codec("text", "text/plain; charset=utf-8", lambda v: str(_typed(str, v)).encode(), lambda b: b.decode())
 NUMPY = Codec("numpy", "application/x-npy", _array_out, _array_in)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,15 +24,6 @@ def write_plans(trials: DataFrame, path: str) -> None:
     trials.write.mode("error").option("ignoreNullFields", "false").json(path)
 
 
-def flatten(value: Mapping[str, object], prefix: str = "") -> dict[str, object]:
-    """A nested map as dotted keys."""
-    out: dict[str, object] = {}
-    for k, v in value.items():
-        name = f"{prefix}.{k}" if prefix else str(k)
-        out.update(flatten(v, name) if isinstance(v, Mapping) else {name: v})
-    return out
-
-
 def flatten_struct(df: DataFrame) -> DataFrame:
     """Struct columns as dotted leaf columns."""
 
@@ -51,15 +40,21 @@ def flatten_struct(df: DataFrame) -> DataFrame:
 
 
 def tracking_records(metrics: DataFrame, parameters: DataFrame, cut: int = 500) -> DataFrame:
-    """Long records for a tracker: parameters cut to ``cut`` characters, scalar metrics, JSON for the rest."""
-    from functools import reduce
+    """Long records (run_id, kind, name, value, step): parameters cut to ``cut`` characters, scalar metrics, JSON for the rest.
 
+    A metric's step is its ``seq``, where ``metrics`` has that; parameters have none.
+    """
     flat = flatten_struct(parameters)
     names = [c for c in flat.columns if c != "run_id"]
-    parts = [flat.select("run_id", F.lit("param").alias("kind"), F.lit(n).alias("name"), F.substring(F.col(f"`{n}`").cast("string"), 1, cut).alias("value")) for n in names]
-    scalars = metrics.where("scalar is not null").select("run_id", F.lit("metric").alias("kind"), "name", F.col("scalar").cast("string").alias("value"))
-    others = metrics.where("scalar is null").select("run_id", F.lit("text").alias("kind"), "name", F.to_json(F.struct("vector", "artifact")).alias("value"))
-    return reduce(DataFrame.unionByName, [*parts, scalars, others])
+    step = (F.col("seq") if "seq" in metrics.columns else F.lit(None)).cast("long").alias("step")
+    pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.substring(F.col(f"`{n}`").cast("string"), 1, cut).alias("value")) for n in names))) if names else None
+    rest = F.to_json(F.struct("vector", "artifact"))
+    kind, value = F.when(F.col("scalar").isNotNull(), "metric").otherwise("text"), F.coalesce(F.col("scalar").cast("string"), rest)
+    reported = metrics.select("run_id", kind.alias("kind"), "name", value.alias("value"), step)
+    if pairs is None:
+        return reported
+    told = flat.select("run_id", pairs.alias("p")).select("run_id", F.lit("param").alias("kind"), "p.name", "p.value", F.lit(None).cast("long").alias("step"))
+    return told.unionByName(reported)
 
 
 def track(records: DataFrame, path: str) -> None:
@@ -68,12 +63,9 @@ def track(records: DataFrame, path: str) -> None:
 
 
 def export_tree(runs: DataFrame, artifacts: DataFrame, root: str) -> DataFrame:
-    """One JSON document of the runs below ``root`` and their artifacts."""
+    """(kind, document): a JSON document for each run below ``root`` and for each of their artifacts. Nothing is put together."""
     from trialframe.operators.runstore import descendants
 
     tree = descendants(runs, root)
-    nodes = runs.join(tree, "run_id", "left_semi")
-    files = artifacts.join(tree, "run_id", "left_semi")
-    a = nodes.agg(F.array_sort(F.collect_list(F.struct(*nodes.columns))).alias("runs"))
-    b = files.agg(F.array_sort(F.collect_list(F.struct("run_id", "content_hash", "size"))).alias("artifacts"))
-    return a.crossJoin(b).select(F.to_json(F.struct(F.lit(root).alias("root"), "runs", "artifacts")).alias("document"))
+    line = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("document"))
+    return line(runs.join(tree, "run_id"), "run").unionByName(line(artifacts.join(tree.select("run_id"), "run_id", "left_semi"), "artifact"))
