@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialframe.llm.scratch import discard, materialize
+from trialframe.scratch import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:

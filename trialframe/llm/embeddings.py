@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialframe.llm.components import components, forest
-from trialframe.llm.scratch import discard, materialize
+from trialframe.scratch import discard, materialize
 
 #: Vectors that are compared with as many by one task.
 BLOCK = 2048

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trialframe.llm.scratch import discard, materialize
+from trialframe.scratch import discard, materialize
 from trialframe.operators.ordering import numbered, running
 
 WORDS = r"[^\x20\x09-\x0D]+"

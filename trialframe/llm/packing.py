@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialframe.llm.tokens import WordTokenizer
-from trialframe.llm.workers import bound_batches, parts
+from trialframe.llm.workers import bound_batches, parts, trim
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 END = 2
@@ -129,6 +129,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
         place(packer.finish())
         if rows:
             yield out()
+        tokenizer.rest()
+        trim()
 
     bound_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

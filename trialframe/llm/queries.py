@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialframe.llm import embeddings, fingerprints, lm_score, mixing, packing, quality, sharding, simhash, token_counts, warc
-from trialframe.llm.scratch import fresh_path, materialize
+from trialframe.scratch import fresh_path, materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,10 +3,10 @@
 Arrivals are appended as small shards (Parquet files that never change). A shard of b bytes is in
 tier floor(log_fanout(b / smallest)). A tier that has gathered ``fanout`` shards is merged into
 files of the target size (one file if there is less), so a row is rewritten at most once a tier.
-Files become part of the table only when a manifest that lists them is committed: it is written
-under another name and renamed to ``v<number>``, which fails if another writer took that number; that
-writer then tries the next one. Readers use the highest version; older ones stay readable until ``vacuum``,
-which leaves alone what a writer may still be about to commit.
+Files become part of the table only when a manifest that lists them is committed: the file
+``v<number>``, which only one writer can create; others then try the next number. Readers use the
+highest version; older ones stay readable until ``vacuum``, which leaves alone what a writer may
+still be about to commit.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trialframe.sources.files import create_once
+
 
 #: Versions whose numbers stay taken after their manifests are gone.
 TAKEN = 1000
@@ -52,7 +54,7 @@ class ShardStore:
         self.spark, self.root, self.tries = spark, root.rstrip("/"), tries
         self.target, self.smallest, self.fanout, self.rows_per_shard = target_bytes, smallest_bytes, fanout, rows_per_shard
         jvm = spark._jvm.org.apache.hadoop.fs
-        self._path, self._context = jvm.Path, jvm.FileContext
+        self._path = jvm.Path
         self._fs = jvm.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     # -- manifests -----------------------------------------------------------------------------------------
@@ -85,22 +87,9 @@ class ShardStore:
         new = Manifest(base.version + 1, schema, tuple(shards))
         if (self._versions() or [0])[-1] > base.version:
             raise CommitConflict(f"version {new.version} exists")
-        folder = f"{self.root}/manifests"
-        temporary, final = self._path(f"{folder}/.{uuid.uuid4().hex}"), self._path(f"{folder}/v{new.version}")
-        out = self._fs.create(temporary, True)
-        out.write(bytearray(json.dumps({"version": new.version, "schema": schema, "shards": [asdict(s) for s in shards]}).encode()))
-        out.close()
-        context = self._context.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration())
-        none = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.NONE
-        options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = none
-        try:
-            context.rename(temporary, final, options)
-        except Exception as e:
-            self._fs.delete(temporary, False)
-            if self._fs.exists(final):
-                raise CommitConflict(f"version {new.version} exists") from e
-            raise
+        text = json.dumps({"version": new.version, "schema": schema, "shards": [asdict(s) for s in shards]})
+        if not create_once(self.spark, f"{self.root}/manifests/v{new.version}", text.encode()):
+            raise CommitConflict(f"version {new.version} exists")
         return new
 
     # -- data ----------------------------------------------------------------------------------------------

@@ -6,6 +6,7 @@ pre-tokens' ids in turn. Rare pre-tokens cost a merge each; frequent ones a look
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterable, Iterator
 
@@ -37,6 +38,8 @@ class WordTokenizer:
     """``ids(texts)`` equals the library's own ``encode(text, add_special_tokens=False).ids``."""
 
     def __init__(self, path: str) -> None:
+        # the executor's cores have tasks of their own; threads would only add memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
@@ -48,6 +51,10 @@ class WordTokenizer:
         self.special = re.compile("|".join(special) or "(?!)").search
         self.parts = _Recent(MEMORY)
 
+    def rest(self) -> None:
+        """Forget what was not used lately; called when a task ends, as its worker stays."""
+        self.parts.old = {}
+
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 

@@ -43,7 +43,7 @@ def parts(batches: Iterator[pa.RecordBatch], text: int, rows: int = PART_ROWS, m
 
 
 #: Bytes of an Arrow batch that goes to a worker, about: ten thousand long texts in one would not fit.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
