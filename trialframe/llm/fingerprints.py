@@ -26,7 +26,7 @@ from trialframe.operators.ordering import chunk_of
 
 ROWS = 3
 #: Cells in a row of the published fingerprint.
-WIDTH = 8
+WIDTH = 4
 #: What a digest adds to a cell besides its check of 32 bits.
 ONE = 1 << 40
 #: The rows of the sketch that are searched in turn; cells are twice the digests a row, so nearly all pairs are done.
@@ -84,10 +84,16 @@ def small_sketch(digests: Column) -> Column:
     return F.element_at(F.transform(F.array(F.transform(digests, placed)), lambda xs: F.transform(bits, lambda b: cell(xs, b))), 1)
 
 
-def published(digests: Column, cells: Column) -> Column:
+def updated(cells: Column, gone: Column, new: Column) -> Column:
+    """A published sketch less the digests ``gone``, and with the ``new`` ones: sketches add and subtract cell by cell."""
+    less = F.zip_with(cells, small_sketch(gone), lambda a, b: F.struct((a["p"] - b["p"]).alias("p"), a["k"].bitwiseXOR(b["k"]).alias("k")))
+    return F.zip_with(less, small_sketch(new), lambda a, b: F.struct((a["p"] + b["p"]).alias("p"), a["k"].bitwiseXOR(b["k"]).alias("k")))
+
+
+def published(size: Column, cells: Column) -> Column:
     """The fingerprint as text: the number of digests, then the cells in use, in hex."""
     named = F.transform(cells, lambda c, i: F.when((c["p"] != 0) | (c["k"] != 0), F.concat_ws(":", F.hex(i.cast("long")), F.hex(c["p"]), F.hex(c["k"]))))
-    return F.lower(F.concat_ws(";", F.hex(F.size(digests).cast("long")), F.filter(named, lambda t: t.isNotNull())))
+    return F.lower(F.concat_ws(";", F.hex(size.cast("long")), F.filter(named, lambda t: t.isNotNull())))
 
 
 def unequal(a: Column, b: Column) -> Column:
@@ -135,13 +141,12 @@ def _peeled(pairs: DataFrame, turn: int) -> DataFrame:
 
 
 def _tried(pairs: DataFrame, totals: list[Column], exact: list[Column], names: list[str]) -> DataFrame:
-    """(id, pair, names) for every row of ``pairs(id, pair, a, b, guess)`` whose sets differ.
+    """(id, pair, names) for every row of ``pairs(id, pair, a, b, guess)`` whose sets differ. ``pairs`` is partitioned by id.
 
     ``totals`` sum up the rows of ``peel``; ``exact`` are the same of ``a`` and ``b``, for pairs that no try has peeled.
     ``guess`` is how many digests differ, null if it isn't known.
     """
     both = (F.size("a") + F.size("b")).cast("long")
-    pairs = pairs.repartition("id")
     done: list[DataFrame] = []
     todo = pairs.withColumn("w", F.greatest(2 * F.least(F.coalesce("guess", both), both), F.lit(WIDTH)))
     for turn in range(1, TRIES + 1):
@@ -164,27 +169,37 @@ def differences(pairs: DataFrame) -> DataFrame:
     """(id, pair, only_a, only_b): the recovered digests of ``pairs(id, pair, a, b)``, of each side; no row for equal sets."""
     of = lambda sign, name: F.collect_list(F.when((F.col("cell") < 0) & (F.col("p") == sign), F.col("k"))).alias(name)
     exact = [F.array_except("a", "b").alias("only_a"), F.array_except("b", "a").alias("only_b")]
-    return _tried(pairs.withColumn("guess", F.lit(None).cast("long")), [of(1, "only_a"), of(-1, "only_b")], exact, ["only_a", "only_b"])
+    return _tried(pairs.repartition("id").withColumn("guess", F.lit(None).cast("long")), [of(1, "only_a"), of(-1, "only_b")], exact, ["only_a", "only_b"])
 
 
-def likeness(pairs: DataFrame) -> DataFrame:
-    """(id, pair, near, removed, added, checksum) for every row of ``pairs(id, pair, a, b, guess)``, two arrays of distinct digests.
+#: What is known of a pair: how many digests only the first, only the second has, and the xor of these.
+KNOWN = ["removed", "added", "checksum"]
 
-    ``near`` is shared / all digests: 1 for equal sets (also empty ones), 0 if nothing is shared. ``removed`` and ``added`` are
-    how many digests were recovered that only ``a``, only ``b`` has; ``checksum`` is the xor of them. A pair that no sketch of
-    ``TRIES`` sizes peels is compared digest by digest.
-    """
-    names = ["removed", "added", "checksum"]
+
+def recovered(pairs: DataFrame) -> DataFrame:
+    """(id, pair, ``KNOWN``) for the rows of ``pairs(id, pair, a, b, guess)``, partitioned by id, whose sets differ."""
     own = F.col("cell") < 0
     totals = [F.count(F.when(own & (F.col("p") == sign), 1)).alias(n) for sign, n in ((1, "removed"), (-1, "added"))]
     xor = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x))
     only_a, only_b = F.array_except("a", "b"), F.array_except("b", "a")
     exact = [F.size(only_a).cast("long").alias("removed"), F.size(only_b).cast("long").alias("added"), xor(only_a).bitwiseXOR(xor(only_b)).alias("checksum")]
-    differing = pairs.where("guess is null or guess > 0")
-    known = _tried(differing, [*totals, F.coalesce(F.bit_xor(F.when(own, F.col("k"))), F.lit(0).cast("long")).alias("checksum")], exact, names)
-    sizes = pairs.select("id", "pair", F.size("a").alias("n")).join(known, ["id", "pair"], "left").na.fill(0, names)
-    union = F.col("n") + F.col("added")
-    return sizes.select("id", "pair", F.when(union == 0, 1.0).otherwise((F.col("n") - F.col("removed")) / union).alias("near"), *names)
+    checksum = F.coalesce(F.bit_xor(F.when(own, F.col("k"))), F.lit(0).cast("long")).alias("checksum")
+    return _tried(pairs.where("guess is null or guess > 0"), [*totals, checksum], exact, KNOWN)
+
+
+def near(n: Column, removed: Column, added: Column) -> Column:
+    """Shared / all digests, of ``n`` of the first: 1 for equal sets (also empty ones), 0 if nothing is shared."""
+    return F.when(n + added == 0, 1.0).otherwise((n - removed) / (n + added))
+
+
+def likeness(pairs: DataFrame) -> DataFrame:
+    """(id, pair, near, ``KNOWN``) for every row of ``pairs(id, pair, a, b, guess)``, two arrays of distinct digests.
+
+    A pair that no sketch of ``TRIES`` sizes peels is compared digest by digest.
+    """
+    known = recovered(pairs.repartition("id"))
+    sizes = pairs.select("id", "pair", F.size("a").alias("n")).join(known, ["id", "pair"], "left").na.fill(0, KNOWN)
+    return sizes.select("id", "pair", near(F.col("n"), F.col("removed"), F.col("added")).alias("near"), *KNOWN)
 
 
 def next_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,17 +239,24 @@ def version_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = next_texts(docs, id_col, text_col).withColumn("n_chars", F.length("text").cast("long"))
     part = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - part).cast("int")), F.substring("following", F.lit(1), part))
-    rows = rows.withColumn("edited", edited).withColumn("e", paragraph_digests(F.col("edited"))).withColumn("edited_cells", small_sketch(F.col("e")))
+    rows = rows.withColumn("edited", edited).withColumn("e", paragraph_digests(F.col("edited")))
+    # the edited version's digests are kept as what it lost and gained, and its sketch is made of the text's by these
+    rows = rows.withColumns({"gone": F.array_except("d", "e"), "new": F.array_except("e", "d"), "sha": F.sha2("edited", 256)})
+    rows = rows.withColumn("edited_cells", updated(F.col("cells"), F.col("gone"), F.col("new")))
     rows = rows.select(
-        F.monotonically_increasing_id().alias("id"), "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "d", "e", F.col("following_d").alias("f"),
-        published(F.col("d"), F.col("cells")).alias("fingerprint"), published(F.col("e"), F.col("edited_cells")).alias("edited_fingerprint"),
+        F.monotonically_increasing_id().alias("id"), "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), "d", "gone", "new", F.col("following_d").alias("f"), F.size("d").alias("n"), F.size("e").alias("n_e"), "cells", "edited_cells",
         unequal(F.col("cells"), F.col("edited_cells")).alias("to_e"), unequal(F.col("cells"), F.col("following_cells")).alias("to_f"),
     )
     rows = materialize(rows, "versions")
     guess = lambda cells: F.when(cells == 0, 0).otherwise(expected(cells)).cast("long").alias("guess")
-    two = [F.struct(F.lit(c).alias("pair"), F.col(c).alias("b"), guess(F.col(f"to_{c}"))) for c in ("e", "f")]
-    near = likeness(rows.select("id", F.col("d").alias("a"), F.explode(F.array(*two)).alias("x")).select("id", "x.pair", "a", "x.b", "x.guess"))
-    of = lambda pair, c, name: F.max(F.when(F.col("pair") == pair, F.col(c))).alias(name)
-    wide = near.groupBy("id").agg(of("e", "near", "near_edited"), of("f", "near", "near_next"), *(of("e", c, f"edited_{c}") for c in ("removed", "added", "checksum")))
-    out = rows.select("id", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint").join(wide, "id")
-    return out.drop("id")
+    versions = {"e": F.concat(F.array_except("d", "gone"), F.col("new")), "f": F.col("f")}
+    two = [F.struct(F.lit(c).alias("pair"), digests.alias("b"), guess(F.col(f"to_{c}"))) for c, digests in versions.items()]
+    moved = rows.select("id", "d", "gone", "new", "f", "to_e", "to_f").repartition("id")
+    known = recovered(moved.select("id", F.col("d").alias("a"), F.explode(F.array(*two)).alias("x")).select("id", "x.pair", "a", "x.b", "x.guess"))
+    wide = known.groupBy(F.col("id").alias("of")).agg(*(F.max(F.when(F.col("pair") == c, F.col(k))).alias(f"{c}_{k}") for c in versions for k in KNOWN))
+    found = [f"{c}_{k}" for c in versions for k in KNOWN]
+    out = rows.drop("d", "gone", "new", "f", "to_e", "to_f").join(wide, F.col("id") == F.col("of"), "left").na.fill(0, found)
+    return out.select(
+        "doc_id", "n_chars", "edited_sha256", published(F.col("n"), F.col("cells")).alias("fingerprint"), published(F.col("n_e"), F.col("edited_cells")).alias("edited_fingerprint"),
+        *(near(F.col("n"), F.col(f"{c}_removed"), F.col(f"{c}_added")).alias(name) for c, name in (("e", "near_edited"), ("f", "near_next"))), *(F.col(f"e_{k}").alias(f"edited_{k}") for k in KNOWN),
+    )
