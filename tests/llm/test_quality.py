@@ -56,3 +56,32 @@ def test_odd_inputs(spark):
     assert {r.score >= 0.3 for r in quality.with_quality(odd, none).collect()} == {True}
     nulls = labels.selectExpr("doc_id", "cast(null as int) quality")
     assert quality.fit_quality(docs, nulls).levels.tolist() == [0.5]
+
+
+def test_the_fit_against_numpy(spark):
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefgh", k=r.randint(1, 9))) for _ in range(200)]
+    texts = [" ".join(r.choices(words, k=r.randint(3, 80))) + ("." if i % 2 else " | %% ##") for i in range(300)]
+    labels = [int(i % 2 and r.random() < 0.9) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = quality.fit_quality(docs, spark.createDataFrame(list(enumerate(labels)), "doc_id long, quality int"), n_features=40)
+    fold = [zlib.crc32(str(i).encode()) % 5 for i in range(300)]
+    x = np.array([quality.statistics(t.encode()) for t in texts])
+    y = np.array(labels, float)
+    fits, holds = np.array([f > 1 for f in fold]), np.array([f == 1 for f in fold])
+    centre = x[fits].mean(0)
+    scale = np.sqrt(np.maximum((x[fits] ** 2).mean(0) - centre**2, 1e-8))
+    z = np.clip((x - centre) / scale, -6, 6)
+    z = np.c_[np.cos(z @ model.directions + model.phases) * np.sqrt(2 / 40), np.ones(300)]
+    weights = np.linalg.solve(z[fits].T @ z[fits] + 1e-3 * fits.sum() / 41 * np.eye(41), z[fits].T @ y[fits])
+    assert np.allclose(model.centre, centre) and np.allclose(model.scale, scale) and np.allclose(model.weights, weights, atol=1e-6)
+    raw = z @ weights
+    order = np.argsort(raw[holds])
+    own, values = y[holds][order], raw[holds][order]
+    n = len(own)
+    fitted = [max(min(own[a : b + 1].mean() for b in range(i, n)) for a in range(i + 1)) for i in range(n)]  # the max-min form of isotonic regression
+    assert np.allclose(sorted(set(np.round(model.levels, 9))), sorted(set(np.round(fitted, 9))))
+    block = [np.flatnonzero(np.isclose(fitted, level)) for level in model.levels]
+    assert np.allclose(model.knots, [values[b].mean() for b in block])
+    scores = {r.doc_id: r.score for r in quality.with_quality(docs, model).collect()}
+    assert np.allclose([scores[i] for i in range(300)], model.score(x))
