@@ -111,12 +111,13 @@ def attempts(events: DataFrame) -> DataFrame:
 
 def lease_grants(requests: DataFrame, seconds: float, run: str = "run_id", owner: str = "owner", at: str = "at") -> DataFrame:
     """``requests`` in order of time, each with ``granted``: a lease is given if it is free or has run out, and its owner's own stays as it is."""
-    none = F.struct(F.lit(None).cast("string").alias("owner"), F.lit(None).cast("timestamp").alias("expires"), F.array().cast("array<boolean>").alias("granted"))
+    none = F.struct(F.lit(None).cast("string").alias("owner"), F.lit(None).cast(requests.schema[at].dataType).alias("expires"), F.array().cast("array<boolean>").alias("granted"))
+    length = F.expr(f"INTERVAL {float(seconds):f} SECONDS")
     rows = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(owner).cast("string").alias("owner"))))
 
     def step(state: Column, request: Column) -> Column:
         free = state["expires"].isNull() | (state["expires"] <= request["at"])
-        until = F.timestamp_micros(F.unix_micros(request["at"]) + F.lit(int(seconds * 1_000_000)))
+        until = request["at"] + length
         granted = F.concat(state["granted"], F.array(free | (state["owner"] == request["owner"])))
         return F.struct(F.when(free, request["owner"]).otherwise(state["owner"]).alias("owner"), F.when(free, until).otherwise(state["expires"]).alias("expires"), granted.alias("granted"))
 
