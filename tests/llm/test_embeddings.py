@@ -56,7 +56,7 @@ def test_against_brute_force(spark):
 
 
 def test_many_cells_and_blocks(spark, monkeypatch):
-    for name, value in (("BLOCK", 50), ("FILL", 20), ("FAN", 4), ("SAMPLE", 60), ("HOT", 1), ("BROADCAST_ROWS", 0)):
+    for name, value in (("BLOCK", 50), ("FILL", 20), ("FAN", 4), ("SAMPLE", 60), ("HOT", 1), ("WORTH", 0.9), ("BROADCAST_ROWS", 0)):
         monkeypatch.setattr(embeddings, name, value)
     rows = _vectors(1)
     _check(rows, embeddings.embedding_dedup(spark.createDataFrame(rows, SCHEMA)).collect())
@@ -94,7 +94,7 @@ def test_vectors_of_any_magnitude_and_sign_of_zero(spark):
 
 
 def test_every_vector_meets_its_partners_over_many_cells(spark, monkeypatch):
-    for name, value in (("BLOCK", 100), ("FILL", 40), ("SAMPLE", 1000), ("FAN", 16)):
+    for name, value in (("BLOCK", 100), ("FILL", 40), ("SAMPLE", 1000), ("FAN", 16), ("WORTH", 4.0)):
         monkeypatch.setattr(embeddings, name, value)
     rng = np.random.default_rng(5)
     base = rng.standard_normal((3000, 32))

@@ -115,6 +115,9 @@ def test_exchanges_come_nearer():
     after = mixing.exchanged(size, taken, 13.0)
     assert abs(13 - (size[after].sum() - 90)) <= 4
     assert (mixing.exchanged(size, taken, 0.0) == taken).all()
+    long = np.array([2065.0, 453, 372, 261, 243, 189, 150, 142, 141, 46])  # one long document in place of several
+    after = mixing.exchanged(long, long < 2000, 758.0)
+    assert abs(758 - (long[after].sum() - 1997)) < 40
 
 
 @pytest.mark.parametrize("every", [65_536, 16])

@@ -32,8 +32,8 @@ BLOCK = 2048
 SAMPLE = 4096
 #: Cells that one is split into, at most, and vectors that each is meant to have.
 FAN, FILL = 64, 1024
-#: A split that leaves a cell of more than this share of its vectors, or more than so many times the places, is undone.
-LARGEST, MOST_PLACES = 0.8, 4.0
+#: A split is undone unless it leaves at most this share of the cell's comparisons.
+WORTH = 0.5
 #: Equal vectors beyond which their rows are joined by broadcast, as one key with that many rows would be one task.
 HOT = 4096
 BROADCAST_ROWS = 200_000
@@ -158,8 +158,9 @@ def cells_of(nodes: DataFrame, reach: float) -> DataFrame:
         copies = centres.join(sizes, key).withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), tasks - 1))).drop("size")
         split = dealt.groupBy(*key, "task").cogroup(copies.groupBy(*key, "task")).applyInPandas(_assign(reach), f"label {kind}, dim int, cell long, node long, unit array<double>, child long")
         split = materialize(split, "split")
-        grown = split.groupBy(*key, "child").agg(F.count("*").alias("n")).groupBy(*key).agg(F.max("n").alias("largest"), F.sum("n").alias("places"))
-        helps = (F.col("largest") <= LARGEST * F.col("size")) & (F.col("places") <= MOST_PLACES * F.col("size"))
+        squares = F.sum(F.col("n").cast("double") * F.col("n")).alias("after")
+        grown = split.groupBy(*key, "child").agg(F.count("*").alias("n")).groupBy(*key).agg(squares)
+        helps = F.col("after") <= WORTH * F.col("size").cast("double") * F.col("size")
         helped = materialize(grown.join(sizes, key).where(helps).select(*key), "helped")
         undone = materialize(sizes.select(*key).join(helped, key, "left_anti"), "undone")
         ready.append(now.join(_small(undone), key, "left_semi"))

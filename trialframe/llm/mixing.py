@@ -28,8 +28,10 @@ from trialframe.operators.ordering import numbered, running
 
 WORDS = r"[^\x20\x09-\x0D]+"
 SLICE = 4096
-#: Exchanges of two documents at the cut of a source, at most.
+#: Exchanges of documents at the cut of a source, at most.
 EXCHANGES = 8
+#: Longer documents that are tried in place of several.
+NEAREST = 32
 #: Sources and cut documents are broadcast up to so many rows (at 100 bytes: 20 MB); beyond, they are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -87,7 +89,10 @@ def _fill(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def exchanged(size: np.ndarray, taken: np.ndarray, left: float) -> np.ndarray:
-    """``taken`` after additions and exchanges of two, each the one that leaves least of ``left`` over, while any helps."""
+    """``taken`` after additions and exchanges, each the one that leaves least of ``left`` over, while any helps.
+
+    One document comes in for nothing, for one that goes, or for several of falling size.
+    """
     taken = taken.copy()
     for _ in range(EXCHANGES):
         inside, outside = np.flatnonzero(taken), np.flatnonzero(~taken)
@@ -96,14 +101,21 @@ def exchanged(size: np.ndarray, taken: np.ndarray, left: float) -> np.ndarray:
         outside = outside[np.argsort(size[outside], kind="stable")]
         given = np.r_[0.0, size[inside]]  # nothing, or one that is taken, goes for one that is not
         at = np.searchsorted(size[outside], given + left)
-        best = min(((abs(left - (size[outside[j]] - given[i])), i, j) for i in range(len(given)) for j in {max(at[i] - 1, 0), min(at[i], len(outside) - 1)}))
-        if best[0] >= abs(left) - 0.5:
+        moves = [(abs(left - (size[outside[j]] - given[i])), [int(outside[j])], [int(inside[i - 1])] if i else []) for i in range(len(given)) for j in {max(at[i] - 1, 0), min(at[i], len(outside) - 1)}]
+        falling = inside[np.argsort(-size[inside], kind="stable")]
+        first = np.searchsorted(size[outside], left)
+        for j in outside[first : first + NEAREST]:
+            over, gone = size[j] - left, []
+            for i in falling:
+                if 0 < size[i] <= over:
+                    over -= size[i]
+                    gone.append(int(i))
+            moves.append((abs(over), [int(j)], gone))
+        rest, new, gone = min(moves)
+        if rest >= abs(left) - 0.5:
             break
-        _, i, j = best
-        left -= size[outside[j]] - given[i]
-        taken[outside[j]] = True
-        if i:
-            taken[inside[i - 1]] = False
+        left -= size[new].sum() - size[gone].sum()
+        taken[new], taken[gone] = True, False
     return taken
 
 
