@@ -631,13 +631,13 @@ def version_conflicts(spark, sf):
     return runstore.conflicts(e)
 
 
-@_query("""WITH RECURSIVE q AS (SELECT user_id AS run_id, event_type AS owner, ts AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type) AS k FROM events),
-g AS (SELECT run_id, owner, at, k, true AS granted, owner AS holder, at + INTERVAL 2 DAY AS expires FROM q WHERE k = 1
- UNION ALL SELECT q.run_id, q.owner, q.at, q.k, g.expires <= q.at OR g.holder = q.owner, CASE WHEN g.expires <= q.at THEN q.owner ELSE g.holder END, CASE WHEN g.expires <= q.at THEN q.at + INTERVAL 2 DAY ELSE g.expires END FROM g JOIN q ON q.run_id = g.run_id AND q.k = g.k + 1)
-SELECT run_id, owner, at, granted FROM g""")
+@_query("""WITH RECURSIVE q AS (SELECT user_id AS run_id, event_type AS owner, ts AS asked, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type) AS k FROM events),
+g AS (SELECT run_id, owner, asked, k, true AS granted, owner AS holder, asked + INTERVAL 2 DAY AS expires FROM q WHERE k = 1
+ UNION ALL SELECT q.run_id, q.owner, q.asked, q.k, g.expires <= q.asked OR g.holder = q.owner, CASE WHEN g.expires <= q.asked THEN q.owner ELSE g.holder END, CASE WHEN g.expires <= q.asked THEN q.asked + INTERVAL 2 DAY ELSE g.expires END FROM g JOIN q ON q.run_id = g.run_id AND q.k = g.k + 1)
+SELECT run_id, owner, asked, granted FROM g""")
 def lease_grant(spark, sf):
-    e = _t(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("owner"), F.col("ts").alias("at"))
-    return runstore.lease_grants(e, 2 * 86400)
+    e = _t(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("owner"), F.col("ts").alias("asked"))
+    return runstore.lease_grants(e, 2 * 86400, at="asked")
 
 
 @_query("""WITH i AS (SELECT DISTINCT l_orderkey AS run_id, l_linenumber AS partition_id FROM lineitem),
