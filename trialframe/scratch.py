@@ -9,6 +9,7 @@ nothing reads any more are dropped with ``discard``, the rest when the driver's
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -65,6 +66,12 @@ def discard(*tables: DataFrame) -> None:
         remove(df.sparkSession, df._trialframe_path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are gone; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
