@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialframe.scratch import materialize
+from trialframe.scratch import materialize, release
 from trialframe.operators.ordering import chunk_of
 
 ROWS = 3
@@ -248,6 +248,7 @@ def version_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
         unequal(F.col("cells"), F.col("edited_cells")).alias("to_e"), unequal(F.col("cells"), F.col("following_cells")).alias("to_f"),
     )
     rows = materialize(rows, "versions")
+    release(docs.sparkSession)  # the texts' shuffle is as large as the texts
     guess = lambda cells: F.when(cells == 0, 0).otherwise(expected(cells)).cast("long").alias("guess")
     versions = {"e": F.concat(F.array_except("d", "gone"), F.col("new")), "f": F.col("f")}
     two = [F.struct(F.lit(c).alias("pair"), digests.alias("b"), guess(F.col(f"to_{c}"))) for c, digests in versions.items()]
