@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trialframe.functions import canonical
 from trialframe.functions.expressions import compile_expression
-from trialframe.operators import decisions, designs, ordering, reductions, refinement, runstore
+from trialframe.operators import decisions, designs, evolution, ordering, reductions, refinement, runstore
 from trialframe.plans import pipeline as dag
 from trialframe.plans.space import Boolean, Categorical, Condition, Constraint, Derived, Fixed, Float, Integer, Ordinal, Space, project, resolve, unit_column, violation
 from trialframe.sources import artifacts as store
@@ -376,6 +376,24 @@ def median_prune(spark, sf):
     return designs.median_prune(e, "value", "hour", "event_id").withColumn("median", F.round("median", 6))
 
 
+@_query(f"""WITH RECURSIVE {WIDE}, w AS (SELECT user_id, quality, latency, clicks FROM wide WHERE quality IS NOT NULL AND latency IS NOT NULL AND clicks IS NOT NULL),
+p AS (SELECT DISTINCT -quality AS a, latency AS b, -clicks AS c FROM w),
+chain AS (SELECT a, b, c, 0 AS rank FROM p UNION SELECT q.a, q.b, q.c, rank + 1 FROM chain h JOIN p q ON h.a <= q.a AND h.b <= q.b AND h.c <= q.c AND (h.a < q.a OR h.b < q.b OR h.c < q.c)),
+r AS (SELECT a, b, c, max(rank)::bigint AS rank FROM chain GROUP BY a, b, c),
+u AS (SELECT user_id, quality, latency, clicks, rank FROM w JOIN r ON r.a = -quality AND r.b = latency AND r.c = -clicks),
+n AS (SELECT *, lag(quality) OVER q AS q0, lead(quality) OVER q AS q1, lag(latency) OVER l AS l0, lead(latency) OVER l AS l1, lag(clicks) OVER c AS c0, lead(clicks) OVER c AS c1,
+ max(quality) OVER f - min(quality) OVER f AS dq, max(latency) OVER f - min(latency) OVER f AS dl, max(clicks) OVER f - min(clicks) OVER f AS dc FROM u
+ WINDOW f AS (PARTITION BY rank), q AS (PARTITION BY rank ORDER BY quality, user_id), l AS (PARTITION BY rank ORDER BY latency, user_id), c AS (PARTITION BY rank ORDER BY clicks, user_id))
+SELECT user_id, rank, CASE WHEN q0 IS NOT NULL AND q1 IS NOT NULL AND l0 IS NOT NULL AND l1 IS NOT NULL AND c0 IS NOT NULL AND c1 IS NOT NULL
+ THEN round(coalesce((q1 - q0) / nullif(dq, 0), 0) + coalesce((l1 - l0) / nullif(dl, 0), 0) + coalesce((c1 - c0) / nullif(dc, 0), 0), 6) END AS crowding FROM n""")
+def nondominated_ranks(spark, sf):
+    """Every user's front and how lonely they are in it; null at a front's ends, where that is infinite."""
+    aims = {"quality": "maximize", "latency": "minimize", "clicks": "maximize"}
+    ranked = evolution.nondominated_ranks(_wide(spark, sf), aims, block=512)
+    out = evolution.crowding_distances(ranked, aims, "user_id")
+    return out.select("user_id", "rank", F.when(F.col("crowding") < float("inf"), F.round("crowding", 6)).alias("crowding"))
+
+
 # -- dataflow -----------------------------------------------------------------------------------------------
 
 
@@ -493,6 +511,16 @@ def mapped_reduce(spark, sf):
     return reductions.reduced(items, ["run_id"], "partition_id", F.lit(0.0), lambda s, x: s + x, "square", "total")
 
 
+@_query("""WITH x AS (SELECT l_returnflag AS flag, l_quantity AS q, row_number() OVER w AS k, CASE WHEN l_quantity < lag(l_quantity) OVER w THEN 1 ELSE 0 END AS falls
+ FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_orderkey * 8 + l_linenumber, l_quantity)),
+y AS (SELECT flag, sum(falls) OVER (PARTITION BY flag ORDER BY k ROWS UNBOUNDED PRECEDING) AS run FROM x), z AS (SELECT flag, count(*) AS n FROM y GROUP BY flag, run)
+SELECT flag, max(n) AS longest FROM z GROUP BY flag""")
+def tree_reduce(spark, sf):
+    """A reducer whose states are merged in a tree: three keys hold all rows."""
+    rows = _t(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("at"), "l_quantity")
+    return reductions.tree_reduced(rows, ["flag"], "at", reductions.longest_run(), "l_quantity", "longest")
+
+
 @_query("SELECT p_partkey, p_brand || ':' || p_type AS label, repeat(p_brand, 2) AS twice FROM part")
 def text_expressions(spark, sf):
     names = ["p_brand", "p_type"]

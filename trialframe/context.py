@@ -61,6 +61,8 @@ class Context:
     work_dir: str | None = None
     store: object | None = None
     artifacts: object | None = None
+    #: The resource profile of the node's tasks, for ``mapInArrow`` and ``mapInPandas``; set by the pipeline.
+    profile: object | None = None
     token: Token = field(default_factory=Token)
     secrets: EnvironmentSecrets = field(default_factory=EnvironmentSecrets)
     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc)

@@ -25,6 +25,10 @@ class RunError(TrialframeError):
     """A block or partition failed."""
 
 
+class ResourceError(TrialframeError):
+    """Resources that the master cannot schedule."""
+
+
 class ArtifactError(TrialframeError):
     pass
 

@@ -74,3 +74,24 @@ def running(df: DataFrame, order: Mapping[str, Column], sums: Mapping[str, Colum
 def numbered(df: DataFrame, order: Mapping[str, Column], name: str, every: int = EVERY) -> DataFrame:
     """``df`` with the number of each row, from 0, in ``order``."""
     return running(df, order, {name: F.lit(1).cast("long")}, every)
+
+
+def neighbours(df: DataFrame, order: Mapping[str, Column], values: Mapping[str, Column], every: int = EVERY) -> DataFrame:
+    """``df`` with ``<name>_before`` and ``<name>_after``: what each of ``values`` is in the rows before and behind a row in ``order``.
+
+    Windows run within chunks; only the first and last row of each chunk meet their neighbours in other ones. Rows equal in
+    all keys come in any order, so give keys that tell rows apart.
+    """
+    chunk, chunks = chunk_of(df, order, every)
+    rows = df.withColumn("__chunk", chunk)
+    window = Window.partitionBy("__chunk").orderBy(*(c.asc_nulls_first() for c in order.values()))
+    whole = F.struct(*(c.alias(name) for name, c in values.items()))
+    sides = {"before": F.lag(whole).over(window), "after": F.lead(whole).over(window)}
+    if chunks > 1:
+        ends = rows.groupBy("__chunk").agg(F.max_by(whole, _key(order)).alias("last"), F.min_by(whole, _key(order)).alias("first"))
+        place = Window.orderBy("__chunk")  # a row for each chunk, MOST_CUTS at most
+        ends = ends.select(F.col("__chunk").alias("__at"), F.lag("last").over(place).alias("__last"), F.lead("first").over(place).alias("__first"))
+        rows = rows.join(F.broadcast(ends), F.col("__chunk") == F.col("__at"))
+        sides = {"before": F.coalesce(sides["before"], F.col("__last")), "after": F.coalesce(sides["after"], F.col("__first"))}
+    out = rows.select(*(F.col(f"`{c}`") for c in df.columns), *(c.alias(f"__{side}") for side, c in sides.items()))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), *(F.col(f"__{side}.{name}").alias(f"{name}_{side}") for side in sides for name in values))

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trialframe.operators.ordering import numbered
+
 
 def mean_or_zero(values: Column) -> Column:
     """Mean of an array; 0 of an empty one."""
@@ -116,6 +119,66 @@ def reduced(df: DataFrame, keys: list[str], index: str, start: Column, step: Cal
     return df.groupBy(*keys).agg(rows.alias("__rows")).select(*keys, folded.alias(name))
 
 
+@dataclass(frozen=True)
+class Reducer:
+    """A reducer whose states can be merged: ``zero``, ``step(state, value)``, ``merge(earlier, later)``, ``finish(state)``.
+
+    ``merge`` has to be associative, with ``zero`` as its neutral element, and may depend on the order.
+    """
+
+    zero: Column
+    step: Callable[[Column, Column], Column]
+    merge: Callable[[Column, Column], Column]
+    finish: Callable[[Column], Column] = lambda state: state
+
+
+#: Rows that are folded into one state at a time, and states that are merged into one.
+FOLD_ROWS, FOLD_STATES = 1024, 64
+
+
+def tree_reduced(df: DataFrame, keys: list[str], index: str, reducer: Reducer, value: str, name: str, rows: int = FOLD_ROWS, states: int = FOLD_STATES) -> DataFrame:
+    """The values of each key reduced in the order of ``index`` (nulls first, ties by value), as a tree.
+
+    Rows are numbered along the order of keys and index; at most ``rows`` neighbours of a key become a state, then at most
+    ``states`` neighbouring states another one, until each key has one. So no task holds a key's values, however many there are.
+    """
+    at = numbered(df.select(*keys, index, value), {**{k: F.col(k) for k in keys}, index: F.col(index), value: F.col(value)}, "__at")
+    total = df.count()
+    cells = F.array_sort(F.collect_list(F.struct(F.col("__at").alias("at"), F.col(value).alias("v"))))
+    chunk = F.floor(F.col("__at") / rows).alias("__part")
+    folded = F.aggregate("__cells", reducer.zero, lambda state, cell: reducer.step(state, cell["v"]))
+    out = at.groupBy(*keys, chunk).agg(cells.alias("__cells")).select(*keys, "__part", folded.alias("__state"))
+    parts = -(-total // rows)
+    while parts > 1:
+        parts = -(-parts // states)
+        cells = F.array_sort(F.collect_list(F.struct(F.col("__part").alias("at"), F.col("__state").alias("v"))))
+        whole = F.aggregate("__cells", reducer.zero, lambda state, cell: reducer.merge(state, cell["v"]))
+        out = out.groupBy(*keys, F.floor(F.col("__part") / states).alias("__up")).agg(cells.alias("__cells")).select(*keys, F.col("__up").alias("__part"), whole.alias("__state"))
+    return out.select(*keys, reducer.finish(F.col("__state")).alias(name))
+
+
+def longest_run() -> Reducer:
+    """The length of the longest stretch of values that never fall: a state keeps its ends, the stretches there, and the best one."""
+    none = F.lit(None).cast("double")
+    count = lambda n: F.lit(n).cast("long")
+    zero = F.struct(none.alias("first"), none.alias("last"), count(0).alias("head"), count(0).alias("tail"), count(0).alias("best"), count(0).alias("n"))
+
+    def merge(a: Column, b: Column) -> Column:
+        joins = a["last"] <= b["first"]
+        head = F.when(joins & (a["head"] == a["n"]), a["n"] + b["head"]).otherwise(a["head"])
+        tail = F.when(joins & (b["tail"] == b["n"]), b["n"] + a["tail"]).otherwise(b["tail"])
+        across = F.when(joins, a["tail"] + b["head"]).otherwise(count(0))
+        both = F.struct(a["first"].alias("first"), b["last"].alias("last"), head.alias("head"), tail.alias("tail"), F.greatest(a["best"], b["best"], across).alias("best"), (a["n"] + b["n"]).alias("n"))
+        return F.when(a["n"] == 0, b).when(b["n"] == 0, a).otherwise(both)
+
+    def step(state: Column, value: Column) -> Column:
+        v = value.cast("double")
+        one = F.struct(v.alias("first"), v.alias("last"), count(1).alias("head"), count(1).alias("tail"), count(1).alias("best"), count(1).alias("n"))
+        return F.when(v.isNull(), state).otherwise(merge(state, one))
+
+    return Reducer(zero, step, merge, lambda state: state["best"])
+
+
 def merged(left: Column, right: Column) -> Column:
     """Maps merged, the right one's values winning."""
     return F.map_concat(F.map_filter(left, lambda k, _: ~F.map_contains_key(right, k)), right)

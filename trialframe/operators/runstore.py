@@ -316,7 +316,7 @@ class RunStore:
         """Take a free or expired lease; the owner's own is kept as it is. Of two that ask at once one gets it."""
         for _ in range(self.TRIES):
             now, held = self._last(run_id)
-            if held is not None and held.expires_at >= self.now():
+            if held is not None and held.expires_at > self.now():
                 return held.owner == owner
             if self._event(run_id, now.version + 1, "lease", now.state, now.attempt + 1, owner, self.now() + timedelta(seconds=seconds)):
                 return True
@@ -331,6 +331,31 @@ class RunStore:
                 return True
         raise StateConflict(f"others keep changing {run_id}")
 
+    def release(self, run_id: str, owner: str) -> bool:
+        """Give up a lease before it runs out; False if it is another one's by now."""
+        for _ in range(self.TRIES):
+            now, held = self._last(run_id)
+            if held is None or held.owner != owner:
+                return False
+            if self._event(run_id, now.version + 1, "release", now.state, now.attempt, owner, self.now()):
+                return True
+        raise StateConflict(f"others keep changing {run_id}")
+
+    def newest(self, run_id: str) -> str | None:
+        """The state in the newest event of a run's log, by a look at the folder and one file: no job."""
+        folder = self._path(self._log(run_id))
+        if not self._fs.exists(folder):
+            return None
+        names = sorted(s.getPath().getName() for s in self._fs.listStatus(folder))
+        names = [n for n in names if n.endswith(".json") and not n.startswith(".")]
+        if not names:
+            return None
+        stream = self._fs.open(self._path(f"{self._log(run_id)}/{names[-1]}"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")).get("state")
+        finally:
+            stream.close()
+
     def _bulk(self, runs: DataFrame, state: str, payload: dict) -> DataFrame:
         """Move ``runs(run_id)`` on with one append; those of them that did move, as their newest events say."""
         now = current_states(self.table("events")).join(runs.select("run_id"), "run_id", "left_semi")

@@ -6,17 +6,20 @@ graph together and Catalyst sees the whole of it as one plan. Mapped blocks see
 
 from __future__ import annotations
 
+import inspect
 from collections import deque
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trialframe.errors import PipelineInvalid, PortMismatch
+from trialframe.context import Context
+from trialframe.errors import PipelineInvalid, PortMismatch, ResourceError
 from trialframe.functions.canonical import code_fingerprint, fingerprint
 from trialframe.operators import reductions
+from trialframe.plans import resources
 from trialframe.schemas import missing_fields, problems, repeated, schema, strict
 
 PATTERNS = ("batch", "map", "reduce", "map_reduce", "service_call", "subprocess", "stream")
@@ -36,18 +39,21 @@ class Block:
     checkpoint: str | None = None
     #: Versions of what the function needs besides its code, for the cache key.
     dependencies: str | None = None
+    #: How durable runs use the cache for this block; as the runner does where it says nothing.
+    cache: str | None = None
 
     @property
     def code(self) -> str:
         return code_fingerprint(self.function, self.version)
 
-    def __call__(self, df: DataFrame, context=None) -> DataFrame:
-        import inspect
+    @property
+    def takes_context(self) -> bool:
+        return isinstance(self.function, Stateful) or len(inspect.signature(self.function).parameters) > 1
 
+    def __call__(self, df: DataFrame, context=None) -> DataFrame:
         if isinstance(self.function, Stateful):
             return self.function.run(df, context)
-        takes = len(inspect.signature(self.function).parameters)
-        return self.function(df, context) if takes > 1 else self.function(df)
+        return self.function(df, context) if self.takes_context else self.function(df)
 
 
 class Stateful:
@@ -191,9 +197,18 @@ class Pipeline:
         """One block over all runs; a mapped block over all items of all runs, put back in order."""
         names = [f.name for f in node.block.inputs if f.name in df.columns]
         if node.map_over is None:
-            out = node.block(df.select("run_id", *names), context)
+            out = self.evaluated(node, df.select("run_id", *names), context)
             return strict(out, T.StructType([T.StructField("run_id", df.schema["run_id"].dataType), *node.block.outputs]))
-        return self.gathered(node, df, node.block(self.items(node, df), context))
+        return self.gathered(node, df, self.evaluated(node, self.items(node, df), context))
+
+    def evaluated(self, node: Node, df: DataFrame, context=None) -> DataFrame:
+        """A node's block over ``df``; its context has the profile of the node's resources, which the block hands to Spark."""
+        profile = resources.profile(df.sparkSession, node.resources)
+        if profile is None:
+            return node.block(df, context)
+        if not node.block.takes_context:
+            raise ResourceError(f"{node.id}: a block with resources takes a context, for its profile")
+        return node.block(df, replace(context or Context(), profile=profile))
 
     def items(self, node: Node, df: DataFrame) -> DataFrame:
         """The rows that a mapped block sees: one per item, with its ``partition_id``."""
@@ -216,6 +231,19 @@ class Pipeline:
         return outputs
 
 
+def python_block(name: str, function: Callable, inputs: str, outputs: str, **options) -> Block:
+    """A block of a function from pandas frames to pandas frames, on the workers, with the resources of its node.
+
+    The frames have ``run_id`` (and ``partition_id`` where the block is mapped) besides the ports.
+    """
+
+    def run(df: DataFrame, context=None) -> DataFrame:
+        keys = [df.schema[c] for c in ("run_id", "partition_id") if c in df.columns]
+        return df.mapInPandas(function, T.StructType([*keys, *schema(outputs)]), profile=getattr(context, "profile", None))
+
+    return Block(name, run, schema(inputs), schema(outputs), **options)
+
+
 def constant(values: Sequence[float]) -> Block:
     return Block("constant", lambda df: df.select("run_id", F.array(*(F.lit(float(v)) for v in values)).alias("values")), T.StructType([]), schema("values array<double>"))
 

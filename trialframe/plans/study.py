@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import random
+import threading
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialframe.context import Context
-from trialframe.errors import Cancelled, Paused, RunError
+from trialframe.errors import Cancelled, Paused, RunError, StateConflict
 from trialframe.functions.canonical import cache_key_of, fingerprint
 from trialframe.operators import designs
 from trialframe.operators.runstore import DONE, RunStore
@@ -60,18 +64,72 @@ class DurableRunner:
     """Writes each block's table, lists it under its cache key last, and starts again behind what is listed.
 
     A mapped block is run in batches of its items. Each batch is a table of its own, so what was finished before a failure
-    is there when the run is resumed.
+    is there when the run is resumed. As many batches as the node's ``parallelism`` are Spark jobs at the same time; the first
+    one that fails, and a pause or cancellation, stops the others while they run.
+
+    Of several drivers one runs a pipeline (or a block) of one input: it holds a lease on the run, renews it while it
+    works, and gives it up at the end. Another one waits up to ``wait_s`` for it, then it is refused. Whoever asked the store
+    to pause or cancel the run is heard at the same rate.
     """
 
     #: Batches of a mapped block's items, at most.
     BATCHES = 16
+    #: Seconds between two looks at a run that is being worked on.
+    POLL = 2.0
 
-    def __init__(self, spark: SparkSession, store: RunStore, root: str, cache: str = "read_write", retry: Retry = Retry()) -> None:
+    def __init__(self, spark: SparkSession, store: RunStore, root: str, cache: str = "read_write", retry: Retry = Retry(), lease_s: float = 120.0, wait_s: float = 0.0) -> None:
         if cache not in CACHE_MODES:
             raise ValueError(f"cache mode {cache!r} is none of {CACHE_MODES}")
         self.spark, self.store, self.root, self.cache, self.retry = spark, store, root.rstrip("/"), cache, retry
-
-    def _tried(self, work: Callable[[], None], token, run_id: str, seed: int) -> None:
+        self.lease_s, self.wait_s, self.owner = lease_s, wait_s, uuid.uuid4().hex
+
+    @contextmanager
+    def _held(self, run_id: str, context: Context) -> Iterator[None]:
+        """Hold a run's lease, renewed by a thread that also passes on what the store was asked for."""
+        until = time.monotonic() + self.wait_s
+        while not self.store.acquire_lease(run_id, self.owner, self.lease_s):
+            if time.monotonic() >= until:
+                raise StateConflict(f"{run_id} is held by another driver")
+            context.token.check()
+            time.sleep(min(self.POLL, self.lease_s / 4))
+        over, lost = threading.Event(), threading.Event()
+
+        def keep() -> None:
+            renew = time.monotonic() + self.lease_s / 3
+            while not over.wait(min(self.POLL, self.lease_s / 6)):
+                asked = self.store.newest(run_id)
+                if asked == "pausing":
+                    context.token.pause()
+                elif asked == "cancelled":
+                    context.token.cancel()
+                if time.monotonic() >= renew:
+                    renew = time.monotonic() + self.lease_s / 3
+                    if not self.store.heartbeat(run_id, self.owner, self.lease_s):
+                        lost.set()
+                        return context.token.cancel()
+
+        keeper = threading.Thread(target=inheritable_thread_target(self.spark)(keep), daemon=True)
+        keeper.start()
+        try:
+            yield
+        except Cancelled:
+            if lost.is_set():
+                raise StateConflict(f"the lease on {run_id} was lost") from None
+            raise
+        finally:
+            over.set()
+            keeper.join()
+            self.store.release(run_id, self.owner)
+
+    def _stopped(self, run_id: str, stop: Paused | Cancelled) -> None:
+        """Record what ended a run, unless whoever asked for it did."""
+        end = "paused" if isinstance(stop, Paused) else "cancelled"
+        now = self.store.state(run_id).state
+        if now != end and now != "cancelled":
+            self.store.transition(run_id, "pausing")
+            self.store.transition(run_id, end)
+
+    def _tried(self, work: Callable[[], None], token, run_id: str, seed: int, given_up: Callable[[], bool] = lambda: False) -> None:
         """Run a block and write its table, again after errors that the policy covers; every retry is an event of its run."""
         chance = random.Random(seed)
         for attempt in range(self.retry.attempts):
@@ -79,7 +137,7 @@ class DurableRunner:
             try:
                 return work()
             except Exception as e:
-                if attempt + 1 == self.retry.attempts or not self.retry.covers(e):
+                if given_up() or attempt + 1 == self.retry.attempts or not self.retry.covers(e):
                     raise
                 wait = self.retry.delay(attempt, chance)
                 self.store.add_event(run_id, "retry_scheduled", {"attempt": attempt + 1, "delay_s": wait, "error": repr(e)[:500]})
@@ -108,6 +166,10 @@ class DurableRunner:
         digest = initial.select(F.sum(F.xxhash64(*initial.columns).cast("decimal(38,0)")).cast("string"), F.count("*").cast("string")).first()
         base = fingerprint([list(digest), context.seed, context.parameters])
         top = self.store.create_run(f"pipeline:{pipeline.fingerprint()}:{base}", "pipeline")
+        with self._held(top, context):
+            return self._blocks(pipeline, initial, context, resume, base, top)
+
+    def _blocks(self, pipeline: Pipeline, initial: DataFrame, context: Context, resume: bool, base: str, top: str) -> Result:
         self._to_running(top)
         outputs: dict[str, DataFrame] = {}
         keys: dict[str, str] = {}
@@ -122,31 +184,19 @@ class DurableRunner:
                 there = self._there(path)
                 if resume and there and self.store.state(run_id).state in DONE:
                     resumed.append(node.id)
-                elif there and self.cache in ("read_write", "read_only") and self.store.find_cache(key) is not None:
+                elif there and self._mode(node) in ("read_write", "read_only") and self.store.find_cache(key) is not None:
                     hits.append(node.id)
                 else:
-                    self._to_running(run_id)
-                    try:
-                        df = pipeline.inputs_of(node, outputs, initial)
-                        if node.map_over is None:
-                            work = lambda node=node, df=df, path=path: pipeline.apply(node, df, context).write.mode("overwrite").parquet(path)
-                            self._tried(work, context.token, run_id, context.seed)
-                        else:
-                            partitions[node.id] = self._mapped(pipeline, node, df, context, key, run_id, resume)
-                    except (Paused, Cancelled) as stop:
-                        self.store.transition(run_id, "pausing")
-                        self.store.transition(run_id, "paused" if isinstance(stop, Paused) else "cancelled")
-                        raise
-                    except Exception as e:
-                        self.store.transition(run_id, "failed", payload={"error": str(e)[:500]})
-                        raise
-                    self.store.transition(run_id, "completed")
-                    ref = {"content_hash": key, "media_type": "application/x-parquet", "codec": "parquet", "lineage": {d: keys[d] for d in node.depends_on}, "metadata": {"path": path}, "size": 0}
-                    self.store.register_artifact(ref, run_id, key)
+                    with self._held(run_id, context):
+                        known = self._evaluated(pipeline, node, pipeline.inputs_of(node, outputs, initial), context, key, run_id, resume)
+                    if known is not None:
+                        partitions[node.id] = known
+                    if self._mode(node) in ("read_write", "refresh"):
+                        lineage = {d: keys[d] for d in node.depends_on}
+                        self.store.register_artifact({"content_hash": key, "media_type": "application/x-parquet", "codec": "parquet", "lineage": lineage, "metadata": {"path": path}, "size": 0}, run_id, key)
                 outputs[node.id] = self.spark.read.parquet(path)
         except (Paused, Cancelled) as stop:
-            self.store.transition(top, "pausing")
-            self.store.transition(top, "paused" if isinstance(stop, Paused) else "cancelled")
+            self._stopped(top, stop)
             raise
         except Exception as e:
             self.store.transition(top, "failed", payload={"node": last, "error": str(e)[:500]})
@@ -155,8 +205,30 @@ class DurableRunner:
             self.store.transition(top, "completed")
         return Result(outputs, outputs[last], tuple(hits), tuple(resumed), partitions)
 
+    def _mode(self, node: Node) -> str:
+        """How a block uses the cache: as it says itself, else as the runner does."""
+        return node.block.cache or self.cache
+
+    def _evaluated(self, pipeline: Pipeline, node: Node, df: DataFrame, context: Context, key: str, run_id: str, resume: bool) -> DataFrame | None:
+        """Run one block and write its table; for a mapped one, the partitions that were finished before."""
+        self._to_running(run_id)
+        known = None
+        try:
+            if node.map_over is None:
+                self._tried(lambda: pipeline.apply(node, df, context).write.mode("overwrite").parquet(f"{self.root}/blocks/{key}"), context.token, run_id, context.seed)
+            else:
+                known = self._mapped(pipeline, node, df, context, key, run_id, resume)
+        except (Paused, Cancelled) as stop:
+            self._stopped(run_id, stop)
+            raise
+        except Exception as e:
+            self.store.transition(run_id, "failed", payload={"error": str(e)[:500]})
+            raise
+        self.store.transition(run_id, "completed")
+        return known
+
     def _mapped(self, pipeline: Pipeline, node: Node, df: DataFrame, context: Context, key: str, run_id: str, resume: bool) -> DataFrame:
-        """Run a mapped block batch by batch; (run_id, partition_id) of what was finished before."""
+        """Run a mapped block batch by batch; (run_id, partition_id) of what was finished before. The run's lease is held."""
         folder = f"{self.root}/partitions/{key}"
         if not resume:
             self.store._fs.delete(self.store._path(folder), True)
@@ -167,18 +239,48 @@ class DurableRunner:
         number = F.col("partition_id").cast("long")
         pending = items.join(known, ["run_id", "partition_id"], "left_anti")
         most = pending.agg(F.max(number)).first()[0]
-        step = max(node.parallelism, -(-((most or 0) + 1) // self.BATCHES))
-        for first in range(0, -1 if most is None else most + 1, step):
-            batch = pending.where(number.between(first, first + step - 1))
+        step = -(-((most or 0) + 1) // max(self.BATCHES, node.parallelism))
 
-            def work(batch: DataFrame = batch) -> None:
-                out = node.block(batch, context)
-                strict(out.select("run_id", "partition_id", *node.block.outputs.names), shape).write.parquet(f"{folder}/{uuid.uuid4().hex}")
+        def batch(first: int) -> None:
+            own = pending.where(number.between(first, first + step - 1))
+            out = pipeline.evaluated(node, own, context)
+            strict(out.select("run_id", "partition_id", *node.block.outputs.names), shape).write.parquet(f"{folder}/{uuid.uuid4().hex}")
 
-            self._tried(work, context.token, run_id, context.seed)
+        firsts = range(0, -1 if most is None else most + 1, step)
+        self._at_once([lambda first=first: batch(first) for first in firsts], node.parallelism, context, run_id)
         pipeline.gathered(node, df, self._batches(folder, shape)).write.mode("overwrite").parquet(f"{self.root}/blocks/{key}")
         return known
 
+    def _at_once(self, works: list[Callable[[], None]], parallelism: int, context: Context, run_id: str) -> None:
+        """Run batches as jobs of one tag, ``parallelism`` at a time; an error or a stop cancels those that are running."""
+        sc, tag, over = self.spark.sparkContext, f"trialframe-{uuid.uuid4().hex}", threading.Event()
+
+        def tagged(work: Callable[[], None]) -> None:
+            if over.is_set():
+                return
+            sc.addJobTag(tag)
+            try:
+                self._tried(work, context.token, run_id, context.seed, over.is_set)
+            finally:
+                sc.removeJobTag(tag)
+
+        with ThreadPoolExecutor(parallelism) as pool:
+            left = {pool.submit(inheritable_thread_target(self.spark)(tagged), work) for work in works}
+            try:
+                while left:
+                    done, left = wait(left, 0.2, FIRST_EXCEPTION)
+                    for each in done:
+                        each.result()
+                    context.token.check()
+            except BaseException:
+                over.set()
+                for each in left:
+                    each.cancel()
+                while left:  # a thread may have been about to start its job
+                    sc.cancelJobsWithTag(tag)
+                    _, left = wait(left, 0.2)
+                raise
+
     def _batches(self, folder: str, shape: T.StructType) -> DataFrame:
         """The rows of the batches that were written to their end."""
         at = self.store._path(folder)
