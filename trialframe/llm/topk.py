@@ -24,8 +24,10 @@ from pyspark.sql.window import Window
 from trialframe.llm.workers import bound_batches, trim
 from trialframe.scratch import discard, materialize
 
-SHARD_ROWS = 16_384
+SHARD_ROWS = 8192
 LEAF_ROWS = 64
+#: Shuffle partitions for each shard, so that few shards meet in one task.
+SPREAD = 4
 #: Queries whose bounds to all nodes of a tree are taken at a time.
 QUERY_BLOCK = 256
 #: Products of integers up to here are exact in double precision, sums included.
@@ -212,7 +214,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     bound_batches(vectors.sparkSession)
 
     def searched(asked: DataFrame) -> DataFrame:
-        dealt = indexed.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "dims", "ask", "row")
+        dealt = indexed.unionByName(asked).repartition(SPREAD * shards, "shard").sortWithinPartitions("shard", "dims", "ask", "row")
         return dealt.mapInArrow(_search(k), "query long, query_id long, vec_id long, row long, score long")
 
     first = materialize(searched(queries.select(home.alias("shard"), "dims", F.lit(1).alias("ask"), "row", "vec_id", F.lit(None).cast("long").alias("bar"), "x")), "home")
