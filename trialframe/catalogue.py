@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trialframe.functions import canonical
 from trialframe.functions.expressions import compile_expression
-from trialframe.operators import decisions, designs, evolution, ordering, reductions, refinement, runstore
+from trialframe.operators import decisions, designs, evolution, ordering, reductions, refinement, runstore, tables
 from trialframe.plans import pipeline as dag
 from trialframe.plans.space import Boolean, Categorical, Condition, Constraint, Derived, Fixed, Float, Integer, Ordinal, Space, project, resolve, unit_column, violation
 from trialframe.sources import artifacts as store
@@ -290,72 +290,109 @@ def activation_conditional(spark, sf):
     return resolve(units, space).select("event_id", "method", F.round("strength", 9).alias("strength"), "fallback", "depth", F.round("twice", 9).alias("twice"))
 
 
-@_query("""SELECT (a.range * 18 + b.range * 6 + c.range * 2 + d.range)::bigint AS row_index, round(-5.0::double + (a.range + 0.5) / 4.0::double * 7.0::double, 9) AS x, (3 + floor((b.range + 0.5) / 3.0::double * 7))::bigint AS n,
- (['a', 'b', 'c'])[c.range + 1] AS kind, d.range = 1 AS flag FROM range(4) a, range(3) b, range(3) c, range(2) d""")
+def _numbered_parts(spark, sf):
+    return ordering.numbered(_t(spark, sf, "part").select("p_partkey"), {"key": F.col("p_partkey")}, "row_index")
+
+
+NUMBERED = "parts AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part)"
+
+
+@_query("""WITH b AS (SELECT min(p_retailprice) AS low, max(p_retailprice) AS high, min(p_size) AS least, max(p_size) AS most FROM part),
+k AS (SELECT p_type AS kind, row_number() OVER (ORDER BY p_type) - 1 AS place, count(*) OVER () AS kinds FROM (SELECT DISTINCT p_type FROM part))
+SELECT (x.range * 3 * kinds * 2 + n.range * kinds * 2 + place * 2 + f.range)::bigint AS row_index, round(low + (x.range + 0.5) / 4.0::double * (high - low), 6) AS price,
+ (least + floor((n.range + 0.5) / 3.0::double * (most - least + 1)))::bigint AS size, kind, f.range = 1 AS flag FROM b, k, range(4) x, range(3) n, range(2) f""")
 def grid_design(spark, sf):
-    out = project(designs.grid_units(spark, MIXED, {"x": 4, "n": 3}), MIXED)
-    return out.withColumn("x", F.round("x", 9))
+    """A grid over what the parts' prices, sizes and types range over."""
+    parts = _t(spark, sf, "part")
+    b = parts.agg(F.min("p_retailprice").alias("low"), F.max("p_retailprice").alias("high"), F.min("p_size").alias("least"), F.max("p_size").alias("most"), F.array_sort(F.collect_set("p_type")).alias("kinds")).first()
+    space = Space((Float("price", low=b.low, high=b.high), Integer("size", low=b.least, high=b.most), Categorical("kind", values=tuple(b.kinds)), Boolean("flag")))
+    return project(designs.grid_units(spark, space, {"price": 4, "size": 3}), space).withColumn("price", F.round("price", 6))
 
 
-@_query("SELECT (a.range * 3 + b.range)::bigint AS row_index, a.range = 1 AS flag, (['a', 'b', 'c'])[b.range + 1] AS kind, 0 AS replicate_index, 'factorial' AS planner FROM range(2) a, range(3) b")
+@_query("""WITH brands AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS i FROM (SELECT DISTINCT p_brand FROM part)), types AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS j, count(*) OVER () AS m FROM (SELECT DISTINCT p_type FROM part)),
+have AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY p_brand, p_type)
+SELECT i * m + j AS row_index, p_brand AS brand, p_type AS kind, 0 AS replicate_index, 'factorial' AS planner, coalesce(n, 0) AS parts FROM brands CROSS JOIN types LEFT JOIN have USING (p_brand, p_type)""")
 def factorial_design(spark, sf):
-    space = Space((Boolean("flag"), Categorical("kind", values=("a", "b", "c"))))
-    return designs.propose(spark, space, designs.Request(6, seed=1), "factorial").select("row_index", "flag", "kind", "replicate_index", "planner")
-
-
-#: The first ten direction numbers of six Sobol dimensions, as published, in units of 2**-10 (fixed values): 1,024 points need no more.
-DIRECTIONS = (
-    (512, 256, 128, 64, 32, 16, 8, 4, 2, 1),
-    (512, 768, 640, 960, 544, 816, 680, 1020, 514, 771),
-    (512, 768, 384, 576, 928, 368, 568, 788, 418, 627),
-    (512, 768, 128, 320, 992, 464, 648, 588, 866, 149),
-    (512, 256, 128, 704, 992, 880, 488, 628, 362, 191),
-    (512, 256, 384, 192, 800, 144, 344, 1004, 898, 449),
-)
+    """All brands by all types, and how many parts there are of each."""
+    parts = _t(spark, sf, "part")
+    levels = parts.agg(F.array_sort(F.collect_set("p_brand")).alias("brand"), F.array_sort(F.collect_set("p_type")).alias("kind")).first()
+    space = Space((Categorical("brand", values=tuple(levels.brand)), Categorical("kind", values=tuple(levels.kind))))
+    plan = designs.propose(spark, space, designs.Request(len(levels.brand) * len(levels.kind), seed=1), "factorial").select("row_index", "brand", "kind", "replicate_index", "planner")
+    have = parts.groupBy(F.col("p_brand").alias("brand"), F.col("p_type").alias("kind")).agg(F.count("*").alias("parts"))
+    return plan.join(have, ["brand", "kind"], "left").withColumn("parts", F.coalesce("parts", F.lit(0)).cast("long"))
 
 
-def _sobol_sql(n: int) -> str:
-    bit = lambda k: f"((xor(range, range >> 1) >> {k}) & 1)"
-    out = []
-    for d, numbers in enumerate(DIRECTIONS):
-        value = "0"
-        for k, v in enumerate(numbers):
-            value = f"xor({value}, {bit(k)} * {v})"
-        out.append(f"round(({value}) / 1024.0::double, 9) AS d{d}")
-    return f"SELECT range::bigint AS row_index, {', '.join(out)} FROM range({n})"
+#: Degree, coefficients and initial numbers of the Sobol dimensions behind the first, as published (fixed values).
+PUBLISHED = "(1, 1, 0, [1]), (2, 2, 1, [1, 3]), (3, 3, 1, [1, 3, 1]), (4, 3, 2, [1, 1, 1]), (5, 4, 1, [1, 1, 3, 3]), (6, 4, 4, [1, 3, 5, 13]), (7, 5, 2, [1, 1, 5, 5, 17])"
 
 
-@_query(_sobol_sql(1024))
+@_query(f"""WITH RECURSIVE {NUMBERED}, table_(d, s, a, start) AS (VALUES {PUBLISHED}),
+m(d, s, a, m) AS (SELECT d, s, a, start::bigint[] FROM table_ UNION ALL SELECT d, s, a, list_append(m, list_reduce(list_transform(range(1, s), lambda j: ((a >> (s - 1 - j)::integer) & 1) * (m[(len(m) + 1 - j)] << j)), lambda x, y: xor(x, y), xor(m[len(m) + 1 - s], m[len(m) + 1 - s] << s))) FROM m WHERE len(m) < 30),
+v AS (SELECT d, list_transform(range(1, 31), lambda k: m[k] << (30 - k)) AS v FROM m WHERE len(m) = 30 UNION ALL SELECT 0, list_transform(range(1, 31), lambda k: 1::bigint << (30 - k))),
+x AS (SELECT p_partkey, i, d, list_reduce(list_transform(range(1, 31), lambda k: ((xor(i, i >> 1) >> (k - 1)) & 1) * v[k]), lambda a, b: xor(a, b)) / 1073741824.0::double AS u FROM parts, v)
+SELECT p_partkey, i AS row_index, {", ".join(f"round(max(u) FILTER (WHERE d = {d}), 9) AS d{d}" for d in range(8))} FROM x GROUP BY p_partkey, i""")
 def sobol_design(spark, sf):
-    space = Space(tuple(Float(f"d{j}") for j in range(6)))
-    return designs.sobol_units(spark, space, 1024).select("row_index", *(F.round(unit_column(p), 9).alias(p.name) for p in space.sampled))
+    """A point of eight dimensions for every part."""
+    space = Space(tuple(Float(f"d{j}") for j in range(8)))
+    rows = _numbered_parts(spark, sf)
+    return designs.sobol_units(spark, space, 1, rows=rows).select("p_partkey", "row_index", *(F.round(unit_column(p), 9).alias(p.name) for p in space.sampled))
+
+
+@_query("WITH n AS (SELECT count(*) AS n FROM part), s AS (SELECT unnest([4, 16, 64]) AS cells) SELECT cells, (n // cells)::bigint AS least, ((n + cells - 1) // cells)::bigint AS most FROM n, s")
+def sobol_scrambled(spark, sf):
+    """Parts in each of 4, 16 and 64 intervals under nested uniform scrambling, least and most over all intervals of eight dimensions: as even as can be."""
+    at = F.col("row_index")
+    units = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), designs.owen_unit(at, d, 5).alias("u")) for d in range(0, 24, 3)))).alias("x")
+    cells = F.explode(F.array(*(F.lit(c) for c in (4, 16, 64)))).alias("cells")
+    per = _numbered_parts(spark, sf).select(units).select("x.d", "x.u", cells).groupBy("cells", "d", F.floor(F.col("u") * F.col("cells")).alias("cell")).agg(F.count("*").alias("n"))
+    return per.groupBy("cells").agg(F.min("n").alias("least"), F.max("n").alias("most"))
 
 
-@_query("""WITH RECURSIVE h(i, base, r, f, k) AS (SELECT a.range, b.base, 0.0::double, 1.0::double / b.base, a.range FROM range(500) a, (SELECT unnest([2, 3, 5]) AS base) b
- UNION ALL SELECT i, base, r + f * (k % base), f / base, k // base FROM h WHERE k > 0)
-SELECT i::bigint AS row_index, round(max(r) FILTER (WHERE base = 2), 9) AS d0, round(max(r) FILTER (WHERE base = 3), 9) AS d1, round(max(r) FILTER (WHERE base = 5), 9) AS d2 FROM h WHERE k = 0 GROUP BY i""")
+@_query(f"""WITH RECURSIVE {NUMBERED}, h(p_partkey, i, base, r, f, k) AS (SELECT p_partkey, i, b.base, 0.0::double, 1.0::double / b.base, i FROM parts, (SELECT unnest([2, 3, 5]) AS base) b
+ UNION ALL SELECT p_partkey, i, base, r + f * (k % base), f / base, k // base FROM h WHERE k > 0)
+SELECT p_partkey, i AS row_index, round(max(r) FILTER (WHERE base = 2), 9) AS d0, round(max(r) FILTER (WHERE base = 3), 9) AS d1, round(max(r) FILTER (WHERE base = 5), 9) AS d2 FROM h WHERE k = 0 GROUP BY p_partkey, i""")
 def halton_design(spark, sf):
+    """A point of three dimensions for every part."""
     space = Space(tuple(Float(f"d{j}") for j in range(3)))
-    return designs.halton_units(spark, space, 500).select("row_index", *(F.round(unit_column(p), 9).alias(p.name) for p in space.sampled))
+    units = designs.halton_units(spark, space, 1, rows=_numbered_parts(spark, sf))
+    return units.select("p_partkey", "row_index", *(F.round(unit_column(p), 9).alias(p.name) for p in space.sampled))
 
 
-@_query("SELECT range::bigint AS stratum, 1::bigint AS a, 1::bigint AS b FROM range(400)")
+@_query("SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS stratum, 1::bigint AS a, 1::bigint AS b FROM part")
 def lhs_design(spark, sf):
-    """How many points each stratum of either dimension has."""
+    """How many parts each stratum of either dimension has, with as many strata as parts."""
     space = Space((Float("a"), Float("b")))
-    units = designs.latin_units(spark, space, 400, seed=9)
-    count = lambda p: units.groupBy(F.floor(F.col(unit_column(p)) * 400).alias("stratum")).agg(F.count("*").alias(p.name))
+    n = _t(spark, sf, "part").count()
+    units = designs.latin_units(spark, space, n, seed=9, rows=_numbered_parts(spark, sf))
+    count = lambda p: units.groupBy(F.floor(F.col(unit_column(p)) * n).alias("stratum")).agg(F.count("*").alias(p.name))
     return count(space.parameters[0]).join(count(space.parameters[1]), "stratum", "full")
 
 
 @_query()
 def random_design(spark, sf):
-    return designs.propose(spark, MIXED, designs.Request(100, seed=3, replicates=2))
+    """A random trial of the mixed space for every part."""
+    return project(designs.random_units(spark, MIXED, 1, 3, rows=_numbered_parts(spark, sf)), MIXED)
 
 
 @_query()
 def numpy_design(spark, sf):
-    return designs.propose(spark, MIXED, designs.Request(100, seed=3), "numpy")
+    """A trial of the mixed space for every part, with NumPy's draws."""
+    return project(designs.numpy_units(spark, MIXED, 1, 3, rows=_numbered_parts(spark, sf)), MIXED)
+
+
+@_query("""WITH RECURSIVE s AS (SELECT p_brand || '/' || p_type AS space, min(p_retailprice) AS low1, max(p_retailprice) AS high1, min(p_size)::double AS low2, max(p_size)::double AS high2, count(*) AS n FROM part GROUP BY p_brand, p_type),
+rows_ AS (SELECT space, unnest(range(n)) AS i, low1, high1, low2, high2 FROM s),
+x AS (SELECT space, i, 'p_retailprice' AS name, 2 AS base, low1 AS low, high1 AS high FROM rows_ UNION ALL SELECT space, i, 'p_size', 3, low2, high2 FROM rows_),
+h(space, i, name, base, low, high, r, f, k) AS (SELECT space, i, name, base, low, high, 0.0::double, 1.0::double / base, i FROM x UNION ALL SELECT space, i, name, base, low, high, r + f * (k % base), f / base, k // base FROM h WHERE k > 0)
+SELECT space, i AS row_index, name, round(r, 9) AS unit, round(low + r * (high - low), 6) AS value FROM h WHERE k = 0""")
+def designs_by_table(spark, sf):
+    """A design for each brand and type of parts, as many trials as there are parts, by the table function."""
+    part = _t(spark, sf, "part").withColumn("space", F.concat_ws("/", "p_brand", "p_type"))
+    axes = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in ("p_size", "p_retailprice")))).alias("x")
+    spaces = part.select("space", axes).groupBy("space", "x.name").agg(F.min("x.v").alias("low"), F.max("x.v").alias("high"), F.count("*").alias("n"))
+    tables.register(spark)
+    out = spark.sql("SELECT * FROM planned(TABLE({spaces}), planner => 'halton')", spaces=spaces)
+    return out.withColumn("unit", F.round("unit", 9)).withColumn("value", F.round("value", 6))
 
 
 @_query("SELECT p_partkey, p_size, p_brand, row_number() OVER (ORDER BY p_partkey) - 1 AS row_index FROM part")

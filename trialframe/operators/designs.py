@@ -33,6 +33,17 @@ SOBOL = (
     (5, 2, (1, 1, 5, 5, 17)),
     (5, 4, (1, 1, 5, 5, 5)),
     (5, 7, (1, 1, 7, 11, 19)),
+    (5, 11, (1, 1, 5, 1, 1)),
+    (5, 13, (1, 1, 1, 3, 11)),
+    (5, 14, (1, 3, 5, 5, 31)),
+    (6, 1, (1, 3, 3, 9, 7, 49)),
+    (6, 13, (1, 1, 1, 15, 21, 21)),
+    (6, 16, (1, 3, 1, 13, 27, 49)),
+    (6, 19, (1, 1, 1, 15, 7, 5)),
+    (6, 22, (1, 3, 1, 15, 13, 25)),
+    (6, 25, (1, 1, 5, 5, 19, 61)),
+    (7, 1, (1, 3, 7, 11, 23, 15, 103)),
+    (7, 4, (1, 3, 7, 13, 13, 15, 69)),
 )
 BITS = 30
 
@@ -72,20 +83,55 @@ def _polynomials(n: int) -> tuple[tuple[int, int], ...]:
     return tuple(out[:n])
 
 
+def read_directions(path: str) -> tuple[tuple[int, int, tuple[int, ...]], ...]:
+    """Polynomials and initial numbers from a file in the published form: a heading, then lines of d, s, a and the m's."""
+    with open(path) as f:
+        rows = [list(map(int, line.split())) for line in f.readlines()[1:] if line.strip()]
+    return tuple((x[1], x[2], tuple(x[3:])) for x in sorted(rows))
+
+
+#: Initial numbers that are tried for a dimension beyond the table, and points (as a power of 2) that they are judged by.
+TRIED, JUDGED = 24, 8
+
+
+@functools.cache
 def _start(dimension: int) -> tuple[int, int, tuple[int, ...]]:
-    """Degree, coefficients and initial numbers. Behind the table the numbers follow a rule: any odd ones below 2**k will do."""
+    """Degree, coefficients and initial numbers. Beyond the table they are the best of ``TRIED`` by their worst pair with an earlier dimension."""
     if dimension <= len(SOBOL):
         return SOBOL[dimension - 1]
     degree, a = _polynomials(dimension)[dimension - 1]
-    odd = lambda k: int.from_bytes(hashlib.sha256(b"%d %d" % (dimension, k)).digest()[:8], "big") % (1 << (k + 1)) | 1
-    return degree, a, tuple(odd(k) for k in range(degree))
+    odd = lambda k, turn: int.from_bytes(hashlib.sha256(b"%d %d %d" % (dimension, k, turn)).digest()[:8], "big") % (1 << (k + 1)) | 1
+    earlier = [_leading(direction_numbers(d)) for d in range(dimension)]
+
+    def loss(m: tuple[int, ...]) -> tuple[int, int]:
+        own = _leading(_directions(degree, a, m))
+        worst = [_defect(own, other) for other in earlier]
+        return max(worst), sum(worst)
+
+    return degree, a, min((tuple(odd(k, turn) for k in range(degree)) for turn in range(TRIED)), key=loss)
+
+
+def _leading(numbers: list[int]) -> list[int]:
+    """Rows of the generator matrix of the first 2**JUDGED points: bit c of row r is bit r (from the top) of number c."""
+    return [sum((numbers[c] >> (BITS - 1 - r) & 1) << c for c in range(JUDGED)) for r in range(JUDGED)]
+
+
+def _defect(a: list[int], b: list[int]) -> int:
+    """How far a pair of dimensions is from the finest nets: 0 if every split of JUDGED bits gives independent rows."""
+    out = 0
+    for first in range(JUDGED + 1):
+        basis: dict[int, int] = {}
+        for count, row in enumerate([*a[:first], *b[: JUDGED - first]]):
+            while row and (top := row.bit_length()) in basis:
+                row ^= basis[top]
+            if not row:
+                out = max(out, JUDGED - count)
+                break
+            basis[row.bit_length()] = row
+    return out
 
 
-def direction_numbers(dimension: int) -> list[int]:
-    """``BITS`` direction numbers of a Sobol dimension, counted from 0."""
-    if dimension == 0:
-        return [1 << (BITS - 1 - k) for k in range(BITS)]
-    degree, a, m = _start(dimension)
+def _directions(degree: int, a: int, m: tuple[int, ...]) -> list[int]:
     v = [m[k] << (BITS - 1 - k) for k in range(degree)]
     for k in range(degree, BITS):
         x = v[k - degree] ^ (v[k - degree] >> degree)
@@ -96,13 +142,56 @@ def direction_numbers(dimension: int) -> list[int]:
     return v
 
 
-def sobol_unit(index: Column, dimension: int, shift: int = 0) -> Column:
-    """Coordinate of the index-th point in Gray-code order, optionally with a digital shift."""
+@functools.cache
+def _published(path: str) -> tuple[tuple[int, int, tuple[int, ...]], ...]:
+    return read_directions(path)
+
+
+def direction_numbers(dimension: int, table: str | None = None) -> list[int]:
+    """``BITS`` direction numbers of a Sobol dimension, counted from 0; ``table`` names a file in the published form."""
+    if dimension == 0:
+        return [1 << (BITS - 1 - k) for k in range(BITS)]
+    if table is not None:
+        known = _published(table)
+        if dimension > len(known):
+            raise PlanError(f"{table} has {len(known) + 1} dimensions, not {dimension + 1}")
+        return _directions(*known[dimension - 1])
+    return _directions(*_start(dimension))
+
+
+def _sobol_bits(index: Column, numbers: list[int], shift: int = 0) -> Column:
     gray = index.bitwiseXOR(F.shiftright(index, 1))
     out = F.lit(shift).cast("long")
-    for k, v in enumerate(direction_numbers(dimension)):
+    for k, v in enumerate(numbers):
         out = out.bitwiseXOR(F.shiftright(gray, k).bitwiseAND(F.lit(1).cast("long")) * F.lit(v).cast("long"))
-    return out / F.lit(float(1 << BITS))
+    return out
+
+
+def sobol_unit(index: Column, dimension: int, shift: int = 0, table: str | None = None) -> Column:
+    """Coordinate of the index-th point in Gray-code order, optionally with a digital shift."""
+    return _sobol_bits(index, direction_numbers(dimension, table), shift) / F.lit(float(1 << BITS))
+
+
+def owen_unit(index: Column, dimension: int, seed: int, table: str | None = None) -> Column:
+    """The same coordinate under nested uniform scrambling: each bit is flipped by a hash of the seed and all bits above it.
+
+    Points that share a dyadic interval go on sharing one, so a net stays a net; below ``BITS`` bits the rest is uniform.
+    """
+    bits = _sobol_bits(index, direction_numbers(dimension, table))
+
+    shifted = lambda direction, x, by: F.call_function(direction, x, by)
+
+    def flipped(x: Column) -> Column:
+        def flip(out: Column, k: Column) -> Column:
+            above = shifted("shiftright", x, F.lit(BITS) - k)
+            coin = F.xxhash64(F.lit(seed), F.lit(dimension), k, above).bitwiseAND(F.lit(1).cast("long"))
+            return out.bitwiseXOR(shifted("shiftleft", coin, F.lit(BITS - 1) - k))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), x, flip)
+
+    # through an array of one, so that the point's bits are worked out once and not for every flip
+    whole = F.transform(F.array(bits), flipped)[0]
+    return (whole + hash_unit(F.lit(seed), F.lit(dimension), F.lit("rest"), index)) / F.lit(float(1 << BITS))
 
 
 def primes(n: int) -> list[int]:
@@ -130,18 +219,19 @@ def hash_unit(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / F.lit(float(2**53))
 
 
-def _indexed(spark: SparkSession, n: int) -> DataFrame:
-    return spark.range(n).withColumnRenamed("id", "row_index")
+def _indexed(spark: SparkSession, n: int, rows: DataFrame | None = None) -> DataFrame:
+    """The rows of a design: ``n`` numbers, or the rows of a table that has its own in ``row_index``."""
+    return spark.range(n).withColumnRenamed("id", "row_index") if rows is None else rows
 
 
-def random_units(spark: SparkSession, space: Space, n: int, seed: int) -> DataFrame:
+def random_units(spark: SparkSession, space: Space, n: int, seed: int, rows: DataFrame | None = None) -> DataFrame:
     """Independent uniform numbers; row i of a longer design is row i of a shorter one."""
-    df = _indexed(spark, n)
-    return df.select("row_index", *(hash_unit(F.lit(seed), F.lit(j), F.col("row_index")).alias(unit_column(p)) for j, p in enumerate(space.sampled)))
+    df = _indexed(spark, n, rows)
+    return df.select("*", *(hash_unit(F.lit(seed), F.lit(j), F.col("row_index")).alias(unit_column(p)) for j, p in enumerate(space.sampled)))
 
 
-def numpy_units(spark: SparkSession, space: Space, n: int, seed: int) -> DataFrame:
-    """The draws of ``numpy.random.default_rng(seed).random((n, d))``, each block of rows drawn where it is needed."""
+def numpy_units(spark: SparkSession, space: Space, n: int, seed: int, rows: DataFrame | None = None) -> DataFrame:
+    """The draws of ``numpy.random.default_rng(seed).random((n, d))``, each run of neighbouring rows drawn where it is needed."""
     import numpy as np
     import pandas as pd
 
@@ -151,14 +241,16 @@ def numpy_units(spark: SparkSession, space: Space, n: int, seed: int) -> DataFra
     def draw(batches):
         for batch in batches:
             at = batch["row_index"].to_numpy()
-            if not len(at):
-                continue
-            generator = np.random.PCG64(seed)
-            generator.advance(int(at[0]) * d)
-            values = np.random.Generator(generator).random((int(at[-1] - at[0]) + 1, d))[at - at[0]]
-            yield pd.DataFrame({"row_index": at} | {c: values[:, j] for j, c in enumerate(names)})
+            for run in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) != 1) + 1):
+                if not len(run):
+                    continue
+                generator = np.random.PCG64(seed)
+                generator.advance(int(at[run[0]]) * d)
+                values = np.random.Generator(generator).random((len(run), d))
+                yield pd.DataFrame({"row_index": at[run]} | {c: values[:, j] for j, c in enumerate(names)})
 
-    return _indexed(spark, n).mapInPandas(draw, ", ".join(["row_index long", *(f"`{c}` double" for c in names)]))
+    drawn = _indexed(spark, n, rows).select("row_index").mapInPandas(draw, ", ".join(["row_index long", *(f"`{c}` double" for c in names)]))
+    return drawn if rows is None or rows.columns == ["row_index"] else rows.join(drawn, "row_index")
 
 
 def grid_counts(space: Space, points: int | dict[str, int] = 3) -> list[int]:
@@ -177,18 +269,18 @@ def grid_units(spark: SparkSession, space: Space, points: int | dict[str, int] =
     return df.select("row_index", *columns)
 
 
-def latin_units(spark: SparkSession, space: Space, n: int, seed: int, scramble: bool = True) -> DataFrame:
+def latin_units(spark: SparkSession, space: Space, n: int, seed: int, scramble: bool = True, rows: DataFrame | None = None) -> DataFrame:
     """One point in each of n strata per dimension: strata are dealt by a keyed permutation of the index.
 
     The permutation is a Feistel network over the index bits, walked until it falls below n, so no
     dimension has to be sorted.
     """
-    df, columns = _indexed(spark, n), []
+    df, columns = _indexed(spark, n, rows), []
     for j, p in enumerate(space.sampled):
         stratum = permutation(F.col("row_index"), n, F.lit(seed), F.lit(j))
         jitter = hash_unit(F.lit(seed), F.lit(j), F.lit("jitter"), F.col("row_index")) if scramble else F.lit(0.5)
         columns.append(((stratum + jitter) / float(n)).alias(unit_column(p)))
-    return df.select("row_index", *columns)
+    return df.select("*", *columns)
 
 
 def permutation(index: Column, n: int, *key: Column) -> Column:
@@ -207,22 +299,30 @@ def permutation(index: Column, n: int, *key: Column) -> Column:
     return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("permutation walk too long")).cast("long"))
 
 
-def sobol_units(spark: SparkSession, space: Space, n: int, seed: int | None = None) -> DataFrame:
+def sobol_units(spark: SparkSession, space: Space, n: int, seed: int | None = None, scramble: str = "owen", table: str | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """Sobol points, plain without a seed; with one under ``owen`` scrambling (nested, uniform) or a digital ``shift``."""
     import random
 
     if n > 1 << BITS:
         raise PlanError(f"Sobol designs have at most 2**{BITS} points, before they repeat")
-    shifts = random.Random(seed)
-    columns = [sobol_unit(F.col("row_index"), j, 0 if seed is None else shifts.getrandbits(BITS)).alias(unit_column(p)) for j, p in enumerate(space.sampled)]
-    return _indexed(spark, n).select("row_index", *columns)
+    if scramble not in ("owen", "shift"):
+        raise PlanError(f"unknown scrambling {scramble!r}")
+    shifts, at = random.Random(seed), F.col("row_index")
+
+    def unit(j: int) -> Column:
+        if seed is None:
+            return sobol_unit(at, j, 0, table)
+        return owen_unit(at, j, seed, table) if scramble == "owen" else sobol_unit(at, j, shifts.getrandbits(BITS), table)
+
+    return _indexed(spark, n, rows).select("*", *(unit(j).alias(unit_column(p)) for j, p in enumerate(space.sampled)))
 
 
-def halton_units(spark: SparkSession, space: Space, n: int, seed: int | None = None) -> DataFrame:
+def halton_units(spark: SparkSession, space: Space, n: int, seed: int | None = None, rows: DataFrame | None = None) -> DataFrame:
     import random
 
     shifts = random.Random(seed)
     columns = [halton_unit(F.col("row_index"), b, 0.0 if seed is None else shifts.random()).alias(unit_column(p)) for b, p in zip(primes(len(space.sampled)), space.sampled, strict=True)]
-    return _indexed(spark, n).select("row_index", *columns)
+    return _indexed(spark, n, rows).select("*", *columns)
 
 
 def replicate(df: DataFrame, times: int) -> DataFrame:
@@ -238,14 +338,18 @@ def trial_seed(seed: int) -> Column:
 def trials(units: DataFrame, space: Space, request: Request, planner: str, generated: int | None = None) -> DataFrame:
     """Resolved trials: the first ``request.n`` valid rows in design order, replicated, seeded, fingerprinted.
 
-    ``generated`` is how many rows ``units`` has, where that is known: without constraints nothing has to be counted then.
+    ``generated`` says that ``units`` has so many rows, numbered from 0 without gaps: without constraints the first ones are
+    those of the least numbers then. Else valid rows are numbered in chunks of the design's order; no task takes them all.
     """
     resolved = resolve(units, space)
-    if not request.allow_fewer:
-        n = generated if generated is not None and not space.constraints else resolved.limit(request.n).count()
-        if n < request.n:
-            raise PlanError(f"the design has {n} valid rows, fewer than the {request.n} asked for")
-    return described(resolved.orderBy("row_index").limit(request.n), space, request, planner)
+    if generated is not None and not space.constraints:
+        n, first = generated, resolved.where(F.col("row_index") < request.n)
+    else:
+        n = request.n if request.allow_fewer else resolved.count()
+        first = numbered(resolved, {"row_index": F.col("row_index")}, "__at").where(F.col("__at") < request.n).drop("__at")
+    if n < request.n and not request.allow_fewer:
+        raise PlanError(f"the design has {n} valid rows, fewer than the {request.n} asked for")
+    return described(first, space, request, planner)
 
 
 def described(rows: DataFrame, space: Space, request: Request, planner: str) -> DataFrame:
@@ -281,7 +385,7 @@ def _grid_planner(name: str) -> Callable[..., DataFrame]:
 
 
 def _unscrambled(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    return lambda spark, space, n, seed, scramble=True, **_: make(spark, space, n, seed if scramble else None)
+    return lambda spark, space, n, seed, scramble=True, **options: make(spark, space, n, seed if scramble else None, **({"scramble": scramble} if isinstance(scramble, str) else {}), **options)
 
 
 PLANNERS: dict[str, Callable[..., DataFrame]] = {
@@ -372,4 +476,4 @@ def suggest(spark: SparkSession, space: Space, request: Request, history: DataFr
         ratio = ratio + F.log(density(u, True, j)) - F.log(density(u, False, j))
     best = units.withColumn("slot", F.floor(F.col("row_index") / candidates)).withColumn("ratio", ratio)
     best = best.groupBy("slot").agg(F.max_by(F.struct("row_index", *(f"`{unit_column(p)}`" for p in dims)), F.struct("ratio", "row_index")).alias("x")).select("x.*")
-    return trials(best, space, request, "suggest", request.n)
+    return trials(best, space, request, "suggest")
