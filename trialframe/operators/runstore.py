@@ -1,6 +1,7 @@
 """Runs, events, leases, metrics, artifacts and checkpoints as append-only tables.
 
-Nothing is updated in place: a transition is an event with the next version of its run, and the
+Tables are ``segments.KeyedTable``s: single rows are small files until they are compacted, and the rows of one run are
+read from a few files. Nothing is updated in place: a transition is an event with the next version of its run, and the
 current state is the event of the highest version. The event of a run's version is a file that only one
 writer can create, so of two that saw the same state exactly one moves it on; ``compact_events`` moves such
 files into the table. Bulk changes append to the table at once; where a single writer took the same version,
@@ -13,16 +14,18 @@ import hashlib
 import json
 import time
 import uuid
+from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trialframe import schemas
 from trialframe.errors import CheckpointMismatch, StateConflict
 from trialframe.operators.decisions import latest
+from trialframe.operators.segments import TIME, KeyedTable, bucket_of
 from trialframe.scratch import materialize
-from trialframe.sources.files import create_once
+from trialframe.sources.files import create_once, names, read_text
 
 #: Which states may follow a state (fixed values).
 FOLLOWS = {
@@ -167,13 +170,14 @@ def latest_checkpoint(checkpoints: DataFrame, run: str = "block_run_id", sequenc
 # -- the store ---------------------------------------------------------------------------------------------
 
 
-TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
-
-
 class RunStore:
-    """Append-only Parquet tables at ``root`` and a log of single events. Any number of drivers write and read."""
+    """Append-only tables at ``root`` and a log of single events. Any number of drivers write and read."""
 
     TABLES = {"runs": schemas.RUNS, "events": schemas.EVENTS, "metrics": schemas.METRICS, "artifacts": schemas.ARTIFACTS, "checkpoints": schemas.CHECKPOINTS, "decisions": schemas.DECISIONS, "invalid": "cache_key string, created_at timestamp"}
+    #: What rows of each table are looked up by.
+    KEYS = {"runs": "run_id", "events": "run_id", "metrics": "run_id", "artifacts": "cache_key", "checkpoints": "block_run_id", "decisions": "run_id", "invalid": "cache_key"}
+    #: Rows that are added one by one; more are a job.
+    FEW = 16
     #: How often a change that names no version is tried again behind another writer's.
     TRIES = 10
 
@@ -182,17 +186,25 @@ class RunStore:
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.tables = {name: KeyedTable(spark, f"{self.root}/{name}", shape, self.KEYS[name]) for name, shape in self.TABLES.items()}
 
     def _exists(self, path: str) -> bool:
         return self._fs.exists(self._path(path))
 
     def table(self, name: str) -> DataFrame:
-        shape, path = schemas.schema(self.TABLES[name]), f"{self.root}/{name}"
-        rows = self.spark.read.schema(shape).parquet(f"{path}/*") if self._exists(path) else self.spark.createDataFrame([], shape)
-        if name == "runs":  # a run's row may have been written twice, with one id
+        rows = self.tables[name].table()
+        if name == "runs":  # many runs at once may have been made twice, with one id
             return rows.dropDuplicates(["run_id"])
         return self._with_log(rows, f"{self.root}/log", "*/*/*.json") if name == "events" else rows
 
+    def compact(self) -> list[str]:
+        """Compact the tables and the log of events; the tables that had something to compact."""
+        self.compact_events()
+        return [name for name, table in self.tables.items() if table.compact()]
+
+    def vacuum(self, older_s: float = 3600.0) -> int:
+        return sum(table.vacuum(older_s) for table in self.tables.values())
+
     def _with_log(self, rows: DataFrame, folder: str, files: str) -> DataFrame:
         if not self._exists(folder):
             return rows
@@ -209,9 +221,7 @@ class RunStore:
         return self._own(run_id).orderBy("created_at", "version")
 
     def _own(self, run_id: str) -> DataFrame:
-        shape, path = schemas.schema(schemas.EVENTS), f"{self.root}/events"
-        rows = self.spark.read.schema(shape).parquet(f"{path}/*").where(F.col("run_id") == run_id) if self._exists(path) else self.spark.createDataFrame([], shape)
-        return self._with_log(rows, self._log(run_id), "*.json")
+        return self._with_log(self.tables["events"].rows_of(run_id), self._log(run_id), "*.json")
 
     def compact_events(self) -> int:
         """Move the log's events into the table; the newest of each run stays, to hold its version. How many were moved."""
@@ -220,7 +230,7 @@ class RunStore:
             return 0
         shape = schemas.schema(schemas.EVENTS)
         log = materialize(self.spark.read.schema(shape).option("timestampFormat", TIME).json(f"{folder}/*/*/*.json"), "log")
-        known = self.spark.read.schema(shape).parquet(f"{self.root}/events/*") if self._exists(f"{self.root}/events") else self.spark.createDataFrame([], shape)
+        known = self.tables["events"].table()
         newest = log.groupBy("run_id").agg(F.max("version").alias("last"))
         old = materialize(log.join(newest, "run_id").where("version < last").drop("last"), "old")
         self.append("events", old.join(known.select("run_id", "version"), ["run_id", "version"], "left_anti"))
@@ -230,9 +240,12 @@ class RunStore:
         return moved
 
     def append(self, name: str, rows: list[tuple] | DataFrame) -> None:
+        if isinstance(rows, list) and len(rows) <= self.FEW:
+            for row in rows:
+                self.tables[name].add(row)
+            return
         df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, schemas.schema(self.TABLES[name]))
-        # a folder for each append: writers that share one would clear away each other's temporary files
-        schemas.strict(df, schemas.schema(self.TABLES[name])).write.parquet(f"{self.root}/{name}/{uuid.uuid4().hex}")
+        self.tables[name].append(df)
 
     @staticmethod
     def now() -> datetime:
@@ -243,9 +256,10 @@ class RunStore:
     def create_run(self, logical_key: str, kind: str, parent_id: str | None = None) -> str:
         """The run of a logical key, made (as planned) if there is none. Its id is a hash of the key, so all writers mean the same one."""
         run_id = hashlib.sha256(logical_key.encode()).hexdigest()
-        made = not self._own(run_id).where("version = 0").isEmpty() or not self._event(run_id, 0, "created", "planned", 0)
+        there = not self._only_log(run_id) and not self._own(run_id).where("version = 0").isEmpty()
+        made = there or not self._event(run_id, 0, "created", "planned", 0)
         if not made or self.get_run(run_id) is None:
-            self.append("runs", [(run_id, logical_key, kind, parent_id, self.now())])
+            self.tables["runs"].add((run_id, logical_key, kind, parent_id, self.now()), run_id)
         return run_id
 
     def create_runs(self, wanted: DataFrame) -> DataFrame:
@@ -261,10 +275,13 @@ class RunStore:
         return self.table("runs").join(wanted.select("logical_key").distinct(), "logical_key", "left_semi")
 
     def get_run(self, run_id: str):
-        return self.table("runs").where(F.col("run_id") == run_id).first()
+        table = self.tables["runs"]
+        if (own := table.few(run_id)) is not None:
+            return Row(**(dict.fromkeys(table.shape.names) | own[0])) if own else None
+        return table.rows_of(run_id).first()
 
     def get_by_key(self, logical_key: str):
-        return self.table("runs").where(F.col("logical_key") == logical_key).first()
+        return self.get_run(hashlib.sha256(logical_key.encode()).hexdigest())
 
     def list_runs(self, parent_id: str | None = None, kind: str | None = None) -> DataFrame:
         """Runs of a parent, or of a kind, in the order they were made."""
@@ -289,8 +306,28 @@ class RunStore:
     def add_event(self, run_id: str, kind: str, payload: dict | None = None) -> None:
         self._event(run_id, None, kind, payload=payload)
 
+    def _only_log(self, run_id: str) -> bool:
+        """Whether all events with a version that a run can have are in its log."""
+        _, folders, segments, _, _ = self.tables["events"]._live(bucket_of(run_id))
+        return not folders and not segments
+
+    def _newest(self, run_id: str) -> Iterator[dict]:
+        """The events in a run's log, the newest first."""
+        for name in sorted(names(self.spark, self._log(run_id), "*.json"), reverse=True):
+            yield json.loads(read_text(self.spark, f"{self._log(run_id)}/{name}"))
+
     def _last(self, run_id: str):
-        """The newest state of a run and its newest lease."""
+        """The newest state of a run and its newest lease; from a few small files where that is all there is."""
+        if self._only_log(run_id):
+            now = held = None
+            for event in self._newest(run_id):
+                now = now or Row(state=event["state"], version=event["version"], attempt=event["attempt"])
+                if "owner" in event:
+                    held = Row(owner=event["owner"], expires_at=datetime.fromisoformat(event["expires_at"]))
+                    break
+            if now is None:
+                raise StateConflict(f"no run {run_id}")
+            return Row(now=now, lease=held)
         own = self._own(run_id).where("state is not null")
         held = F.max_by(F.struct("owner", "expires_at"), F.when(F.col("owner").isNotNull(), F.col("version")))
         row = own.agg(F.max_by(F.struct("state", "version", "attempt"), "version").alias("now"), held.alias("lease")).first()
@@ -342,19 +379,8 @@ class RunStore:
         raise StateConflict(f"others keep changing {run_id}")
 
     def newest(self, run_id: str) -> str | None:
-        """The state in the newest event of a run's log, by a look at the folder and one file: no job."""
-        folder = self._path(self._log(run_id))
-        if not self._fs.exists(folder):
-            return None
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(folder))
-        names = [n for n in names if n.endswith(".json") and not n.startswith(".")]
-        if not names:
-            return None
-        stream = self._fs.open(self._path(f"{self._log(run_id)}/{names[-1]}"))
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")).get("state")
-        finally:
-            stream.close()
+        """The state in the newest event of a run's log, without a job."""
+        return next((e.get("state") for e in self._newest(run_id)), None)
 
     def _bulk(self, runs: DataFrame, state: str, payload: dict) -> DataFrame:
         """Move ``runs(run_id)`` on with one append; those of them that did move, as their newest events say."""
@@ -384,38 +410,60 @@ class RunStore:
         self.append("metrics", [(run_id, name, time.time_ns(), scalar, vector, artifact, partition_id, self.now())])
 
     def metrics(self, run_id: str | None = None) -> DataFrame:
-        df = self.table("metrics")
-        return (df if run_id is None else df.where(F.col("run_id") == run_id)).orderBy("run_id", "seq")
+        table = self.tables["metrics"]
+        return (table.table() if run_id is None else table.rows_of(run_id)).orderBy("run_id", "seq")
 
     def register_artifact(self, ref: dict, run_id: str, cache_key: str | None = None) -> None:
-        """List an artifact once per run."""
-        known = self.table("artifacts").where((F.col("content_hash") == ref["content_hash"]) & (F.col("run_id") == run_id))
-        if known.isEmpty():
-            self.append("artifacts", [(ref["content_hash"], run_id, cache_key, ref["media_type"], ref["codec"], ref["lineage"], ref["metadata"], ref["size"], self.now())])
+        """List an artifact once per run and cache key, whoever else lists it at the same time."""
+        once = hashlib.sha256(json.dumps([ref["content_hash"], run_id, cache_key]).encode()).hexdigest()
+        few = self.tables["artifacts"].few(cache_key) if cache_key is not None else None
+        merged = few is None and not self._artifacts_of(cache_key).where((F.col("content_hash") == ref["content_hash"]) & (F.col("run_id") == run_id)).isEmpty()
+        if not merged:
+            self.tables["artifacts"].add((ref["content_hash"], run_id, cache_key, ref["media_type"], ref["codec"], ref["lineage"], ref["metadata"], ref["size"], self.now()), once)
+
+    def _artifacts_of(self, cache_key: str | None) -> DataFrame:
+        return self.tables["artifacts"].rows_of(cache_key) if cache_key is not None else self.table("artifacts").where("cache_key is null")
+
+    @staticmethod
+    def _valid(rows: DataFrame, invalid: DataFrame) -> DataFrame:
+        gone = invalid.groupBy(F.col("cache_key").alias("k")).agg(F.max("created_at").alias("gone_at"))
+        return rows.join(gone, (F.col("cache_key") == F.col("k")) & (F.col("created_at") <= F.col("gone_at")), "left_anti")
 
     def artifacts(self) -> DataFrame:
         """Artifacts whose cache key has not been invalidated since."""
-        gone = self.table("invalid").groupBy(F.col("cache_key").alias("k")).agg(F.max("created_at").alias("gone_at"))
-        rows = self.table("artifacts")
-        return rows.join(gone, (rows.cache_key == gone.k) & (rows.created_at <= gone.gone_at), "left_anti")
+        return self._valid(self.table("artifacts"), self.table("invalid"))
+
+    def _cached(self, key: str) -> DataFrame:
+        return self._valid(self._artifacts_of(key), self.tables["invalid"].rows_of(key))
 
     def find_cache(self, key: str):
         """The newest valid artifact of a key, or None."""
-        return latest(self.artifacts().where(F.col("cache_key") == key), ["cache_key"], "created_at", ["content_hash", "serializer", "run_id"], ["content_hash", "run_id"]).first()
+        listed, gone = self.tables["artifacts"].few(key), self.tables["invalid"].few(key)
+        if listed is not None and gone is not None:
+            until = max((g["created_at"] for g in gone), default="")
+            valid = [a for a in listed if a["created_at"] > until]
+            best = max(valid, key=lambda a: (a["created_at"], a["content_hash"], a["run_id"]), default=None)
+            return best and Row(**{c: best.get(c) for c in ("cache_key", "content_hash", "serializer", "run_id")})
+        return latest(self._cached(key), ["cache_key"], "created_at", ["content_hash", "serializer", "run_id"], ["content_hash", "run_id"]).first()
 
     def invalidate_cache(self, key: str) -> int:
-        n = self.artifacts().where(F.col("cache_key") == key).count()
+        n = self._cached(key).count()
         self.append("invalid", [(key, self.now())])
         return n
 
     def save_checkpoint(self, block_run_id: str, payload: object, fingerprint: str = "") -> int:
-        n = self.table("checkpoints").where(F.col("block_run_id") == block_run_id).count() + 1
-        self.append("checkpoints", [(block_run_id, n, fingerprint, json.dumps(payload), self.now())])
-        return n
+        """Keep a payload under the next number of its block's run; of two writers each gets a number of its own."""
+        table, series = self.tables["checkpoints"], hashlib.sha256(block_run_id.encode()).hexdigest()
+        taken = [int(n.rpartition("-")[2]) for n in table.names_of(block_run_id, f"{series}-")]
+        n = max(taken) if taken else table.rows_of(block_run_id).agg(F.max("sequence")).first()[0] or 0
+        while True:
+            n += 1
+            if table.add((block_run_id, n, fingerprint, json.dumps(payload), self.now()), f"{series}-{n:012d}"):
+                return n
 
     def latest_checkpoint(self, block_run_id: str, fingerprint: str | None = None):
         """The last payload of a block's run; another fingerprint than the one expected is an error."""
-        own = self.table("checkpoints").where(F.col("block_run_id") == block_run_id)
+        own = self.tables["checkpoints"].rows_of(block_run_id)
         row = latest(own, ["block_run_id"], "sequence", ["sequence", "fingerprint", "payload"]).first()
         if row is None:
             return None
