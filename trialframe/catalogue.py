@@ -8,6 +8,7 @@ partitions are ``lineitem`` within an order, run trees go region, nation, custom
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +18,9 @@ from trialframe.functions.expressions import compile_expression
 from trialframe.operators import decisions, designs, evolution, ordering, reductions, refinement, runstore, tables
 from trialframe.plans import pipeline as dag
 from trialframe.plans.space import Boolean, Categorical, Condition, Constraint, Derived, Fixed, Float, Integer, Ordinal, Space, project, resolve, unit_column, violation
+from trialframe.scratch import fresh_path
 from trialframe.sources import artifacts as store
-from trialframe.sources import exchange
+from trialframe.sources import database, exchange
 from trialframe.streaming import metrics as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -705,6 +707,46 @@ def lease_grant(spark, sf):
     return runstore.lease_grants(e, 2 * 86400, at="asked")
 
 
+@_query("""SELECT 'user:' || user_id AS logical_key, CASE WHEN count(*) FILTER (WHERE event_type = 'purchase') = 0 THEN 'queued' WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN 'failed' ELSE 'stale' END AS state,
+ CASE WHEN count(*) FILTER (WHERE event_type = 'purchase') = 0 THEN 1 WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN 3 ELSE 4 END::bigint AS version FROM events GROUP BY user_id""")
+def store_replay(spark, sf):
+    """Users as runs of a store that is written, moved on in bulk, compacted and read back: buyers run, errors fail, the rest end and go stale."""
+    e = _t(spark, sf, "events").select(F.concat(F.lit("user:"), "user_id").alias("logical_key"), "event_type")
+    store = runstore.RunStore(spark, fresh_path(spark, "store"))
+    runs = store.create_runs(e.select("logical_key", F.lit("user").alias("kind"), F.lit(None).cast("string").alias("parent_id")).distinct())
+    ids = e.select(F.sha2("logical_key", 256).alias("run_id"), "event_type")
+    store.transition_all(runs.select("run_id"), "queued")
+    store.transition_all(ids.where("event_type = 'purchase'").select("run_id").distinct(), "running")
+    store.transition_all(ids.where("event_type = 'error'").select("run_id").distinct(), "failed")
+    for state in ("completed", "stale"):
+        store.transition_all(ids.select("run_id").distinct(), state)
+    store.compact()
+    return runstore.current_states(store.table("events")).join(store.table("runs"), "run_id").select("logical_key", "state", "version")
+
+
+@_query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_totalprice >= 150000 AND o_orderpriority IS NOT NULL")
+def database_orders(spark, sf):
+    """Orders written to a database in tasks of one transaction each, and read back in ranges of keys with a pushed predicate."""
+    database.register(spark)
+    path = fresh_path(spark, "orders").removeprefix("file://")
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    orders = _t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+    where = {"connect": "trialframe.sources.database:sqlite", "target": path, "table": "orders", "key": "o_orderkey", "partitions": "8", "unique": "o_orderkey"}
+    orders.write.format("database").options(**where).mode("append").save()
+    back = spark.read.format("database").options(**where).schema(orders.schema).load()
+    return back.where("o_totalprice >= 150000 AND o_orderpriority IS NOT NULL")
+
+
+@_query("""SELECT p_partkey, to_json(map_from_entries(list_sort(map_entries(map_concat(MAP {'brand': p_brand, 'size': p_size::varchar}, MAP {'size': (p_size + 1)::varchar, 'type': p_type})))))::varchar AS merged FROM part""")
+def merged_maps(spark, sf):
+    """Two maps of each part merged, the right one's values winning."""
+    text = lambda c: F.col(c).cast("string")
+    left = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), text("p_size"))
+    right = F.create_map(F.lit("size"), (F.col("p_size") + 1).cast("string"), F.lit("type"), F.col("p_type"))
+    both = F.array_sort(F.map_entries(reductions.merged(left, right)))
+    return _t(spark, sf, "part").select("p_partkey", F.to_json(F.map_from_entries(both)).alias("merged"))
+
+
 @_query("""WITH i AS (SELECT DISTINCT l_orderkey AS run_id, l_linenumber AS partition_id FROM lineitem),
 a AS (SELECT DISTINCT l_orderkey AS run_id, l_linenumber AS partition_id FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey % 5 <> 0)
 SELECT i.run_id, i.partition_id, a.run_id IS NOT NULL AS reused FROM i LEFT JOIN a USING (run_id, partition_id)""")

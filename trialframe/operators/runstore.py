@@ -394,6 +394,10 @@ class RunStore:
         self.append("events", moved)
         return materialize(self.table("events").where((F.col("payload") == mark) & (F.col("state") == state)).select("run_id"), "moved")
 
+    def transition_all(self, runs: DataFrame, state: str) -> DataFrame:
+        """Move all of ``runs(run_id)`` on that may go to ``state``, with one append; the ids of those that did."""
+        return self._bulk(runs, state, {"batch": uuid.uuid4().hex})
+
     def reconcile_stale(self, at: datetime | None = None, requeue: bool = False) -> DataFrame:
         """Runs whose workers went silent become stale, all at once; their ids."""
         batch = {"batch": uuid.uuid4().hex}
