@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialframe.errors import PlanError
-from trialframe.operators import decisions, refinement
+from trialframe.operators import decisions, designs, refinement
 from trialframe.plans.space import Categorical, Float, Integer, Space
 
 SPACE = Space((Float("x", low=0.0, high=10.0), Integer("n", low=1, high=12), Categorical("kind", values=("a", "b", "c"))))
@@ -103,3 +103,26 @@ def test_numbers_and_sums_along_an_order(spark, every):
     want = sorted(rows, key=lambda x: (x[1] is not None, x[1] or "", x[2], x[0]))
     assert [x.i for x in got] == [x[0] for x in want] and [x.at for x in got] == list(range(1000))
     assert [x.sum for x in got] == [sum(y[2] for y in want[:k]) for k in range(1000)]
+
+
+def test_fronts_larger_than_a_block(spark, monkeypatch):
+
+
+    monkeypatch.setattr(decisions, "BLOCK", 16)
+    draw = random.Random(2)
+    rows = [(i, x, y, -x - y + draw.choice((0.0, 0.0, 0.5))) for i in range(300) for x, y in [(draw.random(), draw.random())]]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    best = {i for i, *p in rows if not any(all(q <= v for q, v in zip(o, p, strict=True)) and o != p for _, *o in rows)}
+    got = decisions.pareto_front(df, {"a": "minimize", "b": "minimize", "c": "minimize"})
+    assert {r.id for r in got.collect()} == best and len(best) > 100
+
+
+def test_medians_are_exact(spark):
+
+    import statistics
+
+    draw = random.Random(3)
+    data = {"hot": [float(draw.randrange(10**6)) for _ in range(30_001)], "same": [4.0] * 50, "two": [1.0, 2.0], None: [3.0, 9.0, 4.0], "tied": [1.0] * 40 + [5.0] * 40}
+    rows = [(k, v) for k, vs in data.items() for v in vs] + [("hot", None), ("none", None)]
+    got = {r.k: r.median for r in designs.medians(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()}
+    assert got == {k: statistics.median(vs) for k, vs in data.items()}

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialframe.errors import PlanError
+from trialframe.operators.ordering import numbered
 from trialframe.scratch import materialize
 
 
@@ -57,8 +59,8 @@ def pareto_front(df: DataFrame, objectives: Mapping[str, str]) -> DataFrame:
     """Trials that no other dominates; equal ones all stay, trials without every objective do not.
 
     ``objectives`` maps columns to ``minimize`` or ``maximize``. One objective is a minimum, two are a
-    running minimum over distinct values; more are compared within and then between blocks of a grid,
-    after a first thinning, so that no pair of all rows is formed.
+    running minimum over distinct values; more are compared within blocks, and then between blocks, so that no
+    pair of all rows is formed.
     """
     signs = {c: (1 if d == "minimize" else -1) for c, d in objectives.items()}
     rows = df
@@ -96,20 +98,27 @@ def _staircase(points: DataFrame) -> DataFrame:
     return joined.withColumn("__best", best).where(F.col("__best").isNull() | (F.col("__c1") < F.col("__best"))).select("__c0", "__c1")
 
 
-#: Points that are compared with as many by one task, and cells of the grid, about.
-BLOCK, CELLS = 2048, 4096
+#: Points that a task compares with each other, or with as many.
+BLOCK = 2048
 
 
 def _skyline(points: DataFrame, names: list[str]) -> DataFrame:
-    """Three costs or more: within hash blocks first, then cells of a grid of quantiles.
+    """Three costs or more: fronts of hash blocks, again and again while that leaves at most half of the points.
 
-    A cell is gone if another one with points is before it in every cost. The points of a cell that is left can only be
-    dominated from cells that are not behind it in any cost; with these it is compared, a block of one against a block of the
-    other in each task. No group of all survivors is formed.
+    What is left is one block in the end, or a front that is larger than a block. That one is put in lexicographic order, where
+    nothing is dominated from behind, and cut into blocks; each is compared with those before it whose least corner isn't
+    beyond its own largest in any cost, a pair of blocks in each task. Tasks hold two blocks, the driver holds counts.
     """
     import numpy as np
     import pandas as pd
 
+    def dominated(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), bool)
+        for at in range(0, len(by), 256):
+            rivals = by[at : at + 256]
+            out |= ((rivals[:, None] <= x[None]).all(2) & (rivals[:, None] < x[None]).any(2)).any(0)
+        return out
+
     def front(x: np.ndarray) -> np.ndarray:
         x = x[np.lexsort(x.T[::-1])]
         kept = np.empty((0, x.shape[1]))
@@ -118,48 +127,35 @@ def _skyline(points: DataFrame, names: list[str]) -> DataFrame:
             kept = np.concatenate([kept, block[~dominated(block, np.concatenate([kept, block]))]])
         return kept
 
-    def dominated(x: np.ndarray, by: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(x), bool)
-        for at in range(0, len(by), 256):
-            rivals = by[at : at + 256]
-            out |= ((rivals[:, None] <= x[None]).all(2) & (rivals[:, None] < x[None]).any(2)).any(0)
-        return out
-
     out = ", ".join(f"{c} double" for c in names)
-    size = max(1, -(-points.count() // BLOCK))
-    dealt = points.groupBy(F.pmod(F.xxhash64(*names), F.lit(size)).alias("__block"))
-    points = materialize(dealt.applyInPandas(lambda _, rows: pd.DataFrame(front(rows[names].to_numpy()), columns=names), out), "points")
-    per = max(2, int(CELLS ** (1 / len(names))))
-    cuts = points.agg(*(F.percentile_approx(c, [i / per for i in range(1, per)], 1000).alias(c) for c in names)).first()
-
-    def place(c: str) -> Column:
-        edges = F.array(*(F.lit(float(v)) for v in sorted(set(cuts[c] or [])))).cast("array<double>")
-        return F.size(F.filter(edges, lambda e: e < F.col(c)))
-
-    placed = points.withColumn("cell", F.array(*map(place, names)))
-    sizes = {tuple(r.cell): r["count"] for r in placed.groupBy("cell").count().collect()}  # CELLS rows at most
-    cells = np.array(sorted(sizes), int).reshape(-1, len(names))
-    left = [tuple(c) for c in cells[~np.array([(cells < c).all(1).any() for c in cells], bool)].tolist()]
-    if len(left) < 2 and all(sizes[c] <= BLOCK for c in left):
-        only = F.array(*(F.lit(i) for i in left[0])) if left else F.lit(None)
-        return placed.where(F.col("cell") == only).groupBy("cell").applyInPandas(lambda _, rows: pd.DataFrame(front(rows[names].to_numpy()), columns=names), out)
-    kept = np.array(left, int).reshape(-1, len(names))
-    parts = {c: -(-sizes[c] // BLOCK) for c in left}
-    # (own cell, own part, rival cell, rival part): one task each
-    duties = [(list(c), i, [int(v) for v in r], j) for c in left for r in kept[(kept <= np.array(c)).all(1)].tolist() for i in range(parts[c]) for j in range(parts[tuple(r)])]
-    duty = placed.sparkSession.createDataFrame([(k, *d) for k, d in enumerate(duties)], "duty long, own array<int>, own_part int, rival array<int>, rival_part int")
-    count = placed.sparkSession.createDataFrame([(list(c), n) for c, n in parts.items()], "kept array<int>, parts int")
-    mine = placed.join(F.broadcast(count), F.col("cell") == F.col("kept")).withColumn("part", F.pmod(F.xxhash64(*names), F.col("parts")).cast("int")).select("cell", "part", *names)
-    small = F.broadcast(duty) if len(duties) <= 200_000 else duty
-    sides = [mine.join(small, (F.col("cell") == F.col(side)) & (F.col("part") == F.col(f"{side}_part"))).select("duty", F.lit(side == "own").alias("own"), *names) for side in ("own", "rival")]
+    thinned = lambda rows: pd.DataFrame(front(rows[names].to_numpy()), columns=names)
+    count, turn = points.count(), 0
+    while True:
+        blocks = max(1, -(-count // BLOCK))
+        dealt = points.groupBy(F.pmod(F.xxhash64(*names, F.lit(turn)), F.lit(blocks)).alias("__block"))
+        points = materialize(dealt.applyInPandas(lambda _, rows: thinned(rows), out), "points")
+        if blocks == 1:
+            return points
+        before, count, turn = count, points.count(), turn + 1
+        if count > BLOCK and 2 * count > before:
+            break
+    placed = numbered(points, {c: F.col(c) for c in names}, "__at").select(F.floor(F.col("__at") / BLOCK).alias("block"), *names)
+    placed = materialize(placed, "points")
+    corner = lambda name, f: F.struct(*(f(c).alias(c) for c in names)).alias(name)
+    corners = materialize(placed.groupBy("block").agg(corner("least", F.min), corner("most", F.max)), "corners")
+    pairs = corners.select(F.col("block").alias("own"), "most", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("rival"))
+    near = reduce(lambda a, b: a & b, (F.col(f"least.{c}") <= F.col(f"most.{c}") for c in names))
+    duties = pairs.join(corners.select(F.col("block").alias("rival"), "least"), "rival").where(near).select("own", "rival")
+    duties = materialize(duties, "duties")
+    sides = [duties.join(placed, F.col(side) == F.col("block")).select("own", "rival", F.lit(side == "own").alias("mine"), *names) for side in ("own", "rival")]
 
     def lost(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows.loc[rows["own"], names]
-        return own[dominated(own.to_numpy(), rows.loc[~rows["own"], names].to_numpy())]
+        own = rows.loc[rows["mine"], names]
+        return own[dominated(own.to_numpy(), rows.loc[~rows["mine"], names].to_numpy())]
 
-    gone = sides[0].unionByName(sides[1]).groupBy("duty").applyInPandas(lost, out).distinct()
+    gone = sides[0].unionByName(sides[1]).groupBy("own", "rival").applyInPandas(lost, out).distinct()
     gone = gone.select(*(F.col(c).alias(f"{c}_gone") for c in names))
-    return mine.join(gone, [F.col(c) == F.col(f"{c}_gone") for c in names], "left_anti").select(*names)
+    return placed.join(gone, [F.col(c) == F.col(f"{c}_gone") for c in names], "left_anti").select(*names)
 
 
 #: Policies by the names that extensions and studies use.

@@ -13,13 +13,14 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trialframe.errors import PlanError
 from trialframe.functions.canonical import row_fingerprint
 from trialframe.functions.expressions import named
 from trialframe.operators.ordering import numbered
+from trialframe.scratch import materialize
 from trialframe.plans.space import Parameter, Space, resolve, unit_column, violation
 
 #: Primitive polynomials and initial numbers by Joe and Kuo (fixed values): degree, coefficients, m.
@@ -425,20 +426,39 @@ def design_matrix(rows: DataFrame, space: Space, order_by: str, n: int | None =
     return out if n is None else out.where(F.col("row_index") < n)
 
 
+#: How far from the middle, as a share of a key's rows, exact medians are looked for; ten times what the sketch may be off.
+AROUND, ACCURACY = 0.001, 10_000
+
+
 def medians(df: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, median) by exact ranks: rows are numbered in order of key and value, and the middle ones of each key picked."""
+    """(key, median), exact: a mergeable sketch of each key brackets its middle, then only what is in the bracket is ordered.
+
+    The sketches are summed within tasks first, so a key may hold any share of the rows; equal values are one row from then on.
+    """
     some = df.where(F.col(value).isNotNull()).select(F.col(key).alias("key"), F.col(value).alias("value"))
-    ranked = numbered(some, {"key": F.col("key"), "value": F.col("value")}, "at")
-    ranges = ranked.groupBy(F.col("key").alias("k")).agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    middle = F.col("at").isin(F.col("first") + F.floor((F.col("n") - 1) / 2), F.col("first") + F.floor(F.col("n") / 2))
-    picked = ranked.join(ranges, F.col("key").eqNullSafe(F.col("k"))).where(middle)
-    return picked.groupBy(F.col("k").alias(key)).agg(((F.min("value") + F.max("value")) / 2).alias("median"))
+    ends = F.percentile_approx("value", [0.5 - AROUND, 0.5 + AROUND], ACCURACY)
+    sketch = some.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n"), ends.alias("q"))
+    sketch = sketch.select("k", "n", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    placed = some.join(sketch, F.col("key").eqNullSafe(F.col("k")))
+    inside = F.when(F.col("value") >= F.col("low"), F.col("value"))  # null for all that is below
+    counted = placed.where("value <= high").groupBy("k", "n", inside.alias("v")).agg(F.count("*").alias("c"))
+    order = Window.partitionBy("k").orderBy(F.asc_nulls_first("v"))
+    to = F.sum("c").over(order)
+    middle = lambda at: (F.col("to") > at) & (F.col("to") - F.col("c") <= at)
+    picked = counted.withColumn("to", to).where(middle(F.floor((F.col("n") - 1) / 2)) | middle(F.floor(F.col("n") / 2)))
+    return picked.groupBy(F.col("k").alias(key)).agg(((F.min("v") + F.max("v")) / 2).alias("median"))
+
+
+#: Medians that are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def median_prune(metrics: DataFrame, value: str = "value", step: str = "step", trial: str = "trial_id", direction: str = "maximize") -> DataFrame:
     """Reports with ``prune``: whether a trial's value is worse than the median of its step."""
     worse = F.col(value) < F.col("median") if direction == "maximize" else F.col(value) > F.col("median")
-    return metrics.join(medians(metrics, step, value), step).select(trial, step, value, "median", worse.alias("prune"))
+    known = materialize(medians(metrics, step, value), "medians")
+    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+    return metrics.join(known, step).select(trial, step, value, "median", worse.alias("prune"))
 
 
 #: Bins that past trials' unit values are counted in, per dimension, and the kernel's width.
