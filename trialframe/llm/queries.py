@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialframe.llm import embeddings, fingerprints, lexical, lm_score, mixing, packing, quality, repair, sharding, simhash, token_counts, topk, warc
+from trialframe.llm.oracles import ORACLES  # noqa: F401
 from trialframe.scratch import fresh_path, materialize
 
 
@@ -106,24 +107,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op13_lexical,
     )
 }
-_TOP_K = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
- s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2]))::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
- r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
-
-_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
-_LEXICAL = f"""WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents WHERE text IS NOT NULL),
- p AS (SELECT doc_id, word, count(*) AS tf FROM (SELECT doc_id, unnest(words) AS word FROM d) GROUP BY doc_id, word),
- lengths AS (SELECT doc_id, len(words) AS n FROM d WHERE len(words) > 0),
- whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM lengths),
- weights AS (SELECT word, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, whole GROUP BY word, docs),
- i AS (SELECT DISTINCT item_id, unnest({_WORDS}) AS word FROM benchmark),
- s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::BIGINT AS score
-  FROM i JOIN p USING (word) JOIN weights USING (word) JOIN lengths USING (doc_id), whole GROUP BY item_id, doc_id),
- r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
-SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50"""
-
-#: What SQL can say about an operator's whole result; the others are held against brute force in tests/llm.
-ORACLES: dict[str, str] = {"op12_top_k": _TOP_K, "op13_lexical": _LEXICAL}

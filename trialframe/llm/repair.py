@@ -226,7 +226,8 @@ def report(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     kind = F.when(F.col("fault") == 0, WHOLE).when(F.col("fault") == 3, CUT).otherwise(DROP)
     first = F.substring("role", 1, 1)
     role = F.when(first == "s", 0).when(first == "u", 1).when(first == "a", 2).otherwise(3)
-    dealt = marked.repartition("conv").sortWithinPartitions(F.asc_nulls_first("conv"), *_order())
+    # of rows alike in all of these the one that is no duplicate comes first
+    dealt = marked.repartition("conv").sortWithinPartitions(F.asc_nulls_first("conv"), *_order(), F.col("fault") == 2)
     bound_batches(turns.sparkSession)
     return dealt.select("conv", "turn", (3 * role + kind).alias("symbol"), "fault").mapInArrow(_reported, REPORT)
 
