@@ -96,3 +96,27 @@ def test_columns_may_clash(spark):
     rows = [(1, "a b c d e f", 1, "x"), (2, "a b c d e f", 2, "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, node long, h string")
     assert [tuple(r) for r in simhash.keep_one(docs).collect()] == rows[:1]
+
+
+def test_signatures_never_rule_out_a_link():
+
+    draw = np.random.default_rng(4)
+    for _ in range(400):
+        n, similarity = int(draw.integers(1, 400)), 0.8
+        a = np.unique(draw.integers(-(2**63), 2**63, n))
+        b = np.unique(np.concatenate([draw.choice(a, max(1, int(len(a) * draw.uniform(0.7, 1))), replace=False), draw.integers(-(2**63), 2**63, int(draw.integers(0, 1 + len(a) // 6)))]))
+        shared = len(np.intersect1d(a, b))
+        sides = [tuple(np.array([v]) for v in (len(x), *near_copies.signature(x))) for x in (a, b)]
+        if shared >= similarity * (len(a) + len(b) - shared) - 1e-9:
+            assert near_copies._may_link(*sides, similarity)[0]
+
+
+def test_a_shared_passage_below_the_similarity_offers_few_pairs():
+
+    draw = np.random.default_rng(5)
+    passage = draw.integers(-(2**63), 2**63, 60)
+    sets = [np.unique(np.concatenate([passage, draw.integers(-(2**63), 2**63, 20)])) for _ in range(2000)]  # a similarity of 0.6
+    node, size = np.arange(2000), np.array(list(map(len, sets)))
+    s1, s2 = np.array([near_copies.signature(x) for x in sets]).T
+    found = near_copies._crossing(0.8)(np.array([0]), np.array([2000]), np.zeros(2000, np.int64), node, size, node, s1.copy(), s2.copy())
+    assert sum(len(x[0]) for x in found) < 5 * 2000
