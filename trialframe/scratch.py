@@ -12,6 +12,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,9 +68,14 @@ def discard(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are gone; else they stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark delete the shuffle files of plans that are gone; else they stay until the driver happens to collect its garbage.
+
+    Python lets go of a plan in the background, and Spark deletes in the background, so once is not enough.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def remove(spark: SparkSession, path: str) -> None:
