@@ -134,6 +134,21 @@ def test_a_block_has_its_own_cache_mode(spark, tmp_path):
     assert sorted(r["count"] for r in started.collect()) == [1, 2, 2, 2]
 
 
+def test_blocks_have_a_folder_and_report_to_the_store(spark, tmp_path):
+    def work(df, context):
+        df.write.parquet(f"{context.work_dir}/half")
+        context.report_metric("rows", df.count())
+        assert context.save_checkpoint({"done": 1}) == 1
+        return df.sparkSession.read.parquet(f"{context.work_dir}/half").join(df.select("run_id"), "run_id")
+
+    runner = _runner(spark, tmp_path)
+    p = Pipeline("p").then(Block("work", work, schema(ITEMS), schema(ITEMS)))
+    assert runner.run(p, _input(spark, [1])).final.first()["items"] == [1]
+    run = runner.store.list_runs(kind="block").first().run_id
+    assert [m.scalar for m in runner.store.metrics(run).collect()] == [1.0] and runner.store.latest_checkpoint(run) == {"done": 1}
+    assert not list((tmp_path / "work/work").iterdir())
+
+
 def test_resources_are_obeyed_or_refused(spark):
     p = Pipeline("p").add("slow", _slow(0), resources={"cpus": 2})
     with pytest.raises(ResourceError, match="local"):

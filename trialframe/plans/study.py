@@ -210,9 +210,14 @@ class DurableRunner:
         return node.block.cache or self.cache
 
     def _evaluated(self, pipeline: Pipeline, node: Node, df: DataFrame, context: Context, key: str, run_id: str, resume: bool) -> DataFrame | None:
-        """Run one block and write its table; for a mapped one, the partitions that were finished before."""
+        """Run one block and write its table; for a mapped one, the partitions that were finished before.
+
+        Its context names the block's run, in this store, and a folder of its own that goes when the block is over.
+        """
         self._to_running(run_id)
-        known = None
+        known, work = None, f"{self.root}/work/{run_id}"
+        context = replace(context, run_id=run_id, store=context.store or self.store, work_dir=work)
+        self.store._fs.mkdirs(self.store._path(work))
         try:
             if node.map_over is None:
                 self._tried(lambda: pipeline.apply(node, df, context).write.mode("overwrite").parquet(f"{self.root}/blocks/{key}"), context.token, run_id, context.seed)
@@ -224,6 +229,8 @@ class DurableRunner:
         except Exception as e:
             self.store.transition(run_id, "failed", payload={"error": str(e)[:500]})
             raise
+        finally:
+            self.store._fs.delete(self.store._path(work), True)
         self.store.transition(run_id, "completed")
         return known
 
