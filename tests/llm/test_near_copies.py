@@ -117,6 +117,6 @@ def test_a_shared_passage_below_the_similarity_offers_few_pairs():
     passage = draw.integers(-(2**63), 2**63, 60)
     sets = [np.unique(np.concatenate([passage, draw.integers(-(2**63), 2**63, 20)])) for _ in range(2000)]  # a similarity of 0.6
     node, size = np.arange(2000), np.array(list(map(len, sets)))
-    s1, s2 = np.array([near_copies.signature(x) for x in sets]).T
-    found = near_copies._crossing(0.8)(np.array([0]), np.array([2000]), np.zeros(2000, np.int64), node, size, node, s1.copy(), s2.copy())
+    signs = [x.copy() for x in np.array([near_copies.signature(x) for x in sets]).T]
+    found = near_copies._crossing(0.8)(np.array([0]), np.array([2000]), np.zeros(2000, np.int64), node, size, node, *signs)
     assert sum(len(x[0]) for x in found) < 5 * 2000
