@@ -14,9 +14,14 @@ import shutil
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Has Spark delete a statement's shuffle files as soon as the statement ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own: list[str] = []
 _ended: set[str] = set()
 
@@ -67,6 +72,20 @@ def discard(*tables: DataFrame) -> None:
         remove(df.sparkSession, df._trialframe_path)
 
 
+@contextmanager
+def no_shuffles_left(spark: SparkSession) -> Iterator[None]:
+    """Statements that run in here leave no shuffle files behind; else these stay until the driver happens to collect its garbage.
+
+    A statement that runs twice shuffles twice, so this is for writes of large tables.
+    """
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that are gone; else they stay until the driver happens to collect its garbage.
 
