@@ -78,9 +78,21 @@ def test_unbroken_texts_are_cut(spark):
     r = random.Random(6)
     words = " ".join("".join(r.choices("abcdefgh", k=r.randint(2, 9))) for _ in range(600))
     solid = "".join(r.choices("abcdefgh", k=5000))
-    docs = brute.documents(spark, [words, solid, "x"])
+    few = ["Nd, " * n + "end" for n in (640, 1400)] + ["aa bb " * 900, "e " * 3000, "." * 4000, "\r\u2028 x" * 900]
+    docs = brute.documents(spark, [words, solid, "x", *few, "y"])
     near = {x.doc_id: x.near_edited for x in fingerprints.version_fingerprints(docs).collect()}
     assert near[0] > 0.4 and near[1] > 0.4
+    assert min(near[3 + k] for k in range(len(few))) > 0.4, sorted(near.items())
+
+
+def test_shuffles_do_not_stay(spark):
+    from trialframe.scratch import CLEANUP, no_shuffles_left
+
+    before = spark.conf.get(CLEANUP)
+    with pytest.raises(ValueError), no_shuffles_left(spark):
+        assert spark.conf.get(CLEANUP) == "true"
+        raise ValueError
+    assert spark.conf.get(CLEANUP) == before
 
 
 def test_chunks_are_by_rows_not_by_values(spark):

@@ -1,7 +1,8 @@
 """Document fingerprints as invertible Bloom lookup sketches, in DataFrame operations only.
 
 A document is the set of its paragraphs' digests (a paragraph ends at a line end or behind a sentence's
-end; one of more than ``LONG`` characters is cut further, behind words whose hash says so). A sketch has
+end; one of more than ``LONG`` characters is cut further, behind words whose hash says so, and where no word
+does, at least every ``WHOLE`` characters). A sketch has
 three rows of cells; a digest is put in one cell of each row. A cell holds the sum of ``ONE`` + check of its
 digests, so their number and checks at once, and the xor of the digests. Two versions' sketches subtract cell
 by cell, which cancels what they share. A cell left with a single digest is pure: peeling takes it out of its
@@ -21,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialframe.scratch import materialize, release
+from trialframe.scratch import materialize, no_shuffles_left
 from trialframe.operators.ordering import chunk_of
 
 ROWS = 3
@@ -36,6 +37,8 @@ TRIES = 5
 PARAGRAPH_END = r"\n+|(?<=[.!?])[ \t]+"
 #: Characters of a paragraph that is cut further, and one in how many words ends a part of it.
 LONG, SHARE = 400, 16
+#: Where no word ends a part, the first one that ends after so many characters does.
+WHOLE = 256
 #: Documents whose order is found together, about.
 CHUNK = 1024
 BROADCAST_ROWS = 200_000
@@ -46,11 +49,25 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _pieces(part: Column) -> Column:
+    """A part in numbered pieces of about ``WHOLE`` characters."""
+    cut = F.split(F.regexp_replace(part, r"(?s)(.{%d}[^ ]{0,64})(?: |$)" % WHOLE, f"$1{CUT}"), CUT)
+    return F.transform(cut, lambda x, k: F.when((k > 0) & (F.trim(x) != ""), F.concat(F.trim(x), F.lit(CUT), k.cast("string"))).otherwise(x))
+
+
 def _cut(paragraph: Column) -> Column:
-    """The parts of a long paragraph. Where they end depends on the words alone; words of over 64 characters are cut, too."""
+    """The parts of a long paragraph. Where they end depends on the words alone; words of over 64 characters are cut, too.
+
+    A text of few distinct words may have none that ends a part, or the same part again and again. A part that has got too
+    long, and a paragraph most of whose parts are repeated, goes in pieces that are numbered: an edit behind them leaves them
+    as they are.
+    """
     words = F.split(F.regexp_replace(paragraph, r"([^ ]{64})(?=[^ ])", "$1 "), " ")
     ended = F.transform(words, lambda w: F.when(F.pmod(F.xxhash64(w), F.lit(SHARE)) == 0, F.concat(w, F.lit(CUT))).otherwise(w))
-    return F.split(F.concat_ws(" ", ended), CUT)
+    parts = F.split(F.concat_ws(" ", ended), CUT)
+    some = lambda ps: F.flatten(F.transform(ps, lambda p: F.when(F.length(p) > WHOLE + 64, _pieces(p)).otherwise(F.array(p))))
+    again = lambda ps: 2 * F.size(F.array_distinct(ps)) < F.size(ps)
+    return F.element_at(F.transform(F.array(parts), lambda ps: F.when(again(ps), _pieces(F.array_join(words, " "))).otherwise(some(ps))), 1)
 
 
 def paragraph_digests(text: Column) -> Column:
@@ -151,7 +168,8 @@ def _tried(pairs: DataFrame, totals: list[Column], exact: list[Column], names: l
     todo = pairs.withColumn("w", F.greatest(2 * F.least(F.coalesce("guess", both), both), F.lit(WIDTH)))
     for turn in range(1, TRIES + 1):
         left = F.count(F.when(F.col("cell") >= 0, 1)).alias("left")
-        found = materialize(_peeled(todo, turn).groupBy("id", "pair").agg(*totals, left), f"peeled{turn}")
+        with no_shuffles_left(pairs.sparkSession):
+            found = materialize(_peeled(todo, turn).groupBy("id", "pair").agg(*totals, left), f"peeled{turn}")
         done.append(found.where("left = 0").select("id", "pair", *names))
         failed = found.where("left > 0").select("id", "pair")
         if failed.isEmpty():
@@ -247,8 +265,8 @@ def version_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
         F.monotonically_increasing_id().alias("id"), "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), "d", "gone", "new", F.col("following_d").alias("f"), F.size("d").alias("n"), F.size("e").alias("n_e"), "cells", "edited_cells",
         unequal(F.col("cells"), F.col("edited_cells")).alias("to_e"), unequal(F.col("cells"), F.col("following_cells")).alias("to_f"),
     )
-    rows = materialize(rows, "versions")
-    release(docs.sparkSession)  # the texts' shuffle is as large as the texts
+    with no_shuffles_left(docs.sparkSession):  # the texts' shuffle is as large as the texts
+        rows = materialize(rows, "versions")
     guess = lambda cells: F.when(cells == 0, 0).otherwise(expected(cells)).cast("long").alias("guess")
     versions = {"e": F.concat(F.array_except("d", "gone"), F.col("new")), "f": F.col("f")}
     two = [F.struct(F.lit(c).alias("pair"), digests.alias("b"), guess(F.col(f"to_{c}"))) for c, digests in versions.items()]
