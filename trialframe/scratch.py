@@ -9,10 +9,8 @@ nothing reads any more are dropped with ``discard``, the rest when the driver's
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -86,17 +84,6 @@ def no_shuffles_left(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are gone; else they stay until the driver happens to collect its garbage.
-
-    Python lets go of a plan in the background, and Spark deletes in the background, so once is not enough.
-    """
-    for _ in range(3):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
