@@ -120,3 +120,24 @@ def test_a_shared_passage_below_the_similarity_offers_few_pairs():
     signs = [x.copy() for x in np.array([near_copies.signature(x) for x in sets]).T]
     found = near_copies._crossing(0.8)(np.array([0]), np.array([2000]), np.zeros(2000, np.int64), node, size, node, *signs)
     assert sum(len(x[0]) for x in found) < 5 * 2000
+
+
+def test_a_large_group_of_near_copies_offers_few_pairs(spark, monkeypatch):
+    r = random.Random(7)  # the smallest node has a long edit: it is similar to the few texts with a short one only, as are all others
+    texts = []
+    for i in range(300):
+        w, edit, at = [f"w{k}" for k in range(150)], 5 if i % 15 else 3, r.randrange(4, 141)
+        w[at : at + edit] = [f"edit{i}.{k}" for k in range(edit)]
+        texts.append(" ".join(w))
+    offered, real = [], near_copies.materialize
+
+    def counted(df, what):
+        out = real(df, what)
+        if what == "pairs":
+            offered.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "materialize", counted)
+    got = {r.id: r.component for r in near_copies.near_copies(brute.documents(spark, texts)).collect()}
+    assert got == brute.components(range(len(texts)), _links(texts))
+    assert sum(offered) < 15 * len(texts), offered
