@@ -116,3 +116,17 @@ def test_reducers_merge_in_a_tree(spark, rows, states):
     joined = reductions.tree_reduced(df.where("k = 'hot'"), ["k"], "i", text, "v", "t", rows, states).first().t
     assert joined == "".join(f"{v:.0f}," for k, _, v in data if k == "hot")
     assert reductions.tree_reduced(df.limit(0), ["k"], "i", text, "v", "t").count() == 0
+
+
+def test_a_tree_over_ranges_needs_no_numbers(spark):
+    draw = random.Random(9)
+    data = [(draw.choice("ab"), draw.randrange(300), float(draw.randrange(9))) for _ in range(2000)]
+    df = spark.createDataFrame(data, "k string, i long, v double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        out = reductions.tree_reduced(df.repartition(5), ["k"], "i", reductions.longest_run(), "v", "n", 16, 3)
+        assert {r.k: r.n for r in out.collect()} == {k: _longest(v for _, _, v in sorted(d for d in data if d[0] == k)) for k in "ab"}
+        assert "Window" not in out._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

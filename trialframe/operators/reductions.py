@@ -8,8 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialframe.operators.ordering import numbered
-
 
 def mean_or_zero(values: Column) -> Column:
     """Mean of an array; 0 of an empty one."""
@@ -139,22 +137,30 @@ FOLD_ROWS, FOLD_STATES = 1024, 64
 def tree_reduced(df: DataFrame, keys: list[str], index: str, reducer: Reducer, value: str, name: str, rows: int = FOLD_ROWS, states: int = FOLD_STATES) -> DataFrame:
     """The values of each key reduced in the order of ``index`` (nulls first, ties by value), as a tree.
 
-    Rows are numbered along the order of keys and index; at most ``rows`` neighbours of a key become a state, then at most
-    ``states`` neighbouring states another one, until each key has one. So no task holds a key's values, however many there are.
+    One shuffle deals ranges of keys and index to tasks, which sort them; at most ``rows`` neighbours of a key in a task become
+    a state, then at most ``states`` neighbouring states another one, until each key has one. So no task holds a key's
+    values, however many there are, and where the ranges are cut makes no difference.
     """
-    at = numbered(df.select(*keys, index, value), {**{k: F.col(k) for k in keys}, index: F.col(index), value: F.col(value)}, "__at")
-    total = df.count()
+    order = [*(F.col(k) for k in keys), F.col(index), F.col(value)]
+    placed = df.select(*keys, index, value).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    task, place = F.shiftright("__at", 33).alias("__task"), F.col("__at").bitwiseAND(F.lit(2**33 - 1))
     cells = F.array_sort(F.collect_list(F.struct(F.col("__at").alias("at"), F.col(value).alias("v"))))
-    chunk = F.floor(F.col("__at") / rows).alias("__part")
     folded = F.aggregate("__cells", reducer.zero, lambda state, cell: reducer.step(state, cell["v"]))
-    out = at.groupBy(*keys, chunk).agg(cells.alias("__cells")).select(*keys, "__part", folded.alias("__state"))
-    parts = -(-total // rows)
+    out = placed.groupBy(*keys, task, F.floor(place / rows).alias("__part")).agg(cells.alias("__cells")).select(*keys, "__task", "__part", folded.alias("__state"))
+
+    def merged_by(out: DataFrame, at: str, *groups: Column) -> DataFrame:
+        cells = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col("__state").alias("v"))))
+        whole = F.aggregate("__cells", reducer.zero, lambda state, cell: reducer.merge(state, cell["v"]))
+        return out.groupBy(*keys, *groups).agg(cells.alias("__cells")).withColumn("__state", whole).drop("__cells")
+
+    parts, tasks = -(-df.count() // rows), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while parts > 1:
         parts = -(-parts // states)
-        cells = F.array_sort(F.collect_list(F.struct(F.col("__part").alias("at"), F.col("__state").alias("v"))))
-        whole = F.aggregate("__cells", reducer.zero, lambda state, cell: reducer.merge(state, cell["v"]))
-        out = out.groupBy(*keys, F.floor(F.col("__part") / states).alias("__up")).agg(cells.alias("__cells")).select(*keys, F.col("__up").alias("__part"), whole.alias("__state"))
-    return out.select(*keys, reducer.finish(F.col("__state")).alias(name))
+        out = merged_by(out, "__part", F.col("__task"), F.floor(F.col("__part") / states).alias("__part"))
+    while tasks > states:
+        tasks = -(-tasks // states)
+        out = merged_by(out, "__task", F.floor(F.col("__task") / states).alias("__task"))
+    return merged_by(out, "__task").select(*keys, reducer.finish(F.col("__state")).alias(name))
 
 
 def longest_run() -> Reducer:
