@@ -130,3 +130,16 @@ def test_a_tree_over_ranges_needs_no_numbers(spark):
         assert "Window" not in out._jdf.queryExecution().toString()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("panel,pairs", [(64, 100), (32_768, 65_536)])
+def test_ranks_by_panels(spark, monkeypatch, panel, pairs):
+    monkeypatch.setattr(evolution, "PANEL", panel)
+    monkeypatch.setattr(evolution, "PAIRS", pairs)
+    jobs, real = [], evolution.materialize
+    monkeypatch.setattr(evolution, "materialize", lambda df, what: (jobs.append(what), real(df, what))[1])
+    rows = _rows(300, 5, 40)
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    got = {r.id: r["rank"] for r in evolution.nondominated_ranks(df, AIMS, block=16).collect()}
+    assert got == _fronts({i: (a, -b, c) for i, a, b, c in rows})
+    assert jobs.count("ranks") == (5 if panel == 64 else 1)  # blocks of 16 took a round each: 19

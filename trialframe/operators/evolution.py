@@ -2,9 +2,9 @@
 
 A trial's rank is the number of the front that it is in when fronts are taken off one after the other, which is the
 length of the longest chain of trials that dominate each other down to it. So ranks need no loop over fronts: distinct
-cost vectors are put in lexicographic order, where every dominating one comes first, and cut into blocks. Block by
-block, a job ends one block's ranks and raises the lower bounds of all later blocks by those of the block before, each
-later block in a task of its own. Every task holds two blocks.
+cost vectors are put in lexicographic order, where every dominating one comes first, and cut into panels of whole blocks.
+Panel by panel, a job ends one panel's ranks and raises the lower bounds of all later panels by those of the panel before,
+in up to ``TASKS`` tasks. A task holds two panels at a time, and halves both until boxes tell which of their rows dominate.
 """
 
 from __future__ import annotations
@@ -21,8 +21,12 @@ from trialframe.plans.space import Space, unit_column
 from trialframe.functions.expressions import named
 from trialframe.scratch import discard, materialize
 
-#: Distinct cost vectors that a task ranks among each other.
-BLOCK = 4096
+#: Distinct cost vectors of a block, and of a panel of blocks, which is ranked in one round (a block at least).
+BLOCK, PANEL = 4096, 32_768
+#: Tasks of a round at most, so what they report to the driver grows with the rounds only.
+TASKS = 64
+#: Pairs of cost vectors that are compared at once.
+PAIRS = 65_536
 
 
 def _costs(objectives: Mapping[str, str]) -> dict[str, Column]:
@@ -52,47 +56,71 @@ def nondominated_ranks(df: DataFrame, objectives: Mapping[str, str], name: str =
     keys = [f"__c{i}" for i in range(len(costs))]
     points = rows.select(*(c.alias(k) for k, c in zip(keys, costs.values(), strict=True))).distinct()
     placed = numbered(points, {k: F.col(k) for k in keys}, "__at")
-    placed = placed.select(F.floor(F.col("__at") / block).cast("int").alias("block"), *keys, F.lit(0).cast("long").alias("rank"))
+    placed = placed.select(F.floor(F.col("__at") / (block * max(1, PANEL // block))).cast("int").alias("panel"), *keys, F.lit(0).cast("long").alias("rank"))
     left = materialize(placed, "points")
-    blocks = (left.agg(F.max("block")).first()[0] or 0) + 1
-    shape = ", ".join(["block int", *(f"{k} double" for k in keys), "rank long"])
+    panels = (left.agg(F.max("panel")).first()[0] or 0) + 1
+    shape = ", ".join(["panel int", *(f"{k} double" for k in keys), "rank long"])
 
-    def raised(x: np.ndarray, ranks: np.ndarray, by: np.ndarray, by_ranks: np.ndarray) -> np.ndarray:
+    def raised(x: np.ndarray, ranks: np.ndarray, by: np.ndarray, by_ranks: np.ndarray, depth: int = 0) -> np.ndarray:
         """Ranks of ``x``, one above every row of ``by`` that dominates it; ``by`` comes first and is not equal."""
-        for at in range(0, len(x), 256):
-            over = (by[:, None] <= x[None, at : at + 256]).all(2)
-            ranks[at : at + 256] = np.maximum(ranks[at : at + 256], np.where(over, by_ranks[:, None] + 1, 0).max(0, initial=0))
+        higher = by_ranks >= ranks.min(initial=np.iinfo(np.int64).max)
+        by, by_ranks = by[higher], by_ranks[higher]
+        if not len(by) or (by.min(0) > x.max(0)).any():
+            return ranks
+        undecided = np.flatnonzero(by.max(0) > x.min(0))
+        if not len(undecided):
+            return np.maximum(ranks, by_ranks.max() + 1)
+        if len(x) * len(by) <= PAIRS:
+            over = np.logical_and.reduce([by[:, None, k] <= x[None, :, k] for k in undecided])
+            return np.maximum(ranks, np.where(over, by_ranks[:, None] + 1, 0).max(0))
+        k = undecided[depth % len(undecided)]
+        half = max(len(x), len(by)) // 2
+        if len(x) > len(by):
+            ranks = ranks.copy()
+            for part in np.split(np.argpartition(x[:, k], half), [half]):
+                ranks[part] = raised(x[part], ranks[part], by, by_ranks, depth + 1)
+        else:
+            for part in np.split(np.argpartition(by[:, k], half), [half]):
+                ranks = raised(x, ranks, by[part], by_ranks[part], depth + 1)
         return ranks
 
+    def ended(x: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+        """Ranks of rows in lexicographic order from their lower bounds."""
+        if len(x) <= 32:
+            for i in range(1, len(x)):
+                over = (x[:i] <= x[i]).all(1)
+                if over.any():
+                    ranks[i] = max(ranks[i], ranks[:i][over].max() + 1)
+            return ranks
+        half = len(x) // 2
+        first = ended(x[:half], ranks[:half])
+        return np.concatenate([first, ended(x[half:], raised(x[half:], ranks[half:], x[:half], first))])
+
     def step(now: int):
         def rank(key: tuple, own: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
             own = own.sort_values(keys)
             x, ranks = own[keys].to_numpy(), own["rank"].to_numpy(copy=True)
             if len(above):
                 ranks = raised(x, ranks, above[keys].to_numpy(), above["rank"].to_numpy())
-            if key[0] == now:
-                for i in range(1, len(x)):
-                    over = (x[:i] <= x[i]).all(1)
-                    if over.any():
-                        ranks[i] = max(ranks[i], ranks[:i][over].max() + 1)
-            return own.assign(rank=ranks)
+            return own.assign(rank=ended(x, ranks) if key[0] == now else ranks)
 
         return rank
 
     finished: list[DataFrame] = []
-    for now in range(blocks):
+    for now in range(panels):
         above = finished[-1] if finished else left.limit(0)
-        ahead = above.select(F.explode(F.sequence(F.lit(now), F.lit(blocks - 1))).alias("block"), *keys, "rank")
-        done = left.groupBy("block").cogroup(ahead.groupBy("block")).applyInPandas(step(now), shape)
+        ahead = above.select(F.explode(F.sequence(F.lit(now), F.lit(panels - 1))).alias("panel"), *keys, "rank")
+        sides = (side.repartition(min(TASKS, panels - now), "panel").groupBy("panel") for side in (left, ahead))
+        done = next(sides).cogroup(next(sides)).applyInPandas(step(now), shape)
         raised_ = materialize(done, "ranks")
-        finished.append(raised_.where(F.col("block") == now))
-        left = raised_.where(F.col("block") > now)
+        finished.append(raised_.where(F.col("panel") == now))
+        left = raised_.where(F.col("panel") > now)
     ranks = finished[0]
     for one in finished[1:]:
         ranks = ranks.unionByName(one)
     ranks = ranks.select(*(F.col(k).alias(f"{k}_r") for k in keys), F.col("rank").alias(name))
     same = [c == F.col(f"{k}_r") for k, c in zip(keys, costs.values(), strict=True)]
-    return rows.join(ranks, same).drop(*(f"{k}_r" for k in keys))
+    return materialize(rows.join(ranks, same).drop(*(f"{k}_r" for k in keys)), "ranked")
 
 
 def crowding_distances(ranked: DataFrame, objectives: Mapping[str, str], trial: str = "trial_id", rank: str = "rank", name: str = "crowding") -> DataFrame:
@@ -105,7 +133,7 @@ def crowding_distances(ranked: DataFrame, objectives: Mapping[str, str], trial:
     out, total, edge = ranked.join(spans, F.col(rank) == F.col("__front")), F.lit(0.0), F.lit(False)
     for i, c in enumerate(objectives):
         value = F.col(c).cast("double")
-        out = neighbours(out, {"front": F.col(rank), "value": value, "trial": F.col(trial)}, {f"__f{i}": F.col(rank), f"__v{i}": value})
+        out = materialize(neighbours(out, {"front": F.col(rank), "value": value, "trial": F.col(trial)}, {f"__f{i}": F.col(rank), f"__v{i}": value}), "crowded")
         inner = (F.col(f"__f{i}_before") == F.col(rank)) & (F.col(f"__f{i}_after") == F.col(rank))
         share = F.try_divide(F.col(f"__v{i}_after") - F.col(f"__v{i}_before"), F.col(f"__max{i}") - F.col(f"__min{i}"))
         edge = edge | ~F.coalesce(inner, F.lit(False))
