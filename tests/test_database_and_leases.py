@@ -67,6 +67,33 @@ def test_broken_writes_leave_nothing(spark, tmp_path):
     assert _tables(path) == {"goods"}
 
 
+def test_a_task_that_waits_for_rows_keeps_no_one_out(tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    from pyspark.sql import types as T
+
+    path, attempts = tmp_path / "db", iter((7, 8, 9))
+    monkeypatch.setattr(database, "ROWS", 10)
+    monkeypatch.setattr(database, "BATCH", 20, raising=False)
+    monkeypatch.setattr(database, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0, taskAttemptId=lambda: next(attempts))))
+    writer = database.TableWriter(database.Place.of(_options(path, unique="id")), T.StructType().add("id", T.LongType()).add("price", T.DoubleType()), False)
+
+    def rows(start):
+        for i in range(start, start + 50):
+            if i % 50 == 45:  # another task writes meanwhile
+                with sqlite3.connect(path, timeout=0.1) as other:
+                    other.execute(f"CREATE TABLE IF NOT EXISTS other_{start} (x)")
+            yield i, i / 2
+
+    done, lost = writer.write(rows(0)), writer.write(rows(0))  # an attempt that does not count staged the same rows
+    also = writer.write(rows(50))
+    assert [m.rows for m in (done, lost, also)] == [50, 50, 50]
+    writer.commit([done, None, also])
+    with sqlite3.connect(path) as c:
+        assert c.execute("SELECT count(*), min(id), max(id) FROM goods").fetchone() == (100, 0, 99)
+    assert _tables(path) == {"goods", "other_0", "other_50"}
+
+
 def test_names_and_options_are_checked(spark, tmp_path):
     with pytest.raises(ConfigError):
         database.quoted('x"; DROP TABLE y')

@@ -726,7 +726,7 @@ def store_replay(spark, sf):
 
 @_query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_totalprice >= 150000 AND o_orderpriority IS NOT NULL")
 def database_orders(spark, sf):
-    """Orders written to a database in tasks of one transaction each, and read back in ranges of keys with a pushed predicate."""
+    """Orders written to a database by tasks in short transactions, moved in one, and read back in ranges of keys with a pushed predicate."""
     database.register(spark)
     path = fresh_path(spark, "orders").removeprefix("file://")
     Path(path).parent.mkdir(parents=True, exist_ok=True)

@@ -5,8 +5,9 @@
 
 ``connect`` names a function (module:function) that is given ``target`` and returns a connection; it is called where rows
 are read and written. Reads are cut into ranges of the integer column ``key``; comparisons of a column with a value go
-into the statements. A write goes to a staging table first, each task in one transaction; only when all tasks are through
-does one transaction move the rows of those that count into the table. A write that fails leaves nothing behind.
+into the statements. A write goes to a staging table first, in short transactions, as some databases let one writer in at a
+time; only when all tasks are through does one transaction move the rows of those that count into the table, in one pass. A
+write that fails leaves nothing behind.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import closing
 from dataclasses import dataclass
+from itertools import islice
 
 from pyspark import TaskContext
 from pyspark.sql import SparkSession
@@ -28,7 +30,8 @@ from trialframe.errors import ConfigError
 #: Column types by Spark's (fixed values).
 KINDS = {"bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT", "double": "DOUBLE PRECISION", "float": "REAL", "string": "TEXT", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "date": "DATE", "binary": "BLOB"}
 OPERATORS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
-ROWS = 5000
+#: Rows of a read or a statement, and rows that a task makes ready before it opens a transaction for them.
+ROWS, BATCH = 5000, 50_000
 
 
 def quoted(name: str) -> str:
@@ -41,7 +44,9 @@ def sqlite(path: str):
     """A connection to a file that waits for other writers; the file has to be where all tasks see it."""
     import sqlite3
 
-    return sqlite3.connect(path, timeout=600)
+    connection = sqlite3.connect(path, timeout=600)
+    connection.execute("PRAGMA cache_size = -64000")  # KB, for the key's index
+    return connection
 
 
 @dataclass(frozen=True)
@@ -168,7 +173,7 @@ def _to_database(value):
 class Staged(WriterCommitMessage):
     """A task's rows in the staging table."""
 
-    tag: str
+    tag: int
     rows: int
 
 
@@ -180,8 +185,8 @@ class TableWriter(DataSourceWriter):
         if unknown:
             raise ConfigError(f"columns {unknown} have no type in a database, or are not there")
         self.kinds = [f"{quoted(f.name)} {KINDS[f.dataType.simpleString()]}" for f in schema]
-        self.staging = quoted(f"staging_{uuid.uuid4().hex}")
-        self._run(f"CREATE TABLE {self.staging} ({', '.join([*self.kinds, 'staged_by TEXT'])})")
+        self.staging, self.counted = (quoted(f"{what}_{uuid.uuid4().hex}") for what in ("staging", "counted"))
+        self._run(f"CREATE TABLE {self.staging} ({', '.join([*self.kinds, 'staged_by BIGINT'])})")
 
     def _run(self, *statements: str | tuple) -> None:
         """Statements in one transaction."""
@@ -196,25 +201,19 @@ class TableWriter(DataSourceWriter):
                 raise
 
     def write(self, iterator: Iterator[T.Row]) -> Staged:
-        task = TaskContext.get()
-        tag, count = f"{task.partitionId()}-{task.taskAttemptId()}", 0
+        tag, count = TaskContext.get().taskAttemptId(), 0
         insert = f"INSERT INTO {self.staging} VALUES ({', '.join([self.place.mark] * (len(self.columns) + 1))})"
         with closing(self.place.open()) as connection:
-            try:
-                with closing(connection.cursor()) as cursor:
-                    part: list[tuple] = []
-                    for row in iterator:
-                        part.append((*map(_to_database, row), tag))
-                        if len(part) == ROWS:
-                            cursor.executemany(insert, part)
-                            count, part = count + len(part), []
-                    if part:
-                        cursor.executemany(insert, part)
-                        count += len(part)
-                connection.commit()
-            except BaseException:
-                connection.rollback()
-                raise
+            while part := [(*map(_to_database, row), tag) for row in islice(iterator, BATCH)]:
+                try:
+                    with closing(connection.cursor()) as cursor:
+                        for at in range(0, len(part), ROWS):
+                            cursor.executemany(insert, part[at : at + ROWS])
+                    connection.commit()
+                except BaseException:
+                    connection.rollback()
+                    raise
+                count += len(part)
         return Staged(tag, count)
 
     def commit(self, messages: list[Staged | None]) -> None:
@@ -223,13 +222,14 @@ class TableWriter(DataSourceWriter):
         statements: list[str | tuple] = [f"CREATE TABLE IF NOT EXISTS {table} ({', '.join([*self.kinds, *key])})"]
         if self.overwrite:
             statements.append(f"DELETE FROM {table}")
-        for m in messages:
-            if m is not None:
-                statements.append((f"INSERT INTO {table} ({names}) SELECT {names} FROM {self.staging} WHERE staged_by = {self.place.mark}", (m.tag,)))
+        statements.append(f"CREATE TABLE {self.counted} (tag BIGINT)")
+        statements += [(f"INSERT INTO {self.counted} VALUES ({self.place.mark})", (m.tag,)) for m in messages if m is not None]
+        statements.append(f"INSERT INTO {table} ({names}) SELECT {names} FROM {self.staging} WHERE staged_by IN (SELECT tag FROM {self.counted})")
+        statements.append(f"DROP TABLE {self.counted}")
         try:
             self._run(*statements)
         finally:
-            self._run(f"DROP TABLE {self.staging}")
+            self._run(f"DROP TABLE {self.staging}", f"DROP TABLE IF EXISTS {self.counted}")
 
     def abort(self, messages: list[Staged | None]) -> None:
         self._run(f"DROP TABLE IF EXISTS {self.staging}")
