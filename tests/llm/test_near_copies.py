@@ -141,3 +141,14 @@ def test_a_large_group_of_near_copies_offers_few_pairs(spark, monkeypatch):
     got = {r.id: r.component for r in near_copies.near_copies(brute.documents(spark, texts)).collect()}
     assert got == brute.components(range(len(texts)), _links(texts))
     assert sum(offered) < 15 * len(texts), offered
+
+
+def test_few_jobs_leave_their_records_with_the_driver(spark):
+    context = spark.sparkContext
+    context.setJobGroup("few-jobs", "")
+    try:
+        near_copies.keep_one(brute.documents(spark, _texts())).count()
+        jobs = len(context.statusTracker().getJobIdsForGroup("few-jobs"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 175  # 204 when every round of links began its components anew

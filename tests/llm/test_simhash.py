@@ -67,3 +67,14 @@ def test_components_of_a_path_and_a_star(spark):
     star = [(1000, 1000 + i) for i in range(1, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(path + star, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(n + 1)} | {1000 + i: 1000 for i in range(200)}
+
+
+def test_components_go_on_from_known_ones(spark):
+    first = [(1, 2), (2, 3), (10, 11), (20, 21), (30, 31)]
+    more = [(3, 11), (11, 2), (21, 40), (40, 41), (50, 51), (31, 30), (7, 7), (None, 1), (60, None)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    known = components(frame(first))
+    got = {r.node: r.root for r in components(frame(more), known).collect()}
+    assert got == {r.node: r.root for r in components(frame(first + more)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 20: 20, 21: 20, 30: 30, 31: 30, 40: 20, 41: 20, 50: 50, 51: 50}
+    assert components(frame([(1, 3), (5, 5)]), known) is known
